@@ -213,13 +213,6 @@ class DenseNetwork:
     layers: Sequence[tuple]
     norms: Sequence[tuple]
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        for (weight, bias), (gamma, beta, mean, variance) in zip(self.layers, self.norms):
-            x = np.maximum(x @ weight.T + bias, 0.0)
-            x = (x - mean) / np.sqrt(variance + BATCH_NORM_EPS) * gamma + beta
-        weight, bias = self.layers[-1]
-        return (x @ weight.T + bias)[:, 0]
-
 
 # What a parameter table calls the tensors of a layer.
 NORM_TENSORS = ("gamma", "beta", "mean", "variance")
@@ -259,12 +252,17 @@ def score_dense_network(
     df: DataFrame, network: DenseNetwork, features: str = "vector", output: str = "score"
 ) -> DataFrame:
     """Add the logit of each row. One matrix product per Arrow batch, no shuffle."""
-    layers, norms = list(network.layers), list(network.norms)
-    width = layers[0][0].shape[1]
+    hidden = list(zip(network.layers, network.norms))
+    last_weight, last_bias = network.layers[-1]
+    width, eps = network.layers[0][0].shape[1], BATCH_NORM_EPS
 
     @F.arrow_udf(T.DoubleType())
     def logits(batch: pa.Array) -> pa.Array:
         x = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        return pa.array(DenseNetwork(layers, norms).logits(x.reshape(len(batch), width)))
+        x = x.reshape(len(batch), width)
+        for (weight, bias), (gamma, beta, mean, variance) in hidden:
+            x = np.maximum(x @ weight.T + bias, 0.0)
+            x = (x - mean) / np.sqrt(variance + eps) * gamma + beta
+        return pa.array((x @ last_weight.T + last_bias)[:, 0])
 
     return df.withColumn(output, logits(F.col(features)))

@@ -99,6 +99,20 @@ def extra_features(df: DataFrame, features: Sequence[str]) -> list[str]:
     return [c for c in df.columns if c not in features]
 
 
+def feature_differences(
+    left: DataFrame, right: DataFrame, columns: Sequence[str] = CATEGORICAL
+) -> DataFrame:
+    """(kind, feature): dummy columns ``missing`` from ``left`` but in ``right``, and ``extra`` ones."""
+    named = [
+        categories([df], columns).select(F.concat_ws("_", "feature", "category").alias("feature"))
+        for df in (left, right)
+    ]
+    missing = named[1].join(named[0], "feature", "left_anti")
+    extra = named[0].join(named[1], "feature", "left_anti")
+    kinds = [d.select(F.lit(k).alias("kind"), "feature") for d, k in ((missing, "missing"), (extra, "extra"))]
+    return kinds[0].unionByName(kinds[1])
+
+
 def conform_to(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Exactly the given features in the given order: missing ones are 0, extra ones go."""
     present = set(df.columns)

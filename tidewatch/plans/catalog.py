@@ -19,12 +19,13 @@ from tidewatch.functions import packets as p
 from tidewatch.functions import scoring
 from tidewatch.operators import connections, evaluate, learn, packets, prepare, scans, status
 from tidewatch.plans import detection, training
-from tidewatch.schemas import ALERT_FIELDS, CONNECTION, NUMERIC, PACKET_FEATURES
-from tidewatch.session import shared_folder
+from tidewatch.schemas import ALERT_FIELDS, NUMERIC, SCORED_PACKET_SCHEMA
+from tidewatch.session import STATE_STORE, shared_folder
 from tidewatch.sources import alerts as alert_files
 from tidewatch.sources import flows as flow_files
 from tidewatch.sources import packets as packet_files
 from tidewatch.sources import params, reports
+from tidewatch.streaming import jobs, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -549,17 +550,23 @@ def conform_to(spark, folder):
     return prepare.conform_to(fx.flows(spark, folder), features, keep=["l_orderkey"])
 
 
-@query("""SELECT 'missing' AS kind, unnest(['count', 'duration']) AS feature
-UNION ALL SELECT 'extra', unnest(['l_orderkey', 'label', 'raw'])""")
+_CATEGORIES = f"SELECT proto AS protocol_type, {SERVICE} AS service, {FLAG} AS flag FROM pk"
+
+
+@query(f"""WITH {PACKETS}, f AS ({_CATEGORIES}), u AS ({_CATEGORIES} WHERE proto <> 'tcp'),
+fs AS (SELECT 'protocol_type_' || protocol_type AS c FROM f UNION SELECT 'service_' || service FROM f
+  UNION SELECT 'flag_' || flag FROM f),
+us AS (SELECT 'protocol_type_' || protocol_type AS c FROM u UNION SELECT 'service_' || service FROM u
+  UNION SELECT 'flag_' || flag FROM u)
+SELECT 'missing' AS kind, c AS feature FROM fs WHERE c NOT IN (SELECT c FROM us)
+UNION ALL SELECT 'extra', c FROM us WHERE c NOT IN (SELECT c FROM fs)""")
 def feature_differences(spark, folder):
-    flows = fx.flows(spark, folder).select("l_orderkey", "quantity", "tax", "label", "raw")
-    wanted = ["quantity", "tax", "duration", "count"]
-    found = {
-        "missing": prepare.missing_features(flows, wanted),
-        "extra": prepare.extra_features(flows, wanted),
-    }
-    rows = [(kind, f) for kind, names in found.items() for f in names]
-    return spark.createDataFrame(rows, "kind string, feature string")
+    traffic = fx.packets(spark, folder)
+    categories = traffic.select(
+        "ip_proto", *[c().alias(n) for n, c in
+                      (("protocol_type", p.protocol_type), ("service", p.service), ("flag", p.flag))]
+    )
+    return prepare.feature_differences(categories.filter("ip_proto <> 6"), categories)
 
 
 @query(f"""WITH {FLOWS} SELECT l_orderkey, l_linenumber, quantity, CASE WHEN raw IS NULL THEN 0
@@ -908,3 +915,65 @@ def packet_file(spark, folder):
     fx.packets(spark, folder).drop("score").write.parquet(path)
     stored = packet_files.read_packets(spark, path)
     return stored.select("packet_id", F.unix_micros("ts").alias("us"), "src_ip", "tcp_flags")
+
+
+# --- streams --------------------------------------------------------------------------------------
+
+
+# State stores per operator in the queries below; a job at scale sets its own number.
+STREAM_PARTITIONS = 8
+
+
+def _streamed(spark: SparkSession, folder: str, slices: int = 4, files: int = 2) -> DataFrame:
+    """The packets as a stream of files, one slice of time per micro-batch."""
+    path = fresh(spark, "stream")
+    traffic = fx.packets(spark, folder)
+    first, last = traffic.agg(F.min("packet_id"), F.max("packet_id")).first()
+    for i in range(slices):
+        upto = first + (last - first + 1) * (i + 1) // slices
+        start = first + (last - first + 1) * i // slices
+        part = traffic.filter((F.col("packet_id") >= start) & (F.col("packet_id") < upto))
+        part.repartition(files).write.mode("append").parquet(path)
+    streaming = spark.newSession()
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), STREAM_PARTITIONS)
+    for key, value in {**STATE_STORE, "spark.sql.shuffle.partitions": str(partitions)}.items():
+        streaming.conf.set(key, value)
+    return packet_files.stream_packets(streaming, path, SCORED_PACKET_SCHEMA, max_files=files)
+
+
+def _timed(spark: SparkSession, folder: str) -> DataFrame:
+    return stateful.in_event_time(_streamed(spark, folder), unique=True)
+
+
+def _drained(spark: SparkSession, stream: DataFrame, output_mode: str = "append") -> DataFrame:
+    """Everything a stream gives, read back after it has ended."""
+    path = fresh(spark, "stream-out")
+    started = jobs.start(stream, path, fresh(spark, "stream-state"), output_mode, available_now=True)
+    jobs.run_bounded(started)
+    return jobs.written(spark, path, stream.schema)
+
+
+@query(SQL["status_window"])
+def stream_status(spark, folder):
+    counts = jobs.stream_status(stateful.in_event_time(_streamed(spark, folder)), fx.THRESHOLD)
+    rows = _drained(spark, counts, "update")
+    return _status(jobs.latest(rows, "window_start", "window_end"))
+
+
+@query(f"{ALERTS} SELECT * FROM al")
+def stream_alerts(spark, folder):
+    found = jobs.stream_alerts(_timed(spark, folder), fx.THRESHOLD, fx.TRUSTED_HOSTS)
+    return _plain(_drained(spark, found).drop("batch_id"))
+
+
+@query(SQL["port_scan"])
+def stream_port_scan(spark, folder):
+    flagged = stateful.stream_port_scan(_timed(spark, folder))
+    return _drained(spark, flagged).filter("port_scan").select("packet_id")
+
+
+@query(SQL["connection_epochs"].replace("SELECT packet_id, epoch, row", "SELECT packet_id, row")
+       .replace("SELECT packet_id, 1, 1 ", "SELECT packet_id, 1 "))
+def stream_connection_count(spark, folder):
+    counted = stateful.stream_connection_count(_timed(spark, folder))
+    return _drained(spark, counted).select("packet_id", "count")

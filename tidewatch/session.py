@@ -7,6 +7,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The state store that operators with state per key need; it commits changes instead of snapshots.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 _local_folders: dict[str, str] = {}
 
 
@@ -17,15 +24,12 @@ def session(app_name: str = "tidewatch", master: str | None = None, **conf: str)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config(
-            "spark.sql.streaming.stateStore.providerClass",
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        )
     )
     if master:
         builder = builder.master(master)
-    for key, value in conf.items():
-        builder = builder.config(key.replace("__", "."), value)
+    given = {key.replace("__", "."): value for key, value in conf.items()}
+    for key, value in {**STATE_STORE, **given}.items():
+        builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
