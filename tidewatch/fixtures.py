@@ -6,12 +6,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.schemas import SCORED_PACKET_SCHEMA
+from tidewatch.session import staged
 
 TRUSTED_HOSTS = ["10.0.0.1", "127.0.0.1"]
 THRESHOLD = 0.1
 START_MICROS = 1_704_067_200_000_000
 
 
+_derived: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _derive(spark: SparkSession, folder: str, name: str, make) -> DataFrame:
+    """A derived table, written once per application and read like any other table."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _derived:
+        _derived[key] = staged(make(spark, folder))
+    return _derived[key]
+
+
+def packets(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event as a scored packet, ten packets a second."""
+    return _derive(spark, folder, "packets", _packets)
+
+
+def scored(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event as a probability ``p``, a logit ``z`` and a label ``y``."""
+    return _derive(spark, folder, "scored", _scored)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -20,8 +42,7 @@ def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
 
-def packets(spark: SparkSession, folder: str) -> DataFrame:
-    """Every event as a scored packet, ten packets a second."""
+def _packets(spark: SparkSession, folder: str) -> DataFrame:
     k, m, user = F.col("k"), F.col("k") % 20, F.col("user_id")
     tcp, udp, icmp = m < 14, m.between(14, 16), m.between(17, 18)
     source = F.concat(
@@ -61,8 +82,7 @@ def packets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def scored(spark: SparkSession, folder: str) -> DataFrame:
-    """Every event as a probability ``p``, a logit ``z`` and a label ``y``."""
+def _scored(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select("event_id", "event_type", _k().alias("k"))
     return events.select(
         "event_id",

@@ -34,16 +34,27 @@ def exceeds(score: Column, threshold: float | Column, space: str = "logit") -> C
     return hit & ~F.isnan(score)
 
 
-def splits_reached(value: Column, splits: Sequence[float]) -> Column:
-    """How many of the ascending ``splits`` are at or below ``value`` (null and NaN reach none).
+def doubles(values: Sequence[float]) -> Column:
+    """An array of fixed numbers."""
+    return F.expr(f"array({', '.join(_double(v) for v in values)})")
+
+
+def _double(value: float) -> str:
+    return f"double('{float(value)!r}')"
+
+
+def splits_reached(value: str, splits: Sequence[float]) -> Column:
+    """How many of the ascending ``splits`` are at or below column ``value`` (null and NaN reach none).
 
     A balanced tree of comparisons: seven per row for 81 splits, inside generated code.
     """
 
-    def tree(lo: int, hi: int) -> Column:
+    def tree(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(value < F.lit(splits[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        low, high = tree(lo, mid), tree(mid + 1, hi)
+        return f"CASE WHEN `{value}` < {_double(splits[mid])} THEN {low} ELSE {high} END"
 
-    return F.when(value.isNull() | F.isnan(value), 0).otherwise(tree(0, len(splits)))
+    known = F.col(value).isNotNull() & ~F.isnan(value)
+    return F.when(known, F.expr(tree(0, len(splits)))).otherwise(0)

@@ -18,21 +18,18 @@ MAX_AGE = 300
 # Distinct times of one connection that are folded as one array (8 MB).
 MAX_FOLD = 1_000_000
 
-# Not null even where a packet is in no connection; such packets get a key of their own, because
-# one shared null key would gather them all in one task.
-_KEY = ["_k1", "_k2", "_k3", "_k4", "_alone"]
+# Packets outside connections get a key of their own in ``_alone``; by address and port alone they
+# would mix with TCP packets, and gather wherever ports are missing.
+_KEY = [*CONNECTION, "_alone"]
+_IN_CONNECTION = -1
 
 # Tasks over which the rows of one hot connection are spread for the look-up of its epochs.
 _SPREAD = 512
 
 
 def _keyed(packets: DataFrame) -> DataFrame:
-    tracked = p.in_connection()
-    texts, numbers = F.lit(""), F.lit(-1)
-    fill = [texts, numbers, texts, numbers]
-    key = {k: F.when(tracked, F.col(c)).otherwise(f) for k, c, f in zip(_KEY, CONNECTION, fill)}
-    alone = F.when(tracked, F.lit(-1).cast("long")).otherwise(F.col("packet_id"))
-    return packets.withColumns({**key, "_alone": alone})
+    alone = F.when(p.in_connection(), _IN_CONNECTION).otherwise(F.col("packet_id"))
+    return packets.withColumn("_alone", alone)
 
 
 def connection_count(
@@ -48,18 +45,19 @@ def connection_count(
     the first one counted, and ``epoch`` tells how often it has been started. ``running_bytes`` adds
     the byte total that goes with the count.
     """
+    tracked = packets.filter(p.in_connection())
     keyed = _keyed(packets)
-    hot = skew.hot_keys(keyed.filter(p.in_connection()), _KEY, max_rows)
+    hot = skew.hot_keys(_keyed(tracked), _KEY, max_rows)
     sums = {"count": F.lit(1).cast("long")}
     if running_bytes:
         sums["running_bytes"] = F.col("frame_len").cast("long")
     keys = _KEY
     if max_age is not None:
-        keyed = _with_epoch(keyed, max_age, hot, max_fold)
+        keyed = _with_epoch(keyed, tracked, max_age, hot, max_fold)
         keys = [*_KEY, "epoch"]
         if hot:
             hot = skew.hot_keys(keyed.filter(skew.is_hot(_KEY, hot)), keys, max_rows)
-    return skew.running_sums(keyed, keys, sums, max_rows, hot).drop(*_KEY)
+    return skew.running_sums(keyed, keys, sums, max_rows, hot).drop("_alone")
 
 
 def running_bytes(packets: DataFrame, max_rows: int = skew.MAX_GROUP_ROWS) -> DataFrame:
@@ -83,12 +81,15 @@ def connection_summary(packets: DataFrame) -> DataFrame:
     )
 
 
-def _with_epoch(keyed: DataFrame, max_age: float, hot: Sequence[int], max_fold: int) -> DataFrame:
+def _with_epoch(
+    keyed: DataFrame, tracked: DataFrame, max_age: float, hot: Sequence[int], max_fold: int
+) -> DataFrame:
     """Add ``epoch``, counted from 1, by looking up the epoch starts of the packet's connection."""
-    lists = _epoch_starts(keyed, max_age, hot, max_fold)
+    lists = _epoch_starts(tracked, max_age, hot, max_fold)
     if lists is None:
         return keyed.withColumn("epoch", F.lit(1))
     key = _KEY
+    lists = _in_connections(lists)
     if hot:
         # Rows of hot connections are spread over copies of their (at most MAX_HOT) lists.
         key = [*_KEY, "_part"]
@@ -101,21 +102,24 @@ def _with_epoch(keyed: DataFrame, max_age: float, hot: Sequence[int], max_fold:
     return keyed.join(lists, key, "left").withColumn("epoch", epoch).drop("_starts", "_part")
 
 
+def _in_connections(rows: DataFrame) -> DataFrame:
+    """Rows per connection, with the whole key that packets have."""
+    return rows.withColumn("_alone", F.lit(_IN_CONNECTION).cast("long"))
+
+
 def epoch_starts(
     packets: DataFrame, max_age: float = MAX_AGE, max_fold: int = MAX_FOLD
 ) -> DataFrame:
     """One row per epoch of every connection: ``epoch`` (from 1) and ``epoch_start``."""
-    keyed = _keyed(packets).filter(p.in_connection())
-    lists = _epoch_starts(keyed, max_age, skew.hot_keys(keyed, _KEY), max_fold)
-    names = [F.col(k).alias(c) for k, c in zip(_KEY, CONNECTION)]
-    only = F.min(F.unix_micros("ts"))
-    spans = keyed.groupBy(*_KEY).agg(F.array(only).alias("_only"))
+    tracked = packets.filter(p.in_connection())
+    lists = _epoch_starts(tracked, max_age, skew.hot_keys(_keyed(tracked), _KEY), max_fold)
+    found = tracked.groupBy(*CONNECTION).agg(F.array(F.min(F.unix_micros("ts"))).alias("_only"))
     if lists is None:
-        found = spans.withColumn("_starts", F.col("_only"))
+        starts = F.col("_only")
     else:
-        found = spans.join(lists, _KEY, "left")
-    starts = F.posexplode(F.coalesce("_starts", "_only")).alias("_pos", "_us")
-    return found.select(*names, starts).select(
+        found = found.join(lists, CONNECTION, "left")
+        starts = F.coalesce("_starts", "_only")
+    return found.select(*CONNECTION, F.posexplode(starts).alias("_pos", "_us")).select(
         *CONNECTION,
         (F.col("_pos") + 1).alias("epoch"),
         F.timestamp_micros("_us").alias("epoch_start"),
@@ -123,7 +127,7 @@ def epoch_starts(
 
 
 def _epoch_starts(
-    keyed: DataFrame, max_age: float, hot: Sequence[int], max_fold: int
+    tracked: DataFrame, max_age: float, hot: Sequence[int], max_fold: int
 ) -> DataFrame | None:
     """The sorted epoch start times (microseconds) of all connections with more than one epoch.
 
@@ -132,14 +136,13 @@ def _epoch_starts(
     The list of a connection is bounded by its time span, not by its rows.
     """
     age = round(max_age * 1_000_000)
-    times = keyed.filter(p.in_connection()).select(*_KEY, F.unix_micros("ts").alias("us"))
-    spans = times.groupBy(*_KEY).agg(
+    times = tracked.select(*CONNECTION, F.unix_micros("ts").alias("us"))
+    spans = times.groupBy(*CONNECTION).agg(
         F.min("us").alias("_first"), F.max("us").alias("_last"), F.count("*").alias("_rows")
     )
-    large = (F.col("_rows") > max_fold) | skew.is_hot(_KEY, hot)
-    long = staged(
-        spans.filter(F.col("_last") - F.col("_first") > age).withColumn("_large", large)
-    )
+    is_hot = skew.is_hot(_KEY, hot)
+    long = _in_connections(spans.filter(F.col("_last") - F.col("_first") > age))
+    long = staged(long.withColumn("_large", (F.col("_rows") > max_fold) | is_hot).drop("_alone"))
     found = long.agg(
         F.count("*").alias("n"),
         F.max("_large").alias("large"),
@@ -147,8 +150,8 @@ def _epoch_starts(
     ).first()
     if found["n"] == 0:
         return None
-    small = long.filter(~F.col("_large"))
-    lists = _fold(times.filter(~skew.is_hot(_KEY, hot)), small, age)
+    cold = _in_connections(times).filter(~is_hot).drop("_alone") if hot else times
+    lists = _fold(cold, long.filter(~F.col("_large")), age)
     if found["large"]:
         lists = lists.unionByName(_follow(times, long.filter("_large"), age, found["span"]))
     return lists
@@ -165,8 +168,8 @@ def _fold(times: DataFrame, connections: DataFrame, age: int) -> DataFrame:
         ).otherwise(found),
     )
     return (
-        times.join(connections.select(*_KEY), _KEY)
-        .groupBy(*_KEY)
+        times.join(connections.select(*CONNECTION), CONNECTION)
+        .groupBy(*CONNECTION)
         .agg(starts.alias("_starts"))
     )
 
@@ -178,22 +181,22 @@ def _follow(times: DataFrame, connections: DataFrame, age: int, span: int) -> Da
     connection, the reached set doubles its depth each round while the pointers are squared, so the
     rounds grow with the logarithm of the span. All joins are on (connection, time): no skew.
     """
-    key = [*_KEY, "us"]
-    nodes = times.join(connections.select(*_KEY), _KEY).distinct()
+    key = [*CONNECTION, "us"]
+    nodes = times.join(connections.select(*CONNECTION), CONNECTION).distinct()
     jumps = staged(_next_after(nodes, age))
-    reached = connections.select(*_KEY, F.col("_first").alias("us"))
+    reached = connections.select(*CONNECTION, F.col("_first").alias("us"))
     depth = 1
     while True:
-        step = reached.join(jumps, key).select(*_KEY, F.col("_next").alias("us"))
+        step = reached.join(jumps, key).select(*CONNECTION, F.col("_next").alias("us"))
         reached = staged(reached.unionByName(step).distinct())
         depth *= 2
         if depth > span // age + 1:
             break
-        onward = jumps.select(*_KEY, F.col("us").alias("_next"), F.col("_next").alias("_far"))
+        onward = jumps.select(*CONNECTION, F.col("us").alias("_next"), F.col("_next").alias("_far"))
         jumps = staged(
-            jumps.join(onward, [*_KEY, "_next"]).select(*key, F.col("_far").alias("_next"))
+            jumps.join(onward, [*CONNECTION, "_next"]).select(*key, F.col("_far").alias("_next"))
         )
-    return reached.groupBy(*_KEY).agg(F.array_sort(F.collect_list("us")).alias("_starts"))
+    return reached.groupBy(*CONNECTION).agg(F.array_sort(F.collect_list("us")).alias("_starts"))
 
 
 def _next_after(nodes: DataFrame, age: int, tick: int = 1_000_000) -> DataFrame:
@@ -216,21 +219,21 @@ def _next_after(nodes: DataFrame, age: int, tick: int = 1_000_000) -> DataFrame:
         )
 
     in_tick = following(
-        [*_KEY, "_tick"], [F.col("_at").desc(), F.when(is_node, 1).otherwise(0)]
+        [*CONNECTION, "_tick"], [F.col("_at").desc(), F.when(is_node, 1).otherwise(0)]
     )
-    ticks = marks.groupBy(*_KEY, "_tick").agg(F.min(F.when(is_node, F.col("_at"))).alias("_lo"))
+    ticks = marks.groupBy(*CONNECTION, "_tick").agg(F.min(F.when(is_node, F.col("_at"))).alias("_lo"))
     later = (
-        Window.partitionBy(*_KEY).orderBy(F.col("_tick").desc())
+        Window.partitionBy(*CONNECTION).orderBy(F.col("_tick").desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     ticks = ticks.select(
-        *_KEY, "_tick", F.last("_lo", ignorenulls=True).over(later).alias("_later")
+        *CONNECTION, "_tick", F.last("_lo", ignorenulls=True).over(later).alias("_later")
     )
     nearest = F.last(F.when(is_node, F.col("_at")), ignorenulls=True).over(in_tick)
     return (
         marks.withColumn("_near", nearest)
         .filter(~is_node)
-        .join(ticks, [*_KEY, "_tick"])
-        .select(*_KEY, "us", F.coalesce("_near", "_later").alias("_next"))
+        .join(ticks, [*CONNECTION, "_tick"])
+        .select(*CONNECTION, "us", F.coalesce("_near", "_later").alias("_next"))
         .filter(F.col("_next").isNotNull())
     )

@@ -110,7 +110,7 @@ def threshold_sweep(
     """
     splits = sorted(thresholds)
     positive = F.col(label) == 1
-    counts = df.groupBy(scoring.splits_reached(F.col(score), splits).alias("reached")).agg(
+    counts = df.groupBy(scoring.splits_reached(score, splits).alias("reached")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
     )
     # From here on there is one row per threshold and one for scores that reach none.
@@ -124,7 +124,7 @@ def threshold_sweep(
         counts.unionByName(levels)
         .groupBy("reached").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         .select(
-            F.get(F.array(*[F.lit(float(t)) for t in splits]), F.col("reached") - 1).alias("threshold"),
+            F.get(scoring.doubles(splits), F.col("reached") - 1).alias("threshold"),
             F.sum("neg").over(below).alias("tn"),
             F.sum("neg").over(above).alias("fp"),
             F.sum("pos").over(below).alias("fn"),

@@ -209,6 +209,10 @@ def assemble(df: DataFrame, features: Sequence[str], output: str = "features") -
 # --- split ----------------------------------------------------------------------------------------
 
 
+# Hash buckets of a split: at this number each still holds a millionth of all rows.
+MAX_BUCKETS = 1 << 20
+
+
 def holdout_sizes(counts: Mapping, frac: float) -> dict:
     """Rows to hold out per class: ceil(frac·n) in all, shares kept, largest remainders first."""
     total = sum(counts.values())
@@ -227,7 +231,7 @@ def stratified_split(
     key: Sequence[str],
     frac: float = 0.1,
     seed: int = 42,
-    buckets: int = 65_536,
+    bucket_rows: int = 10_000,
 ) -> DataFrame:
     """Add ``split`` (``train`` or ``holdout``), class shares kept exactly.
 
@@ -239,6 +243,7 @@ def stratified_split(
     # A class label is a category: one row per class comes to the driver.
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     sizes = holdout_sizes(counts, frac) if counts else {}
+    buckets = min(MAX_BUCKETS, max(1, sum(counts.values()) // bucket_rows))
     hashed = df.withColumn("_hash", F.xxhash64(F.lit(seed), *key))
     hashed = hashed.withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
     place = ["_bucket", "_hash", *key]

@@ -82,7 +82,7 @@ def running_sums(
 ) -> DataFrame:
     """Add running sums per key in the order (``ts``, ``packet_id``).
 
-    Key columns must not be null. Without hot keys this is one window over one shuffle. ``hot``
+    Without hot keys this is one window over one shuffle. ``hot``
     gives known hot keys (hashes as from ``hot_keys``) and skips the search for them.
     """
     order = ["ts", "packet_id"]
