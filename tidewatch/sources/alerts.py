@@ -24,7 +24,8 @@ def write_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ALERT_SCHEMA.add("alert_date", T.DateType())).parquet(path)
+    schema = T.StructType([*ALERT_SCHEMA.fields, T.StructField("alert_date", T.DateType())])
+    return spark.read.schema(schema).parquet(path)
 
 
 def _line(time: Column, level: str, kind: str, body: Column) -> Column:

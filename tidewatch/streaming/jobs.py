@@ -74,7 +74,8 @@ def run_bounded(query: StreamingQuery, timeout: float | None = None) -> bool:
 
 def written(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """What ``start`` has written so far, with ``batch_id``."""
-    return spark.read.schema(schema.add("batch_id", T.LongType())).parquet(path)
+    whole = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(whole).parquet(path)
 
 
 def latest(rows: DataFrame, *keys: str) -> DataFrame:
