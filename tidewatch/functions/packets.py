@@ -60,15 +60,15 @@ def protocol_type() -> Column:
     return F.when(is_tcp(), "tcp").when(is_udp(), "udp").when(is_icmp(), "icmp").otherwise("unknown")
 
 
-def _by_port(names: dict[int, str]) -> Column:
+def by_port(names: dict[int, str]) -> Column:
     chain = reduce(lambda c, kv: c.when(F.col("dst_port") == kv[0], kv[1]), names.items(), F)
     return chain.otherwise("other")
 
 
 def service() -> Column:
     return (
-        F.when(is_tcp(), _by_port(TCP_SERVICES))
-        .when(is_udp(), _by_port(UDP_SERVICES))
+        F.when(is_tcp(), by_port(TCP_SERVICES))
+        .when(is_udp(), by_port(UDP_SERVICES))
         .when(is_icmp(), ICMP_SERVICE)
         .otherwise("other")
     )

@@ -18,20 +18,10 @@ MAX_AGE = 300
 # Distinct times of one connection that are folded as one array (8 MB).
 MAX_FOLD = 1_000_000
 
-# Packets outside connections get a key of their own in ``_alone``; by address and port alone they
-# would mix with TCP packets, and gather wherever ports are missing.
-_KEY = [*CONNECTION, "_alone"]
-_IN_CONNECTION = -1
-
 # Tasks over which the rows of one hot connection are spread for the look-up of its epochs.
 _SPREAD = 512
 
 
-def _keyed(packets: DataFrame) -> DataFrame:
-    alone = F.when(p.in_connection(), _IN_CONNECTION).otherwise(F.col("packet_id"))
-    return packets.withColumn("_alone", alone)
-
-
 def connection_count(
     packets: DataFrame,
     max_age: float | None = None,
@@ -43,21 +33,22 @@ def connection_count(
 
     With ``max_age`` (seconds) the connection is forgotten once a packet comes later than that after
     the first one counted, and ``epoch`` tells how often it has been started. ``running_bytes`` adds
-    the byte total that goes with the count.
+    the byte total that goes with the count. Packets outside connections are not shuffled at all.
     """
-    tracked = packets.filter(p.in_connection())
-    keyed = _keyed(packets)
-    hot = skew.hot_keys(_keyed(tracked), _KEY, max_rows)
     sums = {"count": F.lit(1).cast("long")}
     if running_bytes:
         sums["running_bytes"] = F.col("frame_len").cast("long")
-    keys = _KEY
+    tracked = packets.filter(p.in_connection())
+    others = packets.filter(~p.in_connection()).withColumns(sums)
+    hot = skew.hot_keys(tracked, CONNECTION, max_rows)
+    keys = list(CONNECTION)
     if max_age is not None:
-        keyed = _with_epoch(keyed, tracked, max_age, hot, max_fold)
-        keys = [*_KEY, "epoch"]
+        others = others.withColumn("epoch", F.lit(1))
+        tracked = _with_epoch(tracked, max_age, hot, max_fold)
+        keys.append("epoch")
         if hot:
-            hot = skew.hot_keys(keyed.filter(skew.is_hot(_KEY, hot)), keys, max_rows)
-    return skew.running_sums(keyed, keys, sums, max_rows, hot).drop("_alone")
+            hot = skew.hot_keys(tracked.filter(skew.is_hot(CONNECTION, hot)), keys, max_rows)
+    return skew.running_sums(tracked, keys, sums, max_rows, hot).unionByName(others)
 
 
 def running_bytes(packets: DataFrame, max_rows: int = skew.MAX_GROUP_ROWS) -> DataFrame:
@@ -66,45 +57,41 @@ def running_bytes(packets: DataFrame, max_rows: int = skew.MAX_GROUP_ROWS) -> Da
 
 
 def connection_summary(packets: DataFrame) -> DataFrame:
-    """Start time, packet count, byte total and first service per connection."""
-    first = F.min_by(F.col("service"), F.struct("ts", "packet_id"))
+    """Start time, packet count, byte total and service per connection.
+
+    The service follows from the destination port, so it is the same for all packets of one.
+    """
     return (
         packets.filter(p.in_connection())
-        .select(*CONNECTION, "ts", "packet_id", "frame_len", p.service().alias("service"))
         .groupBy(*CONNECTION)
         .agg(
             F.min("ts").alias("start_time"),
             F.count("*").alias("count"),
             F.sum("frame_len").alias("bytes"),
-            first.alias("service"),
         )
+        .withColumn("service", p.by_port(p.TCP_SERVICES))
     )
 
 
 def _with_epoch(
-    keyed: DataFrame, tracked: DataFrame, max_age: float, hot: Sequence[int], max_fold: int
+    tracked: DataFrame, max_age: float, hot: Sequence[int], max_fold: int
 ) -> DataFrame:
     """Add ``epoch``, counted from 1, by looking up the epoch starts of the packet's connection."""
     lists = _epoch_starts(tracked, max_age, hot, max_fold)
     if lists is None:
-        return keyed.withColumn("epoch", F.lit(1))
-    key = _KEY
-    lists = _in_connections(lists)
+        return tracked.withColumn("epoch", F.lit(1))
+    key = list(CONNECTION)
     if hot:
         # Rows of hot connections are spread over copies of their (at most MAX_HOT) lists.
-        key = [*_KEY, "_part"]
+        key.append("_part")
         spread = F.pmod(F.col("packet_id"), F.lit(_SPREAD)).cast("int")
-        keyed = keyed.withColumn("_part", F.when(skew.is_hot(_KEY, hot), spread).otherwise(0))
-        copies = F.when(skew.is_hot(_KEY, hot), _SPREAD - 1).otherwise(0)
+        is_hot = skew.is_hot(CONNECTION, hot)
+        tracked = tracked.withColumn("_part", F.when(is_hot, spread).otherwise(0))
+        copies = F.when(is_hot, _SPREAD - 1).otherwise(0)
         lists = lists.withColumn("_part", F.explode(F.sequence(F.lit(0), copies)))
     reached = F.size(F.filter("_starts", lambda start: start <= F.unix_micros("ts")))
     epoch = F.when(F.col("_starts").isNull(), 1).otherwise(reached)
-    return keyed.join(lists, key, "left").withColumn("epoch", epoch).drop("_starts", "_part")
-
-
-def _in_connections(rows: DataFrame) -> DataFrame:
-    """Rows per connection, with the whole key that packets have."""
-    return rows.withColumn("_alone", F.lit(_IN_CONNECTION).cast("long"))
+    return tracked.join(lists, key, "left").withColumn("epoch", epoch).drop("_starts", "_part")
 
 
 def epoch_starts(
@@ -112,7 +99,7 @@ def epoch_starts(
 ) -> DataFrame:
     """One row per epoch of every connection: ``epoch`` (from 1) and ``epoch_start``."""
     tracked = packets.filter(p.in_connection())
-    lists = _epoch_starts(tracked, max_age, skew.hot_keys(_keyed(tracked), _KEY), max_fold)
+    lists = _epoch_starts(tracked, max_age, skew.hot_keys(tracked, CONNECTION), max_fold)
     found = tracked.groupBy(*CONNECTION).agg(F.array(F.min(F.unix_micros("ts"))).alias("_only"))
     if lists is None:
         starts = F.col("_only")
@@ -140,9 +127,9 @@ def _epoch_starts(
     spans = times.groupBy(*CONNECTION).agg(
         F.min("us").alias("_first"), F.max("us").alias("_last"), F.count("*").alias("_rows")
     )
-    is_hot = skew.is_hot(_KEY, hot)
-    long = _in_connections(spans.filter(F.col("_last") - F.col("_first") > age))
-    long = staged(long.withColumn("_large", (F.col("_rows") > max_fold) | is_hot).drop("_alone"))
+    is_hot = skew.is_hot(CONNECTION, hot)
+    long = spans.filter(F.col("_last") - F.col("_first") > age)
+    long = staged(long.withColumn("_large", (F.col("_rows") > max_fold) | is_hot))
     found = long.agg(
         F.count("*").alias("n"),
         F.max("_large").alias("large"),
@@ -150,8 +137,7 @@ def _epoch_starts(
     ).first()
     if found["n"] == 0:
         return None
-    cold = _in_connections(times).filter(~is_hot).drop("_alone") if hot else times
-    lists = _fold(cold, long.filter(~F.col("_large")), age)
+    lists = _fold(times.filter(~is_hot), long.filter(~F.col("_large")), age)
     if found["large"]:
         lists = lists.unionByName(_follow(times, long.filter("_large"), age, found["span"]))
     return lists

@@ -110,14 +110,11 @@ def _attack(packets: DataFrame):
 def alerts(anomalous: DataFrame, drop_normal: bool = False) -> DataFrame:
     """One alert per anomalous packet (columns ``score``, ``port_scan`` and ``trusted``)."""
     d = details_columns()
-    kind = a.alert_type(_attack(anomalous))
     columns = {
         "packet_id": F.col("packet_id"),
         "ts": F.col("ts"),
-        "attack_type": kind,
+        "attack_type": _attack(anomalous),
         "timestamp": F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
-        "severity": a.severity(kind),
-        "alert_message": a.alert_message(kind, d["src_ip"], d["dst_ip"]),
         "source_ip": d["src_ip"],
         "source_port": d["src_port"],
         "destination_ip": d["dst_ip"],
@@ -127,8 +124,15 @@ def alerts(anomalous: DataFrame, drop_normal: bool = False) -> DataFrame:
         "size": d["size"],
         "anomaly_score": F.col("score"),
     }
-    found = anomalous.select(*[columns[f.name].alias(f.name) for f in ALERT_SCHEMA])
-    return found.filter(F.col("attack_type") != "NORMAL") if drop_normal else found
+    # In steps, so that each rule is evaluated once and then referred to.
+    found = anomalous.select(*[c.alias(n) for n, c in columns.items()])
+    found = found.withColumn("attack_type", a.alert_type(F.col("attack_type")))
+    if drop_normal:
+        found = found.filter(F.col("attack_type") != "NORMAL")
+    kind = F.col("attack_type")
+    message = a.alert_message(kind, F.col("source_ip"), F.col("destination_ip"))
+    found = found.withColumns({"severity": a.severity(kind), "alert_message": message})
+    return found.select(*ALERT_SCHEMA.names)
 
 
 def recent_suspicious(scored: DataFrame, n: int = 1000) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import packets as p
@@ -12,6 +12,9 @@ from tidewatch.session import staged
 PORTS = 5
 WITHIN = 30
 
+# Above any packet id.
+_ROOM = 10**19
+
 
 def scanners(packets: DataFrame, ports: int = PORTS, within: float = WITHIN) -> DataFrame:
     """The sources that become scanners: where in time they do, and until when they count as such.
@@ -20,26 +23,40 @@ def scanners(packets: DataFrame, ports: int = PORTS, within: float = WITHIN) ->
     ``ports + 1``, so first packets per (source, port) decide. They are pre-aggregated before the
     shuffle, and one source has at most 65,536 of them however many packets it sends.
     """
-    syns = packets.filter(p.is_bare_syn())
-    firsts = syns.groupBy("src_ip", "dst_port").agg(F.min(F.struct("ts", "packet_id")).alias("first"))
+    firsts = (
+        packets.filter(p.is_bare_syn())
+        .groupBy("src_ip", "dst_port").agg(F.min(_position()).alias("first"))
+    )
     nth = F.row_number().over(Window.partitionBy("src_ip").orderBy("first"))
-    reached = F.max(F.when(F.col("nth") == ports + 1, F.col("first")))
-    until = F.timestamp_micros(F.unix_micros(F.min("first.ts")) + F.lit(round(within * 1_000_000)))
+    micros = lambda c: F.expr(f"{c} div {_ROOM}")
+    until = F.timestamp_micros(micros("start") + F.lit(round(within * 1_000_000)))
     return (
         firsts.withColumn("nth", nth)
         .filter(F.col("nth") <= ports + 1)
         .groupBy("src_ip")
-        .agg(reached.alias("reached"), until.alias("scan_until"))
-        .filter(F.col("reached.ts") < F.col("scan_until"))
+        .agg(
+            F.min("first").alias("start"),
+            F.max(F.when(F.col("nth") == ports + 1, F.col("first"))).alias("reached"),
+        )
         .select(
             "src_ip",
-            F.col("reached.ts").alias("scan_ts"),
-            F.col("reached.packet_id").alias("scan_id"),
-            "scan_until",
+            F.timestamp_micros(micros("reached")).alias("scan_ts"),
+            F.expr(f"reached % {_ROOM}").cast("long").alias("scan_id"),
+            until.alias("scan_until"),
         )
+        .filter(F.col("scan_ts") < F.col("scan_until"))
     )
 
 
+def _position() -> Column:
+    """One number that orders packets like (``ts``, ``packet_id``).
+
+    Its minimum is found by hash aggregation, while that of a struct would need a sort.
+    """
+    micros = F.unix_micros("ts").cast("decimal(18,0)")
+    return micros * F.lit(str(_ROOM)).cast("decimal(20,0)") + F.col("packet_id").cast("decimal(19,0)")
+
+
 def port_scan(
     packets: DataFrame,
     observed: DataFrame | None = None,

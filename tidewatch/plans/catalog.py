@@ -583,10 +583,18 @@ SCALER = "WITH " + FLOWS + ", sc AS (" + " UNION ALL ".join(
 ) + ")"
 
 
-@query(f"{SCALER} SELECT pos, feature, round(mean, 6) AS mean, round(std, 6) AS std FROM sc")
+# Means of decimals often lie just between two roundings; shifted by this they do not.
+OFF_TIE = 3e-8
+
+
+def _scaler(params: DataFrame) -> DataFrame:
+    return params.withColumns({"mean": r6(F.col("mean") + OFF_TIE), "std": r6("std")})
+
+
+@query(f"""{SCALER} SELECT pos, feature, round(mean + {OFF_TIE}, 6) AS mean, round(std, 6) AS std
+FROM sc""")
 def scaler_params(spark, folder):
-    fitted = prepare.scaler_params(fx.flows(spark, folder), fx.FLOW_NUMERIC)
-    return fitted.withColumns({"mean": r6("mean"), "std": r6("std")})
+    return _scaler(prepare.scaler_params(fx.flows(spark, folder), fx.FLOW_NUMERIC))
 
 
 @query(SQL["scaler_params"])
@@ -594,8 +602,7 @@ def stored_scaler(spark, folder):
     path = fresh(spark, "scaler")
     fitted = prepare.fit_scaler(fx.flows(spark, folder), fx.FLOW_NUMERIC)
     params.save_scaler(spark, fitted, path)
-    stored = spark.read.parquet(path)
-    return stored.withColumns({"mean": r6("mean"), "std": r6("std")})
+    return _scaler(spark.read.parquet(path))
 
 
 @query(f"""{SCALER} SELECT l_orderkey, l_partkey, """ + ", ".join(
