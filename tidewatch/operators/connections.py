@@ -129,7 +129,9 @@ def _epoch_starts(
     )
     is_hot = skew.is_hot(CONNECTION, hot)
     long = spans.filter(F.col("_last") - F.col("_first") > age)
-    long = staged(long.withColumn("_large", (F.col("_rows") > max_fold) | is_hot))
+    long = staged(long.withColumns({
+        "_large": (F.col("_rows") > max_fold) | is_hot, "_id": F.monotonically_increasing_id(),
+    }))
     found = long.agg(
         F.count("*").alias("n"),
         F.max("_large").alias("large"),
@@ -140,7 +142,8 @@ def _epoch_starts(
     lists = _fold(times.filter(~is_hot), long.filter(~F.col("_large")), age)
     if found["large"]:
         lists = lists.unionByName(_follow(times, long.filter("_large"), age, found["span"]))
-    return lists
+    # Written out, the lists are broadcast to the packets if they are small.
+    return staged(lists)
 
 
 def _fold(times: DataFrame, connections: DataFrame, age: int) -> DataFrame:
@@ -167,22 +170,23 @@ def _follow(times: DataFrame, connections: DataFrame, age: int, span: int) -> Da
     connection, the reached set doubles its depth each round while the pointers are squared, so the
     rounds grow with the logarithm of the span. All joins are on (connection, time): no skew.
     """
-    key = [*CONNECTION, "us"]
-    nodes = times.join(connections.select(*CONNECTION), CONNECTION).distinct()
+    named = connections.select(*CONNECTION, "_id")
+    nodes = times.join(named, CONNECTION).select("_id", "us").distinct()
     jumps = staged(_next_after(nodes, age))
-    reached = connections.select(*CONNECTION, F.col("_first").alias("us"))
+    reached = connections.select("_id", F.col("_first").alias("us"))
     depth = 1
     while True:
-        step = reached.join(jumps, key).select(*CONNECTION, F.col("_next").alias("us"))
+        step = reached.join(jumps, ["_id", "us"]).select("_id", F.col("_next").alias("us"))
         reached = staged(reached.unionByName(step).distinct())
         depth *= 2
         if depth > span // age + 1:
             break
-        onward = jumps.select(*CONNECTION, F.col("us").alias("_next"), F.col("_next").alias("_far"))
+        onward = jumps.select("_id", F.col("us").alias("_next"), F.col("_next").alias("_far"))
         jumps = staged(
-            jumps.join(onward, [*CONNECTION, "_next"]).select(*key, F.col("_far").alias("_next"))
+            jumps.join(onward, ["_id", "_next"]).select("_id", "us", F.col("_far").alias("_next"))
         )
-    return reached.groupBy(*CONNECTION).agg(F.array_sort(F.collect_list("us")).alias("_starts"))
+    lists = reached.groupBy("_id").agg(F.array_sort(F.collect_list("us")).alias("_starts"))
+    return lists.join(named, "_id").select(*CONNECTION, "_starts")
 
 
 def _next_after(nodes: DataFrame, age: int, tick: int = 1_000_000) -> DataFrame:
@@ -205,21 +209,21 @@ def _next_after(nodes: DataFrame, age: int, tick: int = 1_000_000) -> DataFrame:
         )
 
     in_tick = following(
-        [*CONNECTION, "_tick"], [F.col("_at").desc(), F.when(is_node, 1).otherwise(0)]
+        ["_id", "_tick"], [F.col("_at").desc(), F.when(is_node, 1).otherwise(0)]
     )
-    ticks = marks.groupBy(*CONNECTION, "_tick").agg(F.min(F.when(is_node, F.col("_at"))).alias("_lo"))
+    ticks = marks.groupBy("_id", "_tick").agg(F.min(F.when(is_node, F.col("_at"))).alias("_lo"))
     later = (
-        Window.partitionBy(*CONNECTION).orderBy(F.col("_tick").desc())
+        Window.partitionBy("_id").orderBy(F.col("_tick").desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     ticks = ticks.select(
-        *CONNECTION, "_tick", F.last("_lo", ignorenulls=True).over(later).alias("_later")
+        "_id", "_tick", F.last("_lo", ignorenulls=True).over(later).alias("_later")
     )
     nearest = F.last(F.when(is_node, F.col("_at")), ignorenulls=True).over(in_tick)
     return (
         marks.withColumn("_near", nearest)
         .filter(~is_node)
-        .join(ticks, [*CONNECTION, "_tick"])
-        .select(*CONNECTION, "us", F.coalesce("_near", "_later").alias("_next"))
+        .join(ticks, ["_id", "_tick"])
+        .select("_id", "us", F.coalesce("_near", "_later").alias("_next"))
         .filter(F.col("_next").isNotNull())
     )

@@ -189,12 +189,12 @@ def encode_packets(
     Inputs a packet cannot give are 0 before scaling. ``compat`` also takes all category columns as
     0, which is what encoding one packet at a time without its first category amounts to.
     """
-    values = []
+    present, values = set(features.columns), []
     for feature, mean, std in zip(scaler.features, scaler.means, scaler.stds):
         column = next((c for c in CATEGORICAL if feature.startswith(f"{c}_")), None)
-        if feature in features.columns and feature not in CATEGORICAL:
+        if feature in present and feature not in CATEGORICAL:
             value = F.col(feature).cast("double")
-        elif column and column in features.columns and not compat:
+        elif column and column in present and not compat:
             value = F.col(column).eqNullSafe(feature[len(column) + 1 :]).cast("double")
         else:
             value = F.lit(0.0)

@@ -6,6 +6,8 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -151,27 +153,45 @@ class Scaler:
     means: Sequence[float]
     stds: Sequence[float]
 
-    def scaled(self, feature: str, value: Column) -> Column:
-        i = list(self.features).index(feature)
-        return (value - F.lit(float(self.means[i]))) / F.lit(float(self.stds[i]))
+    def scaled(self, values: Mapping[str, Column]) -> dict[str, Column]:
+        """The values of known features, scaled, in the scaler's order."""
+        return {
+            f: (values[f] - F.lit(float(m))) / F.lit(float(s))
+            for f, m, s in zip(self.features, self.means, self.stds) if f in values
+        }
 
 
 def scaler_params(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(pos, feature, mean, std) from one aggregate; a deviation of zero becomes 1."""
-    stats = df.agg(
-        *[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)],
-        *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features)],
+    """(pos, feature, mean, std); a deviation of zero becomes 1."""
+    return array_scaler_params(df.select(_doubles([F.col(f) for f in features])), features)
+
+
+def _doubles(values: Sequence[Column]) -> Column:
+    return F.array(*[v.cast("double") for v in values]).alias("features")
+
+
+def array_scaler_params(
+    df: DataFrame, features: Sequence[str], column: str = "features"
+) -> DataFrame:
+    """The same from one array column: a single summary however many features there are."""
+    summary = Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(column))
+    row = df.agg(summary.alias("s")).select(
+        F.col("s.count").alias("n"),
+        F.arrays_zip(
+            vector_to_array("s.mean").alias("mean"),
+            vector_to_array("s.variance").alias("variance"),
+            F.array(*[F.lit(f) for f in features]).alias("feature"),
+        ).alias("each"),
+    )
+    each = row.select("n", F.posexplode("each").alias("pos", "f"))
+    # The summary has the sample variance.
+    std = F.sqrt(F.col("f.variance") * (F.col("n") - 1) / F.col("n"))
+    return each.select(
+        "pos",
+        F.col("f.feature").alias("feature"),
+        F.col("f.mean").alias("mean"),
+        F.when(std == 0, 1.0).otherwise(std).alias("std"),
     )
-    rows = [
-        F.struct(
-            F.lit(i).alias("pos"),
-            F.lit(f).alias("feature"),
-            F.col(f"m{i}").alias("mean"),
-            F.when(F.col(f"s{i}") == 0, 1.0).otherwise(F.col(f"s{i}")).alias("std"),
-        )
-        for i, f in enumerate(features)
-    ]
-    return stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def fit_scaler(df: DataFrame, features: Sequence[str]) -> Scaler:
@@ -188,22 +208,22 @@ def scaler_of(params: DataFrame) -> Scaler:
 
 def apply_scaler(df: DataFrame, scaler: Scaler) -> DataFrame:
     """Scale the columns the scaler knows and leave the rest."""
-    place = {f: (m, s) for f, m, s in zip(scaler.features, scaler.means, scaler.stds)}
-    columns = [
-        ((F.col(c) - F.lit(float(place[c][0]))) / F.lit(float(place[c][1]))).alias(c)
-        if c in place else F.col(c)
-        for c in df.columns
-    ]
-    return df.select(*columns)
+    names = df.columns
+    scaled = scaler.scaled({c: F.col(c) for c in names})
+    return df.select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in names])
+
+
+def feature_values(numeric: Sequence[str], vocabulary: Vocabulary) -> dict[str, Column]:
+    """The model inputs of raw flows: cleaned numbers in the given order, then the dummies."""
+    numbers = {c: cleaned(F.col(c)) for c in numeric}
+    return {**numbers, **{n: c.cast("double") for n, c in dummies(vocabulary).items()}}
 
 
 def assemble(df: DataFrame, features: Sequence[str], output: str = "features") -> DataFrame:
     """Put the features into one ML vector column."""
-    from pyspark.ml.feature import VectorAssembler
-
-    inputs = df.withColumns({f: F.col(f).cast("double") for f in features})
-    assembler = VectorAssembler(inputCols=list(features), outputCol=output, handleInvalid="keep")
-    return assembler.transform(inputs).drop(*features)
+    kept = [c for c in df.columns if c not in set(features)]
+    vector = array_to_vector(_doubles([F.col(f) for f in features]))
+    return df.select(*kept, vector.alias(output))
 
 
 # --- split ----------------------------------------------------------------------------------------
@@ -233,21 +253,23 @@ def stratified_split(
     seed: int = 42,
     bucket_rows: int = 10_000,
 ) -> DataFrame:
-    """Add ``split`` (``train`` or ``holdout``), class shares kept exactly.
+    """Add ``split`` (``train`` or ``holdout``), class shares kept.
 
-    The rows with the smallest hashes of ``key`` (which must tell rows apart) are held out. Ranking a
-    whole class would sort it in one task; instead the hashes are counted in buckets, and only the
-    one bucket per class in which the limit falls is ranked. What is left is one boundary per class,
-    so the split itself is a comparison inside the scan.
+    The rows with the smallest hashes of ``key`` are held out; rows with equal keys go to the same
+    side, so the sizes are exact if keys tell rows apart. Ranking a whole class would sort it in one
+    task; instead the hashes are counted in buckets, and only the one bucket per class in which the
+    limit falls is ranked. What is left is one boundary per class, so the split itself is a comparison
+    inside the scan.
     """
     # A class label is a category: one row per class comes to the driver.
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     sizes = holdout_sizes(counts, frac) if counts else {}
     buckets = min(MAX_BUCKETS, max(1, sum(counts.values()) // bucket_rows))
-    hashed = df.withColumn("_hash", F.xxhash64(F.lit(seed), *key))
+    hashed = df.withColumns({
+        "_hash": F.xxhash64(F.lit(seed), *key), "_tie": F.xxhash64(*key, F.lit(seed)),
+    })
     hashed = hashed.withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
-    place = ["_bucket", "_hash", *key]
-    types = {f.name: f.dataType for f in hashed.schema}
+    place = ["_bucket", "_hash", "_tie"]
 
     upto = Window.partitionBy(label).orderBy("_bucket")
     filled = (
@@ -269,8 +291,8 @@ def stratified_split(
     rank = F.row_number().over(Window.partitionBy(label).orderBy(*place))
     last = hashed.filter(edges).select(label, *place, rank.alias("rank"), take.alias("take"))
     for r in last.filter(F.col("rank") == F.col("take")).collect():
-        boundary = F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in place])
+        boundary = F.struct(*[F.lit(r[c]).cast("long").alias(c) for c in place])
         mine = F.col(label).eqNullSafe(F.lit(r[label]))
         held = held | (mine & (F.struct(*place) <= boundary))
     split = F.when(held, "holdout").otherwise("train")
-    return hashed.withColumn("split", split).drop("_hash", "_bucket")
+    return hashed.withColumn("split", split).drop(*place)

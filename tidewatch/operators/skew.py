@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.session import staged
+
 # Rows of one key that a single task may sort.
 MAX_GROUP_ROWS = 4_000_000
 
@@ -110,7 +112,8 @@ def running_sums(
         Window.partitionBy(*group).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = sliced.join(offsets, group, "left")
+    # Written out, so that they are broadcast if they are few and the rows are sorted only once.
+    joined = sliced.join(staged(offsets), group, "left")
     totals = {
         name: F.sum(value).over(running) + F.coalesce(f"_before_{name}", F.lit(0))
         for name, value in sums.items()

@@ -744,10 +744,11 @@ CURVE = f"""WITH {SCORES}, g AS (
 
 
 @query(f"""{CURVE} SELECT threshold, round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr FROM cu
-UNION ALL SELECT 'inf'::DOUBLE, 0, 0""")
+UNION ALL SELECT NULL, 0, 0""")
 def roc_curve(spark, folder):
     curve = evaluate.roc_curve(fx.scored(spark, folder), drop_intermediate=False)
-    return _rounded(curve, "fpr", "tpr")
+    finite = F.when(F.col("threshold") < float("inf"), F.col("threshold"))
+    return _rounded(curve.withColumn("threshold", finite), "fpr", "tpr")
 
 
 @query(f"""{CURVE}, b AS (

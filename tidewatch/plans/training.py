@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Model
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,23 +38,21 @@ def prepare_flows(
     ``fit_on_all=False`` the split comes first and held-out rows do not reach the scaler.
     """
     vocabulary = prepare.fit_vocabulary(train, test, columns=categorical)
-    features = [*numeric, *vocabulary.columns]
+    values = prepare.feature_values(numeric, vocabulary)
+    names = list(values)
 
-    def encoded(flows: DataFrame) -> DataFrame:
-        labelled = prepare.binary_label(prepare.drop_columns(flows))
-        hot = prepare.one_hot(labelled, vocabulary, drop=False)
-        return prepare.clean_numeric(hot, features)
-
-    columns = [c for c in train.columns if c != "difficulty_level"]
-    split = prepare.stratified_split(encoded(train), "binary_label", columns, frac, seed)
+    labelled, tested = (prepare.binary_label(prepare.drop_columns(d)) for d in (train, test))
+    key = [c for c in labelled.columns if c != "binary_label"]
+    split = prepare.stratified_split(labelled, "binary_label", key, frac, seed)
     seen = split if fit_on_all else split.filter(F.col("split") == "train")
-    scaler = prepare.fit_scaler(seen, features)
+    inputs = seen.select(F.array(*values.values()).alias("features"))
+    scaler = prepare.scaler_of(prepare.array_scaler_params(inputs, names))
 
     def vectors(flows: DataFrame, *kept: str) -> DataFrame:
-        scaled = prepare.apply_scaler(flows, scaler).select(*kept, "binary_label", *features)
-        return prepare.assemble(scaled, features)
+        scaled = F.array(*scaler.scaled(values).values())
+        return flows.select(*kept, "binary_label", array_to_vector(scaled).alias("features"))
 
-    return Prepared(vectors(split, "split"), vectors(encoded(test)), vocabulary, scaler)
+    return Prepared(vectors(split, "split"), vectors(tested), vocabulary, scaler)
 
 
 @dataclass(frozen=True)
