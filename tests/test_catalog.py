@@ -1,9 +1,9 @@
 """Every registered query on the small tables, against the SQL registered with it."""
 
-import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as contract
@@ -23,7 +23,7 @@ def database():
 
 
 def plain(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)):
+    if pd.isna(value):
         return None
     return value if isinstance(value, str) else float(value)
 
