@@ -43,9 +43,13 @@ def train_classifier(
     label: str = "binary_label",
     pos_weight: float | None = None,
     algorithm: str = "logistic",
+    partitions: int | None = None,
     **params,
 ) -> Model:
-    """Fit a binary classifier on an ML vector column, positives weighted by negatives/positives."""
+    """Fit a binary classifier on an ML vector column, positives weighted by negatives/positives.
+
+    ``partitions`` spreads the rows before the first pass, for inputs with fewer files than cores.
+    """
     if pos_weight is None:
         pos_weight = evaluate.class_weight(train, label).first()["pos_weight"]
     if pos_weight is None:
@@ -54,7 +58,8 @@ def train_classifier(
     learner = kinds[algorithm](
         featuresCol=features, labelCol=label, weightCol="weight", **params
     )
-    return learner.fit(weighted(train, pos_weight, label))
+    rows = weighted(train.select(features, label), pos_weight, label)
+    return learner.fit(rows if partitions is None else rows.repartition(partitions))
 
 
 def predict(model: Model, df: DataFrame) -> DataFrame:

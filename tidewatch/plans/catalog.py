@@ -862,23 +862,28 @@ def _prepared(spark, folder, **options):
     return training.prepare_flows(train, test, fx.FLOW_NUMERIC, ["linestatus"], **options)
 
 
+def _fit(spark: SparkSession) -> dict:
+    return {"maxIter": 20, "partitions": spark.sparkContext.defaultParallelism}
+
+
 @query()
 def train_classifier(spark, folder):
     train = _prepared(spark, folder).train.filter("split = 'train'")
-    model = learn.train_classifier(train, maxIter=20)
+    model = learn.train_classifier(train, **_fit(spark))
     rows = [(i, float(c)) for i, c in enumerate([*model.coefficients, model.intercept])]
     return spark.createDataFrame(rows, "pos int, coefficient double")
 
 
 @query()
 def predict_test(spark, folder):
-    _, scored, _ = training.train_and_evaluate(_prepared(spark, folder), maxIter=20)
-    return scored.select("binary_label", "z", "p")
+    prepared = _prepared(spark, folder)
+    model = learn.train_classifier(prepared.train.filter("split = 'train'"), **_fit(spark))
+    return learn.predict(model, prepared.test).select("binary_label", "z", "p")
 
 
 @query()
 def evaluate_test(spark, folder):
-    _, _, evaluation = training.train_and_evaluate(_prepared(spark, folder), maxIter=20)
+    _, _, evaluation = training.train_and_evaluate(_prepared(spark, folder), **_fit(spark))
     return evaluation.report.withColumn("threshold", F.lit(evaluation.threshold))
 
 
