@@ -112,3 +112,10 @@ def test_summary(make):
     assert (found[4000]["count"], found[4000]["bytes"], found[4000]["service"]) == (2, 114, "http")
     assert found[4000]["start_time"].second == 1
     assert found[9]["service"] == "ssh"
+
+
+def test_no_packets_at_all(make):
+    nothing = make([udp(0)]).filter("packet_id < 0")
+    assert connections.connection_count(nothing, max_age=300).count() == 0
+    assert connections.connection_count(make([udp(0)]), max_age=300).count() == 1
+    assert connections.epoch_starts(nothing).count() == 0
