@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import tokens
+from tidewatch.llm import mixing, ranking, rules, tokens, urls
 from tidewatch.llm.common import table
+from tidewatch.session import staged
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -20,8 +21,46 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.tokens_of(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's URL judged by rules and terms."""
+    return urls.judge_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's counts and verdict, with its source as its domain."""
+    return rules.quality_rules(table(spark, folder, "documents")).select(
+        "doc_id", *rules.COUNTS, "base_failed", "kept")
+
+
+def sized_documents(docs: DataFrame) -> DataFrame:
+    """Documents with their words counted and their source as the only one they belong to."""
+    return docs.withColumns({"size": mixing.n_words(F.col("text")), "sources": F.array(F.col("source").cast("string"))})
+
+
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the words that the mix takes of it."""
+    sized = staged(sized_documents(table(spark, folder, "documents")).select("doc_id", "size", "sources"))
+    mix = mixing.plan_mix(sized)
+    sources = spark.createDataFrame(mix.sources, "name string, source_size long, target double")
+    taken = mixing.apply_mix(sized, mix).select(
+        "doc_id", "size", F.col("sources")[0].alias("source"), (F.col("times") * F.col("size")).alias("taken"))
+    return taken.join(sources, F.col("source").eqNullSafe(F.col("name"))).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's quality score."""
+    return ranking.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op3_url_filters": op3_url_filters,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_mixing": op9_mixing,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_url_filters": urls.judge_urls_sql(),
+}
