@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import mixing, ranking, rules, tokens, urls
+from tidewatch.llm import mixing, ranking, rules, tokens, toxicity, urls
 from tidewatch.llm.common import table
 from tidewatch.session import staged
 
@@ -21,6 +21,11 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.tokens_of(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's toxicity score."""
+    return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's URL judged by rules and terms."""
     return urls.judge_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
@@ -55,6 +60,7 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_toxicity": op2_toxicity,
     "op3_url_filters": op3_url_filters,
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
