@@ -33,6 +33,15 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]
 
 
+#: Everything but ASCII letters, digits and bytes of other characters separates plain words.
+_SEPARATORS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+
+
+def plain_words(text: str) -> list[bytes]:
+    """Lower-cased words without ASCII punctuation."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_SEPARATORS).split()
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """True for documents that no label may be learned from: crc32 of the id's text mod 3 is 1."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str)

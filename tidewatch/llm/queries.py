@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import mixing, neardup, ranking, rules, tokens, toxicity, urls
+from tidewatch.llm import decontaminate, mixing, neardup, ranking, rules, tokens, toxicity, urls
 from tidewatch.llm.common import table
 from tidewatch.session import staged
 
@@ -31,6 +31,11 @@ def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items in documents."""
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's class of near duplicates, by shingles of two words."""
     return neardup.near_duplicates(table(spark, folder, "documents"), n=2)
@@ -67,6 +72,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_toxicity": op2_toxicity,
     "op3_url_filters": op3_url_filters,
+    "op4_decontamination": op4_decontamination,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,

@@ -15,12 +15,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from tidewatch.llm.common import WordHashes, held_out, slices
 from tidewatch.llm.rules import covered
@@ -70,6 +72,12 @@ def text_features(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(compute, "doc_id long, x array<double>")
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def features_column(text: pd.Series) -> pd.Series:
+    """``FEATURES`` of a text column."""
+    return text.fillna("").map(features_of)
+
+
 @dataclass
 class Ranking:
     """worth = sum of weight * (x - mean); score = sigmoid(worth - threshold)."""
@@ -78,8 +86,8 @@ class Ranking:
     weight: list[float]
     threshold: float
 
-    def score(self, x="x"):
-        pairs = F.zip_with(F.col(x), F.array(*[F.struct(F.lit(m).alias("m"), F.lit(w).alias("w"))
+    def score(self, x: Column) -> Column:
+        pairs = F.zip_with(x, F.array(*[F.struct(F.lit(m).alias("m"), F.lit(w).alias("w"))
                                                for m, w in zip(self.mean, self.weight)]),
                            lambda value, c: (value - c["m"]) * c["w"])
         worth = F.aggregate(pairs, F.lit(0.0), lambda a, b: a + b)
@@ -148,6 +156,20 @@ def learnable(labels: DataFrame, column: str) -> DataFrame:
     )
 
 
+def learn_ranking(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Ranking:
+    """A ranking learned from those of ``docs`` that have labels which may be learned from."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = text_features(rows.join(learnable(labels, column).select("doc_id"), "doc_id", "left_semi"))
+    examples = staged(found).join(learnable(labels, column), "doc_id")
+    return fit_ranking(examples.groupBy("doc_id", "label").agg(F.min("x").alias("x")))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, column: str = "quality", cut: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``cut``, with all their columns."""
+    ranking = learn_ranking(docs, labels, column)
+    return docs.where(ranking.score(features_column(F.col("text").cast("string"))) >= cut)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, column: str = "quality", cut: float = 0.5) -> DataFrame:
     """doc_id, held_out, score and predicted of every document.
 
@@ -158,6 +180,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, column: str = "quality",
     found = staged(text_features(docs))
     examples = found.join(learnable(labels, column), "doc_id")
     ranking = fit_ranking(examples.groupBy("doc_id", "label").agg(F.min("x").alias("x")))
-    score = ranking.score()
+    score = ranking.score(F.col("x"))
     return found.select("doc_id", held_out().alias("held_out"), score.alias("score")).withColumn(
         "predicted", (F.col("score") >= cut).cast("int"))

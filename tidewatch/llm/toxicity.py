@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import WordHashes, held_out, slices, windows
+from tidewatch.llm.common import WordHashes, held_out, plain_words, slices, windows
 from tidewatch.llm.ranking import learnable
 from tidewatch.session import staged
 
@@ -43,14 +43,7 @@ MIN_CHI2 = 28.4
 MIN_EXAMPLES = 8
 BLOCK = 64
 
-#: Everything but ASCII letters, digits and bytes of other characters separates words.
 _hashes = WordHashes(xxhash.xxh3_64_intdigest)
-_SEPARATORS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
-
-
-def words_of(text: str) -> list[bytes]:
-    """Lower-cased words without ASCII punctuation."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(_SEPARATORS).split()
 
 
 @dataclass
@@ -167,7 +160,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
         for batch in slices(batches, 64):
-            texts = [words_of(t or "") for t in batch.column(2).to_pylist()]
+            texts = [plain_words(t or "") for t in batch.column(2).to_pylist()]
             rows = [[{"word": w, "n": n} for w, n in Counter(words).items()] for words in texts]
             runs = [windows(_hashes.of(words), 5) for words in texts]
             keys = [int(x.min() >> np.uint64(1)) if len(x) else None for x in runs]
@@ -226,7 +219,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, column: str = "toxic", c
         for batch in slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
-                rows.append(own.score(Counter([w for w in words_of(text or "") if w in known])))
+                rows.append(own.score(Counter([w for w in plain_words(text or "") if w in known])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([r[0] for r in rows], pa.float64()),
                  pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.string()))],
