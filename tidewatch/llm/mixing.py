@@ -278,3 +278,16 @@ def apply_mix(docs: DataFrame, mix: Mix, seed: int = 0) -> DataFrame:
     times = F.when(F.col("size") > 0, F.coalesce(F.col("repeats") + extra, F.lit(0))).otherwise(0)
     return joined.withColumn("times", F.least(times, F.lit(LEVELS)).cast("long")).drop(
         "mix_h", "mix_id", *mix.plan.columns)
+
+
+def mixed(docs: DataFrame, size: Column, sources: Column, seed: int = 0,
+          weigh: Callable[[list[str | None]], list[float]] = cyclic_weights) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with their columns as they were.
+
+    ``size`` and ``sources`` (an array) are computed from the rows. A null id hashes like any other; rows with
+    equal ids are taken alike; a text without words is not taken; no rows give none.
+    """
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", size.alias("size"), sources.alias("sources"))
+    mix = plan_mix(staged(rows.drop("row")), weigh, seed)
+    taken = apply_mix(rows, mix, seed).where("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -86,7 +86,7 @@ def most_differing_bits(least_similarity: float) -> int:
 
 
 def _signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, the set's hash (h, g), its bands and sketch; null where the set is empty."""
+    """doc_id, the text's hash t, n_shingles, the set's hash (h, g), its bands and sketch; null where the set is empty."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -106,12 +106,12 @@ def _signatures(docs: DataFrame, n: int) -> DataFrame:
                 sketch.append(odd_sketch(least))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(h, pa.int64()), pa.array(g, pa.int64()),
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(h, pa.int64()), pa.array(g, pa.int64()),
                  pa.array(bands, longs), pa.array(sketch, longs)],
-                ["doc_id", "n_shingles", "h", "g", "bands", "sketch"])
+                ["doc_id", "t", "n_shingles", "h", "g", "bands", "sketch"])
 
-    return _rows(docs).mapInArrow(
-        sign, "doc_id long, n_shingles long, h long, g long, bands array<long>, sketch array<long>")
+    return _rows(docs).withColumn("t", F.xxhash64("text")).mapInArrow(
+        sign, "doc_id long, t long, n_shingles long, h long, g long, bands array<long>, sketch array<long>")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -134,8 +134,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    small = ids.count() <= BROADCAST_IDS
-    rows = _rows(docs).join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("id")).select("id", "text")
+    rows = _rows(docs).join(_bounded(ids), F.col("doc_id") == F.col("id")).select("id", "text")
     sets = staged(rows.mapInArrow(cut, "id long, set binary"))
     joined = (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
@@ -224,16 +223,8 @@ def _apart(places: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataF
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
-
-    Texts are linked if their sets of ``n``-word shingles have a Jaccard similarity of ``percent`` / 100 or more;
-    component_id is the smallest doc_id that links lead to, and the document with that id is kept. A text without
-    words, or null, is linked with nothing; fewer than ``n`` words are one shingle; texts of any length are used
-    whole. Rows with an equal id and text are alike; with an equal id and other texts, each is judged by its own
-    text. A null id is a document of its own: it is kept, with a null
-    component. No rows give none. Other columns are not read.
-    """
+def _judged(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """``near_duplicates`` with t, the hash of each row's text."""
     signed = staged(_signatures(docs, n))
     usable = signed.where("h is not null and doc_id is not null")
     classes = staged(usable.groupBy("h", "g").agg(F.min("doc_id").alias("node")))
@@ -259,8 +250,43 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         links = staged(links.union(_confirmed(docs, more, n, percent)))
     else:
         labels = staged(components(links))
-    members = signed.select("doc_id", "n_shingles", "h", "g").join(classes, ["h", "g"], "left")
+    members = signed.select("doc_id", "t", "n_shingles", "h", "g").join(classes, ["h", "g"], "left")
     found = members.join(labels, "node", "left")
     own = F.coalesce("component", "node", "doc_id")
-    return found.select("doc_id", "n_shingles", own.alias("component_id"),
+    return found.select("doc_id", "t", "n_shingles", own.alias("component_id"),
                         F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
+
+    Texts are linked if their sets of ``n``-word shingles have a Jaccard similarity of ``percent`` / 100 or more;
+    component_id is the smallest doc_id that links lead to, and the document with that id is kept. A text without
+    words, or null, is linked with nothing; fewer than ``n`` words are one shingle; texts of any length are used
+    whole. Rows with an equal id and text are alike; with an equal id and other texts, each is judged by its own
+    text. A null id is a document of its own: it is kept, with a null
+    component. No rows give none. Other columns are not read.
+    """
+    return _judged(docs, n, percent).drop("t")
+
+
+def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group of near duplicates, with all its columns: the one of the smallest id.
+
+    Of rows with equal id and text one stays, if the text has words; otherwise see ``near_duplicates``.
+    """
+    judged = staged(_judged(docs, n, percent))
+    own = lambda x: F.struct(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))) == x
+    removed = staged(judged.where(~F.col("kept")).select(F.struct("doc_id", "t").alias("removed")).distinct())
+    kept = docs.join(_bounded(removed), own(F.col("removed")), "left_anti")
+    again = judged.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id", "t").count()
+    again = staged(again.where("count > 1").select(F.struct("doc_id", "t").alias("again")))
+    if again.isEmpty():
+        return kept
+    once = kept.join(_bounded(again), own(F.col("again")), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(_bounded(again), own(F.col("again")), "left_anti").unionByName(once)
+
+
+def _bounded(ids: DataFrame) -> DataFrame:
+    """A written table, sent to all executors if it is small."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
