@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples.
 
 Texts are vectors of TF-IDF weights, (1 + ln tf) * idf, of length one. The vocabulary is the words whose
-presence depends on the label among the examples (chi-square above ``MIN_CHI2``), so a word that says nothing
-about the label takes no part. A text is compared by cosine with all examples; the nearest ``K`` (and all that
+presence depends on the label among the examples (chi-square above ``MIN_CHI2``, and at least ``MIN_RATIO``
+times as frequent under one label), so a word that says nothing about the label takes no part. A text is compared by cosine with all examples; the nearest ``K`` (and all that
 tie with the last) vote, weighted by similarity. The vote is shrunk towards the share of toxic examples that
 have no word of the vocabulary, which is also the score of a text without neighbours.
 
@@ -39,8 +39,11 @@ K = 15
 PRIOR_WEIGHT = 0.5
 #: Chi-square (one degree of freedom) that a word needs; about one in ten million words has it by chance.
 MIN_CHI2 = 28.4
+#: A word must be so many times as frequent under one label as under the other: one that is merely a little
+#: more frequent can be significant too, and says nothing.
+MIN_RATIO = 2.0
 #: Examples that a word must be in.
-MIN_EXAMPLES = 8
+MIN_EXAMPLES = 5
 BLOCK = 64
 
 _hashes = WordHashes(xxhash.xxh3_64_intdigest)
@@ -195,7 +198,9 @@ def fit_index(docs: DataFrame, examples: DataFrame, max_examples: int = MAX_EXAM
     # the 2 x 2 table of label and presence
     chi2 = n * F.pow(a * (n1 - b) - b * (n0 - a), F.lit(2)) / (m * (n - m) * F.lit(float(max(1, n0)) * max(1, n1)))
     spread = (m < n) & (m >= MIN_EXAMPLES)
-    vocabulary = {bytes(r["word"]) for r in present.where(spread & (chi2 >= MIN_CHI2)).collect()}
+    ratio = ((b + 0.5) * (n0 + 1)) / ((a + 0.5) * (n1 + 1))
+    telling = (chi2 >= MIN_CHI2) & ((ratio >= MIN_RATIO) | (ratio <= 1 / MIN_RATIO))
+    vocabulary = {bytes(r["word"]) for r in present.where(spread & telling).collect()}
     keep = F.array(*[F.lit(w) for w in sorted(vocabulary)]) if vocabulary else F.array().cast("array<binary>")
     own = found.select("doc_id", "label", F.filter("words", lambda x: F.array_contains(keep, x["word"])).alias("words"))
     rows = [(r["doc_id"], r["label"], {bytes(x["word"]): x["n"] for x in r["words"]})
