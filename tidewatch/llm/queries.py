@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, mixing, neardup, ranking, rules, tokens, toxicity, urls
+from tidewatch.llm import decontaminate, mixing, neardup, pii, ranking, rules, tokens, toxicity, urls
 from tidewatch.llm.common import table
 from tidewatch.session import staged
 
@@ -36,6 +36,11 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
 def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's class of near duplicates, by shingles of two words."""
     return neardup.near_duplicates(table(spark, folder, "documents"), n=2)
@@ -73,6 +78,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_url_filters": op3_url_filters,
     "op4_decontamination": op4_decontamination,
+    "op5_personal_data": op5_personal_data,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
