@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, mixing, neardup, pii, ranking, rules, tokens, toxicity, urls
+from tidewatch.llm import decontaminate, licenses, mixing, neardup, pii, ranking, rules, tokens, toxicity, urls
 from tidewatch.llm.common import table
 from tidewatch.session import staged
 
@@ -46,6 +46,11 @@ def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), n=2)
 
 
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License notices in documents."""
+    return licenses.license_notices(table(spark, folder, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's counts and verdict, with its source as its domain."""
     return rules.quality_rules(table(spark, folder, "documents")).select(
@@ -80,6 +85,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_personal_data": op5_personal_data,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_quality_classifier": op10_quality_classifier,
