@@ -24,7 +24,7 @@ import heapq
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.session import staged
@@ -133,6 +133,15 @@ def _key(members: Column) -> Column:
 
 
 _BITS = 12
+#: A table made from the driver's rows is sent to all executors up to this many rows (some 10 MB).
+BROADCAST_ROWS = 100_000
+
+
+def listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows that the driver has, as a table. Joined by broadcast if few, so that a pattern with very many
+    documents isn't gathered in one task."""
+    found = spark.createDataFrame(rows, schema)
+    return F.broadcast(found) if len(rows) <= BROADCAST_ROWS else found
 
 
 def _stops(rows: DataFrame, goals: dict[str, int]) -> dict[str, tuple[int, int, int]]:
@@ -146,8 +155,8 @@ def _stops(rows: DataFrame, goals: dict[str, int]) -> dict[str, tuple[int, int,
     inside = {p: 0 for p in goals}
     wanted = rows
     for level in (1, 2):
-        keep = spark.createDataFrame([(p, before[p], inside[p], g) for p, g in goals.items()],
-                                     "pattern string, before long, inside long, goal long")
+        keep = listed(spark, [(p, before[p], inside[p], g) for p, g in goals.items()],
+                       "pattern string, before long, inside long, goal long")
         shift = 64 - _BITS * level
         at = F.shiftrightunsigned("h", shift)
         wanted = rows.join(keep, "pattern").where(
@@ -165,8 +174,8 @@ def _stops(rows: DataFrame, goals: dict[str, int]) -> dict[str, tuple[int, int,
             inside[p], before[p] = ends[p]["at"], ends[p]["b"]
     if not goals:
         return {}
-    keep = spark.createDataFrame([(p, before[p], inside[p], g) for p, g in goals.items()],
-                                 "pattern string, before long, inside long, goal long")
+    keep = listed(spark, [(p, before[p], inside[p], g) for p, g in goals.items()],
+                   "pattern string, before long, inside long, goal long")
     last = rows.join(keep, "pattern").where(F.shiftrightunsigned("h", 64 - 2 * _BITS) == F.col("inside"))
     # rows with the same id are taken or left together
     last = last.groupBy("pattern", "h", "id", "before", "goal").agg(F.sum("size").alias("size"))
@@ -222,7 +231,7 @@ def plan_mix(sized: DataFrame, weigh: Callable[[list[str | None]], list[float]]
         p = r["pattern"]
         repeats[p], rest[p] = divmod(words, size) if size else (0, 0)
         long_from[p] = max(1, words // 200)
-    limits = spark.createDataFrame([(p, x) for p, x in long_from.items()] or [("", 0)], "pattern string, long_from long")
+    limits = listed(spark, list(long_from.items()), "pattern string, long_from long")
     split = rows.where("size > 0").join(limits, "pattern").withColumn("long", F.col("size") > F.col("long_from"))
     totals = {(r["pattern"], r["long"]): r["size"]
               for r in split.groupBy("pattern", "long").agg(F.sum("size").alias("size")).collect()}
@@ -243,7 +252,7 @@ def plan_mix(sized: DataFrame, weigh: Callable[[list[str | None]], list[float]]
                 stops += [False, *(stop[:2] if stop else (None, None))]
         lines.append((p, repeats[p], long_from[p], *stops))
     kinds = ", ".join(f"{k}_all boolean, {k}_h long, {k}_id long" for k in ("long", "short"))
-    plan = spark.createDataFrame(lines, f"pattern string, repeats long, long_from long, {kinds}")
+    plan = listed(spark, lines, f"pattern string, repeats long, long_from long, {kinds}")
     return Mix([(n, s, g) for n, s, g in zip(names, sizes, goal)], plan)
 
 

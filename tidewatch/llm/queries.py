@@ -66,7 +66,7 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the words that the mix takes of it."""
     sized = staged(sized_documents(table(spark, folder, "documents")).select("doc_id", "size", "sources"))
     mix = mixing.plan_mix(sized)
-    sources = spark.createDataFrame(mix.sources, "name string, source_size long, target double")
+    sources = mixing.listed(spark, mix.sources, "name string, source_size long, target double")
     taken = mixing.apply_mix(sized, mix).select(
         "doc_id", "size", F.col("sources")[0].alias("source"), (F.col("times") * F.col("size")).alias("taken"))
     return taken.join(sources, F.col("source").eqNullSafe(F.col("name"))).select(
