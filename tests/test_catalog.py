@@ -41,7 +41,7 @@ def test_every_sql_belongs_to_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", contract.catalog.QUERIES)
 def test_query(spark, database, name):
     got = contract.queries()[name](spark, FOLDER).toPandas()
     sql = contract.oracle_sql().get(name)

@@ -67,16 +67,26 @@ def test_epochs(make):
 def test_epochs_of_hot_connections(make):
     rows = traffic(seed=2)
     df = connections.connection_count(
-        make(rows), max_age=300, max_rows=20, max_fold=10, running_bytes=True
+        make(rows), max_age=300, max_rows=20, running_bytes=True
     )
     assert counts(df) == brute(rows, 300)
 
 
-def test_pointer_doubling_equals_fold(make):
+def test_epoch_starts_of_hot_connections(make):
     df = make(traffic(400, seed=3))
-    folded = connections.epoch_starts(df, 100)
-    followed = connections.epoch_starts(df, 100, max_fold=0)
-    assert sorted(map(tuple, folded.collect())) == sorted(map(tuple, followed.collect()))
+    found = connections.epoch_starts(df, 100)
+    split = connections.epoch_starts(df, 100, max_rows=3)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, split.collect()))
+
+
+def test_one_connection_with_very_many_epochs(make, spark):
+    # one packet per 301 s, so each starts an epoch
+    one = make([packet(0.0)])
+    df = one.drop("packet_id", "ts").crossJoin(spark.range(3000).select(
+        F.col("id").alias("packet_id"), F.timestamp_micros(F.col("id") * 301_000_000).alias("ts")
+    )).select(*one.columns)
+    counted = connections.connection_count(df, max_age=300)
+    assert counted.where("epoch = packet_id + 1 and count = 1").count() == 3000
 
 
 def test_epoch_ends_after_not_at_the_age(make):
@@ -95,17 +105,31 @@ def test_same_ports_in_udp_are_another_matter(make):
     assert [r["count"] for r in df.collect()] == [1, 1, 2]
 
 
-def test_slices_split_even_a_single_instant(make):
+def test_one_instant_is_split_too(make):
     rows = [packet(5.0) for _ in range(50)]
     df = make(rows)
     hot = skew.hot_keys(df, ["src_ip"], 10)
-    assert len(hot) == 1
-    parts = df.select(*skew._slices(df, ["src_ip"], hot, 10)).distinct().count()
-    assert parts >= 5
+    assert [(r["src_ip"], r["rows"]) for r in hot.collect()] == [("10.0.0.9", 50)]
     summed = skew.running_sums(df, ["src_ip"], {"n": F.lit(1)}, max_rows=10).orderBy("packet_id")
     assert [r["n"] for r in summed.collect()] == list(range(1, 51))
 
 
+def test_more_slices_than_rows_in_one(make):
+    rows = [packet(k / 10, src_ip="hot") for k in range(64)]
+    summed = skew.running_sums(make(rows), ["src_ip"], {"n": F.lit(1)}, max_rows=2).orderBy("packet_id")
+    assert [r["n"] for r in summed.collect()] == list(range(1, 65))
+
+
+def test_very_many_hot_keys(spark):
+    df = spark.range(20_000).select(
+        F.col("id").alias("packet_id"), (F.col("id") % 5000).alias("k"), F.timestamp_seconds("id").alias("ts")
+    )
+    hot = skew.hot_keys(df, ["k"], 2)
+    assert hot.count() == 5000
+    summed = skew.running_sums(df, ["k"], {"n": F.lit(1)}, max_rows=2, hot=hot)
+    assert summed.where("n <> packet_id div 5000 + 1").count() == 0
+
+
 def test_summary(make):
     rows = [packet(3, frame_len=60), packet(1), packet(2, src_port=9, dst_port=22), udp(0)]
     found = {r["src_port"]: r for r in connections.connection_summary(make(rows)).collect()}

@@ -128,6 +128,17 @@ def test_separable_scores(make_scores):
     assert evaluate.average_precision(df).first()[0] == 1.0
 
 
+def test_curves_count_rows_without_a_score(spark):
+    rows = [(0.9, 1), (0.8, 1), (0.3, 0), (0.2, 0), (None, 1), (float("nan"), 0)]
+    df = spark.createDataFrame(rows, "p double, y int")
+    counted = evaluate.cumulative_counts(df).agg(F.sum("pos"), F.sum("neg")).first()
+    matrix = evaluate.confusion_matrix(df, 0.5).first()
+    assert tuple(counted) == (matrix["tp"] + matrix["fn"], matrix["tn"] + matrix["fp"]) == (3, 3)
+    roc = evaluate.roc_curve(df, drop_intermediate=False).orderBy(F.desc("threshold")).collect()
+    assert [(r["fpr"], r["tpr"]) for r in roc][-2:] == [(2 / 3, 2 / 3), (1.0, 1.0)]
+    assert evaluate.auc(df).first()[0] == pytest.approx(6.5 / 9)
+
+
 def test_class_weight(make_scores):
     row = evaluate.class_weight(make_scores([(0.0, 0)] * 3 + [(0.0, 1)] * 2)).first()
     assert (row["negatives"], row["positives"], row["pos_weight"]) == (3, 2, 1.5)

@@ -48,41 +48,6 @@ def test_positives_are_required(spark):
         learn.train_classifier(df.withColumn("features", array_to_vector("features")))
 
 
-def test_training_by_epochs(spark, separable):
-    model, history = learn.train_by_epochs(separable, 2, 3.0, epochs=15, learning_rate=0.3)
-    table = learn.training_history(spark, history).orderBy("epoch").collect()
-    assert table[0]["train_loss"] == pytest.approx(
-        evaluate.weighted_log_loss(
-            separable.filter("split = 'train'").withColumn("z", F.lit(0.0)), 3.0, label="binary_label"
-        ).first()[0]
-    )
-    assert table[-1]["val_loss"] < table[0]["val_loss"]
-    assert table[-1]["val_f1"] > 0.6
-    scored = separable.withColumn("p", model.logit())
-    assert auc_of(scored) > 0.9
-
-
-def test_gradient_is_that_of_the_loss(spark):
-    """One step of descent from zero goes the way the numeric gradient says."""
-    rows = [([1.0, 2.0], 1, "train"), ([0.5, -1.0], 0, "train"), ([3.0, 0.0], 0, "train")]
-    df = spark.createDataFrame(rows, "features array<double>, binary_label int, split string")
-    model, history = learn.train_by_epochs(df, 2, 3.0, epochs=2, learning_rate=1.0)
-
-    def loss(w):
-        out = 0.0
-        for x, y, _ in rows:
-            z = w[0] * x[0] + w[1] * x[1] + w[2]
-            out += 3.0 * y * math.log1p(math.exp(-z)) + (1 - y) * math.log1p(math.exp(z))
-        return out / 3
-
-    slopes = [(loss(d) - loss(-d)) / 2e-6 for d in np.eye(3) * 1e-6]
-    # The first Adam step has the size of the rate, against the sign of the gradient.
-    stepped = loss([-np.sign(s) for s in slopes])
-    assert history[0][1] == pytest.approx(loss([0, 0, 0]))
-    assert history[1][1] == pytest.approx(stepped, rel=1e-4)
-    assert history[0][2] is None
-
-
 def tiny():
     return learn.DenseNetwork(
         [(np.array([[1.0, -1.0], [2.0, 0.0]]), np.array([0.0, 1.0])),
@@ -103,6 +68,19 @@ def test_dense_network_by_hand(spark):
     assert got == [pytest.approx(by_hand(3, 1)), pytest.approx(by_hand(1, 3))]
 
 
+def test_dense_network_without_a_vector(spark):
+    rows = [([3.0, 1.0],), (None,), ([float("nan"), 1.0],)]
+    scored = learn.score_dense_network(spark.createDataFrame(rows, "vector array<double>"), tiny()).collect()
+    assert [r["score"] is None for r in scored] == [False, True, True]
+
+
+def test_the_network_runs_once_per_row(spark, capsys):
+    df = spark.createDataFrame([([3.0, 1.0],)], "vector array<double>")
+    packets.flag_anomalies(learn.score_dense_network(df, tiny()), 0.1).explain("extended")
+    optimized = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert optimized.count("logits(") == 1
+
+
 def test_encoding(make):
     scaler = prepare.Scaler(
         ["src_bytes", "hot", "flag_S", "service_http", "count"],

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import pytest
@@ -37,13 +38,6 @@ def test_vocabulary_is_the_sorted_union(spark):
     assert [tuple(r) for r in hot.collect()] == [(0, 1, 0, 1, 0), (0, 0, 0, 0, 1)]
 
 
-def test_vocabulary_refuses_to_grow_without_bound(spark, monkeypatch):
-    monkeypatch.setattr(prepare, "MAX_CATEGORIES", 3)
-    df = spark.range(4).select(F.col("id").cast("string").alias("flag"))
-    with pytest.raises(ValueError):
-        prepare.fit_vocabulary(df, columns=["flag"])
-
-
 def test_align_and_conform(spark):
     left, right = prepare.align_features(
         spark.createDataFrame([(1, 2)], "b int, a int"), spark.createDataFrame([(3, 4)], "c int, a int")
@@ -73,27 +67,83 @@ def test_scaler_uses_the_population_deviation(spark):
     assert tuple(prepare.apply_scaler(new, scaler).first()) == (0.0, 2.0, "k")
 
 
-def test_holdout_sizes():
-    assert prepare.holdout_sizes({0: 95, 1: 5}, 0.1) == {0: 10, 1: 0}
-    assert prepare.holdout_sizes({0: 90, 1: 11}, 0.1) == {0: 10, 1: 1}
-    assert prepare.holdout_sizes({0: 4}, 0.1) == {0: 1}
+def sizes(spark, counts, frac=0.1):
+    rows = spark.createDataFrame(list(counts.items()), "y int, n long")
+    return {r["y"]: r["held"] for r in prepare.holdout_sizes(rows, "y", frac).collect()}
+
+
+def test_holdout_sizes(spark):
+    assert sizes(spark, {0: 95, 1: 5}) == {0: 10, 1: 0}
+    assert sizes(spark, {0: 90, 1: 11}) == {0: 10, 1: 1}
+    assert sizes(spark, {0: 4}) == {0: 1}
 
 
-@pytest.mark.parametrize("bucket_rows", [1, 50, 10_000])
-def test_split_is_exact_and_takes_the_smallest_hashes(spark, bucket_rows):
+def split_counts(split):
+    return {(r["y"], r["split"]): r["count"] for r in split.groupBy("y", "split").count().collect()}
+
+
+def test_split_is_exact_and_takes_the_smallest_hashes(spark):
     df = spark.range(1003).select("id", (F.col("id") % 7 == 0).cast("int").alias("y"))
-    split = prepare.stratified_split(df, "y", ["id"], bucket_rows=bucket_rows)
+    split = prepare.stratified_split(df, "y", ["id"])
     assert split.columns == ["id", "y", "split"]
-    n = {(r["y"], r["split"]): r["count"] for r in split.groupBy("y", "split").count().collect()}
-    sizes = prepare.holdout_sizes({0: 859, 1: 144}, 0.1)
-    assert n == {
-        (0, "holdout"): sizes[0], (0, "train"): 859 - sizes[0],
-        (1, "holdout"): sizes[1], (1, "train"): 144 - sizes[1],
+    held = sizes(spark, {0: 859, 1: 144})
+    assert split_counts(split) == {
+        (0, "holdout"): held[0], (0, "train"): 859 - held[0],
+        (1, "holdout"): held[1], (1, "train"): 144 - held[1],
+    }
+    again = prepare.stratified_split(df.repartition(5), "y", ["id"])
+    ids = lambda d: {r["id"] for r in d.filter("split = 'holdout'").collect()}
+    assert ids(split) == ids(again)
+    assert ids(split) != ids(prepare.stratified_split(df, "y", ["id"], seed=1))
+    place = lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest()
+    for y in (0, 1):
+        own = sorted((i for i in range(1003) if (i % 7 == 0) == y), key=place)
+        assert ids(split) & set(own) == set(own[: held[y]])
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_split_is_exact_when_records_repeat(spark, seed):
+    # 3,500 of 4,000 attack rows are one record, in several files
+    df = spark.range(0, 16_000, 1, 6).select(
+        (F.col("id") % 4 == 0).cast("int").alias("y"),
+        F.when((F.col("id") % 4 == 0) & (F.col("id") < 14_000), 0).otherwise(F.col("id")).alias("x"),
+    )
+    split = prepare.stratified_split(df, "y", ["x"], seed=seed)
+    assert split_counts(split) == {
+        (0, "holdout"): 1200, (0, "train"): 10_800, (1, "holdout"): 400, (1, "train"): 3600,
     }
-    again = prepare.stratified_split(df.repartition(5), "y", ["id"], bucket_rows=bucket_rows)
-    held = lambda d: {r["id"] for r in d.filter("split = 'holdout'").collect()}
-    assert held(split) == held(again)
-    assert held(split) != held(prepare.stratified_split(df, "y", ["id"], seed=1, bucket_rows=bucket_rows))
+    # rows other than those the limit falls on keep together
+    sides = split.groupBy("y", "x").agg(F.count_distinct("split").alias("n")).where("n > 1")
+    assert sides.count() <= 1
+
+
+def test_split_with_null_labels_and_keys(spark):
+    rows = [(None if i % 3 == 0 else "a", None if i % 2 else i) for i in range(90)]
+    split = prepare.stratified_split(spark.createDataFrame(rows, "y string, x int"), "y", ["x"])
+    assert split_counts(split) == {
+        (None, "holdout"): 3, (None, "train"): 27, ("a", "holdout"): 6, ("a", "train"): 54,
+    }
+
+
+def test_many_categories(spark):
+    df = spark.range(10_001).select(F.concat(F.lit("s"), "id").alias("service"), "id")
+    vocabulary = prepare.fit_vocabulary(df, columns=["service"])
+    assert len(vocabulary.categories["service"]) == 10_001
+    hot = prepare.one_hot_vector(df.where("id < 3"), df, columns=["service"]).orderBy("id").collect()
+    order = sorted(f"s{i}" for i in range(10_001))
+    assert [(r["categories"].size, list(r["categories"].indices)) for r in hot] == (
+        [(10_001, [order.index(f"s{i}")]) for i in range(3)]
+    )
+    none = prepare.one_hot_vector(df.select(F.lit(None).cast("string").alias("service")).limit(1), df, columns=["service"])
+    assert list(none.first()["categories"].indices) == []
+
+
+def test_scaler_of_null_and_of_nothing(spark):
+    df = spark.createDataFrame([(None, 1.0), (2.0, 3.0)], "x double, y double")
+    scaler = prepare.fit_scaler(df, ["x", "y"])
+    assert (list(scaler.means), list(scaler.stds)) == ([2.0, 2.0], [1.0, 1.0])
+    scaler = prepare.fit_scaler(df.limit(0), ["x", "y"])
+    assert (list(scaler.means), list(scaler.stds)) == ([0.0, 0.0], [1.0, 1.0])
 
 
 def test_split_of_nothing(spark):

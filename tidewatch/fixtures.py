@@ -13,19 +13,24 @@ THRESHOLD = 0.1
 START_MICROS = 1_704_067_200_000_000
 
 
-_derived: dict[tuple[str, str, str], DataFrame] = {}
+_derived: dict[tuple, DataFrame] = {}
 
 
 def _derive(spark: SparkSession, folder: str, name: str, make) -> DataFrame:
-    """A derived table, written once per application and read like any other table."""
-    key = (spark.sparkContext.applicationId, folder, name)
+    """A derived table, written once per application and state of the given table's files."""
+    files = table(spark, folder, "events").select("_metadata.file_path", "_metadata.file_modification_time")
+    state = files.agg(F.max("file_modification_time"), F.count_distinct("file_path"), F.count("*")).first()
+    key = (spark.sparkContext.applicationId, folder, name, *state)
     if key not in _derived:
         _derived[key] = staged(make(spark, folder))
     return _derived[key]
 
 
 def packets(spark: SparkSession, folder: str) -> DataFrame:
-    """Every event as a scored packet, ten packets a second."""
+    """Every event as a scored packet, ten packets a second.
+
+    Of 23 packets one is no IP packet and one is an IPv6 packet.
+    """
     return _derive(spark, folder, "packets", _packets)
 
 
@@ -43,7 +48,9 @@ def _k() -> Column:
 
 
 def _packets(spark: SparkSession, folder: str) -> DataFrame:
-    k, m, user = F.col("k"), F.col("k") % 20, F.col("user_id")
+    k, user, other = F.col("k"), F.col("user_id"), F.col("event_id") % 23
+    ip = other >= 2
+    m = F.when(ip, k % 20).otherwise(99)
     tcp, udp, icmp = m < 14, m.between(14, 16), m.between(17, 18)
     source = F.concat(
         F.lit("10.0."), F.floor(F.col("event_id") / 4000).cast("string"),
@@ -57,12 +64,12 @@ def _packets(spark: SparkSession, folder: str) -> DataFrame:
     columns = {
         "packet_id": F.col("event_id"),
         "ts": F.timestamp_micros(F.lit(START_MICROS) + F.col("event_id") * 100_000),
-        "ip_version": F.lit(4),
-        "src_ip": source,
-        "dst_ip": F.when(k % 25 == 0, source).otherwise(
-            F.concat(F.lit("10.1.0."), (k % 8).cast("string"))
-        ),
-        "ip_proto": F.when(tcp, 6).when(udp, 17).when(icmp, 1).otherwise(47),
+        "ip_version": F.when(ip, 4).when(other == 1, 6),
+        "src_ip": F.when(ip, source).when(other == 1, F.concat(F.lit("fd00::"), (user % 4).cast("string"))),
+        "dst_ip": F.when(ip & (k % 25 == 0), source)
+        .when(ip, F.concat(F.lit("10.1.0."), (k % 8).cast("string")))
+        .when(other == 1, F.concat(F.lit("fd00::1:"), (k % 8).cast("string"))),
+        "ip_proto": F.when(tcp, 6).when(udp, 17).when(icmp, 1).when(ip, 47).when(other == 1, 6),
         "src_port": F.when(tcp, 1024 + user % 16).when(udp, 5000),
         "dst_port": F.when(tcp, ports.otherwise(1000 + k)).when(
             udp, F.when(k % 2 == 0, 53).otherwise(161)
@@ -70,9 +77,9 @@ def _packets(spark: SparkSession, folder: str) -> DataFrame:
         "tcp_flags": F.when(tcp, flags),
         "urgptr": F.when(tcp, (k % 11 == 0).cast("int")),
         "icmp_type": F.when(m == 17, 8).when(m == 18, 0),
-        "ip_mf": k % 13 == 0,
-        "ip_frag": F.when(k % 17 == 0, 185).otherwise(0),
-        "ip_len": 40 + k,
+        "ip_mf": F.when(ip, k % 13 == 0),
+        "ip_frag": F.when(ip, F.when(k % 17 == 0, 185).otherwise(0)),
+        "ip_len": F.when(ip, 40 + k),
         "frame_len": F.when(k % 50 == 49, 1514).otherwise(54 + k),
         "score": (k - 40) / F.lit(20.0),
     }

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -15,18 +13,10 @@ from tidewatch.session import staged
 # Fixed value: seconds after its first packet at which a connection's count starts again.
 MAX_AGE = 300
 
-# Distinct times of one connection that are folded as one array (8 MB).
-MAX_FOLD = 1_000_000
-
-# Tasks over which the rows of one hot connection are spread for the look-up of its epochs.
-_SPREAD = 512
-
-
 def connection_count(
     packets: DataFrame,
     max_age: float | None = None,
     max_rows: int = skew.MAX_GROUP_ROWS,
-    max_fold: int = MAX_FOLD,
     running_bytes: bool = False,
 ) -> DataFrame:
     """Add ``count``: the number of the packet in its connection; 1 outside TCP.
@@ -34,6 +24,10 @@ def connection_count(
     With ``max_age`` (seconds) the connection is forgotten once a packet comes later than that after
     the first one counted, and ``epoch`` tells how often it has been started. ``running_bytes`` adds
     the byte total that goes with the count. Packets outside connections are not shuffled at all.
+
+    The starts of epochs become rows among the packets of their connection, just before the first
+    packet of the epoch. The epoch is their running number, and counts restart at them: all of it is
+    one pass over the packets in order, however many epochs there are.
     """
     sums = {"count": F.lit(1).cast("long")}
     if running_bytes:
@@ -41,14 +35,23 @@ def connection_count(
     tracked = packets.filter(p.in_connection())
     others = packets.filter(~p.in_connection()).withColumns(sums)
     hot = skew.hot_keys(tracked, CONNECTION, max_rows)
-    keys = list(CONNECTION)
-    if max_age is not None:
-        others = others.withColumn("epoch", F.lit(1))
-        tracked = _with_epoch(tracked, max_age, hot, max_fold)
-        keys.append("epoch")
-        if hot:
-            hot = skew.hot_keys(tracked.filter(skew.is_hot(CONNECTION, hot)), keys, max_rows)
-    return skew.running_sums(tracked, keys, sums, max_rows, hot).unionByName(others)
+    if max_age is None:
+        return skew.running_sums(tracked, CONNECTION, sums, max_rows, hot=hot).unionByName(others)
+    others = others.withColumn("epoch", F.lit(1))
+    starts = _epoch_starts(tracked, max_age, max_rows)
+    marks = starts.select(*CONNECTION, F.timestamp_micros("us").alias("ts"))
+    absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in tracked.schema if f.name not in marks.columns]
+    marked = tracked.withColumn("_start", F.lit(0)).unionByName(
+        marks.select("*", *absent, F.lit(1).alias("_start"))
+    )
+    at_start = F.col("_start") == 1
+    parts = {name: F.when(at_start, 0).otherwise(value).cast("long") for name, value in sums.items()}
+    order = ["ts", "_after", "packet_id"]
+    marked = marked.withColumn("_after", 1 - F.col("_start"))
+    counted = skew.running_sums(marked, CONNECTION, parts, max_rows, order, at_start, hot)
+    epochs = skew.running_sums(counted, CONNECTION, {"epoch": F.col("_start").cast("long")}, max_rows, order, hot=hot)
+    found = epochs.filter(~at_start).withColumn("epoch", F.col("epoch").cast("int"))
+    return found.drop("_start", "_after").unionByName(others)
 
 
 def running_bytes(packets: DataFrame, max_rows: int = skew.MAX_GROUP_ROWS) -> DataFrame:
@@ -73,109 +76,54 @@ def connection_summary(packets: DataFrame) -> DataFrame:
     )
 
 
-def _with_epoch(
-    tracked: DataFrame, max_age: float, hot: Sequence[int], max_fold: int
-) -> DataFrame:
-    """Add ``epoch``, counted from 1, by looking up the epoch starts of the packet's connection."""
-    lists = _epoch_starts(tracked, max_age, hot, max_fold)
-    if lists is None:
-        return tracked.withColumn("epoch", F.lit(1))
-    key = list(CONNECTION)
-    if hot:
-        # Rows of hot connections are spread over copies of their (at most MAX_HOT) lists.
-        key.append("_part")
-        spread = F.pmod(F.col("packet_id"), F.lit(_SPREAD)).cast("int")
-        is_hot = skew.is_hot(CONNECTION, hot)
-        tracked = tracked.withColumn("_part", F.when(is_hot, spread).otherwise(0))
-        copies = F.when(is_hot, _SPREAD - 1).otherwise(0)
-        lists = lists.withColumn("_part", F.explode(F.sequence(F.lit(0), copies)))
-    reached = F.size(F.filter("_starts", lambda start: start <= F.unix_micros("ts")))
-    epoch = F.when(F.col("_starts").isNull(), 1).otherwise(reached)
-    return tracked.join(lists, key, "left").withColumn("epoch", epoch).drop("_starts", "_part")
-
-
 def epoch_starts(
-    packets: DataFrame, max_age: float = MAX_AGE, max_fold: int = MAX_FOLD
+    packets: DataFrame, max_age: float = MAX_AGE, max_rows: int = skew.MAX_GROUP_ROWS
 ) -> DataFrame:
     """One row per epoch of every connection: ``epoch`` (from 1) and ``epoch_start``."""
-    tracked = packets.filter(p.in_connection())
-    lists = _epoch_starts(tracked, max_age, skew.hot_keys(tracked, CONNECTION), max_fold)
-    found = tracked.groupBy(*CONNECTION).agg(F.array(F.min(F.unix_micros("ts"))).alias("_only"))
-    if lists is None:
-        starts = F.col("_only")
-    else:
-        found = found.join(lists, CONNECTION, "left")
-        starts = F.coalesce("_starts", "_only")
-    return found.select(*CONNECTION, F.posexplode(starts).alias("_pos", "_us")).select(
-        *CONNECTION,
-        (F.col("_pos") + 1).alias("epoch"),
-        F.timestamp_micros("_us").alias("epoch_start"),
+    starts = _epoch_starts(packets.filter(p.in_connection()), max_age, max_rows)
+    numbered = skew.running_sums(
+        starts, CONNECTION, {"epoch": F.lit(1).cast("long")}, max_rows, ["us"]
+    )
+    return numbered.select(
+        *CONNECTION, F.col("epoch").cast("int").alias("epoch"),
+        F.timestamp_micros("us").alias("epoch_start"),
     )
 
 
-def _epoch_starts(
-    tracked: DataFrame, max_age: float, hot: Sequence[int], max_fold: int
-) -> DataFrame | None:
-    """The sorted epoch start times (microseconds) of all connections with more than one epoch.
+def _epoch_starts(tracked: DataFrame, max_age: float, max_rows: int) -> DataFrame:
+    """One row per epoch: the connection and the time (``us``, microseconds) of its first packet.
 
     An epoch starts at the first packet later than ``max_age`` after the previous start. A connection
-    no longer than ``max_age`` has one epoch, so most are settled by one aggregate; None if all are.
-    The list of a connection is bounded by its time span, not by its rows.
+    no longer than ``max_age`` has one epoch, so most are settled by one aggregate. The times of the
+    others point to the first time more than ``max_age`` later. These pointers, doubled in length each
+    round, give all starts; rounds grow with the logarithm of the span, and all joins are on
+    (connection, time): no skew.
     """
     age = round(max_age * 1_000_000)
     times = tracked.select(*CONNECTION, F.unix_micros("ts").alias("us"))
-    spans = times.groupBy(*CONNECTION).agg(
-        F.min("us").alias("_first"), F.max("us").alias("_last"), F.count("*").alias("_rows")
-    )
-    is_hot = skew.is_hot(CONNECTION, hot)
+    spans = staged(times.groupBy(*CONNECTION).agg(
+        F.min("us").alias("_first"), F.max("us").alias("_last"),
+    ).withColumn("_id", F.monotonically_increasing_id()))
+    firsts = spans.select(*CONNECTION, F.col("_first").alias("us"))
     long = spans.filter(F.col("_last") - F.col("_first") > age)
-    long = staged(long.withColumns({
-        "_large": (F.col("_rows") > max_fold) | is_hot, "_id": F.monotonically_increasing_id(),
-    }))
-    found = long.agg(
-        F.count("*").alias("n"),
-        F.max("_large").alias("large"),
-        F.max(F.col("_last") - F.col("_first")).alias("span"),
-    ).first()
-    if found["n"] == 0:
-        return None
-    lists = _fold(times.filter(~is_hot), long.filter(~F.col("_large")), age)
-    if found["large"]:
-        lists = lists.unionByName(_follow(times, long.filter("_large"), age, found["span"]))
-    # Written out, the lists are broadcast to the packets if they are small.
-    return staged(lists)
-
-
-def _fold(times: DataFrame, connections: DataFrame, age: int) -> DataFrame:
-    """Epoch starts by a fold over the sorted times of each connection, inside the JVM."""
-    last = lambda found: F.element_at(found, -1)
-    starts = F.aggregate(
-        F.array_sort(F.collect_list("us")),
-        F.array().cast("array<bigint>"),
-        lambda found, t: F.when(
-            (F.size(found) == 0) | (t - last(found) > age), F.concat(found, F.array(t))
-        ).otherwise(found),
-    )
-    return (
-        times.join(connections.select(*CONNECTION), CONNECTION)
-        .groupBy(*CONNECTION)
-        .agg(starts.alias("_starts"))
-    )
+    span = long.agg(F.max(F.col("_last") - F.col("_first"))).first()[0]
+    if span is None:
+        return firsts
+    return staged(firsts.unionByName(_follow(times, long, age, span)))
 
 
 def _follow(times: DataFrame, connections: DataFrame, age: int, span: int) -> DataFrame:
-    """Epoch starts of connections too large for one task, by pointer doubling.
+    """The later epoch starts of the given connections, by pointer doubling.
 
     Every time points to the first time more than ``age`` later. Starting from the first time of the
-    connection, the reached set doubles its depth each round while the pointers are squared, so the
-    rounds grow with the logarithm of the span. All joins are on (connection, time): no skew.
+    connection, the reached set doubles its depth each round while the pointers are squared.
     """
     named = connections.select(*CONNECTION, "_id")
-    nodes = times.join(named, CONNECTION).select("_id", "us").distinct()
+    nodes = skew._joined(times, named, CONNECTION).select("_id", "us").distinct()
     jumps = staged(_next_after(nodes, age))
-    reached = connections.select("_id", F.col("_first").alias("us"))
-    depth = 1
-    while True:
+    first = connections.select("_id", F.col("_first").alias("us"))
+    reached, depth = staged(first), 1
+    while depth <= span // age + 1:
         step = reached.join(jumps, ["_id", "us"]).select("_id", F.col("_next").alias("us"))
         reached = staged(reached.unionByName(step).distinct())
         depth *= 2
@@ -185,8 +133,8 @@ def _follow(times: DataFrame, connections: DataFrame, age: int, span: int) -> Da
         jumps = staged(
             jumps.join(onward, ["_id", "_next"]).select("_id", "us", F.col("_far").alias("_next"))
         )
-    lists = reached.groupBy("_id").agg(F.array_sort(F.collect_list("us")).alias("_starts"))
-    return lists.join(named, "_id").select(*CONNECTION, "_starts")
+    later = reached.join(first, ["_id", "us"], "left_anti")
+    return later.join(named, "_id").select(*CONNECTION, "us")
 
 
 def _next_after(nodes: DataFrame, age: int, tick: int = 1_000_000) -> DataFrame:

@@ -93,8 +93,12 @@ def f1_at(df: DataFrame, threshold: float = 0.5, score: str = "p", label: str =
 
 
 def final_report(df: DataFrame, threshold: float, score: str = "p", label: str = "y") -> DataFrame:
-    report = metrics(df, threshold, score, label)
-    return report.select("tp", "fp", "tn", "fn", "fpr", "fnr")
+    return report_of(metrics(df, threshold, score, label))
+
+
+def report_of(rates: DataFrame) -> DataFrame:
+    """The report of a row of ``with_metrics``, such as the best one of a sweep."""
+    return rates.select("tp", "fp", "tn", "fn", "fpr", "fnr")
 
 
 def threshold_sweep(
@@ -149,13 +153,15 @@ def cumulative_counts(df: DataFrame, score: str = "p", label: str = "y") -> Data
     Rows are pre-aggregated by score. The distinct scores are then range-partitioned and written out,
     which fixes the ranges; running sums run inside each range and start from the totals of the
     ranges above it, so no task holds more than one range. ``turn`` marks the highest score, the
-    lowest one, and those whose next lower neighbour has other counts.
+    lowest one, and those whose next lower neighbour has other counts. Rows without a score (null or
+    NaN) reach no threshold but the lowest of all, minus infinity; so every row counts, as in the
+    confusion matrix.
     """
     positive = F.col(label) == 1
-    by_score = (
-        df.groupBy(F.col(score).alias("threshold"))
-        .agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
-        .filter(F.col("threshold").isNotNull() & ~F.isnan("threshold"))
+    given = F.col(score).cast("double")
+    reached = F.when(given.isNull() | F.isnan(given), float("-inf")).otherwise(given)
+    by_score = df.groupBy(reached.alias("threshold")).agg(
+        F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
     )
     ranges = staged(
         by_score.repartitionByRange(F.desc("threshold")).withColumn("_range", F.spark_partition_id())

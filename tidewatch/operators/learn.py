@@ -10,11 +10,10 @@ import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.functions import scoring
 from tidewatch.operators import evaluate, prepare
 from tidewatch.schemas import CATEGORICAL
 
@@ -22,15 +21,6 @@ from tidewatch.schemas import CATEGORICAL
 HIDDEN = (128, 64, 32)
 BATCH_NORM_EPS = 1e-5
 
-# Adam step size and decays, weight decay, epochs, patience before the step is halved,
-# patience before training stops.
-LEARNING_RATE = 1e-3
-BETA1, BETA2, ADAM_EPS = 0.9, 0.999, 1e-8
-WEIGHT_DECAY = 1e-5
-EPOCHS = 100
-PLATEAU_PATIENCE = 5
-STOP_PATIENCE = 15
-
 
 def weighted(df: DataFrame, pos_weight: float, label: str = "binary_label") -> DataFrame:
     """Add ``weight``: ``pos_weight`` for positives, 1 for negatives."""
@@ -74,110 +64,14 @@ def predict(model: Model, df: DataFrame) -> DataFrame:
     )
 
 
-# --- training by epochs ---------------------------------------------------------------------------
-
-
-@dataclass(frozen=True)
-class LinearModel:
-    """Weights and intercept of a logistic model over an array column."""
-
-    weights: Sequence[float]
-    intercept: float
-
-    def logit(self, features: str = "features") -> Column:
-        return _dot(F.col(features), self.weights) + F.lit(float(self.intercept))
-
-
-def _dot(vector: Column, weights: Sequence[float]) -> Column:
-    terms = [vector[i] * F.lit(float(w)) for i, w in enumerate(weights)]
-    while len(terms) > 1:  # a balanced sum keeps the expression shallow
-        terms = [sum(terms[i + 1 : i + 2], terms[i]) for i in range(0, len(terms), 2)]
-    return terms[0]
-
-
-def train_by_epochs(
-    df: DataFrame,
-    width: int,
-    pos_weight: float,
-    features: str = "features",
-    label: str = "binary_label",
-    split: str = "split",
-    epochs: int = EPOCHS,
-    learning_rate: float = LEARNING_RATE,
-) -> tuple[LinearModel, list[tuple]]:
-    """Fit a logistic model epoch by epoch; returns the best model and the history.
-
-    Each epoch is one aggregate over the table (rows with ``split`` = ``train`` give the gradient, the
-    others the validation loss); only the sums come to the driver, whose size is the number of
-    features. Steps are Adam steps; the step size is halved when the validation loss stalls and
-    training stops when it has stalled for long. History rows: (epoch, train_loss, val_loss,
-    train_f1, val_f1).
-    """
-    y, is_train = F.col(label), F.col(split) == "train"
-    w, moment, speed = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
-    best, best_loss, lowest, stalled, idle, rate = w, np.inf, np.inf, 0, 0, learning_rate
-    history = []
-    for epoch in range(1, epochs + 1):
-        z = LinearModel(w[:-1].tolist(), float(w[-1])).logit(features)
-        p = F.col("_p")
-        slope = p * (1 + (pos_weight - 1) * y) - pos_weight * y
-        scored = df.withColumn("_z", z).withColumn("_p", scoring.sigmoid(F.col("_z")))
-        loss = scoring.weighted_loss(F.col("_z"), y, pos_weight)
-        hit = p >= 0.5
-        parts = {}
-        for name, rows in (("train", is_train), ("val", ~is_train)):
-            parts[f"{name}_n"] = F.count_if(rows)
-            parts[f"{name}_loss"] = F.sum(F.when(rows, loss))
-            parts[f"{name}_tp"] = F.count_if(rows & hit & (y == 1))
-            parts[f"{name}_fp"] = F.count_if(rows & hit & (y == 0))
-            parts[f"{name}_fn"] = F.count_if(rows & ~hit & (y == 1))
-        step = [F.sum(F.when(is_train, slope * F.col(features)[i])) for i in range(width)]
-        row = scored.agg(
-            *[c.alias(n) for n, c in parts.items()],
-            F.array(*step, F.sum(F.when(is_train, slope))).alias("gradient"),
-        ).first()
-
-        train_loss, train_f1 = _summary(row, "train")
-        val_loss, val_f1 = _summary(row, "val")
-        history.append((epoch, train_loss, val_loss, train_f1, val_f1))
-        watched = train_loss if val_loss is None else val_loss
-        if watched < best_loss:
-            best, best_loss, stalled = w.copy(), watched, 0
-        else:
-            stalled += 1
-            if stalled >= STOP_PATIENCE:
-                break
-        if watched < lowest * (1 - 1e-4):
-            lowest, idle = watched, 0
-        else:
-            idle += 1
-            if idle > PLATEAU_PATIENCE:
-                rate, idle = rate / 2, 0
-
-        gradient = np.array(row["gradient"]) / row["train_n"] + WEIGHT_DECAY * w
-        moment = BETA1 * moment + (1 - BETA1) * gradient
-        speed = BETA2 * speed + (1 - BETA2) * gradient**2
-        direction = (moment / (1 - BETA1**epoch)) / (np.sqrt(speed / (1 - BETA2**epoch)) + ADAM_EPS)
-        w = w - rate * direction
-    return LinearModel(best[:-1].tolist(), float(best[-1])), history
-
+# --- history --------------------------------------------------------------------------------------
 
-def _summary(row, name: str) -> tuple:
-    n, tp, fp, fn = (row[f"{name}_{c}"] for c in ("n", "tp", "fp", "fn"))
-    if n == 0:
-        return None, None
-    return row[f"{name}_loss"] / n, 2 * tp / (2 * tp + fp + fn) if tp else 0.0
 
-
-HISTORY_SCHEMA = "epoch int, train_loss double, val_loss double, train_f1 double, val_f1 double"
-
-
-def training_history(spark: SparkSession, history: Sequence[tuple] | Model) -> DataFrame:
-    """The history as a table: of ``train_by_epochs``, or the objective of a fitted logistic model."""
-    if isinstance(history, Model):
-        losses = history.summary.objectiveHistory
-        history = [(i, float(x), None, None, None) for i, x in enumerate(losses)]
-    return spark.createDataFrame(list(history), HISTORY_SCHEMA)
+def training_history(spark: SparkSession, model: Model) -> DataFrame:
+    """(epoch, train_loss) of a fitted logistic model: its objective from before the first step on."""
+    losses = model.summary.objectiveHistory
+    rows = [(i, float(x)) for i, x in enumerate(losses)]
+    return spark.createDataFrame(rows, "epoch int, train_loss double")
 
 
 # --- serving --------------------------------------------------------------------------------------
@@ -256,18 +150,25 @@ def network_of(params: DataFrame) -> DenseNetwork:
 def score_dense_network(
     df: DataFrame, network: DenseNetwork, features: str = "vector", output: str = "score"
 ) -> DataFrame:
-    """Add the logit of each row. One matrix product per Arrow batch, no shuffle."""
+    """Add the logit of each row; null for a null vector or one without a finite result.
+
+    One matrix product per Arrow batch, no shuffle. The network counts as non-deterministic, so that
+    Spark runs it once per row and keeps filters on the logit above it.
+    """
     hidden = list(zip(network.layers, network.norms))
     last_weight, last_bias = network.layers[-1]
     width, eps = network.layers[0][0].shape[1], BATCH_NORM_EPS
 
     @F.arrow_udf(T.DoubleType())
     def logits(batch: pa.Array) -> pa.Array:
-        x = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        x = x.reshape(len(batch), width)
+        known = np.asarray(batch.is_valid())
+        x = batch.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        x = x.reshape(-1, width)
         for (weight, bias), (gamma, beta, mean, variance) in hidden:
             x = np.maximum(x @ weight.T + bias, 0.0)
             x = (x - mean) / np.sqrt(variance + eps) * gamma + beta
-        return pa.array((x @ last_weight.T + last_bias)[:, 0])
+        out = np.full(len(batch), np.nan)
+        out[known] = (x @ last_weight.T + last_bias)[:, 0]
+        return pa.array(out, mask=np.isnan(out))
 
-    return df.withColumn(output, logits(F.col(features)))
+    return df.withColumn(output, logits.asNondeterministic()(F.col(features)))

@@ -15,9 +15,6 @@ from tidewatch.schemas import ALERT_SCHEMA, PACKET_FEATURES
 
 LOOPBACK = "127.0.0.1"
 
-# Host lists up to this length become part of the expression; longer ones are given as a table.
-MAX_LISTED_HOSTS = 10_000
-
 
 def feature_columns(count=None) -> dict:
     """The packet features as columns, ``count`` given by the caller (1 if not)."""
@@ -51,14 +48,12 @@ def packet_features(
 def mark_trusted(packets: DataFrame, hosts: DataFrame | Iterable[str] = ()) -> DataFrame:
     """Add ``trusted``: whether the source is a trusted host. The loopback address never is.
 
-    A table of hosts (column ``ip``) is joined; Spark broadcasts it only if it is small.
+    The hosts, a table with column ``ip`` or a list of any length, are joined; Spark broadcasts them
+    only if they are small.
     """
     if not isinstance(hosts, DataFrame):
-        listed = sorted(set(hosts) - {LOOPBACK})
-        if len(listed) > MAX_LISTED_HOSTS:
-            raise ValueError("pass long host lists as a DataFrame with a column 'ip'")
-        known = F.col("src_ip").isin(listed) if listed else F.lit(False)
-        return packets.withColumn("trusted", F.coalesce(known, F.lit(False)))
+        listed = [(host,) for host in sorted(set(hosts))]
+        hosts = packets.sparkSession.createDataFrame(listed, "ip string")
     known = (
         hosts.select(F.col("ip").alias("src_ip")).filter(F.col("src_ip") != LOOPBACK).distinct()
     )

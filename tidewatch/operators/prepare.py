@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.schemas import CATEGORICAL, DIFFICULTY, LABEL
+from tidewatch.session import staged
 
 # Fixed value: the largest 32-bit float, which stands for both infinities.
 FLOAT32_MAX = 3.4028234663852886e38
 
-# A vocabulary becomes columns, so it must stay small; more categories than this are refused.
-MAX_CATEGORIES = 10_000
-
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
@@ -55,6 +52,8 @@ class Vocabulary:
 
 def categories(dfs: Sequence[DataFrame], columns: Sequence[str] = CATEGORICAL) -> DataFrame:
     """The distinct (feature, category) pairs of all tables; null is no category."""
+    if not columns:
+        return dfs[0].sparkSession.createDataFrame([], "feature string, category string")
     pairs = None
     for df in dfs:
         cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("category")) for c in columns])
@@ -64,10 +63,12 @@ def categories(dfs: Sequence[DataFrame], columns: Sequence[str] = CATEGORICAL) -
 
 
 def fit_vocabulary(*dfs: DataFrame, columns: Sequence[str] = CATEGORICAL) -> Vocabulary:
-    """Learn the categories of the given tables together."""
-    rows = categories(dfs, columns).limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories; one-hot columns do not fit")
+    """Learn the categories of the given tables together.
+
+    They become columns, so they come to the driver, all of them. Columns with very many
+    categories are better encoded as one sparse vector, by ``one_hot_vector``.
+    """
+    rows = categories(dfs, columns).collect()
     return Vocabulary(
         {c: sorted(r["category"] for r in rows if r["feature"] == c) for c in columns}
     )
@@ -87,6 +88,27 @@ def one_hot(df: DataFrame, vocabulary: Vocabulary, drop: bool = True) -> DataFra
     return df.select(*kept, *[c.alias(n) for n, c in dummies(vocabulary).items()])
 
 
+def one_hot_vector(
+    df: DataFrame, *others: DataFrame, columns: Sequence[str] = CATEGORICAL, output: str = "categories"
+) -> DataFrame:
+    """Add one sparse vector with a place per category of ``df`` and ``others``, column by column.
+
+    For any number of categories: a row has as many entries as there are columns. Null has no category.
+    """
+    names = [f"_{c}" for c in columns]
+    every = df.select(*columns)
+    for other in others:
+        every = every.unionByName(other.select(*columns))
+    index = StringIndexer(inputCols=list(columns), outputCols=names, handleInvalid="keep",
+                          stringOrderType="alphabetAsc")
+    # What "keep" adds for null is the last place, which the encoder drops.
+    hot = OneHotEncoder(inputCols=names, outputCols=[f"{n}_hot" for n in names], dropLast=True)
+    joined = VectorAssembler(inputCols=[f"{n}_hot" for n in names], outputCol=output)
+    found = index.fit(every).transform(df)
+    found = joined.transform(hot.fit(found).transform(found))
+    return found.select(*df.columns, output)
+
+
 def align_features(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Give both tables the sorted union of their columns, absent ones as 0."""
     union = sorted(set(left.columns) | set(right.columns))
@@ -162,34 +184,28 @@ class Scaler:
 
 
 def scaler_params(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(pos, feature, mean, std); a deviation of zero becomes 1."""
-    return array_scaler_params(df.select(_doubles([F.col(f) for f in features])), features)
-
-
-def _doubles(values: Sequence[Column]) -> Column:
-    return F.array(*[v.cast("double") for v in values]).alias("features")
+    """(pos, feature, mean, std); null is left out, and a deviation of zero, or of nothing, becomes 1."""
+    return _scaler_rows(df, [F.col(f).cast("double") for f in features], features)
 
 
 def array_scaler_params(
     df: DataFrame, features: Sequence[str], column: str = "features"
 ) -> DataFrame:
-    """The same from one array column: a single summary however many features there are."""
-    summary = Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(column))
-    row = df.agg(summary.alias("s")).select(
-        F.col("s.count").alias("n"),
-        F.arrays_zip(
-            vector_to_array("s.mean").alias("mean"),
-            vector_to_array("s.variance").alias("variance"),
-            F.array(*[F.lit(f) for f in features]).alias("feature"),
-        ).alias("each"),
-    )
-    each = row.select("n", F.posexplode("each").alias("pos", "f"))
-    # The summary has the sample variance.
-    std = F.sqrt(F.col("f.variance") * (F.col("n") - 1) / F.col("n"))
-    return each.select(
+    """The same from one array column."""
+    return _scaler_rows(df, [F.col(column)[i] for i in range(len(features))], features)
+
+
+def _scaler_rows(df: DataFrame, values: Sequence[Column], features: Sequence[str]) -> DataFrame:
+    each = [
+        F.struct(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.lit(f).alias("feature"))
+        for v, f in zip(values, features)
+    ]
+    rows = df.agg(F.array(*each).alias("each")).select(F.posexplode("each").alias("pos", "f"))
+    std = F.coalesce(F.col("f.std"), F.lit(0.0))
+    return rows.select(
         "pos",
         F.col("f.feature").alias("feature"),
-        F.col("f.mean").alias("mean"),
+        F.coalesce(F.col("f.mean"), F.lit(0.0)).alias("mean"),
         F.when(std == 0, 1.0).otherwise(std).alias("std"),
     )
 
@@ -222,77 +238,93 @@ def feature_values(numeric: Sequence[str], vocabulary: Vocabulary) -> dict[str,
 def assemble(df: DataFrame, features: Sequence[str], output: str = "features") -> DataFrame:
     """Put the features into one ML vector column."""
     kept = [c for c in df.columns if c not in set(features)]
-    vector = array_to_vector(_doubles([F.col(f) for f in features]))
-    return df.select(*kept, vector.alias(output))
+    values = F.array(*[F.col(f).cast("double") for f in features])
+    return df.select(*kept, array_to_vector(values).alias(output))
 
 
 # --- split ----------------------------------------------------------------------------------------
 
 
-# Hash buckets of a split: at this number each still holds a millionth of all rows.
-MAX_BUCKETS = 1 << 20
+# Hexadecimal digits of a key's hash that are settled at a time.
+_DIGITS = (4, 8, 32)
+
+
+def holdout_sizes(counts: DataFrame, label: str, frac: float) -> DataFrame:
+    """Add ``held`` to the rows of each class (``n``): ceil(frac·n) in all, shares kept, largest
+    remainders first, equal ones by label. One row per class goes through one task."""
+    every = Window.partitionBy()
+    total = F.sum("n").over(every)
+    counted = counts.withColumn("_all", F.ceil(F.lit(float(frac)) * total)).withColumn(
+        "_exact", F.col("_all") * F.col("n") / total
+    )
+    floored = counted.withColumn("_low", F.floor("_exact"))
+    first = Window.orderBy((F.col("_low") - F.col("_exact")), F.col(label).cast("string"))
+    extra = F.row_number().over(first) <= F.col("_all") - F.sum("_low").over(every)
+    held = F.col("_low") + extra.cast("long")
+    return floored.withColumn("held", held).drop("_all", "_exact", "_low")
 
 
-def holdout_sizes(counts: Mapping, frac: float) -> dict:
-    """Rows to hold out per class: ceil(frac·n) in all, shares kept, largest remainders first."""
-    total = sum(counts.values())
-    held = math.ceil(frac * total)
-    exact = {k: held * n / total for k, n in counts.items()}
-    sizes = {k: math.floor(x) for k, x in exact.items()}
-    by_remainder = sorted(exact, key=lambda k: (sizes[k] - exact[k], str(k)))
-    for k in by_remainder[: held - sum(sizes.values())]:
-        sizes[k] += 1
-    return sizes
+def key_text(key: Sequence[str], seed: int) -> Column:
+    """Seed and key as one text, null as empty."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]
+    return F.concat_ws("|", F.lit(str(seed)), *cells)
 
 
 def stratified_split(
-    df: DataFrame,
-    label: str,
-    key: Sequence[str],
-    frac: float = 0.1,
-    seed: int = 42,
-    bucket_rows: int = 10_000,
+    df: DataFrame, label: str, key: Sequence[str], frac: float = 0.1, seed: int = 42
 ) -> DataFrame:
-    """Add ``split`` (``train`` or ``holdout``), class shares kept.
+    """Add ``split`` (``train`` or ``holdout``), class shares kept; sizes are exact.
 
-    The rows with the smallest hashes of ``key`` are held out; rows with equal keys go to the same
-    side, so the sizes are exact if keys tell rows apart. Ranking a whole class would sort it in one
-    task; instead the hashes are counted in buckets, and only the one bucket per class in which the
-    limit falls is ranked. What is left is one boundary per class, so the split itself is a comparison
-    inside the scan.
+    Per class, the rows with the smallest md5 of ``key_text`` are held out. Where the limit falls is
+    found from counts per hash prefix, longer prefixes only inside the one before, so no class is
+    sorted. Rows with equal keys are alike to the split. If the limit falls among them, the group is
+    written out and as many as are missing are taken from its files one after another, each file
+    numbered by itself; one record that is repeated a billion times is thus still split exactly.
     """
-    # A class label is a category: one row per class comes to the driver.
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
-    sizes = holdout_sizes(counts, frac) if counts else {}
-    buckets = min(MAX_BUCKETS, max(1, sum(counts.values()) // bucket_rows))
-    hashed = df.withColumns({
-        "_hash": F.xxhash64(F.lit(seed), *key), "_tie": F.xxhash64(*key, F.lit(seed)),
-    })
-    hashed = hashed.withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
-    place = ["_bucket", "_hash", "_tie"]
-
-    upto = Window.partitionBy(label).orderBy("_bucket")
-    filled = (
-        hashed.groupBy(label, "_bucket").count().withColumn("upto", F.sum("count").over(upto))
+    place = F.md5(key_text(key, seed))
+    hashed = df.withColumn("_place", place)
+    cut = lambda n: F.substring("_place", 1, n)
+    counts = staged(hashed.groupBy(F.col(label).alias("_label"), cut(_DIGITS[0]).alias("_cut"))
+                    .agg(F.count("*").alias("n")))
+    classes = counts.groupBy("_label").agg(F.sum("n").alias("n"))
+    limits = staged(holdout_sizes(classes, "_label", frac).where("held > 0").select("_label", "held"))
+
+    def edge(groups: DataFrame) -> DataFrame:
+        """The group of each class in which the limit falls; ``left`` of its ``n`` rows are held out."""
+        upto = F.sum("n").over(Window.partitionBy("_label").orderBy("_cut"))
+        found = groups.withColumn("left", F.col("held") - upto + F.col("n"))
+        return staged(found.where((F.col("left") > 0) & (F.col("left") <= F.col("n"))))
+
+    def of(rows: DataFrame, edges: DataFrame, how: str = "inner") -> DataFrame:
+        return rows.join(edges.withColumnRenamed("_label", "_class"),
+                         F.col("_label").eqNullSafe(F.col("_class")), how).drop("_class")
+
+    edges = edge(of(counts, limits))
+    inside = hashed.select(F.col(label).alias("_label"), "_place")
+    for before, digits in zip(_DIGITS, _DIGITS[1:]):
+        marks = edges.select("_label", F.col("left").alias("held"), F.col("_cut").alias("_prefix"))
+        inside = staged(of(inside.drop("held", "_prefix"), marks).where(cut(before) == F.col("_prefix")))
+        groups = inside.groupBy("_label", "held", cut(digits).alias("_cut")).agg(F.count("*").alias("n"))
+        edges = edge(groups)
+    ends = edges.select("_label", F.col("_cut").alias("_end"), "left", (F.col("left") < F.col("n")).alias("_cuts"))
+    marked = of(hashed.withColumn("_label", F.col(label)), ends, "left")
+    in_group = F.coalesce(F.col("_cuts") & (F.col("_place") == F.col("_end")), F.lit(False))
+    names = [*df.columns, "split"]
+    sides = lambda held: F.when(held, "holdout").otherwise("train")
+    whole = marked.withColumn("split", sides(F.col("_place") <= F.col("_end")))
+    if ends.where("_cuts").isEmpty():
+        return whole.select(*names)
+    group = staged(marked.where(in_group).withColumns({
+        "_file": F.spark_partition_id(), "_row": F.monotonically_increasing_id(),
+    }))
+    sizes = group.groupBy("_label", "_file").agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy("_label").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(
+        F.col("_label").alias("_class"), F.col("_file").alias("_part"),
+        F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"),
     )
-    held = F.lit(False)
-    edges = F.lit(False)
-    take = F.lit(0)
-    limit = F.lit(0)
-    for k, n in sizes.items():
-        limit = F.when(F.col(label).eqNullSafe(F.lit(k)), n).otherwise(limit)
-    left = limit - F.col("upto") + F.col("count")
-    for r in filled.filter((left > 0) & (F.col("upto") >= limit)).select(
-        label, "_bucket", left.alias("left")
-    ).collect():
-        here = F.col(label).eqNullSafe(F.lit(r[label])) & (F.col("_bucket") == r["_bucket"])
-        edges = edges | here
-        take = F.when(here, r["left"]).otherwise(take)
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(*place))
-    last = hashed.filter(edges).select(label, *place, rank.alias("rank"), take.alias("take"))
-    for r in last.filter(F.col("rank") == F.col("take")).collect():
-        boundary = F.struct(*[F.lit(r[c]).cast("long").alias(c) for c in place])
-        mine = F.col(label).eqNullSafe(F.lit(r[label]))
-        held = held | (mine & (F.struct(*place) <= boundary))
-    split = F.when(held, "holdout").otherwise("train")
-    return hashed.withColumn("split", split).drop(*place)
+    same = F.col("_label").eqNullSafe(F.col("_class")) & (F.col("_file") == F.col("_part"))
+    number = F.row_number().over(Window.partitionBy("_label", "_file").orderBy("_row"))
+    chosen = group.withColumn("_number", number).join(starts, same)
+    chosen = chosen.withColumn("split", sides(F.col("_start") + F.col("_number") <= F.col("left")))
+    return whole.where(~in_group).select(*names).unionByName(chosen.select(*names))

@@ -1,13 +1,16 @@
 """Running totals that stay balanced when one key holds a large share of all rows.
 
-A window over a key sorts all rows of that key in one task. Here a key above ``max_rows`` is cut
-into slices along its order; each slice is summed on its own and the totals of the slices before it
-are added. Nothing is sampled or dropped: the slices only decide which task does the work.
+A window over a key sorts all rows of that key in one task. Rows of keys above ``max_rows`` are instead
+range-partitioned by key and order and written out; each partition is summed on its own and the totals
+of the partitions before it are added. A partition holds about ``max_rows`` rows whatever their
+distribution, and a key has one total per partition. Nothing is sampled or dropped: this only decides
+which task does the work.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,62 +20,25 @@ from tidewatch.session import staged
 # Rows of one key that a single task may sort.
 MAX_GROUP_ROWS = 4_000_000
 
-# At most this many keys can each hold more than 1/MAX_HOT of all rows, so that the list of hot keys
-# has a fixed size bound however large the data is.
-MAX_HOT = 4096
-_TRACKED = 16 * MAX_HOT
 
-# Slice widths in microseconds, tried from the widest; the last one holds a single timestamp.
-_WIDTHS = (1_000_000, 1_000, 1)
+def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """The keys with more rows than one task should hold, with their number of ``rows``.
 
-_SLICE = ["_slice_ts", "_slice_id"]
-
-
-def key_hash(keys: Sequence[str]) -> Column:
-    return F.xxhash64(*keys)
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_GROUP_ROWS) -> list[int]:
-    """Hashes of the keys with more rows than one task should hold; at most ``MAX_HOT`` values.
-
-    One pass with a frequent-items sketch: bounded state per task, no shuffle of the keys. A hash
-    collision only sends a small key the long way round.
-    """
-    row = df.select(key_hash(keys).alias("h")).agg(
-        F.count("*").alias("n"),
-        F.expr(f"approx_top_k(h, {2 * MAX_HOT}, {_TRACKED})").alias("top"),
-    ).first()
-    limit = max(max_rows, row["n"] // MAX_HOT)
-    return [item["item"] for item in row["top"] if item["count"] > limit][:MAX_HOT]
-
-
-def is_hot(keys: Sequence[str], hot: Sequence[int]) -> Column:
-    return key_hash(keys).isin(list(hot)) if hot else F.lit(False)
-
-
-def _slices(df: DataFrame, keys: Sequence[str], hot: Sequence[int], max_rows: int) -> list[Column]:
-    """Two columns that grow with (``ts``, ``packet_id``) and split hot keys into small groups.
-
-    Time slices of one second do unless a slice is itself too full; then finer ones are taken, down
-    to single timestamps cut into blocks of packet ids. Ids are unique, so that always suffices.
+    Exact, and pre-aggregated before the shuffle. At most one row per ``max_rows`` rows of ``df``.
     """
-    micros = F.unix_micros("ts")
-    for width in _WIDTHS:
-        fullest = (
-            df.filter(is_hot(keys, hot))
-            .groupBy(*keys, _div(micros, width).alias("s"))
-            .count()
-            .agg(F.max("count"))
-            .first()[0]
-        )
-        if fullest is None or fullest <= max_rows:
-            return [_div(micros, width), F.lit(0).cast("long")]
-    return [micros, _div(F.col("packet_id"), max_rows)]
+    counted = df.groupBy(*keys).agg(F.count("*").alias("rows"))
+    return staged(counted.where(F.col("rows") > max_rows))
 
 
-def _div(value: Column, width: int) -> Column:
-    """Floor division of longs, exact over the whole range."""
-    return ((value - F.pmod(value, F.lit(width))) / width).cast("long")
+def split_hot(
+    df: DataFrame, keys: Sequence[str], hot: DataFrame
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of other keys, and of ``hot`` ones (None if there are none); no key column may be null here."""
+    if hot.isEmpty():
+        return df, None
+    named = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+    return df.join(named, same, "left_anti"), df.join(named, same, "left_semi")
 
 
 def running_sums(
@@ -80,42 +46,85 @@ def running_sums(
     keys: Sequence[str],
     sums: Mapping[str, Column],
     max_rows: int = MAX_GROUP_ROWS,
-    hot: Sequence[int] | None = None,
+    order: Sequence[str] = ("ts", "packet_id"),
+    restart: Column | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Add running sums per key in the order (``ts``, ``packet_id``).
+    """Add running sums per key in the given order.
 
-    Without hot keys this is one window over one shuffle. ``hot``
-    gives known hot keys (hashes as from ``hot_keys``) and skips the search for them.
+    ``restart`` marks rows at which the sums start again at zero, not counting the row itself. Without hot
+    keys this is one window over one shuffle. ``hot`` gives known hot keys and skips the search for them.
     """
-    order = ["ts", "packet_id"]
     if hot is None:
         hot = hot_keys(df, keys, max_rows)
-    if not hot:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        running = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumns({name: F.sum(value).over(running) for name, value in sums.items()})
-
-    # Cold keys keep one slice, so that they pass the same window unchanged.
-    cuts = dict(zip(_SLICE, _slices(df, keys, hot, max_rows)))
-    sliced = df.withColumns(
-        {name: F.when(is_hot(keys, hot), cut).otherwise(F.lit(0)) for name, cut in cuts.items()}
+    cold, rest = split_hot(df, keys, hot)
+    found = _summed(cold, keys, sums, order, restart)
+    if rest is None:
+        return found
+    slices = max(2, -(-hot.agg(F.sum("rows")).first()[0] // max_rows))
+    ranged = staged(
+        rest.repartitionByRange(slices, *keys, *order).withColumn("_slice", F.spark_partition_id())
     )
-    group = [*keys, *_SLICE]
-    before = Window.partitionBy(*keys).orderBy(*_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sliced.filter(is_hot(keys, hot))
-        .groupBy(*group)
-        .agg(*[F.sum(value).alias(f"_sum_{name}") for name, value in sums.items()])
-        .select(*group, *[F.sum(f"_sum_{n}").over(before).alias(f"_before_{n}") for n in sums])
+    return found.unionByName(_sliced(ranged, keys, sums, order, restart))
+
+
+def _at_restart(name: str, restart: Column | None) -> Column:
+    return F.when(F.lit(False) if restart is None else restart, F.col(name))
+
+
+def _summed(df, keys, sums, order, restart) -> DataFrame:
+    running = (
+        Window.partitionBy(*keys).orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    found = df.withColumns({name: F.sum(value).over(running) for name, value in sums.items()})
+    if restart is None:
+        return found
+    # Sums never fall, so the last restart has the largest of their values there.
+    bases = {n: F.coalesce(F.max(_at_restart(n, restart)).over(running), F.lit(0)) for n in sums}
+    return found.withColumns({n: F.col(n) - base for n, base in bases.items()})
+
+
+def _sliced(df, keys, sums, order, restart) -> DataFrame:
+    """The same from rows in ``_slice`` s that follow each other in the order."""
     running = (
-        Window.partitionBy(*group).orderBy(*order)
+        Window.partitionBy("_slice", *keys).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    # Written out, so that they are broadcast if they are few and the rows are sorted only once.
-    joined = sliced.join(staged(offsets), group, "left")
-    totals = {
-        name: F.sum(value).over(running) + F.coalesce(f"_before_{name}", F.lit(0))
-        for name, value in sums.items()
-    }
-    return joined.withColumns(totals).drop(*_SLICE, *[f"_before_{n}" for n in sums])
+    found = df.withColumns({name: F.sum(value).over(running) for name, value in sums.items()})
+    marks = {f"_mark_{n}": F.max(_at_restart(n, restart)).over(running) for n in sums}
+    if restart is not None:
+        found = found.withColumns(marks)
+    values = [F.sum(value).alias(f"_sum_{name}") for name, value in sums.items()]
+    totals = df.groupBy("_slice", *keys).agg(*values)
+    ahead = (
+        Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    # One row per key and slice: as many as there are tasks, and one more per key.
+    before = totals.select(
+        "_slice", *keys, *[F.coalesce(F.sum(f"_sum_{n}").over(ahead), F.lit(0)).alias(f"_before_{n}") for n in sums]
+    )
+    if restart is not None:
+        last = found.groupBy("_slice", *keys).agg(*[F.max(f"_mark_{n}").alias(f"_last_{n}") for n in sums])
+        joined = _joined(before, last, ["_slice", *keys])
+        carried = {
+            f"_carried_{n}": F.coalesce(F.max(F.col(f"_before_{n}") + F.col(f"_last_{n}")).over(ahead), F.lit(0))
+            for n in sums
+        }
+        before = joined.withColumns(carried).drop(*[f"_last_{n}" for n in sums])
+    found = _joined(found, staged(before), ["_slice", *keys])
+    for n in sums:
+        total = F.col(n) + F.col(f"_before_{n}")
+        if restart is not None:
+            mark = F.col(f"_before_{n}") + F.col(f"_mark_{n}")
+            total = total - F.coalesce(mark, F.col(f"_carried_{n}"))
+        found = found.withColumn(n, total)
+    extra = [f"_{what}_{n}" for n in sums for what in ("before", "mark", "carried")]
+    return found.drop("_slice", *extra)
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """An inner join in which null equals null."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(named, same).drop(*[f"_right_{k}" for k in keys])

@@ -24,8 +24,8 @@ def percentage(part: Column, whole: Column) -> Column:
 def batch_alert_rate(
     scored: DataFrame, threshold, batch: str = "batch_id", space: str = "logit"
 ) -> DataFrame:
-    """Anomalies and their share of each batch."""
-    counts = scored.groupBy(batch).agg(
+    """Anomalies and their share of each batch. A batch holds IP packets only; others never enter one."""
+    counts = scored.filter(p.is_ip()).groupBy(batch).agg(
         F.count("*").alias("packets"), attacks(threshold, space).alias("anomalies")
     )
     return counts.withColumn("alert_percentage", percentage(F.col("anomalies"), F.col("packets")))

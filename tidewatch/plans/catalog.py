@@ -6,10 +6,12 @@ rounded to six digits. ``SQL`` has an entry wherever SQL can express the operato
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,28 +43,33 @@ ev AS (
 )"""
 
 PACKETS = EVENTS + """,
+kinds AS (SELECT *, CASE WHEN event_id % 23 >= 2 THEN k % 20 ELSE 99 END AS m FROM ev),
 pk AS (
   SELECT event_id AS packet_id,
     1704067200000000 + event_id * 100000 AS us,
-    '10.0.' || (event_id // 4000) || '.' || (user_id % 4) AS src_ip,
-    CASE WHEN k % 25 = 0 THEN '10.0.' || (event_id // 4000) || '.' || (user_id % 4)
-         ELSE '10.1.0.' || (k % 8) END AS dst_ip,
-    CASE WHEN k % 20 < 14 THEN 'tcp' WHEN k % 20 < 17 THEN 'udp' WHEN k % 20 < 19 THEN 'icmp'
+    m < 99 AS ip,
+    CASE WHEN m < 99 THEN '10.0.' || (event_id // 4000) || '.' || (user_id % 4)
+         WHEN event_id % 23 = 1 THEN 'fd00::' || (user_id % 4) END AS src_ip,
+    CASE WHEN m < 99 AND k % 25 = 0 THEN '10.0.' || (event_id // 4000) || '.' || (user_id % 4)
+         WHEN m < 99 THEN '10.1.0.' || (k % 8)
+         WHEN event_id % 23 = 1 THEN 'fd00::1:' || (k % 8) END AS dst_ip,
+    CASE WHEN m < 14 THEN 'tcp' WHEN m < 17 THEN 'udp' WHEN m < 19 THEN 'icmp'
          ELSE 'unknown' END AS proto,
-    CASE WHEN k % 20 < 14 THEN 1024 + user_id % 16 WHEN k % 20 < 17 THEN 5000 END AS src_port,
-    CASE WHEN k % 20 < 14 THEN
+    CASE WHEN m < 14 THEN 1024 + user_id % 16 WHEN m < 17 THEN 5000 END AS src_port,
+    CASE WHEN m < 14 THEN
            CASE k % 7 WHEN 0 THEN 80 WHEN 1 THEN 443 WHEN 2 THEN 22 WHEN 3 THEN 21 ELSE 1000 + k END
-         WHEN k % 20 < 17 THEN CASE WHEN k % 2 = 0 THEN 53 ELSE 161 END END AS dst_port,
-    CASE WHEN k % 20 < 14 THEN
-      CASE k % 20 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 41 WHEN 3 THEN 18 WHEN 4 THEN 16
+         WHEN m < 17 THEN CASE WHEN k % 2 = 0 THEN 53 ELSE 161 END END AS dst_port,
+    CASE WHEN m < 14 THEN
+      CASE m WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 41 WHEN 3 THEN 18 WHEN 4 THEN 16
         WHEN 5 THEN 24 WHEN 6 THEN 4 WHEN 7 THEN 43 ELSE 2 END END AS tcp_flags,
-    CASE WHEN k % 20 < 14 AND k % 11 = 0 THEN 1 ELSE 0 END AS urgent,
-    CASE k % 20 WHEN 17 THEN 8 WHEN 18 THEN 0 END AS icmp_type,
-    CASE WHEN k % 13 = 0 OR k % 17 = 0 THEN 1 ELSE 0 END AS fragment,
-    40 + k AS ip_len,
+    CASE WHEN m < 14 AND k % 11 = 0 THEN 1 ELSE 0 END AS urgent,
+    CASE m WHEN 17 THEN 8 WHEN 18 THEN 0 END AS icmp_type,
+    CASE WHEN m < 99 AND (k % 13 = 0 OR k % 17 = 0) THEN 1 ELSE 0 END AS fragment,
+    CASE WHEN m < 99 AND k % 25 = 0 THEN 1 ELSE 0 END AS land,
+    CASE WHEN m < 99 THEN 40 + k ELSE 0 END AS ip_len,
     CASE WHEN k % 50 = 49 THEN 1514 ELSE 54 + k END AS frame_len,
     (k - 40) / 20.0::DOUBLE AS score
-  FROM ev
+  FROM kinds
 )"""
 
 FLAG_NAMES = """
@@ -111,7 +118,7 @@ CASE WHEN frame_len > 1500 THEN 'POSSIBLE_DOS' WHEN {STEALTH} THEN 'STEALTH_SCAN
   ELSE 'ANOMALY' END"""
 
 ALERTS = f"""WITH {PACKETS}, {_scan_sql('score > 0.1')},
-typed AS (SELECT *, {ATTACK} AS attack_type, {FLAG_NAMES} AS flags FROM pk WHERE score > 0.1),
+typed AS (SELECT *, {ATTACK} AS attack_type, {FLAG_NAMES} AS flags FROM pk WHERE ip AND score > 0.1),
 al AS (
   SELECT packet_id, us, attack_type,
     strftime(make_timestamp(us), '%Y-%m-%d %H:%M:%S') AS timestamp,
@@ -170,7 +177,7 @@ _register("protocol_service_flag", _packet_query(
     protocol_type=p.protocol_type, service=p.service, flag=p.flag,
 ))
 _register("packet_marks", _packet_query(
-    """(src_ip = dst_ip)::INT AS land, fragment AS wrong_fragment, urgent, ip_len AS src_bytes,
+    """land, fragment AS wrong_fragment, urgent, ip_len AS src_bytes,
     ip_len AS dst_bytes""",
     land=p.land, wrong_fragment=p.wrong_fragment, urgent=p.urgent, src_bytes=p.datagram_bytes,
     dst_bytes=p.datagram_bytes,
@@ -203,7 +210,7 @@ _register("severity", _packet_query(
 
 @query(f"""WITH {PACKETS} SELECT packet_id, 0 AS duration, proto AS protocol_type,
   {SERVICE} AS service, {FLAG} AS flag, ip_len AS src_bytes, ip_len AS dst_bytes,
-  (src_ip = dst_ip)::INT AS land, fragment AS wrong_fragment, urgent,
+  land, fragment AS wrong_fragment, urgent,
   CASE WHEN proto = 'tcp' THEN row_number() OVER (
     PARTITION BY proto, src_ip, src_port, dst_ip, dst_port ORDER BY us, packet_id) ELSE 1 END AS count,
   1 AS srv_count, 0 AS serror_rate, 0 AS srv_serror_rate, 0 AS rerror_rate, 0 AS srv_rerror_rate,
@@ -214,8 +221,8 @@ def packet_features(spark, folder):
 
 @query(f"""WITH {PACKETS} SELECT packet_id,
   strftime(make_timestamp(us), '%Y-%m-%d %H:%M:%S.') || printf('%03d', (us // 1000) % 1000) AS timestamp,
-  src_ip, dst_ip, CASE WHEN proto = 'unknown' THEN proto ELSE upper(proto) END AS protocol,
-  src_port, dst_port, {FLAG_NAMES} AS flags, frame_len AS size,
+  CASE WHEN ip THEN src_ip END AS src_ip, CASE WHEN ip THEN dst_ip END AS dst_ip,
+  CASE WHEN proto = 'unknown' THEN proto ELSE upper(proto) END AS protocol, src_port, dst_port, {FLAG_NAMES} AS flags, frame_len AS size,
   CASE WHEN frame_len > 1500 THEN 'POSSIBLE_DOS' WHEN {STEALTH} THEN 'STEALTH_SCAN'
     WHEN icmp_type = 8 THEN 'PING_SCAN' ELSE 'unknown' END AS attack_type,
   score AS prediction_score FROM pk""")
@@ -224,7 +231,7 @@ def packet_details(spark, folder):
 
 
 @query(f"""WITH {PACKETS} SELECT packet_id, score FROM pk
-WHERE src_ip <> '10.0.0.1' AND dst_ip <> '10.0.0.1'""")
+WHERE ip AND src_ip <> '10.0.0.1' AND dst_ip <> '10.0.0.1'""")
 def ip_only(spark, folder):
     kept = packet_files.ip_only(fx.packets(spark, folder), exclude_host="10.0.0.1")
     return kept.select("packet_id", "score")
@@ -236,14 +243,14 @@ def first_packets(spark, folder):
     return first.select("packet_id", F.unix_micros("ts").alias("us"))
 
 
-@query(f"WITH {PACKETS} SELECT packet_id, (src_ip = '10.0.0.1')::INT AS trusted FROM pk")
+@query(f"WITH {PACKETS} SELECT packet_id, coalesce(src_ip = '10.0.0.1', false)::INT AS trusted FROM pk")
 def mark_trusted(spark, folder):
     hosts = spark.createDataFrame([(h,) for h in fx.TRUSTED_HOSTS], "ip string")
     marked = packets.mark_trusted(fx.packets(spark, folder), hosts)
     return marked.select("packet_id", F.col("trusted").cast("int").alias("trusted"))
 
 
-@query(f"WITH {PACKETS} SELECT packet_id, src_ip FROM pk WHERE src_ip <> '10.0.0.1'")
+@query(f"WITH {PACKETS} SELECT packet_id, src_ip FROM pk WHERE src_ip IS DISTINCT FROM '10.0.0.1'")
 def untrusted_only(spark, folder):
     hosts = spark.createDataFrame([(h,) for h in fx.TRUSTED_HOSTS], "ip string")
     kept = packets.only_trusted(fx.packets(spark, folder), hosts, keep=False)
@@ -394,10 +401,11 @@ def epoch_starts(spark, folder):
 
 @query(f"""WITH {PACKETS}
 SELECT packet_id, count(*) {RUNNING} AS count, sum(frame_len) {RUNNING}::BIGINT AS running_bytes
-FROM pk WHERE proto = 'tcp'""")
+FROM pk WHERE proto = 'tcp'
+UNION ALL SELECT packet_id, 1, frame_len FROM pk WHERE proto <> 'tcp'""")
 def running_bytes(spark, folder):
-    tcp = fx.packets(spark, folder).filter(p.is_tcp())
-    return connections.running_bytes(tcp).select("packet_id", "count", "running_bytes")
+    counted = connections.running_bytes(fx.packets(spark, folder))
+    return counted.select("packet_id", "count", "running_bytes")
 
 
 @query(f"""WITH {PACKETS} SELECT src_ip, src_port, dst_ip, dst_port, min(us) AS start_time,
@@ -421,8 +429,8 @@ def recent_suspicious(spark, folder):
 STATUS = f"""WITH {PACKETS}, st AS (
   SELECT us // 10000000 * 10000000 AS window_start, 10.0::DOUBLE AS runtime,
     count(*) AS packets_analyzed, round(count(*) / 10.0, 6) AS packets_per_second,
-    count(*) FILTER (score > 0.1) AS potential_attacks_detected,
-    round(100.0 * count(*) FILTER (score > 0.1) / count(*), 6) AS attack_percentage
+    count(*) FILTER (ip AND score > 0.1) AS potential_attacks_detected,
+    round(100.0 * count(*) FILTER (ip AND score > 0.1) / count(*), 6) AS attack_percentage
   FROM pk GROUP BY 1
 )"""
 
@@ -451,9 +459,9 @@ def status_lines(spark, folder):
     return lines.withColumn("logged_us", F.unix_micros("logged_at")).drop("logged_at")
 
 
-@query(f"""WITH {PACKETS} SELECT count(*) AS total_packets, count(*) FILTER (score > 0.1) AS total_attacks,
+@query(f"""WITH {PACKETS} SELECT count(*) AS total_packets, count(*) FILTER (ip AND score > 0.1) AS total_attacks,
   round((max(us) - min(us)) / 1000000.0, 6) AS runtime,
-  round(100.0 * count(*) FILTER (score > 0.1) / count(*), 6) AS attack_percentage FROM pk""")
+  round(100.0 * count(*) FILTER (ip AND score > 0.1) / count(*), 6) AS attack_percentage FROM pk""")
 def run_totals(spark, folder):
     totals = status.run_totals(fx.packets(spark, folder), fx.THRESHOLD)
     return totals.withColumns({c: r6(c) for c in ("runtime", "attack_percentage")})
@@ -468,8 +476,8 @@ def report_file(spark, folder):
 
 
 @query(f"""WITH {PACKETS} SELECT packet_id // 100 AS batch_id, count(*) AS packets,
-  count(*) FILTER (score > 0.1) AS anomalies,
-  round(100.0 * count(*) FILTER (score > 0.1) / count(*), 6) AS alert_percentage FROM pk GROUP BY 1""")
+  count(*) FILTER (ip AND score > 0.1) AS anomalies,
+  round(100.0 * count(*) FILTER (ip AND score > 0.1) / count(*), 6) AS alert_percentage FROM pk WHERE ip GROUP BY 1""")
 def batch_alert_rate(spark, folder):
     batches = fx.packets(spark, folder).withColumn("batch_id", F.expr("packet_id div 100"))
     rates = status.batch_alert_rate(batches, fx.THRESHOLD)
@@ -583,16 +591,11 @@ SCALER = "WITH " + FLOWS + ", sc AS (" + " UNION ALL ".join(
 ) + ")"
 
 
-# Means of decimals often lie just between two roundings; shifted by this they do not.
-OFF_TIE = 3e-8
-
-
 def _scaler(params: DataFrame) -> DataFrame:
-    return params.withColumns({"mean": r6(F.col("mean") + OFF_TIE), "std": r6("std")})
+    return params.withColumns({c: F.round(c, 4) for c in ("mean", "std")})
 
 
-@query(f"""{SCALER} SELECT pos, feature, round(mean + {OFF_TIE}, 6) AS mean, round(std, 6) AS std
-FROM sc""")
+@query(f"{SCALER} SELECT pos, feature, round(mean, 4) AS mean, round(std, 4) AS std FROM sc")
 def scaler_params(spark, folder):
     return _scaler(prepare.scaler_params(fx.flows(spark, folder), fx.FLOW_NUMERIC))
 
@@ -633,11 +636,66 @@ def stratified_split_sizes(spark, folder):
     return split.groupBy("binary_label", "split").agg(F.count("*").alias("n"))
 
 
-@query()
+def _split_sql(key_text: str, columns: str) -> str:
+    """Every flow with its split, by md5 of ``key_text``; equal hashes in any order."""
+    return f"""WITH {FLOWS}, hashed AS (
+  SELECT {columns}, (label <> 'normal')::INT AS binary_label, md5('42|' || {key_text}) AS place FROM fl
+), n AS (
+  SELECT binary_label, count(*) AS n, sum(count(*)) OVER () AS total FROM hashed GROUP BY 1
+), want AS (
+  SELECT *, ceil(total * 0.1) * n / total AS exact, floor(ceil(total * 0.1) * n / total) AS low FROM n
+), held AS (
+  SELECT binary_label, low + CASE WHEN row_number() OVER (ORDER BY exact - low DESC, binary_label)
+    <= ceil(total * 0.1) - sum(low) OVER () THEN 1 ELSE 0 END AS h FROM want
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY binary_label ORDER BY place) AS rank FROM hashed
+), sides AS (
+  SELECT ranked.*, CASE WHEN rank <= h THEN 'holdout' ELSE 'train' END AS split
+  FROM ranked JOIN held USING (binary_label)
+)"""
+
+
+@query(_split_sql("l_orderkey || '|' || l_linenumber || '|' || l_partkey", "l_orderkey, l_linenumber, l_partkey")
+       + " SELECT l_orderkey, l_linenumber, l_partkey, binary_label, split FROM sides")
 def stratified_split(spark, folder):
     flows = prepare.binary_label(fx.flows(spark, folder))
-    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "quantity"]
-    return prepare.stratified_split(flows, "binary_label", key)
+    split = prepare.stratified_split(flows, "binary_label", ["l_orderkey", "l_linenumber", "l_partkey"])
+    return split.select("l_orderkey", "l_linenumber", "l_partkey", "binary_label", "split")
+
+
+@query(_split_sql("returnflag || '|' || linestatus", "returnflag, linestatus")
+       + """ SELECT binary_label, returnflag, linestatus, split, count(*) AS n FROM sides GROUP BY ALL""")
+def stratified_split_repeated(spark, folder):
+    """Keys of a few values only: the limit falls among very many equal rows."""
+    flows = prepare.binary_label(fx.flows(spark, folder))
+    split = prepare.stratified_split(flows, "binary_label", fx.FLOW_CATEGORICAL)
+    return split.groupBy("binary_label", *fx.FLOW_CATEGORICAL, "split").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {FLOWS} SELECT DISTINCT returnflag, linestatus, label,
+  (SELECT count(*) FROM (SELECT DISTINCT returnflag FROM fl) x WHERE x.returnflag < fl.returnflag) AS first,
+  (SELECT count(*) FROM (SELECT DISTINCT linestatus FROM fl) y WHERE y.linestatus < fl.linestatus)
+  + (SELECT count(DISTINCT returnflag) FROM fl) AS second FROM fl""")
+def one_hot_vector(spark, folder):
+    flows = fx.flows(spark, folder).select("returnflag", "linestatus", "label")
+    hot = prepare.one_hot_vector(flows, columns=fx.FLOW_CATEGORICAL)
+    at = F.filter(F.sequence(F.lit(0), F.size("v") - 1), lambda i: F.get("v", i) == 1)
+    places = hot.withColumn("v", vector_to_array("categories")).withColumn("at", at)
+    return places.select("returnflag", "linestatus", "label", F.col("at")[0].alias("first"),
+                         F.col("at")[1].alias("second")).distinct()
+
+
+@query(f"WITH {FLOWS} SELECT l_orderkey, l_linenumber, quantity, tax FROM fl")
+def assemble(spark, folder):
+    flows = fx.flows(spark, folder).select("l_orderkey", "l_linenumber", "quantity", "tax")
+    packed = prepare.assemble(flows, ["quantity", "tax"]).withColumn("v", vector_to_array("features"))
+    return packed.select("l_orderkey", "l_linenumber", F.col("v")[0].alias("quantity"), F.col("v")[1].alias("tax"))
+
+
+@query(f"WITH {FLOWS} SELECT l_orderkey, l_linenumber, label FROM fl")
+def drop_columns(spark, folder):
+    flows = fx.flows(spark, folder).select("l_orderkey", "l_linenumber", "label")
+    return prepare.drop_columns(flows.withColumn("difficulty_level", F.lit(1)))
 
 
 # --- evaluation -----------------------------------------------------------------------------------
@@ -751,6 +809,35 @@ def roc_curve(spark, folder):
     return _rounded(curve.withColumn("threshold", finite), "fpr", "tpr")
 
 
+@query(f"""{CURVE}, steps AS (
+  SELECT *, lag(pos) OVER w AS pos0, lead(pos) OVER w AS pos1, lead(neg) OVER w AS neg1 FROM cu
+  WINDOW w AS (ORDER BY threshold DESC)
+) SELECT threshold, round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr FROM steps
+WHERE pos0 IS NULL OR pos1 IS NULL OR pos <> pos1 OR neg <> neg1 UNION ALL SELECT NULL, 0, 0""")
+def roc_curve_corners(spark, folder):
+    """The default form: no points between others on a straight line."""
+    curve = evaluate.roc_curve(fx.scored(spark, folder))
+    finite = F.when(F.col("threshold") < float("inf"), F.col("threshold"))
+    return _rounded(curve.withColumn("threshold", finite), "fpr", "tpr")
+
+
+MISSING = CURVE.replace("SELECT p AS threshold", """SELECT
+    CASE WHEN event_id % 5 < 2 THEN '-inf'::DOUBLE ELSE p END AS threshold""").replace(
+    "FROM sd GROUP BY p", "FROM sd GROUP BY 1")
+
+
+@query(f"""{MISSING} SELECT threshold, round(tp / (tp + fp), 6) AS precision, round(tp / p, 6) AS recall,
+  round(fp / n, 6) AS fpr FROM cu""")
+def curves_with_missing_scores(spark, folder):
+    """Null and NaN scores reach the lowest threshold only."""
+    gone = F.when(F.col("event_id") % 5 == 1, float("nan"))
+    scores = fx.scored(spark, folder).withColumn("p", F.when(F.col("event_id") % 5 < 2, gone).otherwise(F.col("p")))
+    roc = evaluate.roc_curve(scores, drop_intermediate=False).filter("threshold < double('inf')")
+    pr = evaluate.pr_curve(scores).filter("threshold is not null")
+    both = pr.join(roc.select("threshold", "fpr"), "threshold")
+    return _rounded(both, "precision", "recall", "fpr")
+
+
 @query(f"""{CURVE}, b AS (
   SELECT fp / n AS x, tp / p AS y, lag(fp / n, 1, 0) OVER (ORDER BY threshold DESC) AS x0,
     lag(tp / p, 1, 0) OVER (ORDER BY threshold DESC) AS y0 FROM cu
@@ -854,49 +941,108 @@ def dense_score(spark, folder):
     return scored.select("vec_id", F.round("score", 4).alias("score"))
 
 
-def _prepared(spark, folder, **options):
-    flows = fx.flows(spark, folder).drop("raw")
-    test = flows.filter(F.year("l_shipdate") >= 2000)
-    train = flows.filter(F.year("l_shipdate") < 2000)
-    # The label is the return flag itself, so the model gets the line status and the numbers.
-    return training.prepare_flows(train, test, fx.FLOW_NUMERIC, ["linestatus"], **options)
+UNSCORED = _vector_sql(False).replace(f"WITH {PACKETS} SELECT packet_id, ", "SELECT packet_id AS vec_id, [").replace(
+    " FROM pk", "] AS x FROM pk WHERE ip")
+UNSCORED = re.sub(r" AS (?:" + "|".join(PACKET_SCALER.features) + r")(?=[,\]])", "", UNSCORED)
+UNSCORED_LAYERS = ", ".join(
+    _layer_sql(i, n_in, n_out, "n" if i == 0 else f"n{i - 1}")
+    for i, (n_in, n_out) in enumerate(zip([8, *learn.HIDDEN], [*learn.HIDDEN, 1]))
+)
+UNSCORED_ALERTS = (
+    ALERTS.replace(PACKETS, PACKETS.replace("pk AS (", "pk0 AS (") + f""", n AS ({UNSCORED.replace("FROM pk ", "FROM pk0 ")}),
+{UNSCORED_LAYERS}, pk AS (
+  SELECT pk0.* EXCLUDE (score), n3.x[1] AS score FROM pk0 JOIN n3 ON n3.vec_id = pk0.packet_id
+)""")
+)
 
 
-def _fit(spark: SparkSession) -> dict:
-    return {"maxIter": 20, "partitions": spark.sparkContext.defaultParallelism}
+@query(f"""{UNSCORED_ALERTS} SELECT packet_id, attack_type, severity, source_ip, destination_port,
+  round(anomaly_score, 4) AS anomaly_score FROM al""")
+def detect_unscored(spark, folder):
+    """Packets without a score, through features, encoding and network to alerts."""
+    traffic = fx.packets(spark, folder).drop("score")
+    scored = detection.score_packets(traffic, PACKET_SCALER, _ruled_network(8), max_age=None)
+    found = detection.detect(scored, fx.THRESHOLD, fx.TRUSTED_HOSTS)
+    return found.select("packet_id", "attack_type", "severity", "source_ip", "destination_port",
+                        F.round("anomaly_score", 4).alias("anomaly_score"))
 
 
-@query()
-def train_classifier(spark, folder):
-    train = _prepared(spark, folder).train.filter("split = 'train'")
-    model = learn.train_classifier(train, **_fit(spark))
-    rows = [(i, float(c)) for i, c in enumerate([*model.coefficients, model.intercept])]
-    return spark.createDataFrame(rows, "pos int, coefficient double")
+# With one input of 0 or 1 the weighted logistic fit has a closed form: the log odds of either half.
+HALVES = f"""WITH {FLOWS}, rows AS (
+  SELECT (label <> 'normal')::INT AS y, (quantity > 25)::INT AS x, year(l_shipdate::DATE) >= 2000 AS test FROM fl
+), n AS (
+  SELECT count(*) FILTER (y = 0 AND x = 0) AS a, count(*) FILTER (y = 1 AND x = 0) AS b,
+    count(*) FILTER (y = 0 AND x = 1) AS c, count(*) FILTER (y = 1 AND x = 1) AS d FROM rows WHERE NOT test
+), fit AS (
+  SELECT ln(((a + c) / (b + d)) * (b / a)) AS intercept, ln((d / c) / (b / a)) AS coefficient FROM n
+), scored AS (SELECT y, x, intercept + coefficient * x AS z FROM rows, fit WHERE test),
+predicted AS (SELECT y AS binary_label, round(z, 3) AS z, round(1 / (1 + exp(-z)), 4) AS p,
+  1 / (1 + exp(-z)) AS exact FROM scored)"""
 
 
-@query()
-def predict_test(spark, folder):
-    prepared = _prepared(spark, folder)
-    model = learn.train_classifier(prepared.train.filter("split = 'train'"), **_fit(spark))
-    return learn.predict(model, prepared.test).select("binary_label", "z", "p")
+def _halves(spark, folder) -> training.Prepared:
+    flows = fx.flows(spark, folder).withColumn("half", (F.col("quantity") > 25).cast("int"))
+    rows = flows.select("half", "label", (F.year("l_shipdate") >= 2000).alias("test"))
+    parts = [rows.filter(F.col("test") == t).drop("test") for t in (False, True)]
+    return training.prepare_flows(*parts, ["half"], [])
+
 
+EXACT = {"maxIter": 200, "tol": 1e-12}
 
-@query()
+
+@query(f"{HALVES} SELECT 0 AS pos, round(coefficient, 3) AS coefficient FROM fit "
+       "UNION ALL SELECT 1, round(intercept, 3) FROM fit")
+def train_classifier(spark, folder):
+    prepared = _halves(spark, folder)
+    model = learn.train_classifier(prepared.train, **EXACT)
+    slope = float(model.coefficients[0]) / prepared.scaler.stds[0]
+    start = float(model.intercept) - slope * prepared.scaler.means[0]
+    rows = spark.createDataFrame([(0, slope), (1, start)], "pos int, coefficient double")
+    return rows.withColumn("coefficient", F.round("coefficient", 3))
+
+
+@query(f"{HALVES} SELECT binary_label, z, p FROM predicted")
+def predict_test(spark, folder):
+    prepared = _halves(spark, folder)
+    model = learn.train_classifier(prepared.train, **EXACT)
+    scored = learn.predict(model, prepared.test)
+    return scored.select("binary_label", F.round("z", 3).alias("z"), F.round("p", 4).alias("p"))
+
+
+@query(f"""{HALVES}, sw AS (
+  SELECT cut / 100.0 AS threshold,
+    count(*) FILTER (exact < cut / 100.0 AND binary_label = 0) AS tn,
+    count(*) FILTER (exact >= cut / 100.0 AND binary_label = 0) AS fp,
+    count(*) FILTER (exact < cut / 100.0 AND binary_label = 1) AS fn,
+    count(*) FILTER (exact >= cut / 100.0 AND binary_label = 1) AS tp
+  FROM predicted, (SELECT unnest(range(10, 91)) AS cut) GROUP BY cut
+), rates AS (SELECT threshold, tn, fp, fn, tp, {RATES} FROM sw)
+SELECT round(threshold, 2) AS threshold, tp, fp, tn, fn, fpr, fnr FROM rates
+ORDER BY f1 DESC, threshold LIMIT 1""")
 def evaluate_test(spark, folder):
-    _, _, evaluation = training.train_and_evaluate(_prepared(spark, folder), **_fit(spark))
-    return evaluation.report.withColumn("threshold", F.lit(evaluation.threshold))
+    prepared = _halves(spark, folder)
+    model = learn.train_classifier(prepared.train, **EXACT)
+    scored = learn.predict(model, prepared.test)
+    evaluation = training.evaluate_scores(scored, "p", "binary_label")
+    report = evaluation.report.withColumn("threshold", F.lit(round(evaluation.threshold, 2)))
+    return report.withColumns({"fpr": r6("fpr"), "fnr": r6("fnr")})
 
 
-@query()
+@query(f"""{HALVES} SELECT 0 AS epoch, round(-(q * ln(q) + (1 - q) * ln(1 - q)), 6) AS train_loss
+FROM (SELECT (b + d) / (a + b + c + d) AS q FROM n)""")
 def training_history(spark, folder):
-    from pyspark.ml.functions import vector_to_array
+    """The loss before the first step: that of the share of positives, told to every row."""
+    model = learn.train_classifier(_halves(spark, folder).train, pos_weight=1.0, **EXACT)
+    history = learn.training_history(spark, model).filter("epoch = 0")
+    return history.select("epoch", r6("train_loss").alias("train_loss"))
 
-    prepared = _prepared(spark, folder)
-    width = len(prepared.scaler.features)
-    rows = prepared.train.withColumn("features", vector_to_array("features"))
-    weight = evaluate.class_weight(rows, "binary_label").first()["pos_weight"]
-    _, history = learn.train_by_epochs(rows, width, weight, epochs=5, learning_rate=0.1)
-    return learn.training_history(spark, history)
+
+def wide_flows(spark: SparkSession, folder: str) -> training.Prepared:
+    """All numbers and the line status as inputs; the return flag is the label, so it is none."""
+    flows = fx.flows(spark, folder).drop("raw")
+    test = flows.filter(F.year("l_shipdate") >= 2000)
+    train = flows.filter(F.year("l_shipdate") < 2000)
+    return training.prepare_flows(train, test, fx.FLOW_NUMERIC, ["linestatus"])
 
 
 # --- files ----------------------------------------------------------------------------------------
@@ -922,34 +1068,43 @@ def flow_file(spark, folder):
     return stored.select("duration", "flag", "serror_rate", "label")
 
 
-@query(f"WITH {PACKETS} SELECT packet_id, us, src_ip, tcp_flags FROM pk")
+@query(f"""WITH {PACKETS} SELECT packet_id, us, src_ip, dst_ip, src_port, dst_port, tcp_flags, icmp_type,
+  CASE WHEN ip THEN ip_len END AS ip_len, frame_len FROM pk""")
 def packet_file(spark, folder):
     path = fresh(spark, "packets")
     fx.packets(spark, folder).drop("score").write.parquet(path)
     stored = packet_files.read_packets(spark, path)
-    return stored.select("packet_id", F.unix_micros("ts").alias("us"), "src_ip", "tcp_flags")
+    return stored.select(
+        "packet_id", F.unix_micros("ts").alias("us"), "src_ip", "dst_ip", "src_port", "dst_port",
+        "tcp_flags", "icmp_type", "ip_len", "frame_len",
+    )
 
 
 # --- streams --------------------------------------------------------------------------------------
 
 
-# State stores per operator in the queries below; a job at scale sets its own number.
-STREAM_PARTITIONS = 8
-
+def _streamed(
+    spark: SparkSession, folder: str, slices: int = 4, files: int = 2, repeats: bool = False
+) -> DataFrame:
+    """The packets as a stream of files, one slice of time per micro-batch.
 
-def _streamed(spark: SparkSession, folder: str, slices: int = 4, files: int = 2) -> DataFrame:
-    """The packets as a stream of files, one slice of time per micro-batch."""
+    Slices are written one after another, since a stream takes files by age. ``repeats`` gives every
+    tenth packet a second time in its slice.
+    """
     path = fresh(spark, "stream")
     traffic = fx.packets(spark, folder)
     first, last = traffic.agg(F.min("packet_id"), F.max("packet_id")).first()
+    if repeats:
+        times = F.when(F.col("packet_id") % 10 == 0, 2).otherwise(1)
+        traffic = traffic.withColumn("_n", F.explode(F.sequence(F.lit(1), times))).drop("_n")
     for i in range(slices):
         upto = first + (last - first + 1) * (i + 1) // slices
         start = first + (last - first + 1) * i // slices
         part = traffic.filter((F.col("packet_id") >= start) & (F.col("packet_id") < upto))
         part.repartition(files).write.mode("append").parquet(path)
     streaming = spark.newSession()
-    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), STREAM_PARTITIONS)
-    for key, value in {**STATE_STORE, "spark.sql.shuffle.partitions": str(partitions)}.items():
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    for key, value in {**STATE_STORE, "spark.sql.shuffle.partitions": shuffles}.items():
         streaming.conf.set(key, value)
     return packet_files.stream_packets(streaming, path, SCORED_PACKET_SCHEMA, max_files=files)
 
@@ -968,7 +1123,8 @@ def _drained(spark: SparkSession, stream: DataFrame, output_mode: str = "append"
 
 @query(SQL["status_window"])
 def stream_status(spark, folder):
-    counts = jobs.stream_status(stateful.in_event_time(_streamed(spark, folder)), fx.THRESHOLD)
+    repeated = stateful.in_event_time(_streamed(spark, folder, repeats=True))
+    counts = jobs.stream_status(repeated, fx.THRESHOLD)
     rows = _drained(spark, counts, "update")
     return _status(jobs.latest(rows, "window_start", "window_end"))
 

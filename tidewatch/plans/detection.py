@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 
 from tidewatch.operators import learn, packets, prepare, scans
+from tidewatch.session import staged
 from tidewatch.sources.packets import ip_only
 
 
@@ -40,6 +41,7 @@ def detect(
     if scope not in ("anomalous", "all"):
         raise ValueError(f"scope must be 'anomalous' or 'all', not {scope!r}")
     traffic = ip_only(scored)
-    anomalous = packets.flag_anomalies(traffic, threshold, space)
+    # Used twice, for scans and for the alerts: written out, so that scoring runs once.
+    anomalous = staged(packets.flag_anomalies(traffic, threshold, space))
     flagged = scans.port_scan(anomalous, traffic if scope == "all" else None)
     return packets.alerts(packets.mark_trusted(flagged, trusted), drop_normal)

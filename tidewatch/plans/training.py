@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Model
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import evaluate, learn, prepare
 from tidewatch.schemas import CATEGORICAL, NUMERIC
+from tidewatch.session import staged
 
 
 @dataclass(frozen=True)
@@ -49,8 +49,9 @@ def prepare_flows(
     scaler = prepare.scaler_of(prepare.array_scaler_params(inputs, names))
 
     def vectors(flows: DataFrame, *kept: str) -> DataFrame:
-        scaled = F.array(*scaler.scaled(values).values())
-        return flows.select(*kept, "binary_label", array_to_vector(scaled).alias("features"))
+        scaled = {f"_{i}": c for i, c in enumerate(scaler.scaled(values).values())}
+        rows = flows.select(*kept, "binary_label", *[c.alias(n) for n, c in scaled.items()])
+        return prepare.assemble(rows, list(scaled))
 
     return Prepared(vectors(split, "split"), vectors(tested), vocabulary, scaler)
 
@@ -73,6 +74,7 @@ def train_and_evaluate(
 
 
 def evaluate_scores(scored: DataFrame, score: str = "p", label: str = "y") -> Evaluation:
-    sweep = evaluate.threshold_sweep(scored, score=score, label=label)
-    threshold = evaluate.best_threshold(sweep).first()["threshold"]
-    return Evaluation(sweep, threshold, evaluate.final_report(scored, threshold, score, label))
+    sweep = staged(evaluate.threshold_sweep(scored, score=score, label=label))
+    best = evaluate.best_threshold(sweep)
+    # The sweep's row has the counts already: the report needs no second pass over the scores.
+    return Evaluation(sweep, best.first()["threshold"], evaluate.report_of(best))

@@ -43,16 +43,6 @@ def load_network(spark: SparkSession, path: str) -> learn.DenseNetwork:
     return learn.network_of(spark.read.parquet(path))
 
 
-def save_linear(spark: SparkSession, model: learn.LinearModel, path: str) -> None:
-    row = ([float(w) for w in model.weights], float(model.intercept))
-    _save(spark.createDataFrame([row], "weights array<double>, intercept double"), path)
-
-
-def load_linear(spark: SparkSession, path: str) -> learn.LinearModel:
-    row = spark.read.parquet(path).first()
-    return learn.LinearModel(row["weights"], row["intercept"])
-
-
 def save_threshold(spark: SparkSession, threshold: float, path: str) -> None:
     _save(spark.createDataFrame([(float(threshold),)], "threshold double"), path)
 
