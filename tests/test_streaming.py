@@ -4,11 +4,12 @@ import pytest
 from conftest import icmp, packet, udp
 from pyspark.sql import functions as F
 
-from tidewatch.operators import connections, scans, status
+from tidewatch.operators import connections, prepare, scans, status
 from tidewatch.plans import detection
 from tidewatch.schemas import SCORED_PACKET_SCHEMA
 from tidewatch.sources.packets import stream_packets
-from tidewatch.streaming import jobs, stateful
+from tidewatch.streaming import jobs, live, stateful
+from test_learn import tiny
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +105,34 @@ def test_bounded_run(spark, tmp_path):
     assert not jobs.run_bounded(query, 10)
     assert not query.isActive
     assert jobs.written(spark, str(tmp_path / "out"), stream.schema).count() == 5
+
+
+def test_the_live_job_equals_the_batch(spark, make, traffic, source, tmp_path):
+    scaler = prepare.Scaler(["count", "flag_S"], [0.0, 0.0], [1.0, 1.0])
+    job = live.Live(str(tmp_path / "live"), scaler, tiny(), 2.0, ["a"])
+    assert job.run(source.drop("score"))
+    scored = detection.score_packets(make(traffic).drop("score"), scaler, tiny())
+    batch = detection.detect(scored, 2.0, ["a"])
+    got = job.alerts(spark)
+    assert batch.filter("attack_type = 'PORT_SCAN'").count() > 0
+    assert got.select("batch_id").distinct().count() == 3
+    assert same(got.drop("alert_date", "batch_id"), batch)
+    totals = job.totals(spark).first()
+    assert (totals["total_packets"], totals["total_attacks"]) == (len(traffic), batch.count())
+    assert spark.read.json(f"{job.folder}/report").first()["total_packets"] == len(traffic)
+    windows = status.status_window(make(traffic), 0.1).agg(F.sum("packets_analyzed")).first()[0]
+    assert job.status(spark).agg(F.sum("packets_analyzed")).first()[0] == windows
+    # a batch that is run again replaces what it wrote
+    before = got.count()
+    again = spark.read.parquet(str(tmp_path / "in")).drop("score")
+    third = sorted(traffic, key=lambda r: r[1])[2 * len(traffic) // 3:]
+    job.process(again.join(make(third).select("packet_id"), "packet_id", "left_semi").select(*again.columns), 2)
+    assert job.alerts(spark).count() == before
+
+
+def test_a_live_job_that_is_stopped_reports(spark, make, traffic, source, tmp_path):
+    scaler = prepare.Scaler(["count", "flag_S"], [0.0, 0.0], [1.0, 1.0])
+    job = live.Live(str(tmp_path / "live"), scaler, tiny(), 2.0)
+    assert not job.run(source.drop("score"), timeout=1, flush_seconds=1)
+    row = spark.read.json(f"{job.folder}/report").first()
+    assert row["runtime"] == 1.0 and row["total_packets"] in (0, 103, 104, 206, 207, 310)

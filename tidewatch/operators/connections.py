@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ def connection_count(
     max_age: float | None = None,
     max_rows: int = skew.MAX_GROUP_ROWS,
     running_bytes: bool = False,
+    weights: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add ``count``: the number of the packet in its connection; 1 outside TCP.
 
@@ -32,6 +35,8 @@ def connection_count(
     sums = {"count": F.lit(1).cast("long")}
     if running_bytes:
         sums["running_bytes"] = F.col("frame_len").cast("long")
+    if weights:  # rows that stand for several packets
+        sums = {name: F.coalesce(weights[name], value) for name, value in sums.items()}
     tracked = packets.filter(p.in_connection())
     others = packets.filter(~p.in_connection()).withColumns(sums)
     hot = skew.hot_keys(tracked, CONNECTION, max_rows)
@@ -54,6 +59,52 @@ def connection_count(
     return found.drop("_start", "_after").unionByName(others)
 
 
+def carried_count(
+    packets: DataFrame,
+    known: DataFrame,
+    max_age: float | None = MAX_AGE,
+    max_rows: int = skew.MAX_GROUP_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """Number packets that follow others, and what is to be carried on to those that follow them.
+
+    ``known`` has per connection the start of its epoch (``ts``), ``carried_count`` and ``carried_bytes``.
+    It goes in as one row among the packets, which stands for all of the epoch so far. Returns the packets
+    with ``count`` and ``running_bytes``, and the new state; connections whose epoch has ended before the
+    newest packet are forgotten.
+    """
+    tracked = packets.filter(p.in_connection())
+    keys = tracked.select(*CONNECTION).distinct()
+    carried = [F.lit(None).cast("long").alias(c) for c in ("carried_count", "carried_bytes")]
+    absent = [
+        F.lit(None).cast(f.dataType).alias(f.name) for f in packets.schema
+        if f.name not in (*CONNECTION, "ts", "packet_id", "ip_version", "ip_proto")
+    ]
+    stand_in = known.join(keys, CONNECTION, "left_semi").select(
+        "*", *absent, F.lit(-1).cast("long").alias("packet_id"), F.lit(4).alias("ip_version"),
+        F.lit(p.TCP).alias("ip_proto"),
+    )
+    rows = packets.select("*", *carried).unionByName(stand_in)
+    weights = {"count": F.col("carried_count"), "running_bytes": F.col("carried_bytes")}
+    counted = staged(connection_count(rows, max_age, max_rows, running_bytes=True, weights=weights))
+    last = F.max(F.struct(*(["epoch"] if max_age is not None else []), "count", "running_bytes")).alias("x")
+    ends = counted.filter(p.in_connection()).groupBy(*CONNECTION).agg(last, F.min("ts").alias("_first"))
+    if max_age is None:
+        started = ends.withColumn("ts", F.col("_first"))
+    else:
+        first = counted.filter(p.in_connection()).groupBy(*CONNECTION, "epoch").agg(F.min("ts").alias("ts"))
+        started = ends.withColumn("epoch", F.col("x.epoch")).join(first, [*CONNECTION, "epoch"])
+    state = started.select(
+        *CONNECTION, "ts", F.col("x.count").alias("carried_count"), F.col("x.running_bytes").alias("carried_bytes")
+    ).unionByName(known.join(keys, CONNECTION, "left_anti"))
+    if max_age is not None:
+        newest = packets.agg(F.max("ts")).first()[0]
+        if newest is not None:
+            left = F.unix_micros(F.lit(newest)) - F.unix_micros("ts") <= round(max_age * 1_000_000)
+            state = state.filter(left)
+    found = counted.filter(F.col("carried_count").isNull()).drop("carried_count", "carried_bytes")
+    return found, state
+
+
 def running_bytes(packets: DataFrame, max_rows: int = skew.MAX_GROUP_ROWS) -> DataFrame:
     """Add ``count`` and ``running_bytes`` per connection."""
     return connection_count(packets, max_rows=max_rows, running_bytes=True)

@@ -13,7 +13,7 @@ PORTS = 5
 WITHIN = 30
 
 # Above any packet id.
-_ROOM = 10**19
+ROOM = 10**19
 
 
 def scanners(packets: DataFrame, ports: int = PORTS, within: float = WITHIN) -> DataFrame:
@@ -23,16 +23,30 @@ def scanners(packets: DataFrame, ports: int = PORTS, within: float = WITHIN) ->
     ``ports + 1``, so first packets per (source, port) decide. They are pre-aggregated before the
     shuffle, and one source has at most 65,536 of them however many packets it sends.
     """
-    firsts = (
-        packets.filter(p.is_bare_syn())
-        .groupBy("src_ip", "dst_port").agg(F.min(_position()).alias("first"))
-    )
+    return scanners_of(first_ports(packets, ports=ports), ports, within)
+
+
+def first_ports(packets: DataFrame, earlier: DataFrame | None = None, ports: int = PORTS) -> DataFrame:
+    """The ``first`` packet to each of the first ``ports + 1`` ports of a source (``src_ip``, ``dst_port``).
+
+    Later ports change nothing. ``earlier`` has such rows of traffic before.
+    """
+    syns = packets.filter(p.is_bare_syn()).select(
+        "src_ip", "dst_port", _position().cast("decimal(38,0)").alias("first"))
+    if earlier is not None:
+        syns = syns.unionByName(earlier)
+    firsts = syns.groupBy("src_ip", "dst_port").agg(F.min("first").alias("first"))
     nth = F.row_number().over(Window.partitionBy("src_ip").orderBy("first"))
-    micros = lambda c: F.expr(f"{c} div {_ROOM}")
+    return firsts.withColumn("nth", nth).filter(F.col("nth") <= ports + 1).drop("nth")
+
+
+def scanners_of(firsts: DataFrame, ports: int = PORTS, within: float = WITHIN) -> DataFrame:
+    """The scanners among the sources of ``first_ports``."""
+    nth = F.row_number().over(Window.partitionBy("src_ip").orderBy("first"))
+    micros = lambda c: F.expr(f"{c} div {ROOM}")
     until = F.timestamp_micros(micros("start") + F.lit(round(within * 1_000_000)))
     return (
         firsts.withColumn("nth", nth)
-        .filter(F.col("nth") <= ports + 1)
         .groupBy("src_ip")
         .agg(
             F.min("first").alias("start"),
@@ -41,7 +55,7 @@ def scanners(packets: DataFrame, ports: int = PORTS, within: float = WITHIN) ->
         .select(
             "src_ip",
             F.timestamp_micros(micros("reached")).alias("scan_ts"),
-            F.expr(f"reached % {_ROOM}").cast("long").alias("scan_id"),
+            F.expr(f"reached % {ROOM}").cast("long").alias("scan_id"),
             until.alias("scan_until"),
         )
         .filter(F.col("scan_ts") < F.col("scan_until"))
@@ -49,12 +63,12 @@ def scanners(packets: DataFrame, ports: int = PORTS, within: float = WITHIN) ->
 
 
 def _position() -> Column:
-    """One number that orders packets like (``ts``, ``packet_id``).
+    """One number that orders packets like (``ts``, ``packet_id``), for times from 1970 on and ids from 0 on.
 
     Its minimum is found by hash aggregation, while that of a struct would need a sort.
     """
     micros = F.unix_micros("ts").cast("decimal(18,0)")
-    return micros * F.lit(str(_ROOM)).cast("decimal(20,0)") + F.col("packet_id").cast("decimal(19,0)")
+    return micros * F.lit(str(ROOM)).cast("decimal(20,0)") + F.col("packet_id").cast("decimal(19,0)")
 
 
 def port_scan(
@@ -72,7 +86,12 @@ def port_scan(
     The scanners are written out first, so that the join below broadcasts them if, and only if, they
     are few. Otherwise it is a join by source in which Spark splits skewed sources.
     """
-    found = staged(scanners(packets if observed is None else observed, ports, within))
+    return mark_scans(packets, scanners(packets if observed is None else observed, ports, within))
+
+
+def mark_scans(packets: DataFrame, found: DataFrame) -> DataFrame:
+    """Add ``port_scan`` to packets, given the scanners."""
+    found = staged(found)
     later = (F.col("ts") > F.col("scan_ts")) | (
         (F.col("ts") == F.col("scan_ts")) & (F.col("packet_id") >= F.col("scan_id"))
     )

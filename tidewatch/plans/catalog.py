@@ -28,6 +28,7 @@ from tidewatch.sources import flows as flow_files
 from tidewatch.sources import packets as packet_files
 from tidewatch.sources import params, reports
 from tidewatch.streaming import jobs, stateful
+from tidewatch.streaming.live import Live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1146,3 +1147,31 @@ def stream_port_scan(spark, folder):
 def stream_connection_count(spark, folder):
     counted = stateful.stream_connection_count(_timed(spark, folder))
     return _drained(spark, counted).select("packet_id", "count")
+
+
+def _live(spark: SparkSession, folder: str) -> tuple[Live, SparkSession]:
+    """A finished live run over packets without scores."""
+    stream = _streamed(spark, folder).drop("score")
+    live = Live(fresh(spark, "live"), PACKET_SCALER, _ruled_network(8), fx.THRESHOLD, fx.TRUSTED_HOSTS, max_age=None)
+    live.run(stream)
+    return live, spark
+
+
+@query(SQL["detect_unscored"])
+def stream_scored_alerts(spark, folder):
+    """Raw packets as a stream, through counts, encoding and network to alerts."""
+    live, _ = _live(spark, folder)
+    return live.alerts(spark).select(
+        "packet_id", "attack_type", "severity", "source_ip", "destination_port",
+        F.round("anomaly_score", 4).alias("anomaly_score"))
+
+
+@query(UNSCORED_ALERTS.split("typed AS (")[0].rstrip().rstrip(",") + """
+SELECT (SELECT count(*) FROM pk0) AS total_packets, count(*) FILTER (score > 0.1) AS total_attacks,
+  (SELECT round((max(us) - min(us)) / 1000000.0, 6) FROM pk0) AS runtime,
+  round(100.0 * count(*) FILTER (score > 0.1) / (SELECT count(*) FROM pk0), 6) AS attack_percentage FROM pk""")
+def bounded_report(spark, folder):
+    """The report that a live run writes at its end."""
+    live, _ = _live(spark, folder)
+    totals = spark.read.json(f"{live.folder}/report")
+    return totals.withColumns({c: r6(c) for c in ("runtime", "attack_percentage")})
