@@ -1038,12 +1038,28 @@ def training_history(spark, folder):
     return history.select("epoch", r6("train_loss").alias("train_loss"))
 
 
-def wide_flows(spark: SparkSession, folder: str) -> training.Prepared:
-    """All numbers and the line status as inputs; the return flag is the label, so it is none."""
+_WIDE = {
+    **{c: c for c in fx.FLOW_NUMERIC},
+    **{f"linestatus_{v}": f"(linestatus = '{v}')::INT" for v in ("F", "O")},
+}
+
+
+@query(f"""WITH {FLOWS}, parts AS (SELECT *, year(l_shipdate::DATE) >= 2000 AS test FROM fl), tr AS (
+  SELECT * FROM parts WHERE NOT test
+) SELECT (label <> 'normal')::INT AS binary_label, """ + ", ".join(
+    f"""round(({x} - (SELECT avg({x}) FROM tr)) / (SELECT CASE WHEN stddev_pop({x}) = 0 THEN 1
+    ELSE stddev_pop({x}) END FROM tr), 4) + 0 AS "{n}" """ for n, x in _WIDE.items()
+) + " FROM parts WHERE test")
+def prepare_flows(spark, folder):
+    """Labels, numbers and dummies of the test set as one scaled vector each."""
     flows = fx.flows(spark, folder).drop("raw")
     test = flows.filter(F.year("l_shipdate") >= 2000)
     train = flows.filter(F.year("l_shipdate") < 2000)
-    return training.prepare_flows(train, test, fx.FLOW_NUMERIC, ["linestatus"])
+    # The label is the return flag itself, so the inputs are the line status and the numbers.
+    prepared = training.prepare_flows(train, test, fx.FLOW_NUMERIC, ["linestatus"])
+    values = prepared.test.withColumn("v", vector_to_array("features"))
+    return values.select("binary_label", *[
+        (F.round(F.col("v")[i], 4) + 0).alias(n) for i, n in enumerate(prepared.scaler.features)])
 
 
 # --- files ----------------------------------------------------------------------------------------
