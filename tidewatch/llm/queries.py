@@ -91,6 +91,61 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
+_WORD = r"[^\x20\x09-\x0D]"
+
+#: All pairs that share a shingle, then the smallest document that links lead to.
+NEAR_DUPLICATES = rf"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '{_WORD}+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 2 THEN ws
+    ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.c + y.c - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT DISTINCT a AS doc_id, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id),
+m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.c, 0) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id,
+  coalesce(m.c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id"""
+
+_FAILURES = {
+    "few_words": "n_words < 10",
+    "repeated_words": "100 * n_repeat_words > 20 * n_words",
+    "symbols": "n_symbols > n_words / 10.0",
+    "duplicate_lines": "n_dup_lines >= 10",
+    "word_length": "word_chars > 20 * n_words OR word_chars < 2 * n_words",
+}
+
+
+def _shrunken(rule: str) -> str:
+    mean = f"least(greatest(avg(d_{rule} / docs) OVER (), 1e-6), 1 - 1e-6)"
+    spread = f"coalesce(var_samp(d_{rule} / docs) OVER (), 0)"
+    weight = f"""least(greatest(CASE WHEN {spread} > 0 THEN {mean} * (1 - {mean}) / {spread} - 1
+      ELSE 1000.0 END, 2.0), 1000.0)"""
+    return f"(d_{rule} + {mean} * {weight}) / (docs + {weight})"
+
+
+QUALITY_RULES = rf"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{_WORD}+') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM t),
+g AS (SELECT doc_id, i, list_slice(ws, i, i + 4) AS win FROM w, unnest(range(1, greatest(len(ws) - 3, 1))) u(i)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM g) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS c FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM rep) GROUP BY 1),
+f AS (SELECT w.doc_id, source, len(ws) AS n_words, len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+  len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+  coalesce(cov.c, 0) AS n_repeat_words FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id),
+d AS (SELECT source, count(*) AS docs,
+  {", ".join(f"count(*) FILTER ({test}) AS d_{rule}" for rule, test in _FAILURES.items())} FROM f GROUP BY 1),
+v AS (SELECT source, greatest({", ".join(map(_shrunken, _FAILURES))}) <= 0.5 AS good FROM d),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good AS kept
+FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source"""
+
 SQL: dict[str, str] = {
     "op3_url_filters": urls.judge_urls_sql(),
+    "op6_near_duplicates": NEAR_DUPLICATES,
+    "op8_quality_rules": QUALITY_RULES,
 }
