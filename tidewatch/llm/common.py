@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, kept for the next text; emptied when there are too many."""
 
-    def __init__(self, hash_function: Callable[[bytes], int], limit: int = 400_000):
+    def __init__(self, hash_function: Callable[[bytes], int], limit: int = 300_000):
         super().__init__()
         self.hash_function, self.limit = hash_function, limit
 
@@ -78,6 +79,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One per Python worker, for all operators: workers are used again, and each such table takes some 50 MB.
+word_hashes = WordHashes(xxhash.xxh3_64_intdigest)
+
+
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit hash of each run of ``n`` hashes, in order; empty if there are fewer."""
     count = len(hashes) - n + 1
@@ -88,3 +93,10 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
         for k in range(1, n):
             out = mix64(out) + hashes[k:count + k]
     return mix64(out)
+
+
+def bounded_examples(examples: DataFrame, most: int) -> DataFrame:
+    """Of ``examples`` (doc_id, label) at most ``most`` of label 0 and of label 1: those of lowest hashed id."""
+    order = (F.xxhash64("doc_id"), "doc_id")
+    parts = [examples.where(F.col("label") == y).orderBy(*order).limit(most) for y in (0, 1)]
+    return parts[0].union(parts[1])

@@ -13,19 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import WordHashes, slices, windows
+from tidewatch.llm.common import slices, windows, word_hashes
 from tidewatch.session import staged
 
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
-_hashes = WordHashes(xxhash.xxh3_64_intdigest)
-
 
 def covered(hashes: np.ndarray, n: int) -> int:
     """Positions in windows of ``n`` that occur at least twice, first occurrences included."""
@@ -55,7 +52,7 @@ def counts_of(text: str, window: int = 5) -> tuple[int, ...]:
         len(text) - sum(map(text.count, SPACE)),
         sum(map(text.count, SYMBOLS)),
         len(lines) - len(set(lines)),
-        covered(_hashes.of(words), window),
+        covered(word_hashes.of(words), window),
     )
 
 
