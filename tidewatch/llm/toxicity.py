@@ -23,11 +23,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import WordHashes, held_out, plain_words, slices, windows
+from tidewatch.llm.common import bounded_examples, held_out, plain_words, slices, windows, word_hashes
 from tidewatch.llm.ranking import learnable
 from tidewatch.session import staged
 
@@ -46,8 +45,6 @@ MIN_RATIO = 2.0
 MIN_EXAMPLES = 5
 BLOCK = 64
 
-_hashes = WordHashes(xxhash.xxh3_64_intdigest)
-
 
 @dataclass
 class Index:
@@ -165,7 +162,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, 64):
             texts = [plain_words(t or "") for t in batch.column(2).to_pylist()]
             rows = [[{"word": w, "n": n} for w, n in Counter(words).items()] for words in texts]
-            runs = [windows(_hashes.of(words), 5) for words in texts]
+            runs = [windows(word_hashes.of(words), 5) for words in texts]
             keys = [int(x.min() >> np.uint64(1)) if len(x) else None for x in runs]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, kind),
                                               pa.array(keys, pa.int64())], ["doc_id", "label", "words", "key"])
@@ -180,12 +177,12 @@ def fit_index(docs: DataFrame, examples: DataFrame, max_examples: int = MAX_EXAM
     Uses at most ``max_examples`` of each label, those of lowest hashed id, and one of those that share a copy
     key; a label's weight in a vote makes up for those left out. Without examples every score is one half.
     """
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     marked = examples.where(F.col("label").isin(0, 1))
     counts = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    chosen = marked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= max_examples).drop("k")
+    chosen = staged(bounded_examples(marked, max_examples))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    # at most 2 * max_examples ids go to all executors, so that texts stay where they are
+    texts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     copies = Window.partitionBy("label", F.coalesce("key", "doc_id")).orderBy("doc_id")
     found = staged(_word_counts(texts).withColumn("copy", F.row_number().over(copies)).where("copy = 1"))
     sizes = {r["label"]: r["n"] for r in found.groupBy("label").agg(F.count("*").alias("n")).collect()}
