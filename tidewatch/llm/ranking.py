@@ -17,14 +17,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from tidewatch.llm.common import WordHashes, held_out, slices
+from tidewatch.llm.common import bounded_examples, held_out, slices, word_hashes
 from tidewatch.llm.rules import covered
 from tidewatch.session import staged
 
@@ -37,7 +36,6 @@ FEATURES = ["log_words", "word_length", "upper", "signs", "exclamations", "digit
             "lone_signs", "log_line", "other_letters"]
 _SIGNS = "#*$%&|<>=_~^{}[]\\"
 _SPACE = " \t\n\x0b\x0c\r"
-_hashes = WordHashes(xxhash.xxh3_64_intdigest)
 
 
 def features_of(text: str) -> list[float]:
@@ -48,7 +46,7 @@ def features_of(text: str) -> list[float]:
     if not n:
         return [0.0] * len(FEATURES)
     chars = max(1, len(text) - sum(map(text.count, _SPACE)))
-    hashes = _hashes.of(words)
+    hashes = word_hashes.of(words)
     counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     upper, lower, digits = int(counts[65:91].sum()), int(counts[97:123].sum()), int(counts[48:58].sum())
     sign = int(counts[[ord(c) for c in _SIGNS]].sum())
@@ -159,8 +157,10 @@ def learnable(labels: DataFrame, column: str) -> DataFrame:
 def learn_ranking(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Ranking:
     """A ranking learned from those of ``docs`` that have labels which may be learned from."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = text_features(rows.join(learnable(labels, column).select("doc_id"), "doc_id", "left_semi"))
-    examples = staged(found).join(learnable(labels, column), "doc_id")
+    # at most 2 * MAX_EXAMPLES ids go to all executors, so that texts stay where they are
+    chosen = staged(bounded_examples(rows.select("doc_id").distinct().join(learnable(labels, column), "doc_id"), MAX_EXAMPLES))
+    found = text_features(rows.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"))
+    examples = staged(found).join(chosen, "doc_id")
     return fit_ranking(examples.groupBy("doc_id", "label").agg(F.min("x").alias("x")))
 
 
