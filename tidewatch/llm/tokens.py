@@ -24,7 +24,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate
+from itertools import accumulate, compress
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,6 @@ NULL_ID = -(1 << 63)
 #: One word of Latin-1 letters and the ASCII signs after it. The tokenizer always cuts between
 #: letters and these signs and ignores case, so both parts can be encoded on their own.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,40})([.,;:!?|#$%&*]{0,8})")
-_ASCII_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
 class Encoder:
@@ -83,7 +82,7 @@ class Encoder:
             ids = np.asarray(found.ids, self.dtype)
             pieces = np.asarray(found.word_ids)
             if pieces[-1] + 1 != len(some):
-                self.words.update((w, self._ids(w)) for w in some)
+                self.words.update((w, self._ids(w)) for w in some)  # not one piece each
                 continue
             ends = np.searchsorted(pieces, np.arange(len(some)), side="right").tolist()
             data, width, before = ids.tobytes(), self.dtype.itemsize, 0
@@ -91,48 +90,45 @@ class Encoder:
                 self.words[word] = data[before * width:end * width]
                 before = end
 
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Encode chunks; the returned ones are too long to be kept."""
-        plain, odd = {}, []
+    def _learn(self, missing: set[str]) -> None:
+        """Encode chunks and remember them."""
+        plain, chunks, words = {}, self.chunks, self.words
         for chunk in missing:
             if match := _PLAIN.fullmatch(chunk):
                 plain[chunk] = (match[1].lower(), match[2])
             else:
-                odd.append(chunk)
-        parts = {part for pair in plain.values() for part in pair if part}
+                chunks[chunk] = self._ids(chunk)
+        new = {word for word, _ in plain.values() if word not in words}
+        signs = {sign for _, sign in plain.values() if sign and sign not in words}
+        words.update((sign, self._ids(sign)) for sign in signs)
+        self._learn_words(list(new))
+        for chunk, (word, sign) in plain.items():
+            chunks[chunk] = words[word] + words[sign] if sign else words[word]
+
+    def _forget(self) -> None:
+        """Keep memory bounded."""
         if len(self.words) > self.limit:
             self.words.clear()
-        signs = [p for p in parts if not p[0].isalpha() and p not in self.words]
-        self.words.update((p, self._ids(p)) for p in signs)
-        self._learn_words([p for p in parts if p not in self.words])
         if len(self.chunks) > self.limit:
             self.chunks.clear()
-        for chunk, (word, sign) in plain.items():
-            self.chunks[chunk] = self.words[word] + self.words[sign] if sign else self.words[word]
-        long = {}
-        for chunk in odd:
-            (self.chunks if len(chunk) <= 64 else long)[chunk] = self._ids(chunk)
-        return long
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
         if not self.word_at_a_time:
             return [self._ids(text) for text in texts]
-        split = [text.translate(_ASCII_SPACE).split(" ") if "\n" in text or "\t" in text
-                 else text.split(" ") for text in texts]
-        self.chunks.setdefault("", b"")
-        out = []
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        known = self.chunks
+        missing = set()
         for chunks in split:
-            found = list(map(self.chunks.get, chunks))
-            if None in found:
-                missing = {c for c, ids in zip(chunks, found) if ids is None}
-                long = self._learn(missing)
-                if "" not in self.chunks:
-                    self.chunks[""] = b""
-                known = self.chunks
-                found = [ids if ids is not None else known[c] if c in known else long[c]
-                         for c, ids in zip(chunks, found)]
-            out.append(b"".join(found))
+            if None in (found := list(map(known.get, chunks))):
+                missing.update(compress(chunks, [ids is None for ids in found]))
+        if missing:
+            self._learn(missing)
+        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        for chunk in missing:
+            if len(chunk) > 64:
+                del known[chunk]
+        self._forget()
         return out
 
 
