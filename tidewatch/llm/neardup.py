@@ -9,8 +9,10 @@
 3. In each bucket, members are compared with one of them (a star, one pair a row). Pairs whose sketches agree
    well enough are confirmed on their whole sets.
 4. Buckets whose members are then all connected are done. In the others, members outside the largest component
-   meet all members of other components, in blocks of bounded size: first each one's most similar
-   candidate per component is confirmed, then, if some stay apart, every candidate that the sketches leave.
+   meet all members of other components, in blocks of bounded size, each pair in one bucket only. First each
+   member's most similar candidate in a block is confirmed. Members that still have candidates then meet with
+   their whole sets, and a block returns only links that connect components. So a group's pairs are
+   looked at inside a task where need be, but never become rows.
 
 Components are found by alternating star contraction over link tables. Nothing but counts reaches the driver.
 """
@@ -25,14 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import WordHashes, mix64, slices, utf8, windows
+from tidewatch.llm.common import mix64, slices, utf8, windows, word_hashes
 from tidewatch.session import staged
 
 BANDS, ROWS = 24, 4
 BITS = 256
 #: How far below the threshold a sketch's estimate may lie; five standard deviations.
 MARGIN = 0.2
-#: Rows of a bucket that meet in one block.
+#: Members of a bucket on either side of a block.
 BLOCK = 256
 #: A table of ids is sent to all executors up to this many rows (16 MB), and joined by shuffle beyond.
 BROADCAST_IDS = 1_000_000
@@ -41,7 +43,6 @@ _random = np.random.default_rng(20240101)
 _A = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 _SALT = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
-_hashes = WordHashes(xxhash.xxh3_64_intdigest)
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
@@ -50,7 +51,7 @@ def shingles(text: bytes, n: int) -> np.ndarray:
     Fewer words are one shingle; no words give none. ``bytes`` methods treat only ASCII letters and spaces.
     """
     words = text.lower().split()
-    return np.unique(windows(_hashes.of(words), min(n, len(words)))) if words else np.empty(0, np.uint64)
+    return np.unique(windows(word_hashes.of(words), min(n, len(words)))) if words else np.empty(0, np.uint64)
 
 
 def minhashes(found: np.ndarray) -> np.ndarray:
@@ -118,27 +119,36 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) with ``100 * intersection >= percent * union`` of their whole sets."""
+def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """node and set (sorted 64-bit hashes) of the documents in ``ids``, a written table of nodes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [shingles(text, n).tobytes() for text in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "set"])
+
+    rows = _rows(docs).join(_bounded(ids), F.col("doc_id") == F.col("node")).select("node", "text")
+    return staged(rows.mapInArrow(cut, "node long, set binary"))
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    same = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * same >= percent * (len(x) + len(y) - same)
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) with ``100 * intersection >= percent * union`` of their whole sets."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             x, y = ([np.frombuffer(s, np.uint64) for s in batch.column(k).to_pylist()] for k in (2, 3))
-            same = [len(np.intersect1d(u, v, assume_unique=True)) for u, v in zip(x, y)]
-            keep = [100 * s >= percent * (len(u) + len(v) - s) for u, v, s in zip(x, y, same)]
+            keep = [_similar(u, v, percent) for u, v in zip(x, y)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    rows = _rows(docs).join(_bounded(ids), F.col("doc_id") == F.col("id")).select("id", "text")
-    sets = staged(rows.mapInArrow(cut, "id long, set binary"))
+    sets = _sets(docs, staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), n)
     joined = (
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+        pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
     )
     return joined.mapInArrow(compare, "a long, b long")
 
@@ -179,17 +189,14 @@ def _sketched(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(differ <= most).select("a", "b")
 
 
-def _apart(places: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFrame, most: int, best: bool) -> DataFrame:
-    """Candidates (a, b) in different components that share a bucket and haven't been tested.
-
-    ``best``: of the pairs of one member with one component, in one block, only the most similar.
-    """
+def _cells(places: DataFrame, labels: DataFrame, payload: DataFrame, least: int) -> DataFrame:
+    """Blocks (key, i, j) of buckets with several components: on one side (``asks``) members outside the
+    bucket's largest component, on the other any members. Buckets of fewer than ``least`` members are left out."""
     known = places.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = known.groupBy("key", "component").agg(F.count("*").alias("n"))
     buckets = parts.groupBy("key").agg(
-        F.sum("n").alias("n"), F.count("*").alias("parts"),
-        F.max(F.struct("n", "component")).alias("main")).where("parts > 1 and n > 2")
-    buckets = buckets.select(
+        F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("main"))
+    buckets = buckets.where((F.col("parts") > 1) & (F.col("n") >= least)).select(
         "key", F.col("main.component").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
         F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("odd_blocks"))
     rows = known.join(buckets, "key")
@@ -200,27 +207,82 @@ def _apart(places: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataF
                                     F.explode(spread(F.col("blocks"))).alias("j"), F.lit(True).alias("asks"))
     asked = rows.select("key", "node", "component", F.explode(spread(F.col("odd_blocks"))).alias("i"),
                         at(F.col("blocks")).alias("j"), F.lit(False).alias("asks"))
-    cells = asking.union(asked).join(nodes.select("node", "sketch"), "node")
+    return asking.union(asked).join(payload, "node")
+
 
-    def meet(cell: pa.Table) -> pa.Table:
+class _Cell:
+    """One block's members, and for each asking one the candidates in other components."""
+
+    def __init__(self, cell: pa.Table, most: int):
         asks = np.asarray(cell["asks"])
-        node, part = np.asarray(cell["node"]), np.asarray(cell["component"])
-        sketch = np.asarray(cell["sketch"].combine_chunks().flatten()).view(np.uint64).reshape(-1, BITS // 64)
-        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
-        out_a, out_b = [], []
-        for k in a:
-            differ = np.bitwise_count(sketch[b] ^ sketch[k]).sum(axis=1)
-            near = b[(part[b] != part[k]) & (differ <= most)]
-            if best and len(near):
-                near = near[np.lexsort((node[near], np.bitwise_count(sketch[near] ^ sketch[k]).sum(axis=1)))]
-                near = near[np.unique(part[near], return_index=True)[1]]
-            out_a.append(np.full(len(near), node[k]))
-            out_b.append(node[near])
-        x, y = (np.concatenate(o) if o else np.empty(0, np.int64) for o in (out_a, out_b))
-        return pa.table({"a": pa.array(np.maximum(x, y), pa.int64()), "b": pa.array(np.minimum(x, y), pa.int64())})
-
-    pairs = cells.groupBy("key", "i", "j").applyInArrow(meet, "a long, b long").distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+        self.key, self.most = cell["key"][0].as_py(), most
+        self.node, self.part = np.asarray(cell["node"]), np.asarray(cell["component"]).copy()
+        wide = lambda name, n: np.asarray(cell[name].combine_chunks().flatten()).reshape(-1, n)
+        self.bands, self.sketch = wide("bands", BANDS), wide("sketch", BITS // 64).view(np.uint64)
+        self.asking, self.asked = np.flatnonzero(asks), np.flatnonzero(~asks)
+
+    def near(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates for member ``k`` and the bits by which they differ; of the buckets that a pair shares,
+        only the first one counts."""
+        others = self.asked[self.part[self.asked] != self.part[k]]
+        differ = np.bitwise_count(self.sketch[others] ^ self.sketch[k]).sum(axis=1)
+        others, differ = others[differ <= self.most], differ[differ <= self.most]
+        shared = self.bands[others] == self.bands[k]
+        first = self.bands[k][shared.argmax(axis=1)] == self.key if len(others) else np.zeros(0, bool)
+        return others[first], differ[first]
+
+
+def _pairs(x: list[int], y: list[int]) -> pa.Table:
+    a, b = np.asarray(x, np.int64), np.asarray(y, np.int64)
+    return pa.table({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
+
+
+def _closest(cells: DataFrame, most: int) -> DataFrame:
+    """For each asking member of a block the most similar candidate."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        cell, x, y = _Cell(table, most), [], []
+        for k in cell.asking:
+            others, differ = cell.near(k)
+            if len(others):
+                x.append(cell.node[k])
+                y.append(cell.node[others[np.lexsort((cell.node[others], differ))[0]]])
+        return _pairs(x, y)
+
+    return cells.groupBy("key", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+
+
+def _with_candidates(cells: DataFrame, most: int) -> DataFrame:
+    """Members (key, node) that have a candidate in a block, in the bucket where it counts."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        cell, found = _Cell(table, most), []
+        for k in cell.asking:
+            others, _ = cell.near(k)
+            if len(others):
+                found += [cell.node[k], *cell.node[others]]
+        nodes = np.unique(np.asarray(found, np.int64))
+        return pa.table({"key": pa.array(np.full(len(nodes), cell.key, np.int64)), "node": pa.array(nodes)})
+
+    return cells.groupBy("key", "i", "j").applyInArrow(meet, "key long, node long").distinct()
+
+
+def _connecting(cells: DataFrame, most: int, percent: int) -> DataFrame:
+    """Links between components, confirmed on whole sets; a block returns one less than its components at most."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        cell, x, y = _Cell(table, most), [], []
+        sets = [np.frombuffer(s, np.uint64) for s in table["set"].to_pylist()]
+        for k in cell.asking:
+            others, differ = cell.near(k)
+            for other in others[np.argsort(differ, kind="stable")]:
+                if cell.part[other] != cell.part[k] and _similar(sets[k], sets[other], percent):
+                    x.append(cell.node[k])
+                    y.append(cell.node[other])
+                    cell.part[cell.part == cell.part[other]] = cell.part[k]
+        return _pairs(x, y)
+
+    return cells.groupBy("key", "i", "j").applyInArrow(meet, "a long, b long").distinct()
 
 
 def _judged(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -241,18 +303,19 @@ def _judged(docs: DataFrame, n: int, percent: int) -> DataFrame:
     tested = staged(_sketched(stars, nodes, most))
     links = staged(_confirmed(docs, tested, n, percent))
     places = shared.select("node", "key")
-    for best in (True, False):
-        labels = staged(components(links))
-        more = staged(_apart(places, labels, nodes, tested, most, best))
-        if more.isEmpty():
-            break
-        tested = staged(tested.union(more))
+    labels = staged(components(links))
+    more = staged(_closest(_cells(places, labels, nodes, 3), most))
+    if not more.isEmpty():
         links = staged(links.union(_confirmed(docs, more, n, percent)))
-    else:
         labels = staged(components(links))
+        open_ = staged(_with_candidates(_cells(places, labels, nodes, 3), most))
+        if not open_.isEmpty():
+            sets = _sets(docs, staged(open_.select("node").distinct()), n).join(nodes, "node")
+            links = staged(links.union(_connecting(_cells(open_, labels, sets, 2), most, percent)))
+            labels = staged(components(links))
     members = signed.select("doc_id", "t", "n_shingles", "h", "g").join(classes, ["h", "g"], "left")
     found = members.join(labels, "node", "left")
-    own = F.coalesce("component", "node", "doc_id")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return found.select("doc_id", "t", "n_shingles", own.alias("component_id"),
                         F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
