@@ -35,7 +35,7 @@ BITS = 256
 #: How far below the threshold a sketch's estimate may lie; five standard deviations.
 MARGIN = 0.2
 #: Members of a bucket on either side of a block.
-BLOCK = 256
+BLOCK = 512
 #: A table of ids is sent to all executors up to this many rows (16 MB), and joined by shuffle beyond.
 BROADCAST_IDS = 1_000_000
 
@@ -199,15 +199,16 @@ def _cells(places: DataFrame, labels: DataFrame, payload: DataFrame, least: int)
     buckets = buckets.where((F.col("parts") > 1) & (F.col("n") >= least)).select(
         "key", F.col("main.component").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
         F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("odd_blocks"))
-    rows = known.join(buckets, "key")
+    rows = known.join(buckets, "key").join(payload, "node")
+    extra = [c for c in payload.columns if c != "node"]
     odd = F.col("component") != F.col("main")
     spread = lambda count: F.sequence(F.lit(0), count - 1)
     at = lambda count: F.pmod(F.xxhash64("node"), count).cast("int")
-    asking = rows.where(odd).select("key", "node", "component", at(F.col("odd_blocks")).alias("i"),
+    asking = rows.where(odd).select("key", "node", "component", *extra, at(F.col("odd_blocks")).alias("i"),
                                     F.explode(spread(F.col("blocks"))).alias("j"), F.lit(True).alias("asks"))
-    asked = rows.select("key", "node", "component", F.explode(spread(F.col("odd_blocks"))).alias("i"),
+    asked = rows.select("key", "node", "component", *extra, F.explode(spread(F.col("odd_blocks"))).alias("i"),
                         at(F.col("blocks")).alias("j"), F.lit(False).alias("asks"))
-    return asking.union(asked).join(payload, "node")
+    return asking.union(asked)
 
 
 class _Cell:
