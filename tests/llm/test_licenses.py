@@ -62,3 +62,29 @@ def test_own_templates_null_ids_and_nothing(spark):
     assert licenses.license_notices(df, {}).collect() == []
     with pytest.raises(ValueError):
         licenses.license_notices(df, {"short": "one"})
+
+
+def test_usual_notices_have_a_template(spark):
+    best = {
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by-4.0 notice",
+        "Licensed under CC BY 3.0": "cc-by-3.0 short",
+        "Content is licensed under CC BY-SA 3.0 unless noted": "cc-by-sa-3.0 short",
+        "licensed under the GNU Lesser General Public License v2.1": "lgpl-2.1 v",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "lgpl-3 notice",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "agpl-3 notice",
+        "under the terms of the Eclipse Public License v2.0": "epl v2.0 terms",
+        "// SPDX-License-Identifier: LGPL-2.1-or-later": "spdx LGPL-2.1-or-later",
+        "This is free and unencumbered software released into the public domain.": "released into the public domain",
+        "(c) 2020 Somebody. All rights reserved.": "all rights reserved",
+    }
+    # the middle of a longer license text, from any word
+    body = licenses.NOTICES["mit text, word 24"], licenses.NOTICES["mit text, word 36"]
+    docs = [(k, "word " * 30 + t + " word" * 30) for k, t in enumerate([*best, *body])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = licenses.license_notices(df).where("place = 1").collect()
+    first = {}
+    for r in rows:
+        first.setdefault(r["doc_id"], set()).add(r["template"])
+    for k, name in enumerate(best.values()):
+        assert name in first[k], (k, name, first.get(k))
+    assert "mit text, word 24" in first[len(best)] and "mit text, word 36" in first[len(best) + 1]
