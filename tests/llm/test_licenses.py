@@ -88,3 +88,18 @@ def test_usual_notices_have_a_template(spark):
     for k, name in enumerate(best.values()):
         assert name in first[k], (k, name, first.get(k))
     assert "mit text, word 24" in first[len(best)] and "mit text, word 36" in first[len(best) + 1]
+
+
+def test_notices_with_words_put_in_are_found_wherever_they_stand(spark):
+    notices = ["Licensed under the Apache Software Foundation License, Version 2.0.",
+               "Licensed under the very old and good Apache License, Version 2.0."]
+    template = {"apache": licenses.TEMPLATES["apache-2.0 notice"]}
+    docs = [(64 * k + at, "word " * at + notice + " word" * 40) for k, notice in enumerate(notices) for at in range(64)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r["doc_id"]: r["containment"] for r in licenses.license_notices(df, template).collect()}
+    assert found == {i: 6 / 7 for i, _ in docs}
+
+
+def test_half_a_window_has_room_for_words_put_in(spark):
+    for n in range(2, 300):
+        assert licenses.window_size(n) // 2 >= n + licenses.room(n)

@@ -1,8 +1,8 @@
 """License notices in documents: MinHash bands over text windows retrieve templates, containment confirms them.
 
 A text is taken as lower-cased words of ASCII letters and digits. Two words in a row are a shingle. Templates
-of up to half a window's words are looked for in windows of that size, which overlap by half, so every
-occurrence lies whole in one window. A window that holds ``CONTAINMENT`` of a template's shingles has at
+are looked for in windows which overlap by half, and half a window has room for the template and
+``room`` words put in. So an occurrence with no more words put in, wherever it stands, lies whole in one window. A window that holds ``CONTAINMENT`` of a template's shingles has at
 least a known Jaccard similarity with it. There are so many bands of one MinHash value each that such a window
 shares none of them with the template in at most ``MISS`` of cases (``bands_for``). Where a band is shared,
 the template's shingles are counted in the window exactly.
@@ -57,9 +57,14 @@ def _words(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
 
 
+def room(words: int) -> int:
+    """How many words may be put into a template of so many words without it being lost at a window's edge."""
+    return max(4, words // 4)
+
+
 def window_size(words: int) -> int:
-    """The window for templates of so many words: a power of two, at least twice as long."""
-    return max(SMALLEST_WINDOW, 1 << math.ceil(math.log2(2 * words)))
+    """The window for templates of so many words: a power of two, at least twice as long as one with words put in."""
+    return max(SMALLEST_WINDOW, 1 << math.ceil(math.log2(2 * (words + room(words)))))
 
 
 def bands_for(words: int, containment: float = CONTAINMENT, miss: float = MISS) -> int:
