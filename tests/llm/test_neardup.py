@@ -1,5 +1,6 @@
 """Near-duplicates against all pairs of small tables."""
 
+import math
 import random
 import re
 
@@ -114,3 +115,25 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["component"] for r in neardup.components(links).collect()}
     assert got == {**dict.fromkeys(range(51), 0), 100: 100, 101: 100}
+
+
+def test_sketches_miss_far_fewer_pairs_than_bands():
+    """Exact rates for one pair at the threshold: values that differ, with and without a band that agrees, and the
+    bits that twice as many flips leave set."""
+    similarity = 0.8
+    row = np.array([math.comb(neardup.ROWS, k) * similarity ** (neardup.ROWS - k) * (1 - similarity) ** k
+                    for k in range(neardup.ROWS + 1)])
+    differing = row[1:]
+    every, unmet = np.ones(1), np.ones(1)
+    for _ in range(neardup.BANDS):
+        every, unmet = np.convolve(every, row), np.convolve(unmet, np.append(0, differing))
+    most = neardup.most_differing_bits(similarity - neardup.MARGIN)
+    share = np.arange(neardup.BITS + 1) / neardup.BITS
+    bits, rejected = np.eye(1, neardup.BITS + 1)[0], 0.0
+    for met in every - unmet:
+        rejected += met * bits[most + 1:].sum()
+        for _ in range(2):
+            bits = np.append(0, (bits * (1 - share))[:-1]) + np.append((bits * share)[1:], 0)
+    assert unmet.sum() < 1 / 300_000
+    assert rejected < unmet.sum() / 10
+    assert rejected + unmet.sum() < 1 / 300_000

@@ -3,9 +3,10 @@
 1. Each document becomes a set of hashed word shingles. Documents with equal sets are one class, and only
    the class's smallest id goes on, so thousands of exact copies cost one row.
 2. ``BANDS * ROWS`` MinHash values are taken of each set. Sets that agree in all rows of a band meet in that
-   band's bucket; at a similarity of 0.8 a pair meets in no bucket once in 300,000 times. The same values are
+   band's bucket; at a similarity of 0.8 a pair meets in no bucket once in 310,000 times. The same values are
    folded into an odd sketch: each flips one of ``BITS`` bits. The bits in which two sketches differ give an
-   estimate of similarity that is precise where similarity is high.
+   estimate of similarity that is precise where similarity is high. At a similarity of 0.8 it rejects a pair that met
+   once in ten million times, so that bands and sketches together miss one in 300,000.
 3. In each bucket, members are compared with one of them (a star, one pair a row). Pairs whose sketches agree
    well enough are confirmed on their whole sets.
 4. Buckets whose members are then all connected are done. In the others, members outside the largest component
@@ -32,8 +33,8 @@ from tidewatch.session import staged
 
 BANDS, ROWS = 24, 4
 BITS = 256
-#: How far below the threshold a sketch's estimate may lie; five standard deviations.
-MARGIN = 0.2
+#: How far below the threshold a sketch's estimate may lie.
+MARGIN = 0.3
 #: Members of a bucket on either side of a block.
 BLOCK = 512
 #: A table of ids is sent to all executors up to this many rows (16 MB), and joined by shuffle beyond.
