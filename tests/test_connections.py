@@ -1,6 +1,6 @@
 import random
 
-from conftest import icmp, packet, udp
+from packet_rows import icmp, packet, udp
 from pyspark.sql import functions as F
 
 from tidewatch.operators import connections, skew

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import packet, udp
+from packet_rows import packet, udp
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 

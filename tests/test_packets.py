@@ -1,5 +1,5 @@
 import pytest
-from conftest import icmp, packet, udp
+from packet_rows import icmp, packet, udp
 from pyspark.sql import functions as F
 
 from tidewatch.functions import alerts as a

@@ -1,6 +1,6 @@
 import random
 
-from conftest import packet, udp
+from packet_rows import packet, udp
 from pyspark.sql import functions as F
 
 from tidewatch.operators import packets, scans
