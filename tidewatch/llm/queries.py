@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, licenses, mixing, neardup, pii, ranking, rules, tokens, toxicity, urls
+from tidewatch.llm import (
+    byte_bpe,
+    conversations,
+    decontaminate,
+    hard_negatives,
+    licenses,
+    mixing,
+    neardup,
+    pii,
+    ranking,
+    rules,
+    tokens,
+    toxicity,
+    urls,
+)
 from tidewatch.llm.common import table
 from tidewatch.session import staged
 
@@ -78,6 +92,27 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, after some labels are moved on."""
+    vec_id, label = F.col("vec_id"), F.col("label").cast("long")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.hard_negatives(rows, vec_id % 100 == 0)
+
+
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded by byte-level BPE and decoded again."""
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents")
+    return byte_bpe.round_trip(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation damaged, judged and repaired."""
+    return conversations.damaged_and_repaired(table(spark, folder, "conversations"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_toxicity": op2_toxicity,
@@ -89,6 +124,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _WORD = r"[^\x20\x09-\x0D]"
@@ -144,8 +182,26 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good AS kept
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source"""
 
+#: All anchors with all rows.
+HARD_NEGATIVES = """WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS p
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    list_inner_product(a.p, b.p)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+  AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5"""
+
 SQL: dict[str, str] = {
     "op3_url_filters": urls.judge_urls_sql(),
     "op6_near_duplicates": NEAR_DUPLICATES,
     "op8_quality_rules": QUALITY_RULES,
+    "op11_hard_negatives": HARD_NEGATIVES,
 }
