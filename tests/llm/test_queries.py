@@ -22,14 +22,14 @@ def rows(frame):
 def test_all_are_registered():
     names = contract.queries()
     assert {"pipeline", *queries.QUERIES} <= set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.SQL) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", queries.SQL)
 def test_sql(spark, tables, name):
     connection = duckdb.connect()
-    for table in ("documents", "pages", "labels", "benchmark"):
+    for table in ("documents", "pages", "labels", "benchmark", "embeddings"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tables}/{table}.parquet')")
     got = queries.QUERIES[name](spark, tables).toPandas()
     expected = connection.execute(queries.SQL[name]).df()

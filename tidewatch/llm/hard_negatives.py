@@ -242,22 +242,23 @@ def _pack(axes: list[int], width: int, k: int):
     size = leaf_rows(width)
     most = size * TREE_LEAVES
 
-    def leaves_of(ids, labels, points) -> Iterator[Leaf]:
-        depth = max(1, int(np.log2(max(2, len(ids) / size))))
+    def leaves_of(labels, points) -> Iterator[np.ndarray]:
+        depth = max(1, int(np.log2(max(2, len(labels) / size))))
         values, counts = np.unique(labels, return_counts=True)
         own = set(values[counts >= size].tolist())  # labels with leaves of their own; the others share some
         for label in [*sorted(own), None]:
             rows = np.flatnonzero(labels == label if label is not None else ~np.isin(labels, list(own)))
             for tile in tiles(points[rows], axes[:depth] if label is not None else [], size):
-                yield Leaf(ids[rows[tile]], labels[rows[tile]], points[rows[tile]])
+                yield rows[tile]
 
     def chunk(ids, labels, points, anchors) -> pa.RecordBatch:
-        leaves = list(leaves_of(ids, labels, points))
+        members = list(leaves_of(labels, points))
+        leaves = [Leaf(ids[rows], labels[rows], points[rows]) for rows in members]
         tree, floors = Tree(leaves), {}
         for row in np.flatnonzero(anchors).tolist():
             best = Best(LEAST, MOST, k)
             tree.search(points[row], int(labels[row]), True, int(ids[row]), [best])
-            floors[int(ids[row])] = best.need()
+            floors[row] = best.need()
         low, high, (low_label, high_label, min_id) = tree.levels[0]
         as_lists = lambda arrays, kind: pa.array([np.asarray(a).ravel() for a in arrays], pa.list_(kind))
         return pa.RecordBatch.from_pydict({
@@ -267,7 +268,7 @@ def _pack(axes: list[int], width: int, k: int):
             "ids": as_lists([leaf.ids for leaf in leaves], pa.int64()),
             "labels": as_lists([leaf.labels for leaf in leaves], pa.int64()),
             "points": as_lists([leaf.points.astype(np.int32) for leaf in leaves], pa.int32()),
-            "floors": pa.array([[floors.get(i) for i in leaf.ids.tolist()] for leaf in leaves], pa.list_(pa.int64())),
+            "floors": pa.array([list(map(floors.get, rows.tolist())) for rows in members], pa.list_(pa.int64())),
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,10 +410,11 @@ def hard_negatives(
     zipped = leaves.select(entry.alias("entry"), "points").where("entry.floors IS NOT NULL")
     anchors = staged(zipped.select(
         F.col("entry.ids").alias("vec_id"), F.col("entry.labels").alias("label"), F.col("entry.floors").alias("floor"),
-        F.slice("points", F.col("entry.at") * width + 1, F.lit(width)).alias("point")))
+        F.slice("points", F.col("entry.at") * width + 1, F.lit(width)).alias("point"),
+        F.monotonically_increasing_id().alias("number")))
     count = anchors.count()
     blocks = -(-count * 8 * max(1, width) // block_bytes)
-    number = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks)))
+    number = F.pmod(F.xxhash64("number"), F.lit(max(1, blocks)))
     results = [
         _block(anchors.where(number == b), leaves, width, positives, negatives, least) for b in range(blocks)]
     if not results:
