@@ -29,7 +29,7 @@ def oracle():
 
 @pytest.fixture(scope="module")
 def own():
-    return byte_bpe.codec(byte_bpe.tokenizer_json(PATH, PATTERN))
+    return byte_bpe.codec(byte_bpe.tokenizer_json(PATH, PATTERN), PATTERN)
 
 
 def long_text(seed, n=40_000):
@@ -71,9 +71,19 @@ def test_sections_change_nothing(oracle, own, seed):
     assert own.encode("don't" * 9_000).tolist() == oracle.encode_ordinary("don't" * 9_000)
 
 
+def test_memory_is_bounded(oracle):
+    own = byte_bpe.Codec(byte_bpe.tokenizer_json(PATH, PATTERN), PATTERN, limit=50)
+    for seed in range(30):
+        texts = [long_text(seed, 30), "x" * 100 + " y", long_text(seed % 3, 30)]
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in own.encode_batch(texts)]
+        assert got == [oracle.encode_ordinary(t) for t in texts]
+        assert len(own.known) <= 50 and len(own.older) <= 50 + 100
+
+
 def test_offsets(own):
     for text in [t for t in ODD if t] + [long_text(9)]:
         ids, at = own.encode_with_offsets(text)
+        assert ids.tolist() == own.encode(text).tolist()
         ends = np.cumsum([len(c.encode()) for c in text])
         done = 0
         for i, (start, end) in zip(ids.tolist(), at.tolist()):

@@ -8,6 +8,9 @@ encoded on its own, and a match that is a token itself needs no merges.
 Long texts go to the library in sections. A section ends between a letter and something that is no letter,
 where no match of the pattern goes on, so sections change nothing but the memory needed.
 
+Matches come again and again, so a worker remembers their ids. Only unknown matches go to the library, many in one call,
+each as a word of its own. What is remembered has a bound: when the newer half of it is full, the older half goes.
+
 Decoding looks the bytes of each id up and joins them. A character's bytes may lie in several tokens: ``decode``
 gives such a character to the token that completes it.
 """
@@ -99,20 +102,47 @@ def sections(text: str) -> Iterator[tuple[int, str]]:
 class Codec:
     """Encodes and decodes; one per Python worker and description."""
 
-    def __init__(self, description: str):
+    def __init__(self, description: str, pattern: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(description)
+        self.words = Tokenizer.from_str(description)
+        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.matches = regex.compile(pattern).findall
         number = {c: b for b, c in enumerate(byte_characters())}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.bytes_of = {i: bytes(map(number.__getitem__, token)) for token, i in vocabulary.items()}
+        self.limit, self.known, self.older = limit, {}, {}
+
+    def _learn(self, matches: list[str]) -> dict[str, bytes]:
+        """The ids of matches, as little-endian unsigned 32-bit integers."""
+        out = {}
+        for start in range(0, len(matches), 5000):
+            some = matches[start:start + 5000]
+            found = self.words.encode(some, is_pretokenized=True, add_special_tokens=False)
+            data = np.asarray(found.ids, "<u4").tobytes()
+            ends = np.searchsorted(np.asarray(found.word_ids), np.arange(len(some)), side="right").tolist()
+            out |= {match: data[4 * a:4 * b] for match, a, b in zip(some, [0, *ends], ends)}
+        return out
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        known, older = self.known, self.older
+        split = list(map(self.matches, texts))
+        new = set().union(*split).difference(known)
+        known |= {match: older[match] for match in new if match in older}
+        known |= self._learn([match for match in new if match not in known])
+        out = [b"".join(map(known.__getitem__, matches)) for matches in split]
+        for match in new:
+            if len(match) > 64:
+                del known[match]
+        if len(known) > self.limit:
+            self.known, self.older = {}, known
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids, little-endian unsigned 32 bits."""
-        found = [
-            np.asarray(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4") for _, part in sections(text)]
-        return np.concatenate(found)
+        return np.frombuffer(self.encode_batch([text])[0], "<u4")
 
     def encode_with_offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and per id the characters that have a byte in it, as (first, end)."""
@@ -137,8 +167,8 @@ class Codec:
 
 
 @cache
-def codec(description: str) -> Codec:
-    return Codec(description)
+def codec(description: str, pattern: str) -> Codec:
+    return Codec(description, pattern)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -158,7 +188,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     kind = pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(description.value)
+        own = codec(description.value, pattern)
         for batch in slices(batches, 64):
             found = [own.encode_with_offsets(text) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({
@@ -179,7 +209,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     description = encoded.sparkSession.sparkContext.broadcast(tokenizer_json(path, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(description.value)
+        own = codec(description.value, pattern)
         for batch in slices(batches, 64):
             pieces = [
                 None if ids is None else own.decode_pieces(np.asarray([-1 if i is None else i for i in ids], np.int64))
@@ -203,14 +233,13 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     description = docs.sparkSession.sparkContext.broadcast(tokenizer_json(path, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(description.value)
-        for batch in slices(batches):
+        own = codec(description.value, pattern)
+        for batch in slices(batches, 64):
             counts, hashes, decoded = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = own.encode(text)
-                counts.append(len(ids))
-                hashes.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                decoded.append(hashlib.sha256(own.decode_bytes(ids)).hexdigest())
+            for ids in own.encode_batch(batch.column(1).to_pylist()):
+                counts.append(len(ids) // 4)
+                hashes.append(hashlib.sha256(ids).hexdigest())
+                decoded.append(hashlib.sha256(own.decode_bytes(np.frombuffer(ids, "<u4"))).hexdigest())
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0),
                 "n_tokens": pa.array(counts, pa.int64()),
