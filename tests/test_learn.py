@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import evaluate, learn, packets, prepare
 from tidewatch.plans import detection
+from tidewatch.sources import params
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +43,37 @@ def test_history_of_a_fitted_model(spark, separable):
     assert history[-1]["train_loss"] < history[0]["train_loss"]
 
 
+@pytest.mark.parametrize("early", [False, True])
+def test_epochs_of_boosted_trees(spark, separable, early):
+    df = separable.withColumn("features", array_to_vector("features")).withColumn("held", F.col("split") == "holdout")
+    if early:
+        model = learn.train_classifier(df, algorithm="gbt", validation="held", maxIter=30, maxDepth=2, validationTol=0.01)
+        assert 1 < len(model.trees) < 30
+    else:
+        model = learn.train_classifier(df.where("not held"), algorithm="gbt", maxIter=6, maxDepth=2)
+    history = learn.epoch_history(model, df, "held", 2.5).orderBy("epoch").collect()
+    assert [r["epoch"] for r in history] == list(range(1, len(model.trees) + 1))
+    assert history[-1]["train_loss"] < history[0]["train_loss"]
+    for side, part in (("train", df.where("not held")), ("val", df.where("held"))):  # the whole model, scored as such
+        scored = learn.predict(model, part)
+        assert history[-1][f"{side}_loss"] == pytest.approx(
+            evaluate.weighted_log_loss(scored, 2.5, label="binary_label").first()[0], abs=1e-9)
+        assert history[-1][f"{side}_f1"] == pytest.approx(evaluate.f1_at(scored, label="binary_label").first()[0])
+    alone = learn.epoch_history(model, df.where("not held"), "held", 2.5).first()
+    assert alone["val_loss"] is None and alone["val_f1"] is None and alone["train_loss"] is not None
+
+
+@pytest.mark.parametrize("algorithm", ["logistic", "gbt"])
+def test_stored_models(separable, tmp_path, algorithm):
+    df = separable.withColumn("features", array_to_vector("features"))
+    model = learn.train_classifier(df, algorithm=algorithm, **({"maxIter": 3} if algorithm == "gbt" else {}))
+    path = str(tmp_path / "model")
+    params.save_model(model, path)
+    params.save_model(model, path)  # replaces
+    sums = [learn.predict(m, df).agg(F.sum("z"), F.sum("p")).first() for m in (model, params.load_model(path))]
+    assert tuple(sums[0]) == pytest.approx(tuple(sums[1]))
+
+
 def test_positives_are_required(spark):
     df = spark.createDataFrame([([1.0], 0)], "features array<double>, binary_label int")
     with pytest.raises(ValueError):

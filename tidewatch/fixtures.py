@@ -16,11 +16,20 @@ START_MICROS = 1_704_067_200_000_000
 _derived: dict[tuple, DataFrame] = {}
 
 
+def _files(spark: SparkSession, folder: str, name: str) -> tuple:
+    """Names, times and sizes of a table's files, from the file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    listed = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(place, True)
+    found = []
+    while listed.hasNext():
+        file = listed.next()
+        found.append((file.getPath().toString(), file.getModificationTime(), file.getLen()))
+    return tuple(sorted(found))
+
+
 def _derive(spark: SparkSession, folder: str, name: str, make) -> DataFrame:
     """A derived table, written once per application and state of the given table's files."""
-    files = table(spark, folder, "events").select("_metadata.file_path", "_metadata.file_modification_time")
-    state = files.agg(F.max("file_modification_time"), F.count_distinct("file_path"), F.count("*")).first()
-    key = (spark.sparkContext.applicationId, folder, name, *state)
+    key = (spark.sparkContext.applicationId, folder, name, _files(spark, folder, "events"))
     if key not in _derived:
         _derived[key] = staged(make(spark, folder))
     return _derived[key]

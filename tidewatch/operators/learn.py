@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,21 +34,29 @@ def train_classifier(
     pos_weight: float | None = None,
     algorithm: str = "logistic",
     partitions: int | None = None,
+    validation: str | None = None,
     **params,
 ) -> Model:
     """Fit a binary classifier on an ML vector column, positives weighted by negatives/positives.
 
     ``partitions`` spreads the rows before the first pass, for inputs with fewer files than cores.
+    ``validation`` (boosted trees only) names a boolean column: rows where it is true are not learned
+    from, and boosting stops once their loss no longer falls by ``validationTol`` of what it is.
     """
+    seen = train if validation is None else train.filter(~F.col(validation))
     if pos_weight is None:
-        pos_weight = evaluate.class_weight(train, label).first()["pos_weight"]
+        pos_weight = evaluate.class_weight(seen, label).first()["pos_weight"]
     if pos_weight is None:
         raise ValueError("no positive rows to learn from")
     kinds = {"logistic": LogisticRegression, "gbt": GBTClassifier}
+    kept = [features, label]
+    if validation is not None:
+        kept.append(validation)
+        params["validationIndicatorCol"] = validation
     learner = kinds[algorithm](
         featuresCol=features, labelCol=label, weightCol="weight", **params
     )
-    rows = weighted(train.select(features, label), pos_weight, label)
+    rows = weighted(train.select(*kept), pos_weight, label)
     return learner.fit(rows if partitions is None else rows.repartition(partitions))
 
 
@@ -74,6 +82,55 @@ def training_history(spark: SparkSession, model: Model) -> DataFrame:
     return spark.createDataFrame(rows, "epoch int, train_loss double")
 
 
+def epoch_history(
+    model: GBTClassificationModel,
+    rows: DataFrame,
+    held: str,
+    pos_weight: float,
+    features: str = "features",
+    label: str = "binary_label",
+) -> DataFrame:
+    """(epoch, train_loss, val_loss, train_f1, val_f1) of boosted trees: a row per tree, with the trees up to it.
+
+    ``held`` names a boolean column, true for validation rows. Losses are means of the cross entropy with positives
+    weighted; F1 takes a probability of one half or more as positive, and is 0 without any positive, told or
+    true. A side without rows has null figures. One pass: each tree is applied once per row, a batch's logits are running
+    sums over its trees, and a task returns one row per epoch and side.
+    """
+    columns = [f"_tree_{i}" for i in range(len(model.trees))]
+    scored = rows.select(F.col(label).cast("int").alias("y"), F.col(held).alias("held"), F.col(features).alias("_features"))
+    for tree, column in zip(model.trees, columns):
+        scored = tree.setFeaturesCol("_features").setPredictionCol(column).transform(scored)
+    weights = np.asarray(model.treeWeights) * 2  # boosted trees add up to half the logit
+    count = len(columns)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((2, count, 5))
+        for batch in batches:
+            y, side = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            z = np.cumsum(batch.column(2).flatten().to_numpy().reshape(-1, count) * weights, axis=1)
+            positive, told = (y == 1)[:, None], z >= 0
+            loss = np.where(positive, pos_weight * np.logaddexp(0, -z), np.logaddexp(0, z))
+            figures = (np.ones_like(z), loss, told & positive, told & ~positive, ~told & positive)
+            for k in (0, 1):
+                totals[k] += np.stack([f[side == k].sum(axis=0) for f in figures], axis=1)
+        for k in (0, 1):
+            yield pa.RecordBatch.from_pydict({
+                "epoch": pa.array(range(1, count + 1), pa.int32()), "held": pa.array([k == 1] * count),
+                **dict(zip(("n", "loss", "tp", "fp", "fn"), totals[k].T))})
+
+    parts = scored.select("y", "held", F.array(*columns)).mapInArrow(
+        sums, "epoch int, held boolean, n double, loss double, tp double, fp double, fn double")
+
+    def figures(side: str, chosen: Column) -> list[Column]:
+        n, loss, tp, fp, fn = (F.sum(F.when(chosen, F.col(c))) for c in ("n", "loss", "tp", "fp", "fn"))
+        f1 = F.when(tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0)
+        return [F.when(n > 0, loss / n).alias(f"{side}_loss"), F.when(n > 0, f1).alias(f"{side}_f1")]
+
+    every = [*figures("train", ~F.col("held")), *figures("val", F.col("held"))]
+    return parts.groupBy("epoch").agg(*every).select("epoch", "train_loss", "val_loss", "train_f1", "val_f1")
+
+
 # --- serving --------------------------------------------------------------------------------------
 
 

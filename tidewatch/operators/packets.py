@@ -12,6 +12,7 @@ from tidewatch.functions import packets as p
 from tidewatch.functions import scoring
 from tidewatch.operators import connections, skew
 from tidewatch.schemas import ALERT_SCHEMA, PACKET_FEATURES
+from tidewatch.session import staged
 
 LOOPBACK = "127.0.0.1"
 
@@ -134,3 +135,23 @@ def recent_suspicious(scored: DataFrame, n: int = 1000) -> DataFrame:
     """Details of the newest ``n`` scored packets."""
     newest = scored.orderBy(F.desc("ts"), F.desc("packet_id")).limit(n)
     return packet_details(newest)
+
+
+def first_rows(packets: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` packets by time and id, written, for any ``n``.
+
+    Packets are range-partitioned; the numbers of rows per range tell which ranges are wanted whole and in which one the
+    limit falls. Only that one is sorted.
+    """
+    if n <= 0:
+        return packets.limit(0)
+    order = ["ts", "packet_id"]
+    ranged = staged(packets.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    left, whole = n, []
+    for r in sorted(ranged.groupBy("_range").count().collect()):  # a row per task
+        if r["count"] > left:
+            edge = ranged.where(F.col("_range") == r["_range"]).orderBy(*order).limit(left)
+            return ranged.where(F.col("_range").isin(whole)).unionByName(edge).drop("_range")
+        whole.append(r["_range"])
+        left -= r["count"]
+    return ranged.drop("_range")

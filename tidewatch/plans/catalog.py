@@ -1038,6 +1038,43 @@ def training_history(spark, folder):
     return history.select("epoch", r6("train_loss").alias("train_loss"))
 
 
+@query(f"""{HALVES.replace("WITH", "WITH RECURSIVE", 1)}, val AS (
+  SELECT count(*) FILTER (y = 0 AND x = 0) AS va, count(*) FILTER (y = 1 AND x = 0) AS vb,
+    count(*) FILTER (y = 0 AND x = 1) AS vc, count(*) FILTER (y = 1 AND x = 1) AS vd FROM rows WHERE test
+), shares AS (SELECT *, (a + c) / (b + d) AS w, w * b / (a + w * b) AS q0, w * d / (c + w * d) AS q1 FROM n, val),
+steps AS (
+  SELECT 1 AS epoch, 2 * q0 - 1 AS f0, 2 * q1 - 1 AS f1 FROM shares UNION ALL
+  SELECT epoch + 1, f0 + 0.1 * (4 * q0 / (1 + exp(2 * f0)) - 4 * (1 - q0) / (1 + exp(-2 * f0))),
+    f1 + 0.1 * (4 * q1 / (1 + exp(2 * f1)) - 4 * (1 - q1) / (1 + exp(-2 * f1)))
+  FROM steps, shares WHERE epoch <= 8
+), margins AS (SELECT *, (f0 >= 0)::INT AS h0, (f1 >= 0)::INT AS h1, ln(1 + exp(2 * f0)) AS n0, ln(1 + exp(-2 * f0)) AS p0,
+  ln(1 + exp(2 * f1)) AS n1, ln(1 + exp(-2 * f1)) AS p1 FROM steps, shares)
+SELECT epoch, round((a * n0 + w * b * p0 + c * n1 + w * d * p1) / (a + b + c + d), 6) AS train_loss,
+  round((va * n0 + w * vb * p0 + vc * n1 + w * vd * p1) / (va + vb + vc + vd), 6) AS val_loss,
+  round(coalesce(2 * (b * h0 + d * h1) / nullif((b + a) * h0 + (d + c) * h1 + b + d, 0), 0), 6) AS train_f1,
+  round(coalesce(2 * (vb * h0 + vd * h1) / nullif((vb + va) * h0 + (vd + vc) * h1 + vb + vd, 0), 0), 6) AS val_f1
+FROM margins""")
+def training_epochs(spark, folder):
+    """Loss and F1 of training and validation rows after each boosted tree; the validation rows are the test set."""
+    prepared = _halves(spark, folder)
+    train = prepared.train.drop("split")
+    weight = evaluate.class_weight(train, "binary_label").first()["pos_weight"]
+    model = learn.train_classifier(train, pos_weight=weight, algorithm="gbt", maxIter=9, maxDepth=1, stepSize=0.1)
+    rows = train.withColumn("held", F.lit(False)).unionByName(prepared.test.withColumn("held", F.lit(True)))
+    figures = learn.epoch_history(model, rows, "held", weight)
+    return figures.select("epoch", *[r6(c).alias(c) for c in ("train_loss", "val_loss", "train_f1", "val_f1")])
+
+
+@query(f"{HALVES} SELECT binary_label, z, p FROM predicted")
+def stored_model(spark, folder):
+    """The test set scored by a model that has been stored and read back."""
+    prepared = _halves(spark, folder)
+    path = fresh(spark, "model")
+    params.save_model(learn.train_classifier(prepared.train, **EXACT), path)
+    scored = learn.predict(params.load_model(path), prepared.test)
+    return scored.select("binary_label", F.round("z", 3).alias("z"), F.round("p", 4).alias("p"))
+
+
 _WIDE = {
     **{c: c for c in fx.FLOW_NUMERIC},
     **{f"linestatus_{v}": f"(linestatus = '{v}')::INT" for v in ("F", "O")},
@@ -1168,7 +1205,7 @@ def stream_connection_count(spark, folder):
 def _live(spark: SparkSession, folder: str) -> tuple[Live, SparkSession]:
     """A finished live run over packets without scores."""
     stream = _streamed(spark, folder).drop("score")
-    live = Live(fresh(spark, "live"), PACKET_SCALER, _ruled_network(8), fx.THRESHOLD, fx.TRUSTED_HOSTS, max_age=None)
+    live = Live(fresh(spark, "live"), PACKET_SCALER, _ruled_network(8), fx.THRESHOLD, fx.TRUSTED_HOSTS, max_age=None, forget=None)
     live.run(stream)
     return live, spark
 

@@ -65,7 +65,7 @@ def staging(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        _scopes.pop()
+        _scopes[:] = [scope for scope in _scopes if scope is not paths]
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for path in paths:
             place = jvm.org.apache.hadoop.fs.Path(path)

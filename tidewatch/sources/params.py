@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
+from pyspark.ml import Model, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.operators import learn, prepare
@@ -43,6 +44,15 @@ def load_network(spark: SparkSession, path: str) -> learn.DenseNetwork:
     return learn.network_of(spark.read.parquet(path))
 
 
+def save_model(model: Model, path: str) -> None:
+    """A fitted classifier, in Spark ML's own format."""
+    PipelineModel(stages=[model]).write().overwrite().save(path)
+
+
+def load_model(path: str) -> Model:
+    return PipelineModel.load(path).stages[0]
+
+
 def save_threshold(spark: SparkSession, threshold: float, path: str) -> None:
     _save(spark.createDataFrame([(float(threshold),)], "threshold double"), path)
 

@@ -85,31 +85,54 @@ class ConnectionCounter(StatefulProcessor):
 class ScanTracker(StatefulProcessor):
     """Marks the bare SYNs of a source once it has tried more than ``ports`` ports.
 
-    No more than ``ports + 1`` ports are remembered per source; further ones change nothing.
+    No more than ``ports + 1`` ports are remembered per source; further ones change nothing. With ``forget``
+    (microseconds) a source is forgotten that long after its first bare SYN, and its next one starts anew.
     """
 
-    def __init__(self, ports: int, within: int):
-        self.ports = ports
-        self.within = within
+    def __init__(self, ports: int, within: int, forget: int | None = None):
+        self.ports, self.within, self.forget = ports, within, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("source", "first_seen long, ports array<int>")
 
     def handleInputRows(self, key, rows, timerValues):
         batch = _in_order(rows)
-        us, tried = batch[_MICROS].to_numpy(), batch["dst_port"]
-        first_seen, seen = self.state.get() if self.state.exists() else (int(us[0]), [])
-        new = np.flatnonzero(~tried.isin(list(seen)).to_numpy() & ~tried.duplicated().to_numpy())
-        missing = self.ports + 1 - len(seen)
-        if missing <= 0:
-            reached = 0
-        else:
-            reached = new[missing - 1] if len(new) >= missing else len(us)
-        hit = (np.arange(len(us)) >= reached) & (us < first_seen + self.within)
-        added = [int(port) for port in tried.to_numpy()[new[: max(missing, 0)]]]
-        self.state.update((first_seen, [*seen, *added]))
+        us, tried = batch[_MICROS].to_numpy(), batch["dst_port"].to_numpy()
+        hit = np.zeros(len(us), bool)
+        first_seen, seen = self.state.get() if self.state.exists() else (None, [])
+        known, at = first_seen, 0
+        while at < len(us):
+            if first_seen is None or self.forget is not None and us[at] >= first_seen + self.forget:
+                first_seen, seen = int(us[at]), []
+            end = len(us)
+            if self.forget is not None:
+                end = int(np.searchsorted(us, first_seen + self.forget, side="left"))
+            part = pd.Series(tried[at:end])
+            new = np.flatnonzero(~part.isin(list(seen)).to_numpy() & ~part.duplicated().to_numpy())
+            missing = self.ports + 1 - len(seen)
+            if missing <= 0:
+                reached = 0
+            else:
+                reached = new[missing - 1] if len(new) >= missing else end - at
+            hit[at:end] = (np.arange(end - at) >= reached) & (us[at:end] < first_seen + self.within)
+            seen = [*seen, *(int(port) for port in tried[at:end][new[: max(missing, 0)]])]
+            at = end
+        self.state.update((first_seen, seen))
+        if self.forget is not None and first_seen != known:
+            if known is not None:
+                self.handle.deleteTimer(self._expiry(known))
+            self.handle.registerTimer(self._expiry(first_seen))
         yield batch.drop(columns=_MICROS).assign(port_scan=hit)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.state.clear()
+        return iter([])
+
+    def _expiry(self, start: int) -> int:
+        """The first millisecond by which any further packet starts the source anew."""
+        return (start + self.forget) // 1000 + 1
+
 
 def _keyed(stream: DataFrame) -> DataFrame:
     return stream.withColumn(_MICROS, F.unix_micros("ts"))
@@ -137,13 +160,21 @@ def stream_connection_count(stream: DataFrame, max_age: float = MAX_AGE) -> Data
     return counted.unionByName(single)
 
 
-def stream_port_scan(stream: DataFrame, ports: int = PORTS, within: float = WITHIN) -> DataFrame:
-    """Add ``port_scan``. Only bare SYNs go through the state; the clock of a source never resets."""
+def stream_port_scan(
+    stream: DataFrame, ports: int = PORTS, within: float = WITHIN, forget: float | None = None
+) -> DataFrame:
+    """Add ``port_scan``. Only bare SYNs go through the state.
+
+    Without ``forget`` the clock of a source never resets and its state stays. With it (seconds) the stream needs a
+    watermark on ``ts``: the state of a source goes that long after its first bare SYN, so that only sources
+    of so much time are known at any moment.
+    """
+    micros = None if forget is None else round(forget * 1_000_000)
     tracked = _keyed(stream.filter(p.is_bare_syn())).groupBy("src_ip").transformWithStateInPandas(
-        ScanTracker(ports, round(within * 1_000_000)),
+        ScanTracker(ports, round(within * 1_000_000), micros),
         outputStructType=_with(stream.schema, ("port_scan", T.BooleanType())),
         outputMode="Append",
-        timeMode="None",
+        timeMode="None" if forget is None else "EventTime",
     )
     return tracked.unionByName(
         stream.filter(~p.is_bare_syn()).withColumn("port_scan", F.lit(False))
