@@ -102,7 +102,7 @@ def sections(text: str) -> Iterator[tuple[int, str]]:
 class Codec:
     """Encodes and decodes; one per Python worker and description."""
 
-    def __init__(self, description: str, pattern: str, limit: int = 300_000):
+    def __init__(self, description: str, pattern: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -113,6 +113,8 @@ class Codec:
         number = {c: b for b, c in enumerate(byte_characters())}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.bytes_of = {i: bytes(map(number.__getitem__, token)) for token, i in vocabulary.items()}
+        self.table = np.full(max(self.bytes_of) + 2, UNKNOWN, object)  # the last entry is for all ids beyond
+        self.table[list(self.bytes_of)] = list(self.bytes_of.values())
         self.limit, self.known, self.older = limit, {}, {}
 
     def _learn(self, matches: list[str]) -> dict[str, bytes]:
@@ -154,8 +156,7 @@ class Codec:
         return np.concatenate(ids), np.concatenate(offsets)
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
-        table = self.bytes_of
-        return b"".join([table.get(i, UNKNOWN) for i in ids.tolist()])
+        return b"".join(self.table[np.minimum(ids, len(self.table) - 1)])
 
     def decode_pieces(self, ids: np.ndarray) -> list[str]:
         """The text of each id; a character goes to the id with its last byte, bytes of none become U+FFFD."""
