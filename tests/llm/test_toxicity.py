@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter
 
 import pytest
@@ -54,6 +55,56 @@ def test_the_index_finds_what_comparing_with_all_finds(monkeypatch, block):
         assert math.isclose(sum(x * x for x in index.vector(counts).values()), 1)
 
 
+def cosine(idf, a, b, unknown):
+    weights = [{w: (1 + math.log(n)) * idf.get(w, unknown) for w, n in c.items()} for c in (a, b)]
+    lengths = [math.sqrt(sum(x * x for x in w.values())) for w in weights]
+    return sum(x * weights[1].get(k, 0) for k, x in weights[0].items()) / (lengths[0] * lengths[1]) if all(lengths) else 0.0
+
+
+@pytest.mark.parametrize("least", [0.3, 0.8, 1.0])
+def test_whole_vectors_against_all_pairs(least):
+    rng = random.Random(5)
+    words = [b"w%d" % k for k in range(200)]
+    common = rng.choices(words, k=40)
+    texts = [rng.choices(words, weights=range(1, 201), k=rng.randrange(0, 40)) for _ in range(150)]
+    texts += [common[:k] + rng.choices(words, k=40 - k) for k in range(0, 41, 2)] + [texts[3], texts[4] * 2]
+    counted = [Counter(t) for t in texts]
+    df = Counter(w for c in counted for w in c)
+    idf = {w: math.log((1 + len(texts)) / (1 + n)) + 1 for w, n in df.items()}
+    unknown = math.log(1 + len(texts)) + 1
+    index = toxicity.WholeIndex([(i, i % 2, *toxicity.hashed_counts(t)) for i, t in enumerate(texts)])
+    for query in [*texts[::5], common, common[:30] + [b"new"] * 3, [b"new"], []]:
+        wanted = {i: cosine(idf, Counter(query), c, unknown) for i, c in enumerate(counted)}
+        got = {i: s for s, i in index.near(*toxicity.hashed_counts(query), least)}
+        assert got == {i: pytest.approx(s) for i, s in wanted.items() if s >= least - 1e-9}
+
+
+def test_copies_of_texts_with_rare_words(spark):
+    """Toxic by words that occur a few times each: no word tells the label, but copies are found."""
+    rng = random.Random(12)
+    rare = ["bad" + "".join(rng.choices("mnopqrst", k=6)) for _ in range(250)]
+    docs, labels = corpus(1200, 8)
+    docs = [(i, t.replace("Foul,", "x").replace("vile.", "x").replace("RUDE", "x"), *rest) for i, t, *rest in docs]
+    docs = [(i, t + " " + " ".join(rng.choices(rare, k=4)) if label else t, *rest) for (i, t, *rest), (_, label) in zip(docs, labels)]
+    toxic = [d for d, (_, label) in zip(docs, labels) if label and not held(d[0])]
+    plain = [d for d, (_, label) in zip(docs, labels) if not label and not held(d[0])]
+    # copies of learned texts under held-out ids, and copies with one word put in
+    ids = iter(i for i in range(5000, 10**6) if held(i))
+    copies = [(next(ids), t, "c", 1) for _, t, *_ in toxic[:60]] + [(next(ids), t + " indeed", "c", 1) for _, t, *_ in toxic[:60]]
+    clean = [(next(ids), t, "c", 1) for _, t, *_ in plain[:60]]
+    schema = "doc_id long, text string, terms string, score int"
+    df = spark.createDataFrame(docs + copies + clean, schema)
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.toxicity_scores(df, known).collect()}
+    assert sum(got[d[0]]["predicted"] for d in copies) == len(copies)
+    assert sum(got[d[0]]["predicted"] for d in clean) == 0
+    assert all(got[c[0]]["nearest"] for c in copies)
+
+
+def held(i):
+    return zlib.crc32(str(i).encode()) % 3 == 1
+
+
 def corpus(n, seed=3):
     rng = random.Random(seed)
     plain = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(300)]

@@ -1,10 +1,19 @@
 """Toxicity by the nearest labelled examples.
 
-Texts are vectors of TF-IDF weights, (1 + ln tf) * idf, of length one. The vocabulary is the words whose
-presence depends on the label among the examples (chi-square above ``MIN_CHI2``, and at least ``MIN_RATIO``
-times as frequent under one label), so a word that says nothing about the label takes no part. A text is compared by cosine with all examples; the nearest ``K`` (and all that
-tie with the last) vote, weighted by similarity. The vote is shrunk towards the share of toxic examples that
-have no word of the vocabulary, which is also the score of a text without neighbours.
+Texts are vectors of TF-IDF weights, (1 + ln tf) * idf, of length one, and are compared by cosine with all examples.
+There are two searches, both exact.
+
+* *Whole vectors.* All words count. Every example with a cosine of ``NEAR`` or more is found. Words are taken from the
+  rarest on until what is left of the text is shorter than ``NEAR``; an example without any of these words can't
+  reach it, so only the postings of these are read, and the cosine of what they name is computed in full. A copy of a
+  labelled text thus has a neighbour of cosine one, whatever its words.
+* *Telling words.* Most words say nothing about the label, and in prose they make up most of a vector. So the
+  words whose presence depends on the label among the examples (chi-square above ``MIN_CHI2``, and at least
+  ``MIN_RATIO`` times as frequent under one label) are vectors of their own. The nearest ``K`` by these, and all that tie
+  with the last, are found however far they are.
+
+All neighbours vote, weighted by similarity, those of the first search ``NEAR_WEIGHT`` times. The vote is shrunk towards
+the share of toxic examples that have no telling word, which is also the score of a text without neighbours.
 
 The examples are kept as an inverted index in blocks: examples are ordered so that similar ones are
 neighbours, cut into blocks, and each word has its largest weight in each block. The sum of a text's weights
@@ -26,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import bounded_examples, held_out, plain_words, slices, windows, word_hashes
+from tidewatch.llm.common import bounded_examples, held_out, plain_words, slices, word_hashes
 from tidewatch.llm.ranking import learnable
 from tidewatch.session import staged
 
@@ -44,6 +53,69 @@ MIN_RATIO = 2.0
 #: Examples that a word must be in.
 MIN_EXAMPLES = 5
 BLOCK = 64
+#: Cosine of whole vectors from which on an example is a neighbour, and how many times its vote counts.
+NEAR, NEAR_WEIGHT = 0.8, 4.0
+
+
+def hashed_counts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of a text as ascending 64-bit hashes, and how often each occurs."""
+    return np.unique(word_hashes.of(words), return_counts=True)
+
+
+class WholeIndex:
+    """Whole vectors of examples: postings of words, and each example's words with weights.
+
+    ``examples`` are (id, label, hashes, counts) as from ``hashed_counts``; ``weights`` those of a vote for label 0 and 1.
+    Words are numbered by frequency, so that the rarest come first.
+    """
+
+    def __init__(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]], weights: tuple[float, float] = (1.0, 1.0)):
+        n = len(examples)
+        every = np.concatenate([np.empty(0, np.uint64), *[e[2] for e in examples]])
+        self.hashes, places, frequency = np.unique(every, return_inverse=True, return_counts=True)
+        order = np.argsort(frequency, kind="stable")
+        self.number = np.empty(len(order), np.int32)  # of the word at each place of ``hashes``
+        self.number[order] = np.arange(len(order), dtype=np.int32)
+        self.idf = np.log((1 + n) / (1 + frequency[order])) + 1
+        self.unknown = math.log(1 + n) + 1  # of words that no example has
+        self.ids = [e[0] for e in examples]
+        self.toxic = np.array([e[1] for e in examples], bool)
+        self.votes = np.array([weights[e[1]] for e in examples])
+        ends = np.cumsum([len(e[2]) for e in examples])[:-1]
+        self.rows = [self._unit(words, e[3]) for words, e in zip(np.split(self.number[places], ends), examples)] if n else []
+        words = np.concatenate([np.empty(0, np.int32), *[w for w, _ in self.rows]])
+        owners = np.repeat(np.arange(n, dtype=np.int32), [len(w) for w, _ in self.rows])
+        self.owners = owners[np.argsort(words, kind="stable")]
+        self.starts = np.searchsorted(np.sort(words), np.arange(len(order) + 1))
+
+    def _unit(self, words: np.ndarray, counts: np.ndarray, rest: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Words in ascending order with weights; ``rest`` is the square of the length that other words add."""
+        order = np.argsort(words)
+        words, weights = words[order], (1 + np.log(counts[order])) * self.idf[words[order]]
+        length = math.sqrt(float(weights @ weights) + rest)
+        return words, weights / length if length else weights
+
+    def near(self, hashes: np.ndarray, counts: np.ndarray, least: float = NEAR) -> list[tuple[float, int]]:
+        """(cosine, example) of all examples with a cosine of ``least`` or more, the largest first."""
+        if not len(self.hashes):
+            return []
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        known = self.hashes[at] == hashes
+        rest = float(((1 + np.log(counts[~known])) ** 2).sum()) * self.unknown**2
+        words, weights = self._unit(self.number[at[known]], counts[known], rest)
+        left = np.cumsum((weights * weights)[::-1])[::-1]  # from this word on
+        probes = words[left >= least * least - 1e-9].tolist()
+        if not probes:
+            return []
+        found = []
+        for example in np.unique(np.concatenate([self.owners[self.starts[w]:self.starts[w + 1]] for w in probes])).tolist():
+            theirs, values = self.rows[example]
+            at = np.minimum(np.searchsorted(theirs, words), len(theirs) - 1)
+            both = theirs[at] == words
+            cosine = float(weights[both] @ values[at[both]])
+            if cosine >= least - 1e-9:
+                found.append((round(cosine, 12), example))
+        return sorted(found, key=lambda x: (-x[0], self.ids[x[1]]))
 
 
 @dataclass
@@ -62,7 +134,7 @@ class Index:
     postings: dict[bytes, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     starts: dict[bytes, np.ndarray] = field(default_factory=dict)
     tops: dict[bytes, np.ndarray] = field(default_factory=dict)
-    seen: dict = field(default_factory=dict)
+    whole: WholeIndex | None = None
 
     def vector(self, counts: Counter) -> dict[bytes, float]:
         raw = {w: (1 + math.log(n)) * self.idf[w] for w, n in sorted(counts.items())}
@@ -99,27 +171,27 @@ class Index:
         last = best[k - 1][0]
         return [x for x in best if x[0] >= last]
 
-    def score(self, counts: Counter) -> tuple[float, list[int], list[str]]:
-        """Score, ids of some nearest examples, and the words that brought them."""
-        key = tuple(sorted(counts.items()))
-        if key in self.seen:
-            return self.seen[key]
-        vector = self.vector(counts)
+    def score(self, words: list[bytes]) -> tuple[float, list[int], list[str]]:
+        """Score, ids of some nearest examples, and the telling words that brought them."""
+        vector = self.vector(Counter([w for w in words if w in self.idf]))
         near = self.nearest(vector) if vector and len(self.total) else []
         votes = sum(s * self.toxic[e] for s, e in near)
         weight = sum(s * self.total[e] for s, e in near)
-        score = (votes + PRIOR_WEIGHT * self.base) / (weight + PRIOR_WEIGHT)
         evidence = [i for _, e in near[:3] for i in self.ids[e][:1]]
-        found = float(score), evidence, [w.decode("utf-8", "replace") for w in sorted(vector, key=vector.get)[::-1][:5]]
-        if len(self.seen) >= 100_000:
-            self.seen.clear()
-        self.seen[key] = found
-        return found
+        if self.whole is not None:
+            copies = self.whole.near(*hashed_counts(words))
+            shares = [(NEAR_WEIGHT * s * self.whole.votes[e], self.whole.toxic[e]) for s, e in copies]
+            votes += sum(x for x, toxic in shares if toxic)
+            weight += sum(x for x, _ in shares)
+            evidence = list(dict.fromkeys([self.whole.ids[e] for _, e in copies[:3]] + evidence))[:3]
+        score = (votes + PRIOR_WEIGHT * self.base) / (weight + PRIOR_WEIGHT)
+        terms = [w.decode("utf-8", "replace") for w in sorted(vector, key=vector.get)[::-1][:5]]
+        return float(score), evidence, terms
 
 
 def build_index(examples: list[tuple[int, int, dict[bytes, int]]], vocabulary: set[bytes],
                 weights: tuple[float, float] = (1.0, 1.0)) -> Index:
-    """An index of (id, label, word counts); ``weights`` are those of one example of label 0 and 1."""
+    """An index of (id, label, word counts) by telling words; ``weights`` are those of one example of label 0 and 1."""
     n = len(examples)
     df = Counter(w for _, _, counts in examples for w in counts if w in vocabulary)
     idf = {w: math.log((1 + n) / (1 + df[w])) + 1 for w in vocabulary}
@@ -152,30 +224,28 @@ def build_index(examples: list[tuple[int, int, dict[bytes, int]]], vocabulary: s
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, label, the distinct words of each text with their counts, and a key that copies mostly share.
-
-    The key is the smallest hash of five words in a row.
-    """
+    """doc_id, label, the distinct words of each text, with counts, and the same as hashes in binary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
         for batch in slices(batches, 64):
             texts = [plain_words(t or "") for t in batch.column(2).to_pylist()]
             rows = [[{"word": w, "n": n} for w, n in Counter(words).items()] for words in texts]
-            runs = [windows(word_hashes.of(words), 5) for words in texts]
-            keys = [int(x.min() >> np.uint64(1)) if len(x) else None for x in runs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, kind),
-                                              pa.array(keys, pa.int64())], ["doc_id", "label", "words", "key"])
+            hashes = [hashed_counts(words) for words in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(rows, kind), pa.array([h.tobytes() for h, _ in hashes], pa.binary()),
+                 pa.array([n.astype("<u4").tobytes() for _, n in hashes], pa.binary())],
+                ["doc_id", "label", "words", "hashes", "counts"])
 
     return docs.select("doc_id", "label", "text").mapInArrow(
-        count, "doc_id long, label int, words array<struct<word: binary, n: long>>, key long")
+        count, "doc_id long, label int, words array<struct<word: binary, n: long>>, hashes binary, counts binary")
 
 
 def fit_index(docs: DataFrame, examples: DataFrame, max_examples: int = MAX_EXAMPLES) -> Index:
     """Learn from the texts of ``examples`` (doc_id, label 0 or 1).
 
-    Uses at most ``max_examples`` of each label, those of lowest hashed id, and one of those that share a copy
-    key; a label's weight in a vote makes up for those left out. Without examples every score is one half.
+    Uses at most ``max_examples`` of each label, those of lowest hashed id, and one of those whose words
+    and their counts are equal; a label's weight in a vote makes up for those left out. Without examples every score is one half.
     """
     marked = examples.where(F.col("label").isin(0, 1))
     counts = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -183,7 +253,7 @@ def fit_index(docs: DataFrame, examples: DataFrame, max_examples: int = MAX_EXAM
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most 2 * max_examples ids go to all executors, so that texts stay where they are
     texts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    copies = Window.partitionBy("label", F.coalesce("key", "doc_id")).orderBy("doc_id")
+    copies = Window.partitionBy("label", F.sha2(F.concat("hashes", "counts"), 256)).orderBy("doc_id")
     found = staged(_word_counts(texts).withColumn("copy", F.row_number().over(copies)).where("copy = 1"))
     sizes = {r["label"]: r["n"] for r in found.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
@@ -199,17 +269,21 @@ def fit_index(docs: DataFrame, examples: DataFrame, max_examples: int = MAX_EXAM
     telling = (chi2 >= MIN_CHI2) & ((ratio >= MIN_RATIO) | (ratio <= 1 / MIN_RATIO))
     vocabulary = {bytes(r["word"]) for r in present.where(spread & telling).collect()}
     keep = F.array(*[F.lit(w) for w in sorted(vocabulary)]) if vocabulary else F.array().cast("array<binary>")
-    own = found.select("doc_id", "label", F.filter("words", lambda x: F.array_contains(keep, x["word"])).alias("words"))
-    rows = [(r["doc_id"], r["label"], {bytes(x["word"]): x["n"] for x in r["words"]})
-            for r in own.orderBy("doc_id").collect()]
-    return build_index(rows, vocabulary, (counts.get(0, 0) / max(1, n0), counts.get(1, 0) / max(1, n1)))
+    told = F.filter("words", lambda x: F.array_contains(keep, x["word"])).alias("words")
+    own = found.select("doc_id", "label", told, "hashes", "counts").orderBy("doc_id").collect()
+    weights = (counts.get(0, 0) / max(1, n0), counts.get(1, 0) / max(1, n1))
+    index = build_index(
+        [(r["doc_id"], r["label"], {bytes(x["word"]): x["n"] for x in r["words"]}) for r in own], vocabulary, weights)
+    index.whole = WholeIndex(
+        [(r["doc_id"], r["label"], np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], "<u4")) for r in own], weights)
+    return index
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, column: str = "toxic", cut: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted, nearest (ids of examples) and terms of every document.
 
     Labels are learned only from rows that are not held out. Scores depend on the text alone; a null or empty
-    text has no neighbours, like any text without words of the vocabulary; a null id is never held out nor
+    text has no neighbours; a null id is never held out nor
     learned from; repeated rows are all scored; no rows give none. Other columns are not read.
     """
     index = fit_index(docs, learnable(labels, column))
@@ -217,11 +291,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, column: str = "toxic", c
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Index = pickle.loads(shared.value)
-        known = own.idf.keys()
         for batch in slices(batches):
-            rows = []
-            for text in batch.column(1).to_pylist():
-                rows.append(own.score(Counter([w for w in plain_words(text or "") if w in known])))
+            rows = [own.score(plain_words(text or "")) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([r[0] for r in rows], pa.float64()),
                  pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.string()))],
