@@ -56,7 +56,7 @@ _scopes: list[list[str]] = []
 
 @contextmanager
 def staging(spark: SparkSession) -> Iterator[None]:
-    """Delete the tables that ``staged`` writes inside, at the end of the ``with`` block.
+    """Delete what ``staged`` and ``scratch`` put into the shared folder inside, at the end of the ``with`` block.
 
     Results that are still to be computed need these tables, so write results inside the block.
     """
@@ -72,6 +72,14 @@ def staging(spark: SparkSession) -> Iterator[None]:
             place.getFileSystem(conf).delete(place, True)
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, deleted at the end of the ``staging`` blocks that are open now."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
+    return path
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -81,8 +89,6 @@ def staged(df: DataFrame) -> DataFrame:
     ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
-    for scope in _scopes:
-        scope.append(path)
+    path = scratch(spark, "staged")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
