@@ -76,7 +76,45 @@ def test_memory_is_bounded(tokenizer):
         got = encoder.encode(texts[k:k + 10])
         assert [np.frombuffer(g, "<u2").tolist() for g in got] == (
             [tokenizer.encode(t, add_special_tokens=False).ids for t in texts[k:k + 10]])
-    assert len(encoder.chunks) <= 20
+    assert len(encoder.chunks) <= 20 and len(encoder.words) <= 20
+
+
+def test_words_are_counted_encoded_once_and_sent(spark, tokenizer, monkeypatch):
+    texts = ["Über the, THE the\tÉtion é9é éé!", "the über étion foo's foo 'the'", None, "x" * 50 + " ÿ Ÿ ÿ × × a×a a×a"] * 3
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    _, sent = tokens.frequent_words(rows, queries.tokenizer_path())
+    names, data, ends = sent.value
+    ids = {w: np.frombuffer(data[a:b], "<u2").tolist() for w, a, b in zip(names.split("\n"), [0, *ends], ends)}
+    assert {"the", "über", "étion", "é", "éé", "foo", "ÿ", "a"} <= set(ids) and "x" * 50 not in ids
+    assert ids == {w: tokenizer.encode(w, add_special_tokens=False).ids for w in ids}
+    some = tokens.frequent_words(rows, queries.tokenizer_path(), most=4)
+    assert 1 <= len(some[1].value[2]) <= 4
+    assert tokens.frequent_words(rows.limit(0), queries.tokenizer_path()) is None
+
+
+def test_long_texts_and_clashing_columns(spark, tokenizer):
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("abcdé,.", k=6)) for _ in range(40_000)), "short", None, "漢" * 30_000]
+    rows = [(k, t, 7, "x", 1.0) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, start long, n_tokens string, word double")
+    got = tokens.tokens_of(df, queries.tokenizer_path()).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == [x[:3] for x in expected(tokenizer, texts)]
+
+
+def test_parts_of_files_are_read(tmp_path):
+    from pyarrow import fs
+
+    path = str(tmp_path / "x.bin")
+    np.arange(1000, dtype="<u2").tofile(path)
+    local, other = fs.LocalFileSystem(), fs.SubTreeFileSystem("/", fs.LocalFileSystem())
+    for store in (local, other):
+        assert tokens._values(store, path, "<u2", 17, 30).tolist() == list(range(17, 30))
+        assert tokens._values(store, path, "<u2", 5, 5).tolist() == []
+
+
+def test_paths_are_resolved_like_sparks(spark):
+    assert tokens.resolved(spark, "/a/b") == "file:/a/b" and tokens.resolved(spark, "file:///a") == "file:/a"
+    assert tokens._open("file:/a/b")[1] == "/a/b"
 
 
 def test_other_tokenizers_encode_whole_texts():

@@ -22,25 +22,28 @@ import json
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from functools import cache
-from itertools import accumulate, compress
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import slices
-from tidewatch.session import shared_folder
+from tidewatch.session import scratch, staged
 
 NULL_ID = -(1 << 63)
 
 #: One word of Latin-1 letters and the ASCII signs after it. The tokenizer always cuts between
 #: letters and these signs and ignores case, so both parts can be encoded on their own.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,40})([.,;:!?|#$%&*]{0,8})")
+#: Its letters that have a lower case, and what stands between words of its letters (as Java writes it).
+_UPPER = "".join(map(chr, [*range(65, 91), *range(192, 215), *range(216, 223)]))
+_NO_WORD = "[^a-zß-öø-ÿ]+"
 
 
 class Encoder:
@@ -48,19 +51,25 @@ class Encoder:
 
     The result equals ``Tokenizer.encode`` of the whole text for tokenizers that drop white space and
     never join what it separates; ``word_at_a_time`` says whether a tokenizer is one. Others
-    encode whole texts.
+    encode whole texts. ``given`` has the ids of words that need not be learned. What is learned has a bound: when the
+    newer half is full, the older half goes.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, limit: int = 500_000, given: Mapping[str, bytes] | None = None):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit = limit
+        self.limit, self.given = limit, given or {}
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
         self.word_at_a_time = self._word_at_a_time()
+        if self.word_at_a_time:  # for words that are one piece each
+            self.words_only = Tokenizer.from_str(self.tokenizer.to_str())
+            self.words_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.chunks: dict[str, bytes] = {}
+        self.older_chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
 
     def _word_at_a_time(self) -> bool:
         spec = json.loads(self.tokenizer.to_str())
@@ -74,54 +83,51 @@ class Encoder:
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn_words(self, words: list[str]) -> None:
-        """Encode many plain words in one call; each is one piece for the tokenizer."""
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of lower-cased words of Latin-1 letters, which are one piece each for the tokenizer."""
+        out = []
         for start in range(0, len(words), 5000):
             some = words[start:start + 5000]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.asarray(found.ids, self.dtype)
-            pieces = np.asarray(found.word_ids)
-            if pieces[-1] + 1 != len(some):
-                self.words.update((w, self._ids(w)) for w in some)  # not one piece each
-                continue
-            ends = np.searchsorted(pieces, np.arange(len(some)), side="right").tolist()
-            data, width, before = ids.tobytes(), self.dtype.itemsize, 0
-            for word, end in zip(some, ends):
-                self.words[word] = data[before * width:end * width]
-                before = end
+            found = self.words_only.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ends = np.searchsorted(np.asarray(found.word_ids), np.arange(len(some)), side="right").tolist()
+            data, width = np.asarray(found.ids, self.dtype).tobytes(), self.dtype.itemsize
+            out += [data[a * width:b * width] for a, b in zip([0, *ends], ends)]
+        return out
 
     def _learn(self, missing: set[str]) -> None:
         """Encode chunks and remember them."""
-        plain, chunks, words = {}, self.chunks, self.words
+        plain, chunks, words, given = {}, self.chunks, self.words, self.given
         for chunk in missing:
             if match := _PLAIN.fullmatch(chunk):
                 plain[chunk] = (match[1].lower(), match[2])
             else:
                 chunks[chunk] = self._ids(chunk)
-        new = {word for word, _ in plain.values() if word not in words}
+        new = {word for word, _ in plain.values() if word not in given and word not in words}
+        words |= {word: self.older_words[word] for word in new if word in self.older_words}
+        unknown = [word for word in new if word not in words]
+        words |= zip(unknown, self.word_ids(unknown))
         signs = {sign for _, sign in plain.values() if sign and sign not in words}
-        words.update((sign, self._ids(sign)) for sign in signs)
-        self._learn_words(list(new))
+        words |= {sign: self._ids(sign) for sign in signs}
         for chunk, (word, sign) in plain.items():
-            chunks[chunk] = words[word] + words[sign] if sign else words[word]
+            ids = given[word] if word in given else words[word]
+            chunks[chunk] = ids + words[sign] if sign else ids
 
     def _forget(self) -> None:
         """Keep memory bounded."""
         if len(self.words) > self.limit:
-            self.words.clear()
+            self.words, self.older_words = {}, self.words
         if len(self.chunks) > self.limit:
-            self.chunks.clear()
+            self.chunks, self.older_chunks = {}, self.chunks
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
         if not self.word_at_a_time:
             return [self._ids(text) for text in texts]
         split = [text.replace("\n", " ").split(" ") for text in texts]
-        known = self.chunks
-        missing = set()
-        for chunks in split:
-            if None in (found := list(map(known.get, chunks))):
-                missing.update(compress(chunks, [ids is None for ids in found]))
+        known, older = self.chunks, self.older_chunks
+        missing = set().union(*split).difference(known)
+        known |= {chunk: older[chunk] for chunk in missing if chunk in older}
+        missing.difference_update(known)
         if missing:
             self._learn(missing)
         out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
@@ -138,8 +144,70 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+Words = tuple[str, Broadcast]  # a name of its own, and names, ids and their ends
+
+_given: dict[str, Encoder] = {}
+
+
+def encoder_with(path: str, words: Words | None) -> Encoder:
+    """The same with words that the driver has sent; a worker holds those of one broadcast at a time."""
+    if words is None:
+        return encoder(path)
+    key, sent = words
+    if key not in _given:
+        names, data, ends = sent.value
+        ids = [data[a:b] for a, b in zip([0, *ends], ends)]
+        _given.clear()
+        _given[key] = Encoder(path, given=dict(zip(names.split("\n"), ids)))
+    return _given[key]
+
+
+#: Words that go to all workers, at most: some 6 MB.
+MOST_WORDS = 300_000
+
+
+def frequent_words(rows: DataFrame, tokenizer: str, most: int = MOST_WORDS) -> Words | None:
+    """The ids of the words that are in ``rows`` (text) most often, for all workers.
+
+    Words are counted over all texts and each of those chosen is encoded once. Which words are chosen has no influence on results:
+    a worker encodes the others when it meets them. At most ``most`` words are collected.
+    """
+    spark = rows.sparkSession
+    if not encoder(tokenizer).word_at_a_time:
+        return None
+    text = F.translate("text", _UPPER, _UPPER.lower())
+    words = rows.select(F.explode(F.split(text, _NO_WORD)).alias("word")).where("word <> '' AND length(word) <= 40")
+    counts = staged(words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1"))
+    sizes = counts.groupBy("n").count().orderBy(F.desc("n")).limit(most).collect()  # one row per frequency
+    total, least = 0, None
+    for r in sizes:
+        total += r["count"]
+        if total > most:
+            break
+        least = r["n"]
+    if least is None:
+        return None
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = encoder(tokenizer).word_ids(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
+
+    found = counts.where(F.col("n") >= least).select("word").mapInArrow(encode, "word string, ids binary").toArrow()
+    names, ids = found.column(0).to_pylist(), found.column(1).to_pylist()
+    table = ("\n".join(names), b"".join(ids), list(accumulate(map(len, ids))))
+    return uuid.uuid4().hex, spark.sparkContext.broadcast(table)
+
+
+def resolved(spark: SparkSession, folder: str) -> str:
+    """``folder`` with its scheme: without one it is on Spark's default file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
-    if "://" not in folder and not folder.startswith("file:"):
+    """The file system and path of a ``resolved`` folder."""
+    if ":/" not in folder:
         return fs.LocalFileSystem(), folder
     if folder.startswith("file:"):
         return fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
@@ -164,9 +232,9 @@ class _File:
             self.store.delete_file(self.draft)
 
 
-def _write_parts(folder: str, path: str, end_id: int | None):
+def _write_parts(folder: str, path: str, end_id: int | None, words: Words | None):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder_with(path, words)
         end = b"" if end_id is None else np.asarray([end_id], encode.dtype).tobytes()
         width, part = encode.dtype.itemsize, TaskContext.get().partitionId()
         store, root = _open(folder)
@@ -194,23 +262,24 @@ def _write_parts(folder: str, path: str, end_id: int | None):
     return write
 
 
-def _map(store: fs.FileSystem, path: str, dtype: str) -> np.ndarray:
-    """A file as an array; memory-mapped where the file system is local."""
+def _values(store: fs.FileSystem, path: str, dtype: str, start: int, stop: int) -> np.ndarray:
+    """Values ``start`` to ``stop`` of a file; memory-mapped where the file system is local, else only these are read."""
+    if stop <= start:
+        return np.empty(0, dtype)
+    width = np.dtype(dtype).itemsize
     if isinstance(store, fs.LocalFileSystem):
-        if not store.get_file_info(path).size:
-            return np.empty(0, dtype)
-        return np.memmap(path, dtype, "r")
+        return np.memmap(path, dtype, "r", start * width, stop - start)
     with store.open_input_file(path) as file:
-        return np.frombuffer(file.read(), dtype)
+        return np.frombuffer(file.read_at((stop - start) * width, start * width), dtype)
 
 
 def _write_offsets(folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _open(folder)
         for batch in batches:
-            for part, base in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, base, docs in zip(*(c.to_pylist() for c in batch.columns)):
                 name = f"{root}/part-{part:05d}"
-                lengths = _map(store, f"{name}.len", "<u8")
+                lengths = _values(store, f"{name}.len", "<u8", 0, docs)
                 offsets = np.concatenate([[base], base + np.cumsum(lengths)]).astype("<u8")
                 with _File(store, f"{name}.idx") as out:
                     out.write(offsets.tobytes())
@@ -219,9 +288,12 @@ def _write_offsets(folder: str):
     return write
 
 
-def _parts(spark: SparkSession, parts: list[tuple[int, int]]) -> DataFrame:
-    """One row per part (number, base), each in a partition of its own."""
-    rows = spark.createDataFrame(parts, "part long, base long")
+_PART = "part long, base long, docs long"
+
+
+def _parts(spark: SparkSession, parts: list[tuple[int, int, int]]) -> DataFrame:
+    """One row per part (number, base, documents), each in a partition of its own."""
+    rows = spark.createDataFrame(parts, _PART)
     return rows.repartitionByRange(max(1, len(parts)), "part")
 
 
@@ -234,20 +306,21 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
     rows give a manifest without parts. One document's ids are in memory at a time, besides a batch of texts.
     """
     spark = docs.sparkSession
+    folder = resolved(spark, folder)
     store, root = _open(folder)
     store.create_dir(root)
     tie = F.xxhash64("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = (
         rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
-        .mapInArrow(_write_parts(folder, tokenizer, end_id), "part long, docs long, ids long")
+        .mapInArrow(_write_parts(folder, tokenizer, end_id, frequent_words(rows, tokenizer)), "part long, docs long, ids long")
         .collect()
     )
     found.sort()
     bases = [0, *accumulate(r["ids"] for r in found)]
     if found:
-        marked = _parts(spark, [(r["part"], base) for r, base in zip(found, bases)])
-        marked.mapInArrow(_write_offsets(folder), "part long, base long").count()
+        marked = _parts(spark, [(r["part"], base, r["docs"]) for r, base in zip(found, bases)])
+        marked.mapInArrow(_write_offsets(folder), _PART).count()
     manifest = {
         "dtype": encoder(tokenizer).dtype.str,
         "end_id": end_id,
@@ -270,6 +343,7 @@ def read_tokens(spark: SparkSession, folder: str, ids: bool = False) -> DataFram
 
     ``ids_crc32`` is the unsigned crc32 of the ids as little-endian unsigned 32-bit integers.
     """
+    folder = resolved(spark, folder)
     manifest = read_manifest(folder)
     dtype = manifest["dtype"]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids
@@ -277,14 +351,14 @@ def read_tokens(spark: SparkSession, folder: str, ids: bool = False) -> DataFram
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _open(folder)
         for batch in batches:
-            for part, base in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, base, docs in zip(*(c.to_pylist() for c in batch.columns)):
                 name = f"{root}/part-{part:05d}"
-                doc, offsets = _map(store, f"{name}.doc", "<i8"), _map(store, f"{name}.idx", "<u8").astype(np.int64)
-                data = _map(store, f"{name}.bin", dtype)
-                for at in range(0, len(doc), 1024):
-                    own = np.asarray(doc[at:at + 1024])
-                    starts, ends = offsets[at:at + len(own)], offsets[at + 1:at + len(own) + 1]
-                    some = [data[a - base:b - base] for a, b in zip(starts, ends)]
+                for at in range(0, docs, 256):
+                    own = np.asarray(_values(store, f"{name}.doc", "<i8", at, min(at + 256, docs)))
+                    offsets = _values(store, f"{name}.idx", "<u8", at, at + len(own) + 1).astype(np.int64)
+                    starts, ends, first = offsets[:-1], offsets[1:], int(offsets[0])
+                    data = _values(store, f"{name}.bin", dtype, first - base, int(offsets[-1]) - base)
+                    some = [data[a - first:b - first] for a, b in zip(starts, ends)]
                     columns = {
                         "doc_id": pa.array(own, pa.int64(), mask=own == NULL_ID),
                         "start": pa.array(starts),
@@ -295,12 +369,12 @@ def read_tokens(spark: SparkSession, folder: str, ids: bool = False) -> DataFram
                         columns["ids"] = pa.array([x.astype(np.int64) for x in some], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_pydict(columns)
 
-    return _parts(spark, [(p["part"], p["base"]) for p in manifest["parts"]]).mapInArrow(read, schema)
+    return _parts(spark, [(p["part"], p["base"], p["docs"]) for p in manifest["parts"]]).mapInArrow(read, schema)
 
 
 def tokens_of(docs: DataFrame, tokenizer: str, end_id: int | None = 1) -> DataFrame:
     """Write ``docs`` as a dataset in the shared folder and read it back; see ``read_tokens``."""
     spark = docs.sparkSession
-    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = scratch(spark, "tokens")
     write_tokens(docs, folder, tokenizer, end_id)
     return read_tokens(spark, folder)
