@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidewatch.llm import mixing
@@ -71,6 +72,66 @@ def test_a_mix_comes_near_its_targets(docs):
     assert rows(again) != rows(mixing.mixed(docs, size, sources, seed=1))
 
 
+def chosen(rows, words, whole):
+    """Ids that are taken once more than the others: (id, size) rows of one source of which ``words`` are taken."""
+    unsigned = lambda i: xxhash.xxh64_intdigest(
+        (0).to_bytes(4, "little"), xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42))
+    _, rest = divmod(words, whole)
+    long_from = max(1, words // 200)
+    taken, have = set(), 0
+
+    def take(part, goal):
+        sizes = {}
+        for i, size in part:
+            sizes[i] = sizes.get(i, 0) + size
+        upto, ids, best = 0, [], (0, 0)
+        for i in sorted(sizes, key=lambda i: (unsigned(i), i)):
+            upto += sizes[i]
+            ids.append(i)
+            if 2 * upto - sizes[i] <= 2 * goal:
+                best = (len(ids), upto)
+        taken.update(ids[:best[0]])
+        return best[1]
+
+    long = [r for r in rows if r[1] > long_from]
+    goal = rest * sum(size for _, size in long) // whole
+    if rest and long and goal:
+        have = take(long, goal)
+    if rest > have:
+        take([r for r in rows if 0 < r[1] <= long_from], rest - have)
+    return taken
+
+
+def test_the_choice_against_a_plain_loop(spark, docs):
+    size, sources = mixing.n_words(F.col("text")), F.array("source")
+    sized = docs.where("doc_id is not null").select("doc_id", size.alias("size"), sources.alias("sources"))
+    rows = [(r["doc_id"], r["size"], r["sources"][0]) for r in sized.collect()]
+    mix = mixing.plan_mix(sized)
+    goal = {n: int(g) for n, _, g in mix.sources}
+    got = {r["doc_id"]: r["times"] for r in mixing.apply_mix(sized, mix).collect()}
+    for name, whole, _ in mix.sources:
+        own = [(i, n) for i, n, s in rows if s == name]
+        more = chosen(own, goal[name], whole)
+        assert {i: got[i] for i, _ in own} == {i: min(3, goal[name] // whole + (i in more)) if n else 0 for i, n in own}, name
+
+
+def test_clashing_columns(docs):
+    names = ["pattern", "repeats", "times", "long_h", "short_all", "mix_h", "mix_id", "mix_size", "row", "long_from", "sources", "size"]
+    more = docs.drop("pattern").withColumns({name: F.lit(f"own {name}") for name in names})
+    size, sources = mixing.n_words(F.col("text")), F.array("source")
+    got = mixing.mixed(more, size, sources)
+    assert got.columns == more.columns
+    assert got.select(names).distinct().collect() == [tuple(f"own {name}" for name in names)]
+    ids = lambda d: sorted(map(str, d.select("doc_id").collect()))
+    assert ids(got) == ids(mixing.mixed(docs, size, sources))
+
+
+def test_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "w " * 300_000, "a"), (2, "x y", "a"), (3, "z", "b")], "doc_id long, text string, source string")
+    got = mixing.mixed(docs, mixing.n_words(F.col("text")), F.array("source")).collect()
+    assert {r["doc_id"] for r in got} >= {1} and max(len(r["text"]) for r in got) == 600_000
+
+
 def test_documents_in_several_sources(spark):
     rows = [(k, 10, ["web"] if k % 3 else ["web", "book"]) for k in range(300)] + [(900, 10, ["book"]), (901, 10, [])]
     sized = spark.createDataFrame(rows, "doc_id long, size long, sources array<string>")

@@ -7,6 +7,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidewatch.llm import neardup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -100,6 +102,18 @@ def test_deduplicated_keeps_one_of_each_and_all_columns(spark):
     assert sorted((r["doc_id"] or 0, r["key"]) for r in kept.collect()) == [(0, 6), (1, 1), (3, 3), (4, 4), (5, 5), (5, 5)]
 
 
+def test_clashing_columns(spark):
+    names = ["removed", "again", "t", "kept", "n_shingles", "component_id", "row", "node", "h", "g", "key", "count", "component"]
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A B c d e f"), (3, "z y x w v"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit(f"own {n}") for n in names})
+    kept = neardup.deduplicated(df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 3, 4]
+    assert all(r[n] == f"own {n}" for r in got for n in names)
+    assert neardup.near_duplicates(df).count() == 5
+
+
 def test_an_odd_sketch_estimates_high_similarity(spark):
     rng = np.random.default_rng(1)
     for similarity in (0.8, 0.9):

@@ -36,7 +36,10 @@ def folder(spark, tmp_path_factory):
         docs.append((i, " ".join(words), "en", f"s{min(i % 4, 2)}", 1, i, "n"))
         labels.append((i, int(not junk), 0))
     docs.append((500, None, None, None, None, None, None))
-    schema = "doc_id long, text string, lang string, source string, n_chars long, size long, node string"
+    docs.append((501, " ".join(text(40_000)), "en", "s1", 1, 501, "n"))
+    docs = [(*d, "r", 7, "p", 1.5) for d in docs]
+    schema = ("doc_id long, text string, lang string, source string, n_chars long, size long, node string, "
+              "removed string, again int, pattern string, times double")
     spark.createDataFrame(docs, schema).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
@@ -58,7 +61,7 @@ def test_stages(spark, folder):
     good = staged(stage["quality_classifier"](spark, docs, folder))
     scored = ranking.quality_scores(docs, labels).where("predicted = 1")
     assert {i for i, _ in texts(good)} == {r["doc_id"] for r in scored.collect()}
-    judged = {i for i, _ in texts(good)} - {500}
+    judged = {i for i, _ in texts(good)} - {500, 501}
     assert sum(known[i] for i in judged) > 0.95 * len(judged) and len(judged) > 0.95 * sum(known.values())
 
     single = staged(stage["near_dedup"](spark, good, folder))
@@ -76,7 +79,8 @@ def test_stages(spark, folder):
     assert set(times) <= {i for i, _ in texts(clean)} and max(times.values()) <= 3
     words = F.size(F.split("text", " "))
     whole = clean.agg(F.sum(words)).first()[0]
-    assert mixed.agg(F.sum(words)).first()[0] == pytest.approx(whole, rel=0.05)
+    # documents are taken whole, so a target is missed by half of the longest one at most
+    assert mixed.agg(F.sum(words)).first()[0] == pytest.approx(whole, abs=0.05 * whole + 40_000 / 2)
     for df in (good, single, clean, mixed):
         assert df.columns == docs.columns
 

@@ -1,8 +1,12 @@
-"""Pairwise ranking: held-out accuracy, and what it does with little."""
+"""Pairwise ranking: against a plain fit, held-out accuracy, and what it does with little."""
 
 import random
+import zlib
+
+import numpy as np
 
 import pytest
+import xxhash
 
 from tidewatch.llm import ranking
 
@@ -39,6 +43,58 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(map(str, wanted))
 
 
+def plain_scores(docs, labels, most, partners):
+    """All steps without Spark: examples, pairs, a fit by Newton's method, the threshold and the scores."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    own = {}
+    for i, text, *_ in docs:
+        if i is not None:
+            x = ranking.features_of(text or "")
+            own[i] = min(own.get(i, x), x, key=list)
+    least = {}
+    for i, y in labels:
+        if i is not None and y is not None and not held(i) and i in own:
+            least[i] = min(y, least.get(i, y))
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    place = lambda i: (signed(xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42)), i)
+    kinds = [sorted((i for i, y in least.items() if y == k), key=place)[:most] for k in (0, 1)]
+    bad, good = [np.array([own[i] for i in ids]) for ids in kinds]
+    every = np.concatenate([bad, good])
+    mean, scale = every.mean(axis=0), np.where(every.std(axis=0) == 0, 1, every.std(axis=0))
+    g, b = (good - mean) / scale, (bad - mean) / scale
+    gaps, fewest = [], min(len(g), len(b))
+    for k in range(max(len(g), len(b))):
+        for j in range(partners):
+            p = (k * 7 + 1 + j * max(1, fewest // partners)) % fewest
+            gaps.append(g[k] - b[p] if len(g) >= len(b) else g[p] - b[k])
+    gaps = np.array(gaps)
+    w = np.zeros(gaps.shape[1])
+    for _ in range(50):
+        share = 1 / (1 + np.exp(gaps @ w))  # mirrored pairs have the same loss
+        slope = -(gaps * share[:, None]).mean(axis=0) + 1e-3 * w
+        bend = (gaps * (share * (1 - share))[:, None]).T @ gaps / len(gaps) + 1e-3 * np.eye(len(w))
+        w -= np.linalg.solve(bend, slope)
+    worth = lambda x: (np.asarray(x) - mean) @ (w / scale)
+    grid = np.quantile(np.concatenate([worth(good), worth(bad)]), np.linspace(0, 1, 1001))
+    wrong = [(worth(good) < t).mean() + (worth(bad) >= t).mean() for t in grid]
+    best = [t for t, x in zip(grid, wrong) if x <= min(wrong) + 1e-12]
+    cut = (best[0] + best[-1]) / 2
+    return [(i, 1 / (1 + np.exp(cut - worth(ranking.features_of(text or ""))))) for i, text, *_ in docs]
+
+
+@pytest.mark.parametrize("most", [40, 5000])
+def test_against_a_plain_fit(spark, monkeypatch, most):
+    monkeypatch.setattr(ranking, "MAX_EXAMPLES", most)
+    docs, labels = corpus(400, 5)
+    docs += [(900, None, 0.0), (901, "", 0.0), (None, "fine plain words", 0.0), docs[0], (docs[1][0], "other text", 0.0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, score double").repartition(3)
+    known = spark.createDataFrame(labels + [(900, None), (None, 0), (3, 1)], "doc_id long, quality int")
+    got = sorted(((str(r["doc_id"]), r["score"]) for r in ranking.quality_scores(df, known).collect()))
+    want = sorted((str(i), s) for i, s in plain_scores(docs, labels + [(900, None), (None, 0), (3, 1)], most, ranking.PARTNERS))
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=2e-3)
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1)], [(1, 0), (2, 0)]])
 def test_too_little_to_learn_from(spark, labels):
     df = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")

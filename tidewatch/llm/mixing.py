@@ -280,13 +280,17 @@ def _upto(kind: str) -> Column:
 
 
 def apply_mix(docs: DataFrame, mix: Mix, seed: int = 0) -> DataFrame:
-    """``docs`` (doc_id, size, sources and more) with ``times``: how often each is taken."""
-    rows = docs.withColumns({"pattern": _key(F.col("sources")), "mix_h": _hash(seed), "mix_id": _id()})
+    """``docs`` (doc_id, size, sources and more) with ``times``: how often each is taken.
+
+    A column ``times`` of their own is replaced; other names can't clash.
+    """
+    row = F.struct(*[c for c in docs.columns if c != "times"])
+    rows = docs.select(row.alias("row"), F.col("size").alias("mix_size"), _key(F.col("sources")).alias("pattern"),
+                       _hash(seed).alias("mix_h"), _id().alias("mix_id"))
     joined = rows.join(mix.plan, "pattern", "left")
-    extra = F.when(F.col("size") > F.col("long_from"), _upto("long")).otherwise(_upto("short")).cast("long")
-    times = F.when(F.col("size") > 0, F.coalesce(F.col("repeats") + extra, F.lit(0))).otherwise(0)
-    return joined.withColumn("times", F.least(times, F.lit(LEVELS)).cast("long")).drop(
-        "mix_h", "mix_id", *mix.plan.columns)
+    extra = F.when(F.col("mix_size") > F.col("long_from"), _upto("long")).otherwise(_upto("short")).cast("long")
+    times = F.when(F.col("mix_size") > 0, F.coalesce(F.col("repeats") + extra, F.lit(0))).otherwise(0)
+    return joined.select("row.*", F.least(times, F.lit(LEVELS)).cast("long").alias("times"))
 
 
 def mixed(docs: DataFrame, size: Column, sources: Column, seed: int = 0,

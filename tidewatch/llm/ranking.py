@@ -108,8 +108,8 @@ def fit_ranking(examples: DataFrame, max_examples: int = MAX_EXAMPLES, partners:
     kinds nothing can be preferred: all weights are zero and every score is one half.
     """
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = staged(examples.where(F.col("label").isin(0, 1)).withColumn("k", F.row_number().over(order) - 1)
-                    .where(F.col("k") < max_examples).select("label", "k", "x"))
+    marked = bounded_examples(examples.where(F.col("label").isin(0, 1)), max_examples)
+    chosen = staged(marked.withColumn("k", F.row_number().over(order) - 1).select("label", "k", "x"))
     sizes = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
     width = len(FEATURES)
     if len(sizes) < 2:
@@ -154,11 +154,16 @@ def learnable(labels: DataFrame, column: str) -> DataFrame:
     )
 
 
+def _chosen(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    """doc_id and label of those of ``rows`` that are learned from: at most 2 * MAX_EXAMPLES, so all executors can have them."""
+    known = rows.select("doc_id").distinct().join(learnable(labels, column), "doc_id")
+    return staged(bounded_examples(known.where(F.col("label").isin(0, 1)), MAX_EXAMPLES))
+
+
 def learn_ranking(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Ranking:
     """A ranking learned from those of ``docs`` that have labels which may be learned from."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # at most 2 * MAX_EXAMPLES ids go to all executors, so that texts stay where they are
-    chosen = staged(bounded_examples(rows.select("doc_id").distinct().join(learnable(labels, column), "doc_id"), MAX_EXAMPLES))
+    chosen = _chosen(rows, labels, column)
     found = text_features(rows.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"))
     examples = staged(found).join(chosen, "doc_id")
     return fit_ranking(examples.groupBy("doc_id", "label").agg(F.min("x").alias("x")))
@@ -178,7 +183,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, column: str = "quality",
     none. Other columns of ``docs`` are not read.
     """
     found = staged(text_features(docs))
-    examples = found.join(learnable(labels, column), "doc_id")
+    examples = found.join(F.broadcast(_chosen(found, labels, column)), "doc_id")
     ranking = fit_ranking(examples.groupBy("doc_id", "label").agg(F.min("x").alias("x")))
     score = ranking.score(F.col("x"))
     return found.select("doc_id", held_out().alias("held_out"), score.alias("score")).withColumn(
