@@ -79,19 +79,6 @@ def test_memory_is_bounded(tokenizer):
     assert len(encoder.chunks) <= 20 and len(encoder.words) <= 20
 
 
-def test_words_are_counted_encoded_once_and_sent(spark, tokenizer, monkeypatch):
-    texts = ["Über the, THE the\tÉtion é9é éé!", "the über étion foo's foo 'the'", None, "x" * 50 + " ÿ Ÿ ÿ × × a×a a×a"] * 3
-    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    _, sent = tokens.frequent_words(rows, queries.tokenizer_path())
-    names, data, ends = sent.value
-    ids = {w: np.frombuffer(data[a:b], "<u2").tolist() for w, a, b in zip(names.split("\n"), [0, *ends], ends)}
-    assert {"the", "über", "étion", "é", "éé", "foo", "ÿ", "a"} <= set(ids) and "x" * 50 not in ids
-    assert ids == {w: tokenizer.encode(w, add_special_tokens=False).ids for w in ids}
-    some = tokens.frequent_words(rows, queries.tokenizer_path(), most=4)
-    assert 1 <= len(some[1].value[2]) <= 4
-    assert tokens.frequent_words(rows.limit(0), queries.tokenizer_path()) is None
-
-
 def test_long_texts_and_clashing_columns(spark, tokenizer):
     rng = random.Random(2)
     texts = [" ".join("".join(rng.choices("abcdé,.", k=6)) for _ in range(40_000)), "short", None, "漢" * 30_000]

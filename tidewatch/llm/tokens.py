@@ -22,28 +22,25 @@ import json
 import re
 import uuid
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import slices
-from tidewatch.session import scratch, staged
+from tidewatch.session import scratch
 
 NULL_ID = -(1 << 63)
 
 #: One word of Latin-1 letters and the ASCII signs after it. The tokenizer always cuts between
 #: letters and these signs and ignores case, so both parts can be encoded on their own.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,40})([.,;:!?|#$%&*]{0,8})")
-#: Its letters that have a lower case, and what stands between words of its letters (as Java writes it).
-_UPPER = "".join(map(chr, [*range(65, 91), *range(192, 215), *range(216, 223)]))
-_NO_WORD = "[^a-zß-öø-ÿ]+"
 
 
 class Encoder:
@@ -51,15 +48,14 @@ class Encoder:
 
     The result equals ``Tokenizer.encode`` of the whole text for tokenizers that drop white space and
     never join what it separates; ``word_at_a_time`` says whether a tokenizer is one. Others
-    encode whole texts. ``given`` has the ids of words that need not be learned. What is learned has a bound: when the
-    newer half is full, the older half goes.
+    encode whole texts. What is remembered has a bound: when the newer half is full, the older half goes.
     """
 
-    def __init__(self, path: str, limit: int = 500_000, given: Mapping[str, bytes] | None = None):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit, self.given = limit, given or {}
+        self.limit = limit
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
         self.word_at_a_time = self._word_at_a_time()
@@ -94,23 +90,22 @@ class Encoder:
             out += [data[a * width:b * width] for a, b in zip([0, *ends], ends)]
         return out
 
-    def _learn(self, missing: set[str]) -> None:
+    def _learn(self, missing: list[str]) -> None:
         """Encode chunks and remember them."""
-        plain, chunks, words, given = {}, self.chunks, self.words, self.given
+        plain, chunks, words = {}, self.chunks, self.words
         for chunk in missing:
             if match := _PLAIN.fullmatch(chunk):
                 plain[chunk] = (match[1].lower(), match[2])
             else:
                 chunks[chunk] = self._ids(chunk)
-        new = {word for word, _ in plain.values() if word not in given and word not in words}
+        new = {word for word, _ in plain.values() if word not in words}
         words |= {word: self.older_words[word] for word in new if word in self.older_words}
         unknown = [word for word in new if word not in words]
         words |= zip(unknown, self.word_ids(unknown))
         signs = {sign for _, sign in plain.values() if sign and sign not in words}
         words |= {sign: self._ids(sign) for sign in signs}
         for chunk, (word, sign) in plain.items():
-            ids = given[word] if word in given else words[word]
-            chunks[chunk] = ids + words[sign] if sign else ids
+            chunks[chunk] = words[word] + words[sign] if sign else words[word]
 
     def _forget(self) -> None:
         """Keep memory bounded."""
@@ -125,9 +120,9 @@ class Encoder:
             return [self._ids(text) for text in texts]
         split = [text.replace("\n", " ").split(" ") for text in texts]
         known, older = self.chunks, self.older_chunks
-        missing = set().union(*split).difference(known)
+        missing = [chunk for chunk in set().union(*split) if chunk not in known]
         known |= {chunk: older[chunk] for chunk in missing if chunk in older}
-        missing.difference_update(known)
+        missing = [chunk for chunk in missing if chunk not in known]
         if missing:
             self._learn(missing)
         out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
@@ -144,61 +139,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-Words = tuple[str, Broadcast]  # a name of its own, and names, ids and their ends
-
-_given: dict[str, Encoder] = {}
-
-
-def encoder_with(path: str, words: Words | None) -> Encoder:
-    """The same with words that the driver has sent; a worker holds those of one broadcast at a time."""
-    if words is None:
-        return encoder(path)
-    key, sent = words
-    if key not in _given:
-        names, data, ends = sent.value
-        ids = [data[a:b] for a, b in zip([0, *ends], ends)]
-        _given.clear()
-        _given[key] = Encoder(path, given=dict(zip(names.split("\n"), ids)))
-    return _given[key]
-
-
-#: Words that go to all workers, at most: some 6 MB.
-MOST_WORDS = 300_000
-
-
-def frequent_words(rows: DataFrame, tokenizer: str, most: int = MOST_WORDS) -> Words | None:
-    """The ids of the words that are in ``rows`` (text) most often, for all workers.
-
-    Words are counted over all texts and each of those chosen is encoded once. Which words are chosen has no influence on results:
-    a worker encodes the others when it meets them. At most ``most`` words are collected.
-    """
-    spark = rows.sparkSession
-    if not encoder(tokenizer).word_at_a_time:
-        return None
-    text = F.translate("text", _UPPER, _UPPER.lower())
-    words = rows.select(F.explode(F.split(text, _NO_WORD)).alias("word")).where("word <> '' AND length(word) <= 40")
-    counts = staged(words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1"))
-    sizes = counts.groupBy("n").count().orderBy(F.desc("n")).limit(most).collect()  # one row per frequency
-    total, least = 0, None
-    for r in sizes:
-        total += r["count"]
-        if total > most:
-            break
-        least = r["n"]
-    if least is None:
-        return None
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = encoder(tokenizer).word_ids(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
-
-    found = counts.where(F.col("n") >= least).select("word").mapInArrow(encode, "word string, ids binary").toArrow()
-    names, ids = found.column(0).to_pylist(), found.column(1).to_pylist()
-    table = ("\n".join(names), b"".join(ids), list(accumulate(map(len, ids))))
-    return uuid.uuid4().hex, spark.sparkContext.broadcast(table)
-
-
 def resolved(spark: SparkSession, folder: str) -> str:
     """``folder`` with its scheme: without one it is on Spark's default file system."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -232,9 +172,9 @@ class _File:
             self.store.delete_file(self.draft)
 
 
-def _write_parts(folder: str, path: str, end_id: int | None, words: Words | None):
+def _write_parts(folder: str, path: str, end_id: int | None):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder_with(path, words)
+        encode = encoder(path)
         end = b"" if end_id is None else np.asarray([end_id], encode.dtype).tobytes()
         width, part = encode.dtype.itemsize, TaskContext.get().partitionId()
         store, root = _open(folder)
@@ -313,7 +253,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = (
         rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
-        .mapInArrow(_write_parts(folder, tokenizer, end_id, frequent_words(rows, tokenizer)), "part long, docs long, ids long")
+        .mapInArrow(_write_parts(folder, tokenizer, end_id), "part long, docs long, ids long")
         .collect()
     )
     found.sort()
