@@ -51,7 +51,7 @@ class Encoder:
     encode whole texts. What is remembered has a bound: when the newer half is full, the older half goes.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -66,6 +66,7 @@ class Encoder:
         self.older_chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.older_words: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
 
     def _word_at_a_time(self) -> bool:
         spec = json.loads(self.tokenizer.to_str())
@@ -90,29 +91,33 @@ class Encoder:
             out += [data[a * width:b * width] for a, b in zip([0, *ends], ends)]
         return out
 
-    def _learn(self, missing: list[str]) -> None:
-        """Encode chunks and remember them."""
-        plain, chunks, words = {}, self.chunks, self.words
+    def _encode_chunks(self, missing: list[str]) -> tuple[dict[str, bytes], list[str]]:
+        """The ids of unknown chunks, and those chunks that need not be remembered."""
+        words, older, match = self.words, self.older_words, _PLAIN.fullmatch
+        out, plain, new, gone = {}, [], set(), []
         for chunk in missing:
-            if match := _PLAIN.fullmatch(chunk):
-                plain[chunk] = (match[1].lower(), match[2])
-            else:
-                chunks[chunk] = self._ids(chunk)
-        new = {word for word, _ in plain.values() if word not in words}
-        words |= {word: self.older_words[word] for word in new if word in self.older_words}
+            found = match(chunk)
+            if found is None:
+                out[chunk] = self._ids(chunk)
+                if len(chunk) > 64:
+                    gone.append(chunk)
+                continue
+            word, sign = found.groups()
+            word = word.lower()
+            plain.append((chunk, word, sign))
+            if word not in words:
+                new.add(word)
+        words.update((word, older[word]) for word in new if word in older)
         unknown = [word for word in new if word not in words]
-        words |= zip(unknown, self.word_ids(unknown))
-        signs = {sign for _, sign in plain.values() if sign and sign not in words}
-        words |= {sign: self._ids(sign) for sign in signs}
-        for chunk, (word, sign) in plain.items():
-            chunks[chunk] = words[word] + words[sign] if sign else words[word]
-
-    def _forget(self) -> None:
-        """Keep memory bounded."""
-        if len(self.words) > self.limit:
-            self.words, self.older_words = {}, self.words
-        if len(self.chunks) > self.limit:
-            self.chunks, self.older_chunks = {}, self.chunks
+        words.update(zip(unknown, self.word_ids(unknown)))
+        first = set(unknown)
+        for chunk, word, sign in plain:
+            if sign and sign not in self.signs:
+                self.signs[sign] = self._ids(sign)
+            out[chunk] = words[word] + self.signs[sign] if sign else words[word]
+            if word in first:  # most of these never come again, and the word is remembered
+                gone.append(chunk)
+        return out, gone
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
@@ -121,15 +126,18 @@ class Encoder:
         split = [text.replace("\n", " ").split(" ") for text in texts]
         known, older = self.chunks, self.older_chunks
         missing = [chunk for chunk in set().union(*split) if chunk not in known]
-        known |= {chunk: older[chunk] for chunk in missing if chunk in older}
-        missing = [chunk for chunk in missing if chunk not in known]
-        if missing:
-            self._learn(missing)
+        known.update((chunk, older[chunk]) for chunk in missing if chunk in older)
+        found, gone = self._encode_chunks([chunk for chunk in missing if chunk not in known])
+        known |= found
         out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-        for chunk in missing:
-            if len(chunk) > 64:
-                del known[chunk]
-        self._forget()
+        for chunk in gone:
+            del known[chunk]
+        if len(known) > self.limit // 4:
+            self.chunks, self.older_chunks = {}, known
+        if len(self.words) > self.limit:
+            self.words, self.older_words = {}, self.words
+        if len(self.signs) > self.limit // 4:
+            self.signs.clear()
         return out
 
 
