@@ -3,10 +3,10 @@
 Texts are vectors of TF-IDF weights, (1 + ln tf) * idf, of length one, and are compared by cosine with all examples.
 There are two searches, both exact.
 
-* *Whole vectors.* All words count. Every example with a cosine of ``NEAR`` or more is found. Words are taken from the
-  rarest on until what is left of the text is shorter than ``NEAR``; an example without any of these words can't
-  reach it, so only the postings of these are read, and the cosine of what they name is computed in full. A copy of a
-  labelled text thus has a neighbour of cosine one, whatever its words.
+* *Whole vectors.* All words count. Every example with a cosine of ``NEAR`` or more is found. The postings of the
+  text's words are added up from the rarest word on, until what is left of the text is shorter than a share of ``NEAR``.
+  What is left can add no more than its length, so only examples whose sum comes near enough are compared in
+  full. A copy of a labelled text thus has a neighbour of cosine one, whatever its words.
 * *Telling words.* Most words say nothing about the label, and in prose they make up most of a vector. So the
   words whose presence depends on the label among the examples (chi-square above ``MIN_CHI2``, and at least
   ``MIN_RATIO`` times as frequent under one label) are vectors of their own. The nearest ``K`` by these, and all that tie
@@ -55,6 +55,8 @@ MIN_EXAMPLES = 5
 BLOCK = 64
 #: Cosine of whole vectors from which on an example is a neighbour, and how many times its vote counts.
 NEAR, NEAR_WEIGHT = 0.8, 4.0
+#: Share of ``NEAR`` that the unread rest of a text may have; only speed depends on it.
+UNREAD = 0.6
 
 
 def hashed_counts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,8 +87,9 @@ class WholeIndex:
         self.rows = [self._unit(words, e[3]) for words, e in zip(np.split(self.number[places], ends), examples)] if n else []
         words = np.concatenate([np.empty(0, np.int32), *[w for w, _ in self.rows]])
         owners = np.repeat(np.arange(n, dtype=np.int32), [len(w) for w, _ in self.rows])
-        self.owners = owners[np.argsort(words, kind="stable")]
-        self.starts = np.searchsorted(np.sort(words), np.arange(len(order) + 1))
+        place = np.argsort(words, kind="stable")
+        self.owners, self.values = owners[place], np.concatenate([np.empty(0), *[v for _, v in self.rows]])[place]
+        self.starts = np.searchsorted(words[place], np.arange(len(order) + 1))
 
     def _unit(self, words: np.ndarray, counts: np.ndarray, rest: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Words in ascending order with weights; ``rest`` is the square of the length that other words add."""
@@ -103,12 +106,17 @@ class WholeIndex:
         known = self.hashes[at] == hashes
         rest = float(((1 + np.log(counts[~known])) ** 2).sum()) * self.unknown**2
         words, weights = self._unit(self.number[at[known]], counts[known], rest)
-        left = np.cumsum((weights * weights)[::-1])[::-1]  # from this word on
-        probes = words[left >= least * least - 1e-9].tolist()
-        if not probes:
+        left = np.cumsum((weights * weights)[::-1])[::-1]  # squared, from this word on
+        if not len(words) or left[0] < least * least - 1e-9:
             return []
+        read = int(np.searchsorted(-left, -((UNREAD * least) ** 2), side="right"))
+        rest = math.sqrt(left[read]) if read < len(words) else 0.0
+        starts = self.starts[words[:read]]
+        sizes = self.starts[words[:read] + 1] - starts
+        at = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+        sums = np.bincount(self.owners[at], self.values[at] * np.repeat(weights[:read], sizes), len(self.ids))
         found = []
-        for example in np.unique(np.concatenate([self.owners[self.starts[w]:self.starts[w + 1]] for w in probes])).tolist():
+        for example in np.flatnonzero(sums >= least - rest - 1e-9).tolist():
             theirs, values = self.rows[example]
             at = np.minimum(np.searchsorted(theirs, words), len(theirs) - 1)
             both = theirs[at] == words
