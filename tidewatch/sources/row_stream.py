@@ -6,6 +6,7 @@ offset is a file's name and the number of its rows that have been read.
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 
@@ -36,13 +37,23 @@ class Rows(InputPartition):
 
 
 class RowStreamReader(DataSourceStreamReader):
-    def __init__(self, schema: StructType, folder: str, rows: int):
-        self.schema, self.folder, self.rows = schema, folder, rows
+    def __init__(self, schema: StructType, folder: str, rows: int, progress: str | None = None):
+        self.schema, self.folder, self.rows, self.progress = schema, folder, rows, progress
         self.position: dict | None = None
         self.sizes: dict[str, int] = {}
 
-    def _store(self) -> tuple[fs.FileSystem, str]:
-        return fs.FileSystem.from_uri(self.folder) if ":" in self.folder else (fs.LocalFileSystem(), self.folder)
+    def _store(self, path: str | None = None) -> tuple[fs.FileSystem, str]:
+        path = path or self.folder
+        return fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+
+    def _reached(self) -> dict:
+        """Where a reader before this one was, one micro-batch back at most; Spark gives the start of the next one itself."""
+        if self.progress is not None:
+            store, path = self._store(self.progress)
+            if store.get_file_info(path).is_file:
+                with store.open_input_stream(path) as file:
+                    return json.loads(file.read())
+        return self.initialOffset()
 
     def _files(self, after: str) -> list[str]:
         """Names from ``after`` on, in order."""
@@ -63,7 +74,7 @@ class RowStreamReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         if self.position is None:
-            self.position = self.initialOffset()
+            self.position = self._reached()
         left, position = self.rows, self.position
         for name in self._files(position["file"]):
             start = position["row"] if name == position["file"] else 0
@@ -87,8 +98,10 @@ class RowStreamReader(DataSourceStreamReader):
         return found
 
     def commit(self, end: dict) -> None:
-        if self.position is None:  # after a restart
-            self.position = end
+        if self.progress is not None:
+            store, path = self._store(self.progress)
+            with store.open_output_stream(path) as file:
+                file.write(json.dumps(end).encode())
         self.sizes = {name: size for name, size in self.sizes.items() if name >= end["file"]}
 
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
@@ -114,21 +127,25 @@ class RowStreamReader(DataSourceStreamReader):
 
 
 class RowStream(DataSource):
-    """Options: ``path``, and ``rows`` per micro-batch."""
+    """Options: ``path``, ``rows`` per micro-batch, and ``progress``, a file."""
 
     @classmethod
     def name(cls) -> str:
         return "tidewatch_rows"
 
     def streamReader(self, schema: StructType) -> RowStreamReader:
-        return RowStreamReader(schema, self.options["path"].rstrip("/"), int(self.options.get("rows", ROWS)))
+        return RowStreamReader(schema, self.options["path"].rstrip("/"), int(self.options.get("rows", ROWS)), self.options.get("progress"))
 
 
-def stream_rows(spark: SparkSession, path: str, schema: StructType = PACKET_SCHEMA, rows: int = ROWS) -> DataFrame:
+def stream_rows(
+    spark: SparkSession, path: str, schema: StructType = PACKET_SCHEMA, rows: int = ROWS, progress: str | None = None
+) -> DataFrame:
     """Packets from a folder of Parquet files, ``rows`` per micro-batch and the rest in the last one.
 
     The folder is read through Arrow's file systems. For a trigger by time: a trigger that takes what is there and
-    ends would take one micro-batch.
+    ends would take one micro-batch. A job that is to go on after a restart names a file for its ``progress``, beside its
+    checkpoint; the first micro-batch after a restart may be shorter.
     """
     spark.dataSource.register(RowStream)
-    return spark.readStream.format(RowStream.name()).schema(schema).option("path", path).option("rows", str(rows)).load()
+    reader = spark.readStream.format(RowStream.name()).schema(schema).option("path", path).option("rows", str(rows))
+    return (reader if progress is None else reader.option("progress", progress)).load()
