@@ -25,7 +25,6 @@ learned from a bounded sample (``MAX_EXAMPLES`` of each label) and is sent to al
 from __future__ import annotations
 
 import math
-import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -73,23 +72,30 @@ class WholeIndex:
 
     def __init__(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]], weights: tuple[float, float] = (1.0, 1.0)):
         n = len(examples)
-        every = np.concatenate([np.empty(0, np.uint64), *[e[2] for e in examples]])
-        self.hashes, places, frequency = np.unique(every, return_inverse=True, return_counts=True)
+        self.ids = [e[0] for e in examples]
+        self.toxic = np.array([e[1] for e in examples], bool)
+        self.votes = np.array([weights[e[1]] for e in examples])
+        self.hashes = np.unique(np.concatenate([np.empty(0, np.uint64), *[e[2] for e in examples]]))
+        ends = np.cumsum([0, *[len(e[2]) for e in examples]])
+        # one flat array each, as there are some millions of entries
+        self.ends, self.words, self.counts = ends, np.empty(ends[-1], np.int32), np.empty(ends[-1], np.uint32)
+        for e, a, b in zip(examples, ends, ends[1:]):
+            self.words[a:b], self.counts[a:b] = np.searchsorted(self.hashes, e[2]), e[3]
+        frequency = np.bincount(self.words, minlength=len(self.hashes))
         order = np.argsort(frequency, kind="stable")
         self.number = np.empty(len(order), np.int32)  # of the word at each place of ``hashes``
         self.number[order] = np.arange(len(order), dtype=np.int32)
         self.idf = np.log((1 + n) / (1 + frequency[order])) + 1
         self.unknown = math.log(1 + n) + 1  # of words that no example has
-        self.ids = [e[0] for e in examples]
-        self.toxic = np.array([e[1] for e in examples], bool)
-        self.votes = np.array([weights[e[1]] for e in examples])
-        ends = np.cumsum([len(e[2]) for e in examples])[:-1]
-        self.rows = [self._unit(words, e[3]) for words, e in zip(np.split(self.number[places], ends), examples)] if n else []
-        words = np.concatenate([np.empty(0, np.int32), *[w for w, _ in self.rows]])
-        owners = np.repeat(np.arange(n, dtype=np.int32), [len(w) for w, _ in self.rows])
-        place = np.argsort(words, kind="stable")
-        self.owners, self.values = owners[place], np.concatenate([np.empty(0), *[v for _, v in self.rows]])[place]
-        self.starts = np.searchsorted(words[place], np.arange(len(order) + 1))
+        values = np.empty(ends[-1], np.float32)
+        for a, b in zip(ends, ends[1:]):
+            own = np.argsort(words := self.number[self.words[a:b]])
+            self.words[a:b], self.counts[a:b] = words[own], self.counts[a:b][own]
+            values[a:b] = self._unit(self.words[a:b], self.counts[a:b])[1]
+        place = np.argsort(self.words, kind="stable").astype(np.int32)
+        self.owners = (np.searchsorted(ends, place, side="right") - 1).astype(np.int32)
+        self.values = values[place]
+        self.starts = np.searchsorted(self.words[place], np.arange(len(order) + 1))
 
     def _unit(self, words: np.ndarray, counts: np.ndarray, rest: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Words in ascending order with weights; ``rest`` is the square of the length that other words add."""
@@ -116,8 +122,9 @@ class WholeIndex:
         at = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
         sums = np.bincount(self.owners[at], self.values[at] * np.repeat(weights[:read], sizes), len(self.ids))
         found = []
-        for example in np.flatnonzero(sums >= least - rest - 1e-9).tolist():
-            theirs, values = self.rows[example]
+        for example in np.flatnonzero(sums >= least - rest - 1e-5).tolist():  # sums are of 32-bit values
+            a, b = self.ends[example], self.ends[example + 1]
+            theirs, values = self._unit(self.words[a:b], self.counts[a:b])
             at = np.minimum(np.searchsorted(theirs, words), len(theirs) - 1)
             both = theirs[at] == words
             cosine = float(weights[both] @ values[at[both]])
@@ -282,8 +289,9 @@ def fit_index(docs: DataFrame, examples: DataFrame, max_examples: int = MAX_EXAM
     weights = (counts.get(0, 0) / max(1, n0), counts.get(1, 0) / max(1, n1))
     index = build_index(
         [(r["doc_id"], r["label"], {bytes(x["word"]): x["n"] for x in r["words"]}) for r in own], vocabulary, weights)
-    index.whole = WholeIndex(
-        [(r["doc_id"], r["label"], np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], "<u4")) for r in own], weights)
+    blobs = [(r["doc_id"], r["label"], np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], "<u4")) for r in own]
+    del own
+    index.whole = WholeIndex(blobs, weights)
     return index
 
 
@@ -295,10 +303,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, column: str = "toxic", c
     learned from; repeated rows are all scored; no rows give none. Other columns are not read.
     """
     index = fit_index(docs, learnable(labels, column))
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(index))
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    del index  # workers have it
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Index = pickle.loads(shared.value)
+        own: Index = shared.value
         for batch in slices(batches):
             rows = [own.score(plain_words(text or "")) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
