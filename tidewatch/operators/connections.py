@@ -15,6 +15,9 @@ from tidewatch.session import staged
 # Fixed value: seconds after its first packet at which a connection's count starts again.
 MAX_AGE = 300
 
+# Times of one connection that one task may hold as an array.
+FOLD_ROWS = 200_000
+
 def connection_count(
     packets: DataFrame,
     max_age: float | None = None,
@@ -145,22 +148,41 @@ def _epoch_starts(tracked: DataFrame, max_age: float, max_rows: int) -> DataFram
     """One row per epoch: the connection and the time (``us``, microseconds) of its first packet.
 
     An epoch starts at the first packet later than ``max_age`` after the previous start. A connection
-    no longer than ``max_age`` has one epoch, so most are settled by one aggregate. The times of the
-    others point to the first time more than ``max_age`` later. These pointers, doubled in length each
-    round, give all starts; rounds grow with the logarithm of the span, and all joins are on
-    (connection, time): no skew.
+    no longer than ``max_age`` has one epoch, so most are settled by one aggregate. Of the others, those with
+    up to ``FOLD_ROWS`` packets fold their times one after another. The times of the rest point to the
+    first time more than ``max_age`` later. These pointers, doubled in length each round, give all starts;
+    rounds grow with the logarithm of the span, and all joins are on (connection, time): no skew.
     """
     age = round(max_age * 1_000_000)
     times = tracked.select(*CONNECTION, F.unix_micros("ts").alias("us"))
     spans = staged(times.groupBy(*CONNECTION).agg(
-        F.min("us").alias("_first"), F.max("us").alias("_last"),
+        F.min("us").alias("_first"), F.max("us").alias("_last"), F.count("*").alias("_n"),
     ).withColumn("_id", F.monotonically_increasing_id()))
     firsts = spans.select(*CONNECTION, F.col("_first").alias("us"))
     long = spans.filter(F.col("_last") - F.col("_first") > age)
-    span = long.agg(F.max(F.col("_last") - F.col("_first"))).first()[0]
-    if span is None:
-        return firsts
-    return staged(firsts.unionByName(_follow(times, long, age, span)))
+    most = min(max_rows, FOLD_ROWS)
+    hot = F.col("_n") > most
+    some, span = long.agg(F.count_if(~hot), F.max(F.when(hot, F.col("_last") - F.col("_first")))).first()
+    found = firsts
+    if some:
+        found = found.unionByName(_fold(times, long.filter(~hot), age))
+    if span is not None:
+        found = found.unionByName(_follow(times, long.filter(hot), age, span))
+    return staged(found)
+
+
+def _fold(times: DataFrame, connections: DataFrame, age: int) -> DataFrame:
+    """The later epoch starts of connections whose times fit one task."""
+    rows = skew._joined(times, connections.select(*CONNECTION), CONNECTION)
+    folded = rows.groupBy(*CONNECTION).agg(F.array_sort(F.collect_set("us")).alias("_times"))
+    start = F.struct(F.col("_times")[0].alias("last"), F.array().cast("array<bigint>").alias("starts"))
+
+    def later(so_far: Column, us: Column) -> Column:
+        new = F.struct(us.alias("last"), F.array_append(so_far["starts"], us).alias("starts"))
+        return F.when(us - so_far["last"] > age, new).otherwise(so_far)
+
+    starts = F.aggregate("_times", start, later, lambda x: x["starts"])
+    return folded.select(*CONNECTION, F.explode(starts).alias("us"))
 
 
 def _follow(times: DataFrame, connections: DataFrame, age: int, span: int) -> DataFrame:

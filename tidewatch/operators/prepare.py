@@ -247,6 +247,8 @@ def assemble(df: DataFrame, features: Sequence[str], output: str = "features") -
 
 # Hexadecimal digits of a key's hash that are settled at a time.
 _DIGITS = (4, 8, 32)
+# Rows of a class that one task may sort; a prefix with fewer is settled by whole hashes at once.
+_FEW = 1_000_000
 
 
 def holdout_sizes(counts: DataFrame, label: str, frac: float) -> DataFrame:
@@ -301,11 +303,14 @@ def stratified_split(
 
     edges = edge(of(counts, limits))
     inside = hashed.select(F.col(label).alias("_label"), "_place")
-    for before, digits in zip(_DIGITS, _DIGITS[1:]):
+    before = _DIGITS[0]
+    for digits in _DIGITS[1:]:
+        if digits < _DIGITS[-1] and (edges.agg(F.max("n")).first()[0] or 0) <= _FEW:
+            continue
         marks = edges.select("_label", F.col("left").alias("held"), F.col("_cut").alias("_prefix"))
         inside = staged(of(inside.drop("held", "_prefix"), marks).where(cut(before) == F.col("_prefix")))
         groups = inside.groupBy("_label", "held", cut(digits).alias("_cut")).agg(F.count("*").alias("n"))
-        edges = edge(groups)
+        edges, before = edge(groups), digits
     ends = edges.select("_label", F.col("_cut").alias("_end"), "left", (F.col("left") < F.col("n")).alias("_cuts"))
     marked = of(hashed.withColumn("_label", F.col(label)), ends, "left")
     in_group = F.coalesce(F.col("_cuts") & (F.col("_place") == F.col("_end")), F.lit(False))
