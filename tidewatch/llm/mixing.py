@@ -27,6 +27,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import free_name
 from tidewatch.session import staged
 
 LEVELS = 3
@@ -270,13 +271,14 @@ def _id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
 
 
-def _upto(kind: str) -> Column:
+def _upto(kind: str, names: dict[str, str]) -> Column:
     """True for rows not after the stop, in the unsigned order of hashes."""
-    high, stop = F.shiftrightunsigned("mix_h", 1), F.shiftrightunsigned(f"{kind}_h", 1)
-    low, stop_low = F.col("mix_h").bitwiseAND(F.lit(1)), F.col(f"{kind}_h").bitwiseAND(F.lit(1))
-    same = (F.col("mix_h") == F.col(f"{kind}_h")) & (F.col("mix_id") <= F.col(f"{kind}_id"))
+    of = lambda name: F.col(names[name])
+    high, stop = F.shiftrightunsigned(of("h"), 1), F.shiftrightunsigned(of(f"{kind}_h"), 1)
+    low, stop_low = of("h").bitwiseAND(F.lit(1)), of(f"{kind}_h").bitwiseAND(F.lit(1))
+    same = (of("h") == of(f"{kind}_h")) & (of("id") <= of(f"{kind}_id"))
     before = (high < stop) | ((high == stop) & (low < stop_low)) | same
-    return F.coalesce(F.col(f"{kind}_all") | before, F.lit(False))
+    return F.coalesce(of(f"{kind}_all") | before, F.lit(False))
 
 
 def apply_mix(docs: DataFrame, mix: Mix, seed: int = 0) -> DataFrame:
@@ -284,13 +286,14 @@ def apply_mix(docs: DataFrame, mix: Mix, seed: int = 0) -> DataFrame:
 
     A column ``times`` of their own is replaced; other names can't clash.
     """
-    row = F.struct(*[c for c in docs.columns if c != "times"])
-    rows = docs.select(row.alias("row"), F.col("size").alias("mix_size"), _key(F.col("sources")).alias("pattern"),
-                       _hash(seed).alias("mix_h"), _id().alias("mix_id"))
-    joined = rows.join(mix.plan, "pattern", "left")
-    extra = F.when(F.col("mix_size") > F.col("long_from"), _upto("long")).otherwise(_upto("short")).cast("long")
-    times = F.when(F.col("mix_size") > 0, F.coalesce(F.col("repeats") + extra, F.lit(0))).otherwise(0)
-    return joined.select("row.*", F.least(times, F.lit(LEVELS)).cast("long").alias("times"))
+    names = {c: free_name(docs.columns, f"mix_{c}") for c in ("h", "id", "key", *mix.plan.columns)}
+    rows = docs.withColumns({names["key"]: _key(F.col("sources")), names["h"]: _hash(seed), names["id"]: _id()})
+    plan = mix.plan.withColumnsRenamed({c: names[c] for c in mix.plan.columns})
+    joined = rows.join(plan, F.col(names["key"]) == F.col(names["pattern"]), "left")
+    upto = F.when(F.col("size") > F.col(names["long_from"]), _upto("long", names)).otherwise(_upto("short", names))
+    times = F.when(F.col("size") > 0, F.coalesce(F.col(names["repeats"]) + upto.cast("long"), F.lit(0))).otherwise(0)
+    kept = [c for c in docs.columns if c != "times"]
+    return joined.select(*kept, F.least(times, F.lit(LEVELS)).cast("long").alias("times"))
 
 
 def mixed(docs: DataFrame, size: Column, sources: Column, seed: int = 0,

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import mix64, slices, utf8, windows, word_hashes
+from tidewatch.llm.common import free_name, mix64, slices, utf8, windows, word_hashes
 from tidewatch.session import staged
 
 BANDS, ROWS = 24, 4
@@ -341,18 +341,16 @@ def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Of rows with equal id and text one stays, if the text has words; otherwise see ``near_duplicates``.
     """
     judged = staged(_judged(docs, n, percent))
-    # rows go as one column, so that no column of theirs can clash with one of these
-    rows = docs.select(F.struct("*").alias("row"))
-    place = F.struct(F.col("row")["doc_id"].cast("long"), F.xxhash64(F.col("row")["text"].cast("string")))
-    removed = staged(judged.where(~F.col("kept")).select(F.struct("doc_id", "t").alias("removed")).distinct())
-    kept = rows.join(_bounded(removed), place == F.col("removed"), "left_anti")
+    place = F.struct(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
+    name = free_name(docs.columns, "removed")
+    removed = staged(judged.where(~F.col("kept")).select(F.struct("doc_id", "t").alias(name)).distinct())
+    kept = docs.join(_bounded(removed), place == F.col(name), "left_anti")
     again = judged.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id", "t").count()
-    again = staged(again.where("count > 1").select(F.struct("doc_id", "t").alias("again")))
+    again = staged(again.where("count > 1").select(F.struct("doc_id", "t").alias(name)))
     if again.isEmpty():
-        return kept.select("row.*")
-    often = kept.join(_bounded(again), place == F.col("again"), "left_semi")
-    once = often.select("row.*").dropDuplicates(["doc_id", "text"])
-    return kept.join(_bounded(again), place == F.col("again"), "left_anti").select("row.*").unionByName(once)
+        return kept
+    once = kept.join(_bounded(again), place == F.col(name), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(_bounded(again), place == F.col(name), "left_anti").unionByName(once)
 
 
 def _bounded(ids: DataFrame) -> DataFrame:
