@@ -79,6 +79,16 @@ def test_memory_is_bounded(tokenizer):
     assert len(encoder.chunks) <= 20 and len(encoder.words) <= 20
 
 
+def test_words_need_no_normalizing(tokenizer):
+    rng = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
+    words = ["".join(rng.choices(letters, k=rng.randrange(1, 30))) for _ in range(6000)] + list(letters)
+    assert all(tokens._PLAIN.fullmatch(w)[1].lower() == w for w in words)
+    got = tokens.Encoder(queries.tokenizer_path()).word_ids(words)
+    assert [np.frombuffer(ids, "<u2").tolist() for ids in got] == [
+        tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+
+
 def test_long_texts_and_clashing_columns(spark, tokenizer):
     rng = random.Random(2)
     texts = [" ".join("".join(rng.choices("abcdé,.", k=6)) for _ in range(40_000)), "short", None, "漢" * 30_000]

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import slices
+from tidewatch.llm.common import slices, without_cache
 from tidewatch.session import scratch
 
 NULL_ID = -(1 << 63)
@@ -51,16 +51,17 @@ class Encoder:
     encode whole texts. What is remembered has a bound: when the newer half is full, the older half goes.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
-        from tokenizers import Tokenizer, pre_tokenizers
+    def __init__(self, path: str, limit: int = 600_000):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
         self.word_at_a_time = self._word_at_a_time()
-        if self.word_at_a_time:  # for words that are one piece each
-            self.words_only = Tokenizer.from_str(self.tokenizer.to_str())
+        if self.word_at_a_time:  # for words that are one piece each and need no normalizing
+            self.words_only = without_cache(Tokenizer.from_str(self.tokenizer.to_str()))
+            self.words_only.normalizer = normalizers.Sequence([])
             self.words_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.chunks: dict[str, bytes] = {}
         self.older_chunks: dict[str, bytes] = {}
