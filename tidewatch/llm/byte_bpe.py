@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import slices
+from tidewatch.llm.common import slices, without_cache
 
 #: The bytes that stand as the character of their own number; the others follow from 256 on, in order.
 _OWN = (range(33, 127), range(161, 173), range(174, 256))
@@ -107,7 +107,7 @@ class Codec:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(description)
-        self.words = Tokenizer.from_str(description)
+        self.words = without_cache(Tokenizer.from_str(description))
         self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.matches = regex.compile(pattern).findall
         number = {c: b for b, c in enumerate(byte_characters())}
