@@ -71,6 +71,40 @@ def test_contexts_of_seeds_find_unseen_identifiers(spark):
     assert rows[20]["spans"] == f"email:{start}:{start + len('user000(at)host')}" and rows[20]["n_email"] == 0
 
 
+def test_found_values_make_patterns_and_are_marked_everywhere(spark):
+    rows = [f"please write to u{k}.x@host.org today" for k in range(60)]
+    rows += [f"please write to agent{k}@intranet{k} today" for k in range(12)]
+    rows += [f"badge holder agent{k}@intranet{k} entered" for k in range(12)]
+    rows += [f"badge holder guest{k}@lobby{k} entered" for k in range(2)]
+    rows += ["nobody knows guest1@lobby1 here", "and agent3@intranet3", "room 12345 is free", "part 55@77 is lost"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.personal_data(df).collect()}
+    added = {i for i, r in got.items() if r["n_added"]}
+    assert added == set(range(60, 88))  # two hops, and both alone
+    start = rows[86].index("guest1")
+    assert got[86]["spans"] == f"email:{start}:{start + len('guest1@lobby1')}"
+
+
+def test_recall_and_precision_of_planted_identifiers(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(2, 8)))
+    frames = [("mail me at", "if you"), ("reach us under", "before noon"), ("signed in as", "since monday")]
+    rows, planted, clean = [], set(), set()
+    for i in range(900):
+        kind, (left, right) = rng.random(), rng.choice(frames)
+        name = f"{word()}{i}"
+        if kind < 0.56:
+            text = f"{left} {name}@{word()}.org {right}"
+        elif kind < 0.62:
+            text, _ = f"{left} {name}@{word()} {right}", planted.add(i)
+        else:
+            text, _ = f"{word()} {rng.choice(['order', 'page', 'lot'])} {rng.randrange(100, 10**6)}{word()} {word()}", clean.add(i)
+        rows.append((i, f"{word()} {word()} {text} {word()}"))
+    got = {r["doc_id"]: r["n_added"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] == 1 for i in planted) >= 0.9 * len(planted)
+    assert sum(got[i] > 0 for i in clean) <= 0.01 * len(clean)
+
+
 def test_copies_of_one_document_are_no_support(spark):
     df = spark.createDataFrame([(k, "my mail one@host.org when") for k in range(30)]
                                + [(99, "my mail x123(at)host when")], "doc_id long, text string")

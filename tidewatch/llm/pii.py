@@ -2,13 +2,15 @@
 
 The fixed forms (email, ip, card, phone) give seeds. What is bootstrapped from them:
 
-1. Each seed's context makes lexical patterns: the word before it, the word after it, and both. So does the
+1. The context of each seed makes lexical patterns: the word before it, the word after it, and both. So does the
    context of every other word that looks like an identifier (an ``@`` or three digits) and is no seed.
 2. Patterns and the values they extract form a graph. A pattern's score for a kind is the mean confidence, in
    that kind, of the different values it extracts; seeds have confidence one. A value's confidence is the
-   noisy-or of the scores of its trusted patterns. Both are computed in turn for ``ROUNDS`` rounds.
+   noisy-or of the scores of its trusted patterns.
 3. A pattern is trusted for a kind if its score reaches ``TRUST`` and it extracts at least ``SUPPORT`` different
-   seeds of it. Values whose confidence reaches ``TRUST`` are added where a trusted pattern extracts them.
+   known values of it. Values whose confidence reaches ``TRUST`` become known, and count for patterns like seeds in
+   the next round. This goes on until a round finds no value.
+4. Known values are marked wherever they stand.
 
 Values count once per pattern, so copies of a document don't make a pattern look well supported. All of it is
 DataFrame expressions. Texts are read once; what goes on is one row per span.
@@ -37,7 +39,6 @@ _NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _SPACE = r"\x20\x09-\x0D"
 _IDENTIFIER = rf"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
 
-ROUNDS = 3
 TRUST = 0.8
 SUPPORT = 5
 _SPAN = "struct<start:int,end:int,value:string,left:string,right:string,ok:boolean>"
@@ -128,34 +129,36 @@ def _contexts(x: Column) -> Column:
     return F.array_compact(patterns)
 
 
-def pattern_scores(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Trusted patterns (pattern, kind, score) and the confidence of other values (value, kind, confidence)."""
+def known_values(spans: DataFrame) -> DataFrame:
+    """The values that contexts make known (value, kind, confidence), seeds left out; see the module's text.
+
+    All tables are of different values and patterns, aggregated before they are joined. Known values only become
+    more, so the rounds end; each writes its new ones out.
+    """
     seeds = None
     for kind in KINDS:
         some = spans.select(F.lit(kind).alias("kind"), F.explode(kind).alias("x"))
         seeds = some if seeds is None else seeds.union(some)
-    seeds = seeds.select("kind", F.explode(_contexts(F.col("x"))).alias("pattern"), F.col("x.value").alias("value"))
-    seeds = seeds.distinct()
-    counted = seeds.groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
-    sizes = counted.groupBy("pattern").agg(F.sum("seeds").alias("known"), F.max("seeds").alias("most"))
-    counted = staged(counted.join(sizes.where(F.col("most") >= SUPPORT), "pattern"))
+    seeds = staged(seeds.select("kind", F.col("x.value").alias("value"), F.explode(_contexts(F.col("x"))).alias("pattern")).distinct())
     others = spans.select(F.explode("others").alias("x"))
-    others = others.select(F.explode(_contexts(F.col("x"))).alias("pattern"), F.col("x.value").alias("value")).distinct()
-    edges = staged(others.join(counted.select("pattern").distinct(), "pattern"))
-    size = edges.groupBy("pattern").agg(F.count("*").alias("unknown"))
-    patterns = staged(counted.join(size, "pattern", "left").fillna(0, ["unknown"]).where(F.col("seeds") >= SUPPORT))
-    belief = None
-    for _ in range(ROUNDS):
-        if belief is None:
-            scored = patterns.withColumn("mass", F.lit(0.0))
-        else:
-            mass = edges.join(belief, "value").groupBy("pattern", "kind").agg(F.sum("confidence").alias("mass"))
-            scored = patterns.join(mass, ["pattern", "kind"], "left").fillna(0.0, ["mass"])
-        score = (F.col("seeds") + F.col("mass")) / (F.col("known") + F.col("unknown"))
-        trusted = staged(scored.withColumn("score", score).where(F.col("score") >= TRUST).select("pattern", "kind", "score"))
+    others = others.select(F.col("x.value").alias("value"), F.explode(_contexts(F.col("x"))).alias("pattern"))
+    edges = staged(others.union(seeds.select("value", "pattern")).distinct())
+    sizes = staged(edges.groupBy("pattern").agg(F.count("*").alias("size")).where(F.col("size") >= SUPPORT))
+    known = staged(seeds.select("value", "kind", F.lit(1.0).alias("confidence")).distinct())
+    found = None
+    while True:
+        mass = edges.join(known, "value").groupBy("pattern", "kind").agg(
+            F.sum("confidence").alias("mass"), F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
+        score = F.col("mass") / F.col("size")
+        trusted = mass.join(sizes, "pattern").withColumn("score", score).where(F.col("score") >= TRUST)
         doubt = F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("score"))))
-        belief = staged(edges.join(trusted, "pattern").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("confidence")))
-    return trusted, belief.where(F.col("confidence") >= TRUST)
+        belief = edges.join(trusted.select("pattern", "kind", "score"), "pattern").groupBy("value", "kind").agg(
+            (1 - F.exp(doubt)).alias("confidence"))
+        new = staged(belief.where(F.col("confidence") >= TRUST).join(known.select("value", "kind"), ["value", "kind"], "left_anti"))
+        if new.isEmpty():
+            return known.limit(0) if found is None else found
+        known = staged(known.union(new))
+        found = new if found is None else staged(found.union(new))
 
 
 def _numbered(kind: str, n: int) -> Column:
@@ -166,15 +169,13 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, numbers of base spans per kind, base_sha256, spans and n_added of every row of ``docs`` (doc_id, text).
 
     ``spans``: kind:start:end of all spans, by kind and start, comma-joined; places count code points, ends are
-    exclusive. An added span has the kind of the pattern that found it (the most certain one). A null text is an
+    exclusive. An added span has the kind in which its value is most certain. A null text is an
     empty one; null and repeated ids keep a row each; no rows give none. Other columns are not read.
     """
     spans = staged(base_spans(docs))
-    trusted, values = pattern_scores(spans)
-    places = spans.select("row", F.explode("others").alias("x"))
-    places = places.select("row", "x.start", "x.end", "x.value", F.explode(_contexts(F.col("x"))).alias("pattern"))
-    hits = places.join(trusted, "pattern").join(values, ["value", "kind"])
-    best = hits.groupBy("row", "start", "end").agg(F.max(F.struct("confidence", "score", "kind")).alias("x"))
+    values = known_values(spans)
+    places = spans.select("row", F.explode("others").alias("x")).select("row", "x.start", "x.end", "x.value")
+    best = places.join(values, "value").groupBy("row", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("x"))
     number = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("x.kind")).cast("int")
     added = best.groupBy("row").agg(F.collect_list(F.struct(number.alias("k"), "start", "end")).alias("added"))
     own = F.concat(*[_numbered(k, n) for n, k in enumerate(KINDS, 1)])
