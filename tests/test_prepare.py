@@ -163,3 +163,58 @@ def test_prepared_flows(spark):
     assert prepared.train.filter("split = 'holdout'").count() == 6
     total = prepared.train.agg(F.sum(vector_to_array("features")[0])).first()[0]
     assert total == pytest.approx(0, abs=1e-9)
+
+
+def test_places_number_categories_over_all_columns(spark):
+    df = spark.createDataFrame([("b", "x", 1), (None, "y", 2), ("a", "x", 3)], "p string, q string, n int")
+    other = spark.createDataFrame([("c", None)], "p string, q string")
+    places = {(r["feature"], r["category"]): r["place"]
+              for r in prepare.category_places(df, other, columns=["p", "q"]).collect()}
+    assert places == {("p", "a"): 0, ("p", "b"): 1, ("p", "c"): 2, ("q", "x"): 3, ("q", "y"): 4}
+    hot = prepare.one_hot_vector(df, other, columns=["p", "q"]).orderBy("n").collect()
+    assert [(r["categories"].size, r["categories"].indices.tolist()) for r in hot] == [(5, [1, 3]), (5, [4]), (5, [0, 3])]
+    assert prepare.category_places(df.limit(0), columns=["p", "q"]).count() == 0
+    empty = prepare.one_hot_vector(df.limit(0), columns=["p", "q"])
+    assert empty.columns == ["p", "q", "n", "categories"] and empty.count() == 0
+    assert prepare.one_hot_vector(df, columns=[]).first()["categories"].size == 0
+
+
+def test_places_of_a_million_categories(spark):
+    df = spark.range(1_000_000).select(F.format_string("s%07d", F.col("id")).alias("service"))
+    places = prepare.category_places(df, columns=["service"])
+    wrong = places.filter(F.substring("category", 2, 7).cast("long") != F.col("place"))
+    assert (places.count(), wrong.count()) == (1_000_000, 0)
+
+
+def test_sparse_scores_equal_those_of_centred_columns(spark):
+    rows = [
+        (float(i % 11), ["tcp", "udp", None, "icmp"][i * 7 % 4], f"s{i % 5}", "normal" if i % 3 else "smurf", i)
+        for i in range(120)
+    ]
+    names = "x double, protocol_type string, service string, label string, difficulty_level int"
+    df = spark.createDataFrame(rows, names)
+    test = spark.createDataFrame([(3.0, "udp", "new", "smurf", 1), (None, "tcp", "s1", "normal", 2)], names)
+    columns = ["protocol_type", "service"]
+    dense = training.prepare_flows(df, test, ["x"], columns)
+    sparse = training.prepare_sparse(df, test, ["x"], columns)
+    assert sparse.train.columns == dense.train.columns
+    order = list(dense.scaler.features)
+    places = {r["place"]: r for r in sparse.places.collect()}
+    named = {n: i + 1 for i, n in ((k, f"{r['feature']}_{r['category']}") for k, r in places.items())}
+    assert sorted(named) == sorted(order[1:])
+    for name, at in named.items():
+        r, i = places[at - 1], order.index(name)
+        assert (r["mean"], r["std"]) == (pytest.approx(dense.scaler.means[i]), pytest.approx(dense.scaler.stds[i]))
+    weight = {n: math.sin(3 * i + 1) for i, n in enumerate(order)}
+    weights = spark.createDataFrame([(named[n] - 1, weight[n]) for n in named], "place long, weight double")
+    intercept = prepare.uncentred_intercept(sparse.places, weights, 0.25)
+    for part in ("train", "test"):
+        centred = sorted(
+            0.25 + sum(weight[n] * v for n, v in zip(order, r["features"].toArray()))
+            for r in getattr(dense, part).collect())
+        kept = sorted(
+            intercept + sum((weight["x"] if i == 0 else weight[next(n for n in named if named[n] == i)]) * v
+                            for i, v in zip(r["features"].indices, r["features"].values))
+            for r in getattr(sparse, part).collect())
+        assert kept == pytest.approx(centred, abs=1e-9)
+    assert max(len(r["features"].indices) for r in sparse.train.collect()) == 3

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import packets, scans
 from tidewatch.plans import detection
+from tidewatch.streaming.sketches import CarriedSketches
 
 
 def scan_ids(df):
@@ -85,3 +86,39 @@ def test_result_does_not_depend_on_partitions(make):
     one = make(rows).coalesce(1)
     many = make(rows).repartition(7, F.rand(3))
     assert scan_ids(scans.port_scan(one)) == scan_ids(scans.port_scan(many)) == brute(rows)
+
+
+def test_sketches_of_parts_unite(make):
+    rng = random.Random(3)
+    rows = [packet(i / 100, src_ip=rng.choice(["a", "b"]), dst_port=rng.randrange(1, 60_000)) for i in range(9000)]
+    rows += [packet(95, src_ip="c", dst_port=7), packet(96, src_ip="c", dst_port=7), packet(1, src_ip="d", tcp_flags=16)]
+    parts = [scans.port_sketches(make(rows[i::3])) for i in range(3)]
+    once = {r["src_ip"]: r for r in scans.sketched_summary(scans.merge_sketches(*parts)).collect()}
+    again = scans.sketched_summary(scans.merge_sketches(*parts, parts[1])).collect()
+    exact = {r["src_ip"]: r for r in scans.source_scan_summary(make(rows)).collect()}
+    for found in (once, {r["src_ip"]: r for r in again}):
+        assert set(found) == set(exact) == {"a", "b", "c"}
+        for source, row in exact.items():
+            assert found[source]["first_seen"] == row["first_seen"]
+            # four standard errors of 1.04 / 2^7
+            assert abs(found[source]["ports"] - row["ports"]) <= 4 * 1.04 / 128 * row["ports"]
+    assert once["c"]["ports"] == 1
+
+
+def test_sketches_carried_over_batches(spark, make, tmp_path):
+    rng = random.Random(4)
+    rows = [packet(i / 10, src_ip=rng.choice("abc"), dst_port=rng.randrange(1, 400)) for i in range(1000)]
+    rows += [packet(200, src_ip="late", dst_port=5)]
+    carried = CarriedSketches(str(tmp_path / "sketches"))
+    size = 112
+    batches = [rows[i:i + size] for i in range(0, len(rows), size)]
+    for number, part in enumerate(batches):
+        carried.update(make(part), number)
+        if number == 4:
+            carried.update(make(part), number)
+    exact = {r["src_ip"]: r for r in scans.source_scan_summary(make(rows)).collect()}
+    found = {r["src_ip"]: r for r in carried.summary(spark, len(batches)).collect()}
+    assert set(found) == set(exact)
+    for source, row in exact.items():
+        assert found[source]["first_seen"] == row["first_seen"]
+        assert abs(found[source]["ports"] - row["ports"]) <= 4 * 1.04 / 128 * row["ports"] + 0.5

@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,17 +56,42 @@ def categories(dfs: Sequence[DataFrame], columns: Sequence[str] = CATEGORICAL) -
         return dfs[0].sparkSession.createDataFrame([], "feature string, category string")
     pairs = None
     for df in dfs:
-        cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("category")) for c in columns])
-        part = df.select(F.explode(cells).alias("cell")).select("cell.*")
+        part = _cells(df, columns)
         pairs = part if pairs is None else pairs.unionByName(part)
-    return pairs.filter(F.col("category").isNotNull()).distinct()
+    return pairs.distinct()
+
+
+def _cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, category) of every row and column that has one."""
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("category")) for c in columns])
+    return df.select(F.explode(cells).alias("cell")).select("cell.*").filter(F.col("category").isNotNull())
+
+
+def category_places(*dfs: DataFrame, columns: Sequence[str] = CATEGORICAL) -> DataFrame:
+    """(feature, category, place): numbers from 0 on, column by column as given, categories sorted.
+
+    The categories stay a table. They are range-partitioned and written out; each range numbers its own, and goes
+    on from the sizes of the ranges before it. A column without values, or a table without rows, has no places.
+    """
+    if not columns:
+        return categories(dfs, columns).withColumn("place", F.lit(0).cast("long"))
+    which = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("feature"))
+    ranged = categories(dfs, columns).withColumn("_column", which).repartitionByRange("_column", "category")
+    found = staged(ranged.withColumn("_slice", F.spark_partition_id()))
+    ahead = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range, which is as many as there are shuffle partitions.
+    before = found.groupBy("_slice").agg(F.count("*").alias("_n")).select(
+        "_slice", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_slice").orderBy("_column", "category")) - 1
+    placed = found.withColumn("_own", own).join(staged(before), "_slice")
+    return staged(placed.select("feature", "category", (F.col("_before") + F.col("_own")).alias("place")))
 
 
 def fit_vocabulary(*dfs: DataFrame, columns: Sequence[str] = CATEGORICAL) -> Vocabulary:
     """Learn the categories of the given tables together.
 
     They become columns, so they come to the driver, all of them. Columns with very many
-    categories are better encoded as one sparse vector, by ``one_hot_vector``.
+    categories are better encoded as one sparse vector, by ``one_hot_vector``, or ``training.prepare_sparse``.
     """
     rows = categories(dfs, columns).collect()
     return Vocabulary(
@@ -93,20 +118,47 @@ def one_hot_vector(
 ) -> DataFrame:
     """Add one sparse vector with a place per category of ``df`` and ``others``, column by column.
 
-    For any number of categories: a row has as many entries as there are columns. Null has no category.
+    For any number of categories (vectors end at 2^31 places): a row has as many entries as there are columns, and
+    the driver sees the number of categories only. Null has no category.
+    """
+    return category_vector(df, category_places(df, *others, columns=columns), columns, output=output)
+
+
+def category_vector(
+    df: DataFrame,
+    places: DataFrame,
+    columns: Sequence[str] = CATEGORICAL,
+    numbers: Sequence[str] = (),
+    output: str = "categories",
+) -> DataFrame:
+    """Add a sparse vector: ``numbers`` first, then a place per row of ``places`` (of ``category_places``).
+
+    A category counts 1, or 1 / ``std`` if ``places`` has that column; null and unseen categories give zeros.
+    ``places`` is joined by Spark's choice: by broadcast if it is small, else by category with skew splitting.
     """
-    names = [f"_{c}" for c in columns]
-    every = df.select(*columns)
-    for other in others:
-        every = every.unionByName(other.select(*columns))
-    index = StringIndexer(inputCols=list(columns), outputCols=names, handleInvalid="keep",
-                          stringOrderType="alphabetAsc")
-    # What "keep" adds for null is the last place, which the encoder drops.
-    hot = OneHotEncoder(inputCols=names, outputCols=[f"{n}_hot" for n in names], dropLast=True)
-    joined = VectorAssembler(inputCols=[f"{n}_hot" for n in names], outputCol=output)
-    found = index.fit(every).transform(df)
-    found = joined.transform(hot.fit(found).transform(found))
-    return found.select(*df.columns, output)
+    value = 1 / F.col("std") if "std" in places.columns else F.lit(1.0)
+    found = df
+    for i, c in enumerate(columns):
+        cell = F.struct((F.col("place") + len(numbers)).cast("int").alias("place"), value.alias("value"))
+        own = places.filter(F.col("feature") == c).select(
+            F.col("category").alias(f"_category_{i}"), cell.alias(f"_cell_{i}"))
+        found = found.join(own, F.col(c) == F.col(f"_category_{i}"), "left").drop(f"_category_{i}")
+    cells = [
+        F.when(F.col(n) != 0, F.struct(F.lit(i).alias("place"), F.col(n).cast("double").alias("value")))
+        for i, n in enumerate(numbers)
+    ]
+    cells = F.array(*cells, *[F.col(f"_cell_{i}") for i in range(len(columns))])
+    given = F.array_compact(cells.cast("array<struct<place: int, value: double>>"))
+    # The fields as which a sparse vector is stored.
+    stored = F.struct(
+        F.lit(0).cast("byte").alias("type"),
+        F.lit(places.count() + len(numbers)).cast("int").alias("size"),
+        F.transform(given, lambda x: x["place"]).alias("indices"),
+        F.transform(given, lambda x: x["value"]).alias("values"),
+    )
+    kept = [f for f in df.schema if f.name != output]
+    rows = found.select(*[F.col(f.name) for f in kept], stored.alias(output))
+    return staged(rows, T.StructType([*kept, T.StructField(output, VectorUDT())]))
 
 
 def align_features(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -222,6 +274,32 @@ def scaler_of(params: DataFrame) -> Scaler:
     )
 
 
+def category_scaler(df: DataFrame, places: DataFrame, columns: Sequence[str] = CATEGORICAL) -> DataFrame:
+    """Add to ``places`` the ``mean`` and ``std`` of each category's 0/1 column over the rows of ``df``.
+
+    A deviation of zero, or of nothing, becomes 1, as in ``scaler_params``. One aggregation, whatever the number of
+    categories; the columns themselves are never made.
+    """
+    rows = df.count()
+    if not columns or not rows:
+        return places.withColumn("mean", F.lit(0.0)).withColumn("std", F.lit(1.0))
+    held = _cells(df, columns).groupBy("feature", "category").agg(F.count("*").alias("_n"))
+    mean = F.coalesce(F.col("_n"), F.lit(0)) / F.lit(rows)
+    std = F.sqrt(F.col("mean") * (1 - F.col("mean")))
+    found = places.join(held, ["feature", "category"], "left").withColumn("mean", mean).drop("_n")
+    return staged(found.withColumn("std", F.when(std == 0, 1.0).otherwise(std)))
+
+
+def uncentred_intercept(places: DataFrame, weights: DataFrame, intercept: float) -> float:
+    """The intercept for vectors whose means were left in, given that for centred ones.
+
+    ``weights`` has (place, weight). The sum of weight times (x - mean) / std is that of weight times x / std, less a
+    number that is the same for every row; so zeros stay zeros, and the scores are those of centred columns.
+    """
+    shift = F.sum(F.col("weight") * F.col("mean") / F.col("std"))
+    return intercept - (places.join(weights, "place").agg(shift).first()[0] or 0.0)
+
+
 def apply_scaler(df: DataFrame, scaler: Scaler) -> DataFrame:
     """Scale the columns the scaler knows and leave the rest."""
     names = df.columns

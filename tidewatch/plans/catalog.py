@@ -354,6 +354,19 @@ def source_scan_summary(spark, folder):
     return summary.withColumn("first_seen", F.unix_micros("first_seen"))
 
 
+@query(f"""WITH {PACKETS} SELECT src_ip, min(us) AS first_seen, count(DISTINCT dst_port) AS ports, TRUE AS near
+FROM pk WHERE {BARE_SYN} GROUP BY src_ip""")
+def port_sketches(spark, folder):
+    """Sketches of three parts of the traffic, united: ``near`` if at most four standard errors from the exact number."""
+    traffic = fx.packets(spark, folder)
+    parts = [scans.port_sketches(traffic.filter(F.col("packet_id") % 3 == i)) for i in range(3)]
+    found = scans.sketched_summary(scans.merge_sketches(*parts)).withColumnRenamed("ports", "estimate")
+    exact = scans.source_scan_summary(traffic).drop("first_seen")
+    near = F.abs(F.col("estimate") - F.col("ports")) <= 4 * 1.04 / 2 ** (scans.SKETCH / 2) * F.col("ports")
+    both = found.join(exact, found["src_ip"].eqNullSafe(exact["src_ip"])).drop(exact["src_ip"])
+    return both.select("src_ip", F.unix_micros("first_seen").alias("first_seen"), "ports", near.alias("near"))
+
+
 # --- connections ----------------------------------------------------------------------------------
 
 RUNNING = "OVER (PARTITION BY src_ip, src_port, dst_ip, dst_port ORDER BY us, packet_id)"
@@ -686,6 +699,20 @@ def one_hot_vector(spark, folder):
                          F.col("at")[1].alias("second")).distinct()
 
 
+@query(f"""WITH {FLOWS},
+cells AS (SELECT 'returnflag' AS feature, returnflag AS category FROM fl
+  UNION ALL SELECT 'linestatus', linestatus FROM fl),
+counts AS (SELECT feature, category, count(*) * 1.0::DOUBLE / (SELECT count(*) FROM fl) AS mean
+  FROM cells WHERE category IS NOT NULL GROUP BY feature, category)
+SELECT feature, category, row_number() OVER (ORDER BY feature DESC, category) - 1 AS place, round(mean, 6) AS mean,
+  round(CASE WHEN mean = 1 THEN 1 ELSE sqrt(mean * (1 - mean)) END, 6) AS std FROM counts""")
+def category_scaler(spark, folder):
+    flows = fx.flows(spark, folder)
+    places = prepare.category_places(flows, columns=fx.FLOW_CATEGORICAL)
+    scaled = prepare.category_scaler(flows, places, fx.FLOW_CATEGORICAL)
+    return scaled.select("feature", "category", "place", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
 @query(f"WITH {FLOWS} SELECT l_orderkey, l_linenumber, quantity, tax FROM fl")
 def assemble(spark, folder):
     flows = fx.flows(spark, folder).select("l_orderkey", "l_linenumber", "quantity", "tax")

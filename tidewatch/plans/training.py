@@ -56,6 +56,54 @@ def prepare_flows(
     return Prepared(vectors(split, "split"), vectors(tested), vocabulary, scaler)
 
 
+@dataclass(frozen=True)
+class PreparedSparse:
+    """As ``Prepared``; ``places`` has the ``place`` of each category among all of them, its ``mean`` and ``std``."""
+
+    train: DataFrame
+    test: DataFrame
+    places: DataFrame
+    scaler: prepare.Scaler
+
+
+def prepare_sparse(
+    train: DataFrame,
+    test: DataFrame,
+    numeric=tuple(NUMERIC),
+    categorical=tuple(CATEGORICAL),
+    frac: float = 0.1,
+    seed: int = 42,
+    fit_on_all: bool = True,
+) -> PreparedSparse:
+    """``prepare_flows`` for any number of categories: ``features`` are sparse vectors, numbers first.
+
+    Categories are divided by their deviation and not centred, which a fitted intercept makes up for
+    (``prepare.uncentred_intercept`` for weights learned on centred columns). Numbers are centred. The driver gets
+    one scaler row per number, and counts.
+    """
+    labelled, tested = (prepare.binary_label(prepare.drop_columns(d)) for d in (train, test))
+    key = [c for c in labelled.columns if c != "binary_label"]
+    split = prepare.stratified_split(labelled, "binary_label", key, frac, seed)
+    seen = split if fit_on_all else split.filter(F.col("split") == "train")
+    places = prepare.category_places(train, test, columns=categorical)
+    places = prepare.category_scaler(seen, places, categorical)
+    values = {c: prepare.cleaned(F.col(c)) for c in numeric}
+    inputs = seen.select(F.array(*values.values()).alias("features"))
+    scaler = prepare.scaler_of(prepare.array_scaler_params(inputs, list(numeric))) if numeric else prepare.Scaler([], [], [])
+    numbers = {f"_{i}": c for i, c in enumerate(scaler.scaled(values).values())}
+    texts = {f"_text_{i}": c for i, c in enumerate(categorical)}
+    own = places.replace({c: n for n, c in texts.items()}, subset="feature") if texts else places
+
+    def vectors(flows: DataFrame, *kept: str) -> DataFrame:
+        rows = flows.select(
+            *kept, "binary_label", *[c.alias(n) for n, c in numbers.items()],
+            *[F.col(c).alias(n) for n, c in texts.items()])
+        rows = prepare.category_vector(rows, own, list(texts), list(numbers), "features")
+        return rows.select(*kept, "binary_label", "features")
+
+    return PreparedSparse(vectors(split, "split"), vectors(tested), places, scaler)
+
+
 @dataclass(frozen=True)
 class Evaluation:
     sweep: DataFrame

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # The state store that operators with state per key need; it commits changes instead of snapshots.
 STATE_STORE = {
@@ -80,8 +81,8 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def staged(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back, as ``schema`` if its types are stored alike.
 
     This cuts lineage, so that a lost executor costs a re-read and not a re-run. It also fixes
     partition ids and other values that a second run might choose differently, and it lets Spark
@@ -91,4 +92,4 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, "staged")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
