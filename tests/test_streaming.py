@@ -287,3 +287,30 @@ def test_port_scans_with_forgotten_sources(spark, make, tmp_path):
     assert {r["src_ip"]: r["count"] for r in got} == {**{f"s{i}": 3 for i in range(1, 6)}, "s0": 3 + 4}
     known = [o["numRowsTotal"] for o in operators]
     assert max(known) <= 4 * 3  # a few sources' state, timers included, of the last hour
+
+
+def test_connections_share_state(spark, make, tmp_path, monkeypatch):
+    """Many short connections and a long one, in few buckets; Python is called once per bucket and micro-batch."""
+    rng = random.Random(5)
+    rows = [packet(900 * (i // 100) + rng.random() * 900, src_ip=rng.choice(["a", "b"]), src_port=rng.randrange(1, 5),
+                   dst_port=rng.randrange(20, 40)) for i in range(400)]
+    rows += [packet(s * 25.0, src_ip="long") for s in range(140)]
+    rows.sort(key=lambda r: r[1])
+    path, calls = str(tmp_path / "in"), tmp_path / "calls"
+    calls.mkdir()
+    for i in range(4):
+        part = rows[i * len(rows) // 4:(i + 1) * len(rows) // 4]
+        spark.createDataFrame(part, SCORED_PACKET_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    monkeypatch.setattr(stateful, "BUCKETS", 3)
+    own = stateful.ConnectionCounter.handleInputRows
+
+    def noted(self, key, rows, timerValues):
+        (calls / f"{random.SystemRandom().getrandbits(60)}").touch()
+        return own(self, key, rows, timerValues)
+
+    monkeypatch.setattr(stateful.ConnectionCounter, "handleInputRows", noted)
+    stream = stream_packets(spark, path, SCORED_PACKET_SCHEMA, max_files=1)
+    counted = stateful.stream_connection_count(stateful.in_event_time(stream, unique=True))
+    got = drained(spark, counted, tmp_path).drop("batch_id")
+    assert len(list(calls.iterdir())) <= 3 * 4
+    assert same(got, connections.connection_count(make(rows), 300, running_bytes=True).drop("epoch"))

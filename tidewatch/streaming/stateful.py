@@ -2,7 +2,8 @@
 
 Rows of a key are taken in the order (``ts``, ``packet_id``) within a micro-batch, so a task holds
 the rows that one key has in one micro-batch; ``maxFilesPerTrigger`` bounds that. The state itself
-is a few numbers per key and lives in the state store.
+is a few numbers per key and lives in the state store. Connections are many and short, and a call of Python and
+a visit to the state store for each would take nearly all of the time: they share state by hashed buckets.
 """
 
 from __future__ import annotations
@@ -30,6 +31,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Not "_micros": pandas renames columns with a leading underscore on this path.
 _MICROS = "micros"
+_BUCKET = "bucket"
+
+# Fixed value: groups of connections that share a row of state. A running stream can't change it.
+BUCKETS = 512
+
+# What is known of a connection, in the order in which it is stored.
+_COUNTED = ["start", "count", "bytes"]
 
 
 def in_event_time(stream: DataFrame, delay: str = WATERMARK, unique: bool = False) -> DataFrame:
@@ -43,40 +51,85 @@ def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class ConnectionCounter(StatefulProcessor):
-    """Numbers the packets of a connection and forgets it ``age`` microseconds after its start."""
+    """Numbers the packets of a bucket's connections and forgets each ``age`` microseconds after its start.
 
-    def __init__(self, age: int):
-        self.age = age
+    The state is one row per bucket: its connections, and of each the start, the packets and their bytes since.
+    """
+
+    def __init__(self, age: int, keys: list[T.StructField]):
+        self.age, self.keys = age, keys
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("connection", "start long, count long, bytes long")
+        fields = [*self.keys, *[T.StructField(c, T.LongType()) for c in _COUNTED]]
+        self.state = handle.getValueState(
+            "connections", T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in fields]))
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = _in_order(rows)
-        us, sizes = batch[_MICROS].to_numpy(), batch["frame_len"].to_numpy()
-        counts, totals = np.empty(len(us), "int64"), np.empty(len(us), "int64")
-        start, count, total = self.state.get() if self.state.exists() else (None, 0, 0)
-        known = start
-        at = 0
-        while at < len(us):
-            if start is None or us[at] - start > self.age:
-                start, count, total = int(us[at]), 0, 0
-            end = max(int(np.searchsorted(us, start + self.age, side="right")), at + 1)
-            counts[at:end] = count + np.arange(1, end - at + 1)
-            totals[at:end] = total + np.cumsum(sizes[at:end])
-            count, total, at = int(counts[end - 1]), int(totals[end - 1]), end
-        self.state.update((start, count, total))
-        if start != known:
-            if known is not None:
-                self.handle.deleteTimer(self._expiry(known))
-            self.handle.registerTimer(self._expiry(start))
-        yield batch.drop(columns=_MICROS).assign(count=counts, running_bytes=totals)
+        batch = pd.concat(list(rows), ignore_index=True)
+        known = self._known()
+        both = pd.concat([known[CONNECTION], batch[CONNECTION]], ignore_index=True) if len(known) else batch[CONNECTION]
+        codes = both.groupby(CONNECTION, dropna=False, sort=False).ngroup().to_numpy()
+        batch = batch.assign(code=codes[len(known):]).sort_values(["code", _MICROS, "packet_id"], ignore_index=True)
+        code, us = batch["code"].to_numpy(), batch[_MICROS].to_numpy()
+        sizes = batch["frame_len"].fillna(0).to_numpy("int64")
+
+        # one group of rows per connection; known ones have the first codes
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        stop = np.append(first[1:], len(code))
+        start, count, total = us[first].copy(), np.zeros(len(first), "int64"), np.zeros(len(first), "int64")
+        old = np.flatnonzero(code[first] < len(known))
+        old = old[us[first[old]] - known["start"].to_numpy()[code[first[old]]] <= self.age]
+        start[old], count[old], total[old] = (known[c].to_numpy()[code[first[old]]] for c in _COUNTED)
+
+        # counts begin at each connection's first row, and at rows too old for the start before
+        late = us - np.repeat(start, stop - first) > self.age
+        again = []
+        for k in np.flatnonzero(np.logical_or.reduceat(late, first)).tolist():
+            at, end = int(first[k] + late[first[k]:stop[k]].argmax()), int(stop[k])
+            while at < end:
+                again.append(at)
+                at += int(np.searchsorted(us[at:end], us[at] + self.age, side="right"))
+        again = np.asarray(again, "int64")
+        begins = np.concatenate([first, again])
+        order = np.argsort(begins)
+        begins, length = begins[order], np.diff(np.append(begins[order], len(code)))
+        running = np.cumsum(sizes)
+        start, count, total = (np.append(x, y)[order] for x, y in (
+            (start, us[again]), (count, np.zeros_like(again)), (total, np.zeros_like(again))))
+        counts = np.arange(1, len(code) + 1) + np.repeat(count - begins, length)
+        totals = running + np.repeat(total - running[begins] + sizes[begins], length)
+
+        last = stop - 1
+        newest = batch.loc[last, CONNECTION].assign(
+            start=np.repeat(start, length)[last], count=counts[last], bytes=totals[last])
+        self._remember(known, ~np.isin(np.arange(len(known)), code[first]), newest, timerValues)
+        yield batch.drop(columns=[_MICROS, _BUCKET, "code"]).assign(count=counts, running_bytes=totals)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.state.clear()
         return iter([])
 
+    def _known(self) -> pd.DataFrame:
+        stored = self.state.get() if self.state.exists() else [[] for _ in [*CONNECTION, *_COUNTED]]
+        return pd.DataFrame(dict(zip([*CONNECTION, *_COUNTED], map(list, stored))))
+
+    def _remember(self, known: pd.DataFrame, untouched: np.ndarray, newest: pd.DataFrame, timerValues) -> None:
+        """Store ``newest`` and those of the untouched connections to which packets may still come."""
+        starts = known["start"].to_numpy()
+        stays = untouched & ((starts + self.age) // 1000 + 1 > timerValues.getCurrentWatermarkInMs())
+        kept = pd.concat([known[stays], newest], ignore_index=True) if stays.any() else newest
+        columns = [[None if pd.isna(x) else x for x in kept[f.name].tolist()] for f in self.keys]
+        columns = [[x if x is None or not isinstance(f.dataType, T.IntegralType) else int(x) for x in own]
+                   for f, own in zip(self.keys, columns)]
+        self.state.update((*columns, *(kept[c].astype("int64").tolist() for c in _COUNTED)))
+        # one timer, for when the youngest connection is forgotten and the bucket with it
+        before, now = (int(starts.max()) if len(starts) else None), int(kept["start"].max())
+        if now != before:
+            if before is not None:
+                self.handle.deleteTimer(self._expiry(before))
+            self.handle.registerTimer(self._expiry(now))
+
     def _expiry(self, start: int) -> int:
         """The first millisecond by which any further packet belongs to a new count."""
         return (start + self.age) // 1000 + 1
@@ -145,11 +198,14 @@ def _with(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType
 def stream_connection_count(stream: DataFrame, max_age: float = MAX_AGE) -> DataFrame:
     """Add ``count`` and ``running_bytes`` per TCP connection; other packets count as 1.
 
-    The stream needs a watermark on ``ts``, by which idle connections are forgotten.
+    The stream needs a watermark on ``ts``, by which idle connections are forgotten. A task holds a bucket's rows
+    of one micro-batch, and its connections that are not yet forgotten.
     """
     added = [("count", T.LongType()), ("running_bytes", T.LongType())]
-    counted = _keyed(stream.filter(p.in_connection())).groupBy(*CONNECTION).transformWithStateInPandas(
-        ConnectionCounter(round(max_age * 1_000_000)),
+    bucket = F.pmod(F.xxhash64(*CONNECTION), F.lit(BUCKETS)).cast("int")
+    keyed = _keyed(stream.filter(p.in_connection())).withColumn(_BUCKET, bucket)
+    counted = keyed.groupBy(_BUCKET).transformWithStateInPandas(
+        ConnectionCounter(round(max_age * 1_000_000), [stream.schema[c] for c in CONNECTION]),
         outputStructType=_with(stream.schema, *added),
         outputMode="Append",
         timeMode="EventTime",
