@@ -158,3 +158,20 @@ def test_short_items_and_scripts_without_spaces(spark):
     rows = d.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
                    spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in rows} == {(1, 1), (3, 2), (4, 3), (4, 5), (5, 3), (5, 5)}
+
+
+def test_pairs_are_counted_in_all_documents(spark):
+    rng = random.Random(9)
+    few = text(rng, 30)
+    docs = [" ".join(rng.choices(few, k=rng.randrange(40))) for _ in range(150)]
+    items = [d.plain_hashes(" ".join(rng.choices(few, k=12))) for _ in range(5)]
+    grams = np.unique(np.concatenate([d.pairs(x, apart) for x in items for apart in (1, 2)]))
+    wanted = {}
+    for one in docs:
+        words = d.plain_hashes(one)
+        for apart in (1, 2):
+            for g in d.pairs(words, apart).tolist():
+                if g in set(grams.tolist()):
+                    wanted[g] = wanted.get(g, 0) + 1
+    df = spark.createDataFrame([(t,) for t in [*docs, None, ""]], "text string").repartition(3)
+    assert wanted and d._counted(df, grams) == wanted

@@ -15,7 +15,7 @@ What is aligned is found without loss:
    apart, that the document has one or two apart as well.
 2. Half of these must be met even if the positions with the most common pairs are left out, as many as the other
    half. A document is looked at where it has so many pairs within the longest stretch that can reach the threshold.
-   How common a pair is, is counted in some of the documents; it makes the search faster and changes no result.
+   How common a pair is, is counted in all documents; it makes the search faster and changes no result.
 3. A stretch that reaches ``PASSAGE`` has at least ``PASSAGE`` - 3 runs of ``GRAM`` words without an edit. All such
    runs of an item are looked up. It matters only for items longer than 2 * ``PASSAGE`` words: in shorter ones
    such a stretch reaches the threshold of one half.
@@ -31,7 +31,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,8 +50,6 @@ PASSAGE = 13
 EDIT = 3
 #: Any stretch that reaches ``PASSAGE`` has ``PASSAGE`` - EDIT runs of so many words.
 GRAM = EDIT + 1
-#: Share of the documents in which pairs are counted.
-COUNTED = 1 / 16
 #: Items in one block, and characters that a block's items have about.
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 20_000_000
@@ -151,20 +149,43 @@ class Lookup:
         self.maybe = np.zeros(int(self.bits) + 1, bool)
         self.maybe[self.grams & self.bits] = True
 
-    def hits(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in ``found`` and items that have the hash there."""
+    def places(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in ``found`` of hashes that are here, and where in ``grams`` these are."""
         if not len(self.grams):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         at = np.flatnonzero(self.maybe[found & self.bits])
         place = np.searchsorted(self.grams, found[at])
         place[place == len(self.grams)] = 0
         same = self.grams[place] == found[at]
-        at, place = at[same], place[same]
+        return at[same], place[same]
+
+    def hits(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in ``found`` and items that have the hash there."""
+        at, place = self.places(found)
         n = self.starts[place + 1] - self.starts[place]
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return np.repeat(at, n), self.items[np.repeat(self.starts[place], n) + within]
 
 
+def _joined(texts: list[np.ndarray]) -> np.ndarray:
+    """The words of all texts in a row; two words that no item has keep the texts apart."""
+    apart = np.zeros(2, np.uint64)
+    return np.concatenate([x for text in texts for x in (text, apart)])
+
+
+def _some_at_a_time(texts: Iterable[str | None]) -> Iterator[list[np.ndarray]]:
+    """The words of each text, of so many texts together that they have some ``SLICE_WORDS`` words."""
+    some, held = [], 0
+    for text in texts:
+        some.append(plain_hashes(text or ""))
+        held += len(some[-1])
+        if held >= SLICE_WORDS:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
 def _regions(at: np.ndarray, item: np.ndarray, text: np.ndarray, need: np.ndarray, most: np.ndarray):
     """text, item, start and end of stretches in which ``need[item]`` hits stand within ``most[item]`` words."""
     if not len(at):
@@ -239,9 +260,7 @@ class Block:
 
     def find(self, texts: list[np.ndarray]) -> list[list[tuple[int, float, int, int]]]:
         """For each text (item, score, first word, end) of the best stretch of each item that is in it."""
-        # two words that no item has keep the texts apart
-        apart = np.zeros(2, np.uint64)
-        words = np.concatenate([x for text in texts for x in (text, apart)])
+        words = _joined(texts)
         size = np.asarray([len(text) for text in texts], np.int64)
         starts = np.cumsum(size + 2) - size - 2
         owner = lambda at: np.searchsorted(starts, at, "right") - 1
@@ -289,26 +308,24 @@ class Block:
 
 
 def _counted(docs: DataFrame, grams: np.ndarray) -> dict[int, int]:
-    """How often each of ``grams`` (sorted) occurs in some of the documents; as many rows as grams reach the driver."""
-    shared = docs.sparkSession.sparkContext.broadcast(grams)
+    """How often each of ``grams`` (sorted) occurs in the documents; as many rows as grams reach the driver."""
+    shared = docs.sparkSession.sparkContext.broadcast(Lookup([grams], [0]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        hits = np.zeros(len(own), np.int64)
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                words = plain_hashes(text or "")
-                for apart in (1, 2):
-                    found = pairs(words, apart)
-                    at = np.searchsorted(own, found)
-                    at[at == len(own)] = 0
-                    np.add.at(hits, at[own[at] == found], 1)
-        some = np.flatnonzero(hits)
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(some, pa.int64()), "n": pa.array(hits[some], pa.int64())})
-
-    texts = docs.select(F.col("text").cast("string").alias("text")).sample(COUNTED, seed=1)
+        hits = np.zeros(len(own.grams), np.int64)
+        for some in _some_at_a_time(text for batch in slices(batches) for text in batch.column(0).to_pylist()):
+            words = _joined(some)
+            for apart in (1, 2):
+                np.add.at(hits, own.places(pairs(words, apart))[1], 1)
+        met = np.flatnonzero(hits)
+        yield pa.RecordBatch.from_pydict({"gram": pa.array(met, pa.int64()), "n": pa.array(hits[met], pa.int64())})
+
+    texts = docs.select(F.col("text").cast("string").alias("text"))
     found = texts.mapInArrow(count, "gram long, n long")
-    return {int(grams[r["gram"]]): r["n"] for r in found.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+    rows = found.groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    shared.unpersist()
+    return {int(grams[r["gram"]]): r["n"] for r in rows}
 
 
 def blocks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> Iterator[tuple[Block, list[int]]]:
@@ -340,20 +357,8 @@ def _finder(shared):
     @F.pandas_udf(LEAKS)
     def find(text: pd.Series) -> pd.Series:
         own, names = shared.value
-        rows, some, held = [], [], 0
-
-        def look() -> None:
-            rows.extend([{"item_id": names[k], "score": s, "start_word": a, "end_word": b} for k, s, a, b in x]
-                        for x in own.find(some))
-
-        for t in text.fillna(""):
-            some.append(plain_hashes(t))
-            held += len(some[-1])
-            if held >= SLICE_WORDS:
-                look()
-                some, held = [], 0
-        if some:
-            look()
+        rows = [[{"item_id": names[k], "score": s, "start_word": a, "end_word": b} for k, s, a, b in x]
+                for some in _some_at_a_time(text.fillna("")) for x in own.find(some)]
         return pd.Series(rows, dtype=object)
 
     return find
