@@ -9,6 +9,7 @@ import pytest
 import xxhash
 
 from tidewatch.llm import ranking
+from tidewatch.llm.common import numbered
 
 
 def corpus(n, seed=1):
@@ -101,3 +102,31 @@ def test_too_little_to_learn_from(spark, labels):
     known = spark.createDataFrame(labels, "doc_id long, quality int")
     assert [r["score"] for r in ranking.quality_scores(df, known).collect()] == [0.5, 0.5]
     assert ranking.quality_scores(df.limit(0), known).collect() == []
+
+
+def test_all_labelled_documents_are_learned_from(spark, monkeypatch):
+    """More examples than were once taken: the means of the features are those of all."""
+    learned = []
+    own = ranking.fit_ranking
+    monkeypatch.setattr(ranking, "fit_ranking", lambda *given: learned.append(own(*given)) or learned[-1])
+    rng = random.Random(3)
+    docs = [(i, " ".join(["ab", "Cd!", "e"][: rng.randrange(1, 4)] * rng.randrange(1, 9))) for i in range(18_000)]
+    labels = [(i, int(len(text) < 20)) for i, text in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    ranking.quality_scores(df, known)
+    ranking.accepted(df, known)
+    x = np.asarray([ranking.features_of(t) for i, t in docs if zlib.crc32(str(i).encode()) % 3 != 1])
+    assert len(x) > 11_000
+    for found in learned:
+        assert found.mean == pytest.approx(x.mean(axis=0).tolist(), rel=1e-9)
+
+
+def test_numbers_go_through_all_ranges(spark):
+    rng = random.Random(4)
+    values = [rng.randrange(500) for _ in range(3_000)]
+    df = spark.createDataFrame([(v, "x") for v in values], "v long, place string").repartition(5)
+    found = numbered(df, "n", "v")
+    assert found.columns == ["v", "place", "n"]
+    assert [(r["n"], r["v"]) for r in found.orderBy("n").collect()] == list(enumerate(sorted(values)))
+    assert numbered(df.limit(0), "n", "v").collect() == []

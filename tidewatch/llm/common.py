@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.session import staged
+
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 #: ``bytes.split()`` without an argument splits at exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -99,6 +102,15 @@ class WordHashes(dict):
 word_hashes = WordHashes(xxhash.xxh3_64_intdigest)
 
 
+def release_memory() -> None:
+    """Give back what this Python worker holds but does not need: remembered words, and free blocks of Arrow and C."""
+    word_hashes.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit hash of each run of ``n`` hashes, in order; empty if there are fewer."""
     count = len(hashes) - n + 1
@@ -116,3 +128,20 @@ def bounded_examples(examples: DataFrame, most: int) -> DataFrame:
     order = (F.xxhash64("doc_id"), "doc_id")
     parts = [examples.where(F.col("label") == y).orderBy(*order).limit(most) for y in (0, 1)]
     return parts[0].union(parts[1])
+
+
+def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """``rows``, written out, with their number from 0 in the given order: the place in a range and the sizes of those before."""
+    place = free_name([*rows.columns, name], "place")
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = staged(ranged.withColumn(place, F.monotonically_increasing_id()))
+    # the id has the partition in its upper bits and the row's place there in the lower 33
+    part, start = free_name(found.columns, "part"), free_name([*found.columns, name], "start")
+    found = found.withColumn(part, F.shiftright(place, 33))
+    bases, total = [], 0
+    for r in sorted(found.groupBy(part).count().collect()):  # a row per task
+        bases.append((r[0], total))
+        total += r[1]
+    starts = rows.sparkSession.createDataFrame(bases, f"`{part}` long, `{start}` long")
+    number = F.col(start) + F.col(place).bitwiseAND((1 << 33) - 1)
+    return found.join(starts, part).withColumn(name, number).drop(part, place, start)

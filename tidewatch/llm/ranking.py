@@ -19,16 +19,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from tidewatch.llm.common import bounded_examples, held_out, slices, word_hashes
+from tidewatch.llm.common import bounded_examples, free_name, held_out, numbered, slices, word_hashes
 from tidewatch.llm.rules import covered
 from tidewatch.session import staged
 
-#: At most so many labelled documents of each label are learned from, those of lowest hashed id.
-MAX_EXAMPLES = 5_000
+#: At most so many labelled documents of each label are learned from, those of lowest hashed id; None for all.
+MAX_EXAMPLES: int | None = None
 #: Documents of the other label that each example is compared with.
 PARTNERS = 4
 
@@ -84,36 +84,58 @@ class Ranking:
     weight: list[float]
     threshold: float
 
-    def score(self, x: Column) -> Column:
+    def worth(self, x: Column) -> Column:
         pairs = F.zip_with(x, F.array(*[F.struct(F.lit(m).alias("m"), F.lit(w).alias("w"))
                                                for m, w in zip(self.mean, self.weight)]),
                            lambda value, c: (value - c["m"]) * c["w"])
-        worth = F.aggregate(pairs, F.lit(0.0), lambda a, b: a + b)
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(self.threshold) - worth))
+        return F.aggregate(pairs, F.lit(0.0), lambda a, b: a + b)
+
+    def score(self, x: Column) -> Column:
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(self.threshold) - self.worth(x)))
 
 
-def _best_quantile(good: np.ndarray, bad: np.ndarray) -> float:
-    """The worth, among quantiles of all worths, that leaves the fewest of both kinds on the wrong side."""
-    grid = np.quantile(np.concatenate([good, bad]), np.linspace(0, 1, 1001))
-    wrong = (np.searchsorted(np.sort(good), grid) / max(1, len(good))
-             + 1 - np.searchsorted(np.sort(bad), grid) / max(1, len(bad)))
+def _best_quantile(worths: DataFrame, sizes: dict[int, int]) -> float:
+    """The worth, among 1,001 quantiles of all worths, that leaves the fewest of both kinds on the wrong side.
+
+    ``worths`` (label, worth) may have any size: two rows per quantile and two per step between them reach the driver.
+    """
+    place = np.linspace(0, 1, 1001) * (sum(sizes.values()) - 1)
+    low, high = np.floor(place).astype(int), np.ceil(place).astype(int)
+    ranked = numbered(worths, "rank", "worth")
+    wanted = sorted({*low.tolist(), *high.tolist()})
+    at = {r["rank"]: r["worth"] for r in ranked.where(F.col("rank").isin(wanted)).select("rank", "worth").collect()}
+    below, above = (np.asarray([at[k] for k in ranks.tolist()]) for ranks in (low, high))
+    grid = np.maximum.accumulate(below + (above - below) * (place - low))
+
+    @F.pandas_udf("int")
+    def reached(worth: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(grid, worth.to_numpy(), "right"))
+
+    counts = np.zeros((2, len(grid) + 1))
+    for r in ranked.groupBy("label", reached("worth").alias("reached")).agg(F.count("*").alias("n")).collect():
+        counts[r["label"], r["reached"]] = r["n"]
+    bad, good = counts.cumsum(axis=1)[:, :-1]
+    wrong = good / sizes[1] + 1 - bad / sizes[0]
     best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
     return float((grid[best[0]] + grid[best[-1]]) / 2)
 
 
-def fit_ranking(examples: DataFrame, max_examples: int = MAX_EXAMPLES, partners: int = PARTNERS) -> Ranking:
+def fit_ranking(examples: DataFrame, max_examples: int | None = None, partners: int = PARTNERS) -> Ranking:
     """Learn from ``examples`` (doc_id, x, label 0 or 1); null labels are left out.
 
-    Uses at most ``max_examples`` of each label, those of lowest hashed id. Without examples of both
+    With ``max_examples`` at most so many of each label are used, those of lowest hashed id. Without examples of both
     kinds nothing can be preferred: all weights are zero and every score is one half.
     """
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    marked = bounded_examples(examples.where(F.col("label").isin(0, 1)), max_examples)
-    chosen = staged(marked.withColumn("k", F.row_number().over(order) - 1).select("label", "k", "x"))
+    marked = examples.where(F.col("label").isin(0, 1)).select("label", "doc_id", "x")
+    if max_examples is not None:
+        marked = bounded_examples(marked, max_examples)
+    chosen = numbered(marked, "number", "label", F.xxhash64("doc_id"), "doc_id")
     sizes = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
     width = len(FEATURES)
-    if len(sizes) < 2:
+    if len(sizes) < 2 or max(sizes.values()) < 2:
         return Ranking([0.0] * width, [0.0] * width, 0.0)
+    # numbers go on from the bad ones to the good ones
+    chosen = chosen.select("label", (F.col("number") - F.col("label") * sizes[0]).alias("k"), "x")
     values = [F.col("x")[k] for k in range(width)]
     moments = chosen.agg(*[F.avg(v).alias(f"m{k}") for k, v in enumerate(values)],
                          *[F.stddev_pop(v).alias(f"s{k}") for k, v in enumerate(values)]).first()
@@ -134,16 +156,12 @@ def fit_ranking(examples: DataFrame, max_examples: int = MAX_EXAMPLES, partners:
     rows = pairs.select(F.when(F.col("k") % 2 == 0, 1.0).otherwise(0.0).alias("y"), gap.alias("gap"))
     rows = rows.select("y", array_to_vector(
         F.transform("gap", lambda d: F.when(F.col("y") == 1.0, d).otherwise(-d))).alias("v"))
-    if rows.select("y").distinct().count() < 2:
-        return Ranking([0.0] * width, [0.0] * width, 0.0)
     model = LogisticRegression(featuresCol="v", labelCol="y", fitIntercept=False, standardization=False,
                                regParam=1e-3, maxIter=100).fit(rows)
     weight = [w / s for w, s in zip(model.coefficients.toArray().tolist(), scale)]
-    found = chosen.select("label", "x").collect()
-    x = np.asarray([r["x"] for r in found])
-    label = np.asarray([r["label"] for r in found])
-    worth = (x - np.asarray(mean)) @ np.asarray(weight)
-    return Ranking(mean, weight, _best_quantile(worth[label == 1], worth[label == 0]))
+    found = Ranking(mean, weight, 0.0)
+    found.threshold = _best_quantile(chosen.select("label", found.worth(F.col("x")).alias("worth")), sizes)
+    return found
 
 
 def learnable(labels: DataFrame, column: str) -> DataFrame:
@@ -154,25 +172,18 @@ def learnable(labels: DataFrame, column: str) -> DataFrame:
     )
 
 
-def _chosen(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """doc_id and label of those of ``rows`` that are learned from: at most 2 * MAX_EXAMPLES, so all executors can have them."""
-    known = rows.select("doc_id").distinct().join(learnable(labels, column), "doc_id")
-    return staged(bounded_examples(known.where(F.col("label").isin(0, 1)), MAX_EXAMPLES))
-
-
-def learn_ranking(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Ranking:
-    """A ranking learned from those of ``docs`` that have labels which may be learned from."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = _chosen(rows, labels, column)
-    found = text_features(rows.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"))
-    examples = staged(found).join(chosen, "doc_id")
-    return fit_ranking(examples.groupBy("doc_id", "label").agg(F.min("x").alias("x")))
+def _learned(found: DataFrame, labels: DataFrame, column: str) -> Ranking:
+    """A ranking learned from all of ``found`` (doc_id, x) that have labels which may be learned from."""
+    examples = found.join(learnable(labels, column), "doc_id")
+    return fit_ranking(examples.groupBy("doc_id", "label").agg(F.min("x").alias("x")), MAX_EXAMPLES)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, column: str = "quality", cut: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``cut``, with all their columns."""
-    ranking = learn_ranking(docs, labels, column)
-    return docs.where(ranking.score(features_column(F.col("text").cast("string"))) >= cut)
+    x = free_name(docs.columns, "x")
+    found = staged(docs.withColumn(x, features_column(F.col("text").cast("string"))))
+    ranking = _learned(found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(x).alias("x")), labels, column)
+    return found.where(ranking.score(F.col(x)) >= cut).drop(x)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, column: str = "quality", cut: float = 0.5) -> DataFrame:
@@ -183,8 +194,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, column: str = "quality",
     none. Other columns of ``docs`` are not read.
     """
     found = staged(text_features(docs))
-    examples = found.join(F.broadcast(_chosen(found, labels, column)), "doc_id")
-    ranking = fit_ranking(examples.groupBy("doc_id", "label").agg(F.min("x").alias("x")))
-    score = ranking.score(F.col("x"))
+    score = _learned(found, labels, column).score(F.col("x"))
     return found.select("doc_id", held_out().alias("held_out"), score.alias("score")).withColumn(
         "predicted", (F.col("score") >= cut).cast("int"))
