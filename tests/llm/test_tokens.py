@@ -5,9 +5,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewatch.llm import queries, tokens
+from tidewatch.llm.common import small_batches, word_hashes
 
 ODD = [
     None, "", " ", "a b", "It's  O'Neil's x y", "<|endoftext|> foo<|startoftext|>bar", "ÀÉ eͤ é x ́y",
@@ -123,3 +125,24 @@ def test_other_tokenizers_encode_whole_texts():
     text = "Two words, and  spaces\n"
     assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == (
         Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)
+
+
+def test_a_worker_gives_back_what_other_operators_remembered(spark, tmp_path, tokenizer):
+    word_hashes.of([b"%d" % k for k in range(1000)])
+    tokens.encoder.cache_clear()
+    few = tokens.encoder(queries.tokenizer_path(), 50)
+    assert len(word_hashes) == 0 and few.limit == 50
+    texts = [f"word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)} common" for k in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = tokens.tokens_of(df, queries.tokenizer_path(), remembered=50).orderBy("doc_id").collect()
+    assert [tuple(r)[1:4] for r in got] == [x[:3] for x in expected(tokenizer, texts)]
+
+
+def test_batches_of_texts_are_small(spark):
+    before = {k: spark.conf.get(f"spark.sql.execution.arrow.{k}") for k in ("maxRecordsPerBatch", "maxBytesPerBatch")}
+    small_batches(spark)
+    sizes = spark.createDataFrame([("x" * 100_000,)] * 300, "t string").coalesce(1).mapInArrow(
+        lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    for k, v in before.items():
+        spark.conf.set(f"spark.sql.execution.arrow.{k}", v)
+    assert sum(r["n"] for r in sizes) >= 30_000_000 and max(r["n"] for r in sizes) < 8_000_000

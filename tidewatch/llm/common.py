@@ -17,6 +17,9 @@ from tidewatch.session import staged
 #: ``bytes.split()`` without an argument splits at exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
 
+#: Rows and bytes that Spark sends to a Python worker at a time, see ``small_batches``.
+BATCH_ROWS, BATCH_BYTES = 2_000, "4m"
+
 #: Rows that a Python worker takes from an Arrow batch at a time.
 SLICE = 512
 
@@ -25,6 +28,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let this session send whole texts to Python in smaller batches: a batch stands in the JVM and in the worker at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def free_name(columns: Iterable[str], name: str) -> str:
     """``name``, longer if need be, so that it is none of ``columns`` (upper and lower case are the same)."""
     taken = {c.lower() for c in columns}
@@ -82,7 +91,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, kept for the next text; emptied when there are too many."""
 
-    def __init__(self, hash_function: Callable[[bytes], int], limit: int = 300_000):
+    def __init__(self, hash_function: Callable[[bytes], int], limit: int = 100_000):
         super().__init__()
         self.hash_function, self.limit = hash_function, limit
 
@@ -98,7 +107,7 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-#: One per Python worker, for all operators: workers are used again, and each such table takes some 50 MB.
+#: One per Python worker, for all operators: workers are used again, and each such table takes some 17 MB.
 word_hashes = WordHashes(xxhash.xxh3_64_intdigest)
 
 

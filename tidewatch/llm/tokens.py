@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import slices, without_cache
+from tidewatch.llm.common import release_memory, slices, without_cache
 from tidewatch.session import scratch
 
 NULL_ID = -(1 << 63)
@@ -43,6 +43,10 @@ NULL_ID = -(1 << 63)
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,40})([.,;:!?|#$%&*]{0,8})")
 
 
+#: Words that a worker remembers in the newer half; as many chunks as a quarter of that.
+REMEMBERED = 600_000
+
+
 class Encoder:
     """Encodes texts word by word, remembering words.
 
@@ -51,7 +55,7 @@ class Encoder:
     encode whole texts. What is remembered has a bound: when the newer half is full, the older half goes.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = REMEMBERED):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -143,9 +147,10 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
-    """One encoder per Python worker."""
-    return Encoder(path)
+def encoder(path: str, limit: int = REMEMBERED) -> Encoder:
+    """One encoder per Python worker, which first gives back what it holds for other operators."""
+    release_memory()
+    return Encoder(path, limit)
 
 
 def resolved(spark: SparkSession, folder: str) -> str:
@@ -181,9 +186,9 @@ class _File:
             self.store.delete_file(self.draft)
 
 
-def _write_parts(folder: str, path: str, end_id: int | None):
+def _write_parts(folder: str, path: str, end_id: int | None, remembered: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, remembered)
         end = b"" if end_id is None else np.asarray([end_id], encode.dtype).tobytes()
         width, part = encode.dtype.itemsize, TaskContext.get().partitionId()
         store, root = _open(folder)
@@ -246,13 +251,16 @@ def _parts(spark: SparkSession, parts: list[tuple[int, int, int]]) -> DataFrame:
     return rows.repartitionByRange(max(1, len(parts)), "part")
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 1) -> dict:
+def write_tokens(
+    docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 1, remembered: int = REMEMBERED
+) -> dict:
     """Encode ``docs`` (doc_id, text) and write them as a dataset; returns its manifest.
 
     ``tokenizer`` is the path of a file of the tokenizers library, which all executors have.
     ``end_id`` closes each document; None writes none. A null text is an empty one; a null id is
     kept and sorts first; equal ids are all kept, ordered by text; other columns are ignored. No
     rows give a manifest without parts. One document's ids are in memory at a time, besides a batch of texts.
+    Fewer ``remembered`` words take less of a worker's memory and more time; the files are the same.
     """
     spark = docs.sparkSession
     folder = resolved(spark, folder)
@@ -262,7 +270,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = (
         rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
-        .mapInArrow(_write_parts(folder, tokenizer, end_id), "part long, docs long, ids long")
+        .mapInArrow(_write_parts(folder, tokenizer, end_id, remembered), "part long, docs long, ids long")
         .collect()
     )
     found.sort()
@@ -271,7 +279,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
         marked = _parts(spark, [(r["part"], base, r["docs"]) for r, base in zip(found, bases)])
         marked.mapInArrow(_write_offsets(folder), _PART).count()
     manifest = {
-        "dtype": encoder(tokenizer).dtype.str,
+        "dtype": encoder(tokenizer, remembered).dtype.str,
         "end_id": end_id,
         "parts": [{"part": r["part"], "docs": r["docs"], "ids": r["ids"], "base": base}
                   for r, base in zip(found, bases)],
@@ -321,9 +329,9 @@ def read_tokens(spark: SparkSession, folder: str, ids: bool = False) -> DataFram
     return _parts(spark, [(p["part"], p["base"], p["docs"]) for p in manifest["parts"]]).mapInArrow(read, schema)
 
 
-def tokens_of(docs: DataFrame, tokenizer: str, end_id: int | None = 1) -> DataFrame:
+def tokens_of(docs: DataFrame, tokenizer: str, end_id: int | None = 1, remembered: int = REMEMBERED) -> DataFrame:
     """Write ``docs`` as a dataset in the shared folder and read it back; see ``read_tokens``."""
     spark = docs.sparkSession
     folder = scratch(spark, "tokens")
-    write_tokens(docs, folder, tokenizer, end_id)
+    write_tokens(docs, folder, tokenizer, end_id, remembered)
     return read_tokens(spark, folder)
