@@ -121,3 +121,25 @@ def test_no_python_in_the_plan(spark, capsys):
     df = spark.createDataFrame([(1, "a@b.c")], "doc_id long, text string")
     pii.personal_data(df).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+
+
+def test_tables_between_the_steps_are_few_files(spark, monkeypatch):
+    """Each file costs a command of the size of the executor, on a local file system, however little is in it."""
+    paths, staged = [], pii.staged
+    monkeypatch.setattr(pii, "staged", lambda df: paths.append((out := staged(df)).inputFiles()) or out)
+    texts = [f"write to a{k}@b{k}.org today" for k in range(40)] + [f"write to a{k}@b{k} today" for k in range(8)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(30)
+    wanted = sorted(map(tuple, pii.personal_data(df.coalesce(1)).collect()))
+    paths.clear()
+    with monkeypatch.context() as held:
+        held.setattr(pii, "FILE_ROWS", 40)
+        before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+        try:
+            for k, v in zip(before, ("30", "false")):
+                spark.conf.set(k, v)
+            got = pii.personal_data(df)
+            assert got.rdd.getNumPartitions() <= 2 and sorted(map(tuple, got.collect())) == wanted
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+    assert sum(r[-1] for r in wanted) == 8 and len(paths) > 5 and all(len(files) <= 2 for files in paths)

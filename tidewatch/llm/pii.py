@@ -15,6 +15,10 @@ The fixed forms (email, ip, card, phone) give seeds. What is bootstrapped from t
 Values count once per pattern, so copies of a document don't make a pattern look well supported. All of it is
 DataFrame expressions. Texts are read once; what goes on is one row per span.
 
+Tables between the steps are written in as many files as the number of documents needs, however many partitions the
+shuffles have: Hadoop's local file system starts a command for each file and folder it makes (chmod), and such a child
+has its executor's whole memory until it is the command.
+
 Java's regular expressions search from every position. The forms below start with a look at what stands before,
 or after the last match (``\\G``), and take runs possessively; this finds the same matches in linear time.
 """
@@ -41,6 +45,8 @@ _IDENTIFIER = rf"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
 
 TRUST = 0.8
 SUPPORT = 5
+#: Documents for each file of a table between the steps, and for each partition of the result.
+FILE_ROWS = 16_000
 _SPAN = "struct<start:int,end:int,value:string,left:string,right:string,ok:boolean>"
 
 
@@ -129,23 +135,23 @@ def _contexts(x: Column) -> Column:
     return F.array_compact(patterns)
 
 
-def known_values(spans: DataFrame) -> DataFrame:
+def known_values(spans: DataFrame, files: int) -> DataFrame:
     """The values that contexts make known (value, kind, confidence), seeds left out; see the module's text.
 
     All tables are of different values and patterns, aggregated before they are joined. Known values only become
-    more, so the rounds end; each writes its new ones out.
+    more, so the rounds end; each writes its new ones out. Tables have at most so many ``files`` each.
     """
+    written = lambda df: staged(df.coalesce(files))
     seeds = None
     for kind in KINDS:
         some = spans.select(F.lit(kind).alias("kind"), F.explode(kind).alias("x"))
         seeds = some if seeds is None else seeds.union(some)
-    seeds = staged(seeds.select("kind", F.col("x.value").alias("value"), F.explode(_contexts(F.col("x"))).alias("pattern")).distinct())
+    seeds = written(seeds.select("kind", F.col("x.value").alias("value"), F.explode(_contexts(F.col("x"))).alias("pattern")).distinct())
     others = spans.select(F.explode("others").alias("x"))
     others = others.select(F.col("x.value").alias("value"), F.explode(_contexts(F.col("x"))).alias("pattern"))
-    edges = staged(others.union(seeds.select("value", "pattern")).distinct())
-    sizes = staged(edges.groupBy("pattern").agg(F.count("*").alias("size")).where(F.col("size") >= SUPPORT))
-    known = staged(seeds.select("value", "kind", F.lit(1.0).alias("confidence")).distinct())
-    found = None
+    edges = written(others.union(seeds.select("value", "pattern")).distinct())
+    sizes = written(edges.groupBy("pattern").agg(F.count("*").alias("size")).where(F.col("size") >= SUPPORT))
+    known = written(seeds.select("value", "kind", F.lit(1.0).alias("confidence"), F.lit(False).alias("found")).distinct())
     while True:
         mass = edges.join(known, "value").groupBy("pattern", "kind").agg(
             F.sum("confidence").alias("mass"), F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
@@ -153,12 +159,11 @@ def known_values(spans: DataFrame) -> DataFrame:
         trusted = mass.join(sizes, "pattern").withColumn("score", score).where(F.col("score") >= TRUST)
         doubt = F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("score"))))
         belief = edges.join(trusted.select("pattern", "kind", "score"), "pattern").groupBy("value", "kind").agg(
-            (1 - F.exp(doubt)).alias("confidence"))
-        new = staged(belief.where(F.col("confidence") >= TRUST).join(known.select("value", "kind"), ["value", "kind"], "left_anti"))
+            (1 - F.exp(doubt)).alias("confidence"), F.lit(True).alias("found"))
+        new = written(belief.where(F.col("confidence") >= TRUST).join(known.select("value", "kind"), ["value", "kind"], "left_anti"))
         if new.isEmpty():
-            return known.limit(0) if found is None else found
-        known = staged(known.union(new))
-        found = new if found is None else staged(found.union(new))
+            return known.where("found").drop("found")
+        known = written(known.union(new))
 
 
 def _numbered(kind: str, n: int) -> Column:
@@ -172,8 +177,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     exclusive. An added span has the kind in which its value is most certain. A null text is an
     empty one; null and repeated ids keep a row each; no rows give none. Other columns are not read.
     """
-    spans = staged(base_spans(docs))
-    values = known_values(spans)
+    files = max(1, -(-docs.count() // FILE_ROWS))
+    spans = staged(base_spans(docs).repartition(files))
+    values = known_values(spans, files)
     places = spans.select("row", F.explode("others").alias("x")).select("row", "x.start", "x.end", "x.value")
     best = places.join(values, "value").groupBy("row", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("x"))
     number = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("x.kind")).cast("int")
@@ -187,4 +193,4 @@ def personal_data(docs: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(text(F.col("own")), 256).alias("base_sha256"), text(F.concat("own", more)).alias("spans"),
-        F.size(more).cast("long").alias("n_added"))
+        F.size(more).cast("long").alias("n_added")).coalesce(files)
