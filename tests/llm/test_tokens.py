@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from tidewatch.llm import queries, tokens
-from tidewatch.llm.common import small_batches, word_hashes
+from tidewatch.llm.common import slices_of_bytes, small_batches, word_hashes
 
 ODD = [
     None, "", " ", "a b", "It's  O'Neil's x y", "<|endoftext|> foo<|startoftext|>bar", "ÀÉ eͤ é x ́y",
@@ -146,3 +146,29 @@ def test_batches_of_texts_are_small(spark):
     for k, v in before.items():
         spark.conf.set(f"spark.sql.execution.arrow.{k}", v)
     assert sum(r["n"] for r in sizes) >= 30_000_000 and max(r["n"] for r in sizes) < 8_000_000
+
+
+def test_only_different_words_leave_arrow(tokenizer):
+    rng = random.Random(4)
+    parts = ["word", "Word", "WÖRD", "wörd", "ßÿ", "", "x" * 41, "É" * 40, "4.0.", "a|b", "\ttab", "a\u0301", "漢字", "<|endoftext|>"]
+    texts = [rng.choice(" \n").join(rng.choice(parts) + rng.choice(["", ".", "?!", "$" * 9]) for _ in range(rng.randrange(30)))
+             for _ in range(300)]
+    encoder = tokens.Encoder(queries.tokenizer_path())
+    asked = []
+    find = encoder.word_ids
+    encoder.word_ids = lambda words: asked.extend(words) or find(words)
+    for given in (texts, pa.array(["cut", *texts]).slice(1), []):
+        assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(given)] == [
+            tokenizer.encode(t, add_special_tokens=False).ids for t in (texts if len(given) else [])]
+    assert sorted(asked) == sorted({"word", "wörd", "ßÿ", "é" * 40}) and not set(encoder.chunks) & {"word", "Word.", "WÖRD?!"}
+
+
+def test_slices_are_cut_by_bytes():
+    texts = ["aa", None, "b" * 9, "", "é" * 3, "c", None, "d" * 30, "e"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": pa.array(texts)})
+    for most in (1, 4, 7, 1000):
+        got = list(slices_of_bytes(iter([batch.slice(0, 0), batch, batch.slice(2, 3)]), 1, most))
+        assert [x for b in got for x in b.column(1).to_pylist()] == texts + texts[2:5]
+        for b in got:
+            sizes = [len((t or "").encode()) for t in b.column(1).to_pylist()]
+            assert b.num_rows and sum(sizes) - max(sizes) <= most

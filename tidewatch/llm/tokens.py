@@ -28,35 +28,41 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import release_memory, slices, without_cache
+from tidewatch.llm.common import release_memory, slices_of_bytes, without_cache
 from tidewatch.session import scratch
 
 NULL_ID = -(1 << 63)
 
 #: One word of Latin-1 letters and the ASCII signs after it. The tokenizer always cuts between
 #: letters and these signs and ignores case, so both parts can be encoded on their own.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,40})([.,;:!?|#$%&*]{0,8})")
+_PLAIN = re.compile(r"(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]{1,40})(?P<sign>[.,;:!?|#$%&*]{0,8})")
 
 
-#: Words that a worker remembers in the newer half; as many chunks as a quarter of that.
+#: Words that a worker remembers in the newer half; as many other chunks as a quarter of that.
 REMEMBERED = 600_000
 
+#: Bytes of text that a worker encodes at a time, for each word that it remembers.
+BYTES_PER_WORD = 12
+
 
 class Encoder:
     """Encodes texts word by word, remembering words.
 
     The result equals ``Tokenizer.encode`` of the whole text for tokenizers that drop white space and
     never join what it separates; ``word_at_a_time`` says whether a tokenizer is one. Others
-    encode whole texts. What is remembered has a bound: when the newer half is full, the older half goes.
+    encode whole texts. Arrow finds the different chunks of all texts given at once, then the different words in
+    them; only these become Python objects, and only unknown ones go to the tokenizer. What is remembered
+    has a bound: when the newer half is full, the older half goes.
     """
 
     def __init__(self, path: str, limit: int = REMEMBERED):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
@@ -64,9 +70,9 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
         self.word_at_a_time = self._word_at_a_time()
         if self.word_at_a_time:  # for words that are one piece each and need no normalizing
-            self.words_only = without_cache(Tokenizer.from_str(self.tokenizer.to_str()))
-            self.words_only.normalizer = normalizers.Sequence([])
-            self.words_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.model = without_cache(Tokenizer.from_str(self.tokenizer.to_str())).model
+            pieces = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.characters = {k: pieces.pre_tokenize_str(chr(k))[0][0] for k in range(0xDF, 0x100)}
         self.chunks: dict[str, bytes] = {}
         self.older_chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -87,58 +93,58 @@ class Encoder:
 
     def word_ids(self, words: list[str]) -> list[bytes]:
         """The ids of lower-cased words of Latin-1 letters, which are one piece each for the tokenizer."""
-        out = []
-        for start in range(0, len(words), 5000):
-            some = words[start:start + 5000]
-            found = self.words_only.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ends = np.searchsorted(np.asarray(found.word_ids), np.arange(len(some)), side="right").tolist()
-            data, width = np.asarray(found.ids, self.dtype).tobytes(), self.dtype.itemsize
-            out += [data[a * width:b * width] for a, b in zip([0, *ends], ends)]
-        return out
-
-    def _encode_chunks(self, missing: list[str]) -> tuple[dict[str, bytes], list[str]]:
-        """The ids of unknown chunks, and those chunks that need not be remembered."""
-        words, older, match = self.words, self.older_words, _PLAIN.fullmatch
-        out, plain, new, gone = {}, [], set(), []
-        for chunk in missing:
-            found = match(chunk)
-            if found is None:
-                out[chunk] = self._ids(chunk)
-                if len(chunk) > 64:
-                    gone.append(chunk)
-                continue
-            word, sign = found.groups()
-            word = word.lower()
-            plain.append((chunk, word, sign))
-            if word not in words:
-                new.add(word)
-        words.update((word, older[word]) for word in new if word in older)
-        unknown = [word for word in new if word not in words]
-        words.update(zip(unknown, self.word_ids(unknown)))
-        first = set(unknown)
-        for chunk, word, sign in plain:
-            if sign and sign not in self.signs:
-                self.signs[sign] = self._ids(sign)
-            out[chunk] = words[word] + self.signs[sign] if sign else words[word]
-            if word in first:  # most of these never come again, and the word is remembered
-                gone.append(chunk)
-        return out, gone
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        tokenize, characters = self.model.tokenize, self.characters
+        found = [tokenize(word if word.isascii() else word.translate(characters)) for word in words]
+        data = np.fromiter((token.id for tokens in found for token in tokens), self.dtype).tobytes()
+        ends = list(accumulate(len(tokens) * self.dtype.itemsize for tokens in found))
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    @staticmethod
+    def _remembered(keys: list[str], known: dict[str, bytes], older: dict[str, bytes], find) -> list[bytes]:
+        """The ids of different ``keys``; those that neither half knows are found, and all are in the newer half then."""
+        missing = [key for key in keys if key not in known]
+        known.update((key, older[key]) for key in missing if key in older)
+        missing = [key for key in missing if key not in known]
+        known.update(zip(missing, find(missing)))
+        return [known[key] for key in keys]
+
+    def _chunk_ids(self, chunks: pa.StringArray) -> tuple[pa.Array, np.ndarray]:
+        """The ids of different chunks in an order of its own, and the place of each chunk there."""
+        found = pc.extract_regex(chunks, f"^{_PLAIN.pattern}$")
+        is_plain = found.is_valid()
+        plain = found.filter(is_plain)
+        words = pc.utf8_lower(pc.struct_field(plain, "word")).dictionary_encode()
+        signs = pc.struct_field(plain, "sign").dictionary_encode()
+        of_words = self._remembered(words.dictionary.to_pylist(), self.words, self.older_words, self.word_ids)
+        of_signs = self._remembered(signs.dictionary.to_pylist(), self.signs, {}, lambda x: list(map(self._ids, x)))
+        others = chunks.filter(pc.invert(is_plain)).to_pylist()
+        of_others = self._remembered(others, self.chunks, self.older_chunks, lambda x: list(map(self._ids, x)))
+        for chunk in others:
+            if len(chunk) > 64:
+                del self.chunks[chunk]
+        kind = pa.large_binary()
+        joined = pc.binary_join_element_wise(
+            pa.array(of_words, kind).take(words.indices), pa.array(of_signs, kind).take(signs.indices), pa.scalar(b"", kind))
+        mask = is_plain.to_numpy(zero_copy_only=False)
+        places = np.where(mask, np.cumsum(mask) - 1, len(joined) + np.cumsum(~mask) - 1)
+        return pa.concat_arrays([joined, pa.array(of_others, kind)]), places
+
+    def encode(self, texts: list[str] | pa.StringArray) -> list[bytes]:
         """The ids of each text, as bytes."""
         if not self.word_at_a_time:
-            return [self._ids(text) for text in texts]
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        known, older = self.chunks, self.older_chunks
-        missing = [chunk for chunk in set().union(*split) if chunk not in known]
-        known.update((chunk, older[chunk]) for chunk in missing if chunk in older)
-        found, gone = self._encode_chunks([chunk for chunk in missing if chunk not in known])
-        known |= found
-        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-        for chunk in gone:
-            del known[chunk]
-        if len(known) > self.limit // 4:
-            self.chunks, self.older_chunks = {}, known
+            return [self._ids(text) for text in (texts if isinstance(texts, list) else texts.to_pylist())]
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        chunks = split.flatten().dictionary_encode()
+        ids, places = self._chunk_ids(chunks.dictionary)
+        flat = ids.take(pa.array(places[chunks.indices.to_numpy()]))
+        at = np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy())])[at].tolist()
+        data = flat.buffers()[2]
+        data = memoryview(data) if data is not None else b""
+        out = [bytes(data[a:b]) for a, b in zip(ends, ends[1:])]
+        if len(self.chunks) > self.limit // 4:
+            self.chunks, self.older_chunks = {}, self.chunks
         if len(self.words) > self.limit:
             self.words, self.older_words = {}, self.words
         if len(self.signs) > self.limit // 4:
@@ -193,13 +199,13 @@ def _write_parts(folder: str, path: str, end_id: int | None, remembered: int):
         width, part = encode.dtype.itemsize, TaskContext.get().partitionId()
         store, root = _open(folder)
         ids, lengths = [], []
-        pieces = slices(batches, 128)
+        pieces = slices_of_bytes(batches, 1, BYTES_PER_WORD * remembered)
         first = next(pieces, None)
         if first is None:
             return
         with _File(store, f"{root}/part-{part:05d}.bin") as out:
             while first is not None:
-                for data in encode.encode([t or "" for t in first.column(1).to_pylist()]):
+                for data in encode.encode(first.column(1).fill_null("")):
                     out.write(data)
                     out.write(end)
                     lengths.append((len(data) + len(end)) // width)
