@@ -176,6 +176,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     ``spans``: kind:start:end of all spans, by kind and start, comma-joined; places count code points, ends are
     exclusive. An added span has the kind in which its value is most certain. A null text is an
     empty one; null and repeated ids keep a row each; no rows give none. Other columns are not read.
+    Rows are counted before, so ``docs`` that are costly to make should be written out.
     """
     files = max(1, -(-docs.count() // FILE_ROWS))
     spans = staged(base_spans(docs).repartition(files))
